@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import ngram_join
+from strataq.llm import ngram_join, suffix_dedup
 from strataq.tables import table
 
 
@@ -12,4 +12,8 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_suffix_dedup": op2_suffix_dedup}

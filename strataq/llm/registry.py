@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.llm import base_queries, dedup_queries, packing_query
+from strataq.llm import base_queries, corpus_queries, dedup_queries, packing_query
 
-QUERIES = {**dedup_queries.QUERIES, **base_queries.QUERIES, **packing_query.QUERIES}
+QUERIES = {**dedup_queries.QUERIES, **base_queries.QUERIES, **packing_query.QUERIES, **corpus_queries.QUERIES}
 ORACLES = {**base_queries.ORACLES}
