@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import decontamination
+from strataq.llm import decontamination, lm_scoring
 from strataq.tables import table
 
 
@@ -12,4 +12,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontamination": op9_decontamination}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination}
