@@ -201,24 +201,33 @@ def cut_out(raw: bytes, runs: np.ndarray) -> bytes:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``kept``, the bytes left, if asked for)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    With ``text`` also ``kept``, the text left (without parts of characters that a cut fell within), and ``record``, a struct of the row's columns but its text.
+    """
     ranges = repeats(docs, length, q).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     ranges = written(ranges, "ranges")
     release(docs.sparkSession)
-    kept_field = ", kept binary" if text else ""
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if text:
+        schema += f", kept string, record {docs.select(others.alias('record')).schema[0].dataType.simpleString()}"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                rows = []
-                lists = part.column("ranges")
-                for k, (doc_id, value) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                lists, out = part.column("ranges"), {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+                for k, value in enumerate(part.column("text").to_pylist()):
                     raw = (value or "").encode()
                     runs = runs_of(lists[k].values) if lists[k].is_valid else np.zeros((0, 2), np.int64)
                     left = cut_out(raw, runs)
-                    rows.append((doc_id, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), *([left] if text else [])))
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * text
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
-
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + kept_field)
+                    for name, x in zip(out, (len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if text else None), strict=True):
+                        out[name].append(x)
+                columns = {"doc_id": part.column("doc_id")} | {k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")} | {"kept_sha256": pa.array(out["kept_sha256"], pa.string())}
+                if text:
+                    columns |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string()), "record": part.column("record")}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[others.alias("record")] * text)
+    joined = rows.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges", *["record"] * text)
+    return joined.mapInArrow(apply, schema)
