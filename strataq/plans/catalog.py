@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from strataq.plans import retrieval_queries
+from strataq.plans import ingest_queries, planning_queries, retrieval_queries
 
-QUERIES = {**retrieval_queries.QUERIES}
-ORACLES: dict[str, str] = {**retrieval_queries.ORACLES}
+_ALL = (retrieval_queries, planning_queries, ingest_queries)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in _ALL for name, sql in module.ORACLES.items()}
