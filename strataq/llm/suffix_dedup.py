@@ -9,8 +9,9 @@ and each step only carries on with buckets that are still open:
    neighbours and one *unit*; a q-gram that occurs once closes all its strings at once.
 2. Buckets are refined by the whole unit (all bytes of its strings). A unit that occurred before is
    removed whole; in it no single string is looked at again. A bucket whose units are all alike is closed.
-3. What is left are buckets with several different units, at the edges of repeats. They are refined to single strings,
-   taken from the first place of each different unit only.
+3. What is left are buckets with several different units, at the edges of repeats. The first place of each
+   different unit is refined by the bytes that ``STEP`` neighbouring strings have in common, counted from the q-gram.
+4. Only where those occur more than once are there single strings to be compared.
 
 First places are grouped minima, combined before the shuffle, and return by equi-joins that adaptive
 execution splits, so neither a passage in a third of all documents nor thousands of copies meet in one task.
@@ -37,6 +38,7 @@ from strataq.tables import release, written
 
 LENGTH = 100
 Q = 24
+STEP = 16
 _PART = 1 << 21
 _P = 0x9E3779B97F4A7C55
 _LOW = np.uint64((1 << 24) - 1)
@@ -115,7 +117,7 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
 
 
 def find_units(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """gram, unit (hash), doc_id, start (of the first string), n (strings) of every unit."""
+    """gram, unit (hash), doc_id, start (of the first string), n (strings), lead (from start to the q-gram) of every unit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,36 +127,46 @@ def find_units(docs: DataFrame, length: int, q: int) -> DataFrame:
                 owner = np.searchsorted(offsets, start, "right") - 1
                 whole = mix(range_hashes(buf, start, start + n + length - 1) + (place - start).astype(np.uint64))
                 ids = part.column("doc_id").cast(pa.int64()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), ids, pa.array(start - offsets[owner]), pa.array(n.astype(np.int32))], ["gram", "unit", "doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), ids, pa.array(start - offsets[owner]), pa.array(n.astype(np.int32)), pa.array((place - start).astype(np.int32))], ["gram", "unit", "doc_id", "start", "n", "lead"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(scan, "gram long, unit long, doc_id long, start long, n int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(scan, "gram long, unit long, doc_id long, start long, n int, lead int")
 
 
-def strings_of(asked: DataFrame, length: int) -> DataFrame:
-    """gram, string (hash), doc_id, start for each string of the units (gram, start, n) in ``asks`` of a text."""
+def refined(docs: DataFrame, open_: DataFrame, length: int, step: int) -> DataFrame:
+    """gram, key (hash), doc_id, start, n, lead of the parts of units (gram, doc_id, start, n, lead).
+
+    A part holds the strings whose distance to the q-gram is in one block of ``step``, and its key is the hash of
+    the bytes that all strings of that block have in common. With a step of 1 parts are single strings.
+    """
+    asks = open_.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "n", "lead")).alias("asks"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 buf, offsets = flat(part.column("text"))
                 lists = part.column("asks")
-                asks, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                gram, begin, n = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "start", "n"))
+                asked, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                gram, begin, n, lead = (asked.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "start", "n", "lead"))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 fits = begin + n + length - 1 <= np.diff(offsets)[owner]  # else it was another row's of this doc_id
-                gram, begin, n, owner = gram[fits], begin[fits], n[fits], owner[fits]
-                order = np.lexsort((begin, owner))
-                gram, begin, n, owner = gram[order], begin[order], n[order], owner[order]
-                each = np.repeat(np.arange(len(n)), n)
-                start = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                at = start + offsets[owner[each]]
+                gram, begin, n, lead, owner = gram[fits], begin[fits], n[fits], lead[fits], owner[fits]
+                low, high = (lead - n + 1) // step, lead // step  # blocks of distances
+                count = high - low + 1
+                each = np.repeat(np.arange(len(n)), count)
+                block = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                place = (begin + lead)[each]
+                first = np.maximum(begin[each], place - block * step - step + 1)
+                last = np.minimum((begin + n - 1)[each], place - block * step)
+                at = place - block * step + offsets[owner[each]]
                 rise = np.argsort(at, kind="stable")
-                hashes = np.empty(len(at), np.uint64)
-                hashes[rise] = range_hashes(buf, at[rise], at[rise] + length)
+                key = np.empty(len(at), np.uint64)
+                key[rise] = range_hashes(buf, at[rise], at[rise] + length - step + 1)
+                key = mix(key + block.astype(np.uint64))
                 ids = part.column("doc_id").take(pa.array(owner[each]))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(hashes.view(np.int64)), ids, pa.array(start)], ["gram", "string", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(key.view(np.int64)), ids, pa.array(first), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["gram", "key", "doc_id", "start", "n", "lead"])
 
-    return asked.mapInArrow(scan, "gram long, string long, doc_id long, start long")
+    asked = docs.select("doc_id", "text").join(asks, "doc_id")
+    return asked.mapInArrow(scan, "gram long, key long, doc_id long, start long, n int, lead int")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -168,17 +180,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     del found, shared
     release(spark)
     # 2. the first place of each different unit; later ones are repeated whole
-    firsts = written(open_.groupBy("gram", "unit").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("k")), "firsts")
+    firsts = written(open_.groupBy("gram", "unit").agg(F.min(F.struct("doc_id", "start", "n", "lead")).alias("first"), F.count("*").alias("k")), "firsts")
     later = open_.join(firsts.where("k > 1").select("gram", "unit", F.struct("first.doc_id", "first.start").alias("at")), ["gram", "unit"]).where(place > F.col("at"))
     whole = written(later.select("doc_id", "start", (F.col("start") + F.col("n") + length - 1).alias("end")), "whole")
-    # 3. buckets with several different units, by single strings
+    # 3. buckets with several different units, by what neighbouring strings have in common
     mixed = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    asks = firsts.join(mixed, "gram", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("gram", "first.start", "first.n")).alias("asks"))
-    strings = written(strings_of(docs.select("doc_id", "text").join(asks, "doc_id"), length), "strings")
-    del later, asks, mixed
+    edges = written(firsts.join(mixed, "gram", "left_semi").select("gram", "first.*"), "edges")
+    parts = written(refined(docs, edges, length, STEP), "parts")
+    del later, mixed
+    release(spark)
+    common = parts.groupBy("gram", "key").agg(F.count("*").alias("k")).where("k > 1").select("gram", "key")
+    # 4. single strings
+    strings = written(refined(docs, parts.join(common, ["gram", "key"], "left_semi"), length, 1), "strings")
     release(spark)
-    known = strings.groupBy("gram", "string").agg(F.min(place).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "string", "at")
-    single = strings.join(known, ["gram", "string"]).where(place > F.col("at")).select("doc_id", "start", (F.col("start") + length).alias("end"))
+    known = strings.groupBy("gram", "key").agg(F.min(place).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "key", "at")
+    single = strings.join(known, ["gram", "key"]).where(place > F.col("at")).select("doc_id", "start", (F.col("start") + length).alias("end"))
     return whole.unionByName(single)
 
 
