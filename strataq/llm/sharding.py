@@ -41,11 +41,15 @@ def scatter(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BY
 
 
 def gather(scattered: DataFrame, seed: int = SEED) -> DataFrame:
-    """Pass two: each bucket in a random order that only the seed decides; ``slot`` is gapless from 0 within a shard."""
+    """Pass two: each bucket in a random order; ``slot`` is gapless from 0 within a shard.
+
+    A bucket is permuted by one task as a whole, so a task that runs again replaces whole buckets. The seed and
+    the task's number decide the order: with another partitioning shards are the same, but not the slots.
+    """
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # sorted before it is permuted, so that the order in which rows arrive doesn't matter
+    # sorted before it is permuted, so that the order in which a bucket's rows arrive doesn't matter
     whole = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("record", "size"))).alias("held"))
     mixed = whole.select("shard", "bucket", F.shuffle("held", seed).alias("held"))
     placed = mixed.join(starts, ["shard", "bucket"]).select("shard", "start", F.posexplode("held").alias("place", "item"))
