@@ -7,10 +7,15 @@ Spark limits before the shuffle, so what is shuffled is bounded by questions tim
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ from strataq.functions import text as T
 from strataq.functions.vector import cosine
 
 MOST_BROADCAST = 100_000
+#: Questions in one batch whose vectors or words go to every task.
+MOST_VECTORS = 10_000
 
 
 def sent(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -44,32 +51,134 @@ def ranked(rows: DataFrame, score: str, limit: int, rank: str = "rank", key: str
     return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
 
 
+def asked_rows(questions: DataFrame, most: int) -> list:
+    """The questions themselves: a stated set of at most ``most``, which goes to every task."""
+    rows = questions.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} questions at once: ask in blocks")
+    return rows
+
+
+def best_of_batch(ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, candidates: int) -> pa.RecordBatch:
+    """(question_id, doc_id, score) of each question's best in a batch (scores: documents by questions; below 0: no hit).
+
+    All that could be among the ``candidates`` best after rounding to 6 digits are kept, so ranking stays exact.
+    """
+    if len(ids) > candidates:
+        least = np.partition(scores, len(ids) - candidates, axis=0)[len(ids) - candidates]
+        keep = (scores >= least - 2e-6) & (scores > -1.5)
+    else:
+        keep = scores > -1.5
+    rows, columns = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(asked[columns], pa.int64()), pa.array(ids[rows], pa.int64()), pa.array(scores[rows, columns], pa.float64())], ["question_id", "doc_id", "score"])
+
+
 def dense_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates) -> DataFrame:
-    """question_id, doc_id, dense_score (cosine, 6 digits), dense_rank; passages without a vector are not seen."""
-    q = questions.where("vector is not null").select("question_id", F.col("vector").alias("q"))
-    pairs = passages.where("embedding is not null").select("doc_id", "embedding").crossJoin(sent(q))
-    scored = pairs.select("question_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("dense_score"))
-    return ranked(scored, "dense_score", candidates, "dense_rank")
+    """question_id, doc_id, dense_score (cosine, 6 digits), dense_rank; passages without a vector are not seen.
+
+    Exact: each batch of passages is one matrix product with the questions, and only its best rows are shuffled.
+    """
+    asked = asked_rows(questions.where("vector is not null").select("question_id", "vector"), MOST_VECTORS)
+    if not asked:
+        return passages.sparkSession.createDataFrame([], "question_id long, doc_id long, dense_score double, dense_rank int")
+    names = np.array([r.question_id for r in asked], np.int64)
+    wanted = unit(np.array([r.vector for r in asked], np.float64))
+    sent_vectors = passages.sparkSession.sparkContext.broadcast(wanted)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                held = unit(flat.reshape(part.num_rows, -1))
+                yield best_of_batch(part.column("doc_id").to_numpy(), held @ sent_vectors.value.T, names, candidates)
+
+    scored = passages.where("embedding is not null").select("doc_id", "embedding").mapInArrow(score, "question_id long, doc_id long, score double")
+    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("dense_score")), "dense_score", candidates, "dense_rank")
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a row of length 0 stays, so its cosine with anything is 0."""
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
 def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates, text: str = "text") -> DataFrame:
     """Passages with any of a question's words, by n / (n + 10) for n matching positions.
 
-    That is cover density for a pure OR query. Words are counted per passage before they meet the questions.
+    That is cover density for a pure OR query. In each batch the counts of the questions' words, documents by
+    words, are multiplied with the words that each question has, and only the batch's best rows are shuffled.
     """
-    q = questions.select("question_id", F.explode(F.array_distinct(T.lexemes(F.col("question")))).alias("lexeme"))
-    words = passages.select("doc_id", F.explode(T.lexemes(F.col(text))).alias("lexeme"))
-    hits = words.join(sent(q), "lexeme").groupBy("question_id", "doc_id").agg(F.count("*").alias("n"))
-    scored = hits.select("question_id", "doc_id", F.round(F.col("n") / (F.col("n") + 10), 6).alias("sparse_score"))
-    return ranked(scored, "sparse_score", candidates, "sparse_rank")
+    asked = asked_rows(questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words")), MOST_VECTORS)
+    vocabulary = sorted({w for r in asked for w in r.words})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    names = np.array([r.question_id for r in asked], np.int64)
+    has = np.zeros((len(vocabulary), len(asked)), np.float32)
+    for j, r in enumerate(asked):
+        has[[place[w] for w in r.words], j] = 1
+    sent_words = passages.sparkSession.sparkContext.broadcast((vocabulary, has))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, matrix = sent_words.value
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column("words")
+                index = pc.index_in(lists.flatten(), value_set=known)
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                hit = index.is_valid().to_numpy(zero_copy_only=False)
+                cells = owner[hit] * len(words) + index.drop_null().to_numpy()
+                counts = np.bincount(cells, minlength=len(lists) * len(words)).reshape(len(lists), len(words))
+                n = (counts.astype(np.float32) @ matrix).astype(np.float64)
+                yield best_of_batch(part.column("doc_id").to_numpy(), np.where(n > 0, n / (n + 10), -2.0), names, candidates)
+
+    lexemes = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    scored = lexemes.mapInArrow(score, "question_id long, doc_id long, score double")
+    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("sparse_score")), "sparse_score", candidates, "sparse_rank")
+
+
+def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text") -> DataFrame:
+    """(doc_id, identifier) for each identifier that a text holds (case ignored; ``_`` and ``%`` are wildcards).
+
+    Each text is read once, whatever the number of identifiers: an Aho-Corasick automaton finds the parts between
+    wildcards, and only where all parts of an identifier occur is its pattern tried.
+    """
+    parts = {i: [p for p in re.split("[_%]+", i.lower()) if p] for i in identifiers}
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, owners = ahocorasick.Automaton(), defaultdict(set)
+        for i, own in parts.items():
+            for p in own:
+                owners[p].add(i)
+        for p in owners:
+            automaton.add_word(p, p)
+        if owners:
+            automaton.make_automaton()
+        any_of = [i for i, own in parts.items() if not own]  # nothing but wildcards
+        pattern = {i: re.compile("".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in i.lower()), re.S) for i in parts}
+        for batch in batches:
+            out = []
+            for doc_id, held in zip(batch["doc_id"], batch["held"], strict=True):
+                if held is None:
+                    continue
+                low = held.lower()
+                there = {p for _, p in automaton.iter(low)} if owners else set()
+                near = {i for p in there for i in owners[p] if all(x in there for x in parts[i])}
+                out += [(doc_id, i) for i in sorted([*near, *any_of]) if ("_" not in i and "%" not in i) or pattern[i].search(low)]
+            yield pd.DataFrame(out, columns=["doc_id", "identifier"])
+
+    return passages.select("doc_id", F.col(text).alias("held")).mapInPandas(scan, "doc_id long, identifier string")
 
 
 def identifier_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates, text: str = "text") -> DataFrame:
-    """Passages that hold a question's identifiers (2 to 64 characters), by how many; ``_`` and ``%`` are wildcards."""
+    """Passages that hold a question's identifiers (2 to 64 characters), by how many."""
     ids = F.filter(F.transform("identifiers", lambda i: F.trim(i)), lambda i: F.length(i).between(2, 64))
     q = questions.select("question_id", F.explode(F.array_distinct(ids)).alias("identifier"))
-    held = passages.select("doc_id", F.col(text).alias("held")).join(sent(q), F.expr("held ILIKE concat('%', identifier, '%')"))
-    hits = held.groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
+    names = [r[0] for r in q.select("identifier").distinct().limit(MOST_BROADCAST + 1).collect()]
+    if len(names) > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} identifiers: ask in blocks of questions")
+    hits = identifier_hits(passages, names, text).join(sent(q), "identifier").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
     return ranked(hits, "ident_score", candidates, "ident_rank")
 
 
