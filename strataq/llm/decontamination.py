@@ -47,23 +47,22 @@ def canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def window_hashes(canon: Column, window: int) -> Column:
-    """A 64-bit hash for each place, of that place and the next ``window`` - 1; the last ones are null.
+def windows(rows: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, at, h): a 64-bit hash of each whole window of ``canon``; ``at`` counts words from 0.
 
-    Doubling: a window of 2k is one of k and the one k places later, so few steps make a long window.
+    Doubling: a window of 2k is one of k and the one k places later, so few steps make a long window. Each
+    step is a column of its own, since an expression that is used twice would be computed twice.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    out, k = F.transform(canon, lambda w: F.xxhash64(w)), 1
+    rows, k = rows.select(key, F.transform("canon", lambda w: F.xxhash64(w)).alias("h1")), 1
     while k < window:
-        out = F.zip_with(out, F.slice(out, F.lit(k + 1), F.greatest(F.size(out) - k, F.lit(0))), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))
+        own = F.col(f"h{k}")
+        whole = F.greatest(F.size(own) - k, F.lit(0))
+        rows = rows.select(key, F.zip_with(F.slice(own, F.lit(1), whole), F.slice(own, F.lit(k + 1), whole), lambda a, b: F.xxhash64(a, b)).alias(f"h{2 * k}"))
         k *= 2
-    return out
-
-
-def _windows(rows: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, at, h) for all whole windows; ``at`` counts words from 0."""
-    return rows.select(key, F.posexplode(window_hashes(F.col("canon"), window)).alias("at", "h")).where("h is not null")
+    # the outer form: for the other one a filter on the array's size would be computed apart, from the words on
+    return rows.select(key, F.posexplode_outer(f"h{k}").alias("at", "h")).where("h is not null")
 
 
 def _tokens(rows: DataFrame, key: str) -> DataFrame:
@@ -77,9 +76,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     items = _tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id")
     plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, window), lambda w: ~w.startswith("#")))
-    known = _windows(items, "item_id", window).withColumnRenamed("at", "item_at").join(items.select("item_id", "canon"), "item_id")
+    known = windows(items, "item_id", window).withColumnRenamed("at", "item_at").join(items.select("item_id", "canon"), "item_id")
     known = known.withColumnRenamed("item_at", "at").where(plain >= LITERALS).select("h", "item_id", F.col("at").alias("item_at")).distinct()
-    found = _windows(_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "doc_id", window)
+    found = windows(_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "doc_id", window)
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
     hits = found.join(known, "h").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
