@@ -297,7 +297,33 @@ def event_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"), gap="6 hours")
 
 
-_REL = "regexp_matches(lower(source), 'src' || (question_id % 20))"
+def _html_sql() -> str:
+    """The page loader's steps, nested as SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    swap = lambda x, p, by: f"regexp_replace({x}, {quote(p)}, {quote(by.replace('$', chr(92)))}, 'g')"
+
+    def entities(x: str) -> str:
+        for name, char in loaders.ENTITIES:
+            x = f"replace({x}, {quote(name)}, {quote(char)})"
+        return x
+
+    raw, text = "html", "body"
+    for tag in loaders.DROPPED:
+        raw = swap(raw, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    raw = swap(raw, r"(?s)<!--.*?-->", "")
+    for pattern, by in loaders.MARKUP:
+        text = swap(text, pattern, by)
+    inside = ", ".join("nullif(regexp_extract(raw, " + quote(rf"(?is)<{t}\b[^>]*>(.*?)(?:</{t}\s*>|$)") + ", 1), '')" for t in ("article", "main", "body"))
+    title = entities("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")
+    return f"WITH r AS (SELECT page_id, html, {raw} AS raw FROM pages), b AS (SELECT page_id, html, coalesce({inside}, raw) AS body FROM r) SELECT page_id, nullif({_title_sql(title)}, '') AS title, " + swap(entities(text), r"^\s+|\s+$", "") + " AS text FROM b"
+
+
+def _title_sql(raw: str) -> str:
+    """A title of at most 120 characters."""
+    flat = f"trim(regexp_replace({raw}, '\\s+', ' ', 'g'))"
+    cut = f"substring({flat}, 1, 120)"
+    first, words = f"regexp_extract({cut}, '^(.*?[.!?])\\s', 1)", f"regexp_extract({cut}, '^(.*) ', 1)"
+    return f"CASE WHEN length({flat}) <= 120 THEN {flat} WHEN length({first}) > 30 THEN {first} ELSE rtrim(CASE WHEN length({words}) > 40 THEN {words} ELSE {cut} END) || '…' END"
 
 
 def _oracles() -> dict[str, str]:
@@ -310,7 +336,12 @@ g AS (SELECT variant, question_id, max((rel AND position = 1)::INT) AS hit1, max
 m AS (SELECT variant, round(avg(hit1), 6) AS hit_at_1, round(avg(hit), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr,
  round(avg(CASE found WHEN 0 THEN 0 WHEN 1 THEN least(1, dcg) WHEN 2 THEN least(1, dcg / (1 + ln(2) / ln(3))) ELSE least(1, dcg / (1 + ln(2) / ln(3) + 0.5)) END), 6) AS ndcg, count(*) AS n_questions FROM g GROUP BY 1)"""
     owned = "(owner_id IS NULL OR owner_id = 'src3') AND superseded_by IS NULL"
+    name = "CASE doc_id % 4 WHEN 0 THEN '3f2a9c0d 11bb 4cde 8a77 0123456789ab' WHEN 1 THEN source || ' guide' WHEN 2 THEN '' ELSE lang || ' notes.v2' END"
+    line = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 8 AND length(x) < 120 AND regexp_matches(x, '[a-zA-Z]'))[1]"
     return {
+        "html_load": _html_sql(),
+        "titles": f"""WITH n AS (SELECT *, {name} AS name, CASE WHEN doc_id % 3 = 0 THEN {line} END AS line FROM documents)
+SELECT doc_id, CASE WHEN name = '' THEN 'Untitled' ELSE name END AS file_title, CASE WHEN doc_id % 5 = 0 THEN 'Meta title' WHEN line IS NOT NULL THEN line WHEN doc_id % 4 IN (0, 2) THEN 'Untitled PDF' ELSE name END AS pdf_title, {_title_sql('text')} AS short_title, 'pdf' AS format FROM n""",
         "markdown_load": """WITH b AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN '# Head ' || lang || chr(10) ELSE '' END || text AS body FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T ' || source WHEN doc_id % 3 = 0 THEN 'Head ' || lang ELSE source || ' a b' END AS title, length(body)::INT AS n_text, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END AS tags FROM b""",
         "pdf_load": r"""WITH b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]{2,}', ' ', 'g'))) AS ps FROM documents),

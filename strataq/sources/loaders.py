@@ -41,8 +41,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filename", "format", "byte_size", "checksum", title.alias("title"), text.alias("text"))
 
 
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def unescape(text: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -56,16 +59,19 @@ def html_body(raw: Column) -> Column:
     return F.when(inside[0] != "", inside[0]).when(inside[1] != "", inside[1]).when(inside[2] != "", inside[2]).otherwise(raw)
 
 
+#: (pattern, replacement) in the order in which markup becomes Markdown.
+MARKUP = (
+    *((rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)),
+    (r"(?is)<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre>", "\n\n```\n$1\n```\n\n"), (r"(?is)<code\b[^>]*>(.*?)</code>", "`$1`"),
+    (r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"), (r"(?is)<(?:b|strong)\b[^>]*>", "**"), (r"(?is)</(?:b|strong)>", "**"),
+    (r"(?is)<li\b[^>]*>\s*", "\n- "), (r"(?is)<br\s*/?>", "\n"), (r"(?is)</?(?:p|div|ul|ol|table|tr|section)\b[^>]*>", "\n\n"), (r"(?is)<[^>]+>", ""),
+    (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
+)
+
+
 def markup_to_markdown(body: Column) -> Column:
     """Headings, list items, code, links, emphasis and paragraphs as Markdown; other tags go."""
-    for level in range(1, 7):
-        body = F.regexp_replace(body, rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n")
-    for pattern, by in (
-        (r"(?is)<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre>", "\n\n```\n$1\n```\n\n"), (r"(?is)<code\b[^>]*>(.*?)</code>", "`$1`"),
-        (r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"), (r"(?is)<(?:b|strong)\b[^>]*>", "**"), (r"(?is)</(?:b|strong)>", "**"),
-        (r"(?is)<li\b[^>]*>\s*", "\n- "), (r"(?is)<br\s*/?>", "\n"), (r"(?is)</?(?:p|div|ul|ol|table|tr|section)\b[^>]*>", "\n\n"), (r"(?is)<[^>]+>", ""),
-        (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, by in MARKUP:
         body = F.regexp_replace(body, pattern, by)
     return F.regexp_replace(unescape(body), r"^\s+|\s+$", "")
 
