@@ -23,20 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.components import components
 from strataq.llm.textblocks import blocks, flat, mix, ngrams, short_hashes, word_hashes, word_spans
-from strataq.tables import written
+from strataq.tables import release, written
 
 WORDS, PERCENT = 5, 80
 #: Common n-grams that go last in the global order: at most so many (8 bytes each when broadcast).
 MOST_COMMON = 1_000_000
 #: Set elements (8 bytes each) of the candidates that one task builds tries from at a time.
 GROUP_ITEMS = 1_000_000
-#: Ids that a scan is given to look for; beyond that they are joined instead.
-MOST_WANTED = 2_000_000
+#: Requests for sets that are broadcast to the scan; beyond that they are joined.
+MOST_REQUESTS = 100_000
+#: Pairs, for each member of a group, that are tried at once; groups are reduced by hubs until so few are left.
+PAIRS_EACH = 10
 _LAST = np.uint64(1 << 63)
 
 
@@ -120,29 +122,43 @@ def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, node long, prefix array<long>")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray, words: int) -> DataFrame:
-    """(node, items) of the documents named in ``wanted`` (doc_id, node)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    ids = None
-    if wanted.count() <= MOST_WANTED:
-        ids = spark.sparkContext.broadcast(np.sort(wanted.select("doc_id").toArrow().column("doc_id").to_numpy()))
-    else:
-        rows = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sent = spark.sparkContext.broadcast(common)
+def requested_sets(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: int) -> DataFrame:
+    """The ordered set of each requested document, once for each of its ``uses`` (slot, a, part, b).
+
+    Few requests are sent to where the texts are; more are joined with them.
+    """
+    if requests.count() <= MOST_REQUESTS:
+        requests = F.broadcast(requests)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if ids is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column("doc_id").fill_null(-1).to_numpy(), ids.value)))
             for part in blocks(batch):
                 grams, at = sets_of(part.column("text"), words)
-                node = fingerprints(grams, at)
+                # rows that repeat a doc_id can have another set than the one that is meant
+                meant = fingerprints(grams, at) == part.column("node").to_numpy()
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ordered(grams, at, sent.value).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), lists], ["doc_id", "node", "items"])
+                uses = part.column("uses")
+                owner = np.repeat(np.arange(len(uses)), np.diff(uses.offsets.to_numpy()))
+                each = uses.flatten()
+                for k in range(0, len(owner), 1000):
+                    rows = np.arange(k, min(k + 1000, len(owner)))
+                    rows = rows[meant[owner[rows]]]
+                    own = each.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("slot", "a", "part", "b")), lists.take(pa.array(owner[rows]))], ["slot", "a", "part", "b", "items"])
 
-    sets = rows.mapInArrow(build, "doc_id long, node long, items array<long>")
-    return sets.join(wanted, ["doc_id", "node"], "left_semi").select("node", "items").dropDuplicates(["node"])
+    asked = docs.select("doc_id", "text").join(requests, "doc_id").select("text", "node", "uses")
+    return asked.mapInArrow(build, "slot int, a long, part int, b long, items array<long>")
+
+
+def could_link(na: str, nb: str, shared: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar if their prefixes share so many n-grams.
+
+    Of the set whose prefix ends first, what lies behind its prefix is all that can still be shared.
+    """
+    a, b = F.col(na), F.col(nb)
+    needed = F.ceil(percent * (a + b) / (100 + percent))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.col(shared) + F.floor((percent * F.greatest(a, b) + 99) / 100) - 1 >= needed)
 
 
 class Trie:
@@ -203,37 +219,35 @@ class Trie:
         return found
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) that are similar: b's sets are put into tries and probed with a's.
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Those of the candidate pairs (a, b) of ``classes`` (node, doc_id, n) that are similar.
 
-    Tries are built from blocks of bounded size: a probe with very many candidates is dealt to several tasks.
+    b's sets are put into tries and probed with a's. Tries are built from blocks of bounded size: a probe with
+    very many candidates is dealt to several tasks.
     """
-    spark = pairs.sparkSession
-    sized = sets.select("node", F.size("items").alias("n"))
-    loads = pairs.join(sized.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("n").alias("load"))
-    loads = written(loads, "loads")
-    total = loads.agg(F.sum("load")).first()[0]
-    if not total:
-        return spark.createDataFrame([], "a long, b long")
-    groups = int(total // GROUP_ITEMS) + 1
+    size = classes.select(F.col("node").alias("b"), "n")
+    loads = written(pairs.join(size, "b").groupBy("a").agg(F.sum("n").alias("load")), "loads")
+    groups = int((loads.agg(F.sum("load")).first()[0] or 0) // GROUP_ITEMS) + 1
     # a probe's candidates are cut into parts; the parts of all probes are dealt to groups
     parts = loads.select("a", (F.col("load") / GROUP_ITEMS).cast("int").alias("cuts"))
-    dealt = lambda part: F.pmod(F.xxhash64("a", part), F.lit(groups)).cast("int")
-    right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("cuts") + 1).cast("int"))
-    right = right.join(sets.select(F.col("node").alias("b"), F.col("items").alias("held")), "b").select(dealt(F.col("part")).alias("slot"), "a", "part", "b", "held")
-    left = parts.join(sets.select(F.col("node").alias("a"), F.col("items").alias("probe")), "a").select("a", "probe", F.explode(F.sequence(F.lit(0), "cuts")).alias("part"))
-    left = left.select(dealt(F.col("part")).alias("slot"), "a", "part", "probe")
-
-    def match(key: tuple, probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        own = {(a, p): np.asarray(x, np.int64).view(np.uint64) for a, p, x in zip(probes.a, probes.part, probes.probe, strict=True)}
+    slot = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int")
+    held = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts") + 1).cast("int").alias("part"), F.col("b").alias("node"))
+    probes = parts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), "cuts")).alias("part"), F.col("a").alias("node"))
+    uses = held.unionByName(probes).groupBy("node").agg(F.collect_list(F.struct(slot.alias("slot"), "a", "part", "b")).alias("uses"))
+    requests = written(uses.join(classes.where("doc_id is not null").select("node", "doc_id"), "node"), "requests")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for (a, p), rows in held.groupby(["a", "part"], sort=False):
-            if (a, p) in own:
-                trie = Trie.of([np.asarray(x, np.int64).view(np.uint64) for x in rows["held"]])
-                out += [(a, rows.b.iloc[k]) for k in trie.probe(own[a, p], percent)]
+        for (a, _), own in rows.groupby(["a", "part"], sort=False):
+            probe, others = own[own.b.isna()], own[own.b.notna()]
+            if len(probe) and len(others):
+                trie = Trie.of([np.asarray(x, np.int64).view(np.uint64) for x in others["items"]])
+                out += [(a, int(others.name.iloc[k])) for k in trie.probe(np.asarray(probe["items"].iloc[0], np.int64).view(np.uint64), percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return left.groupBy("slot").cogroup(right.groupBy("slot")).applyInPandas(match, "a long, b long")
+    # the id as text: pandas would make a nullable long a float
+    sets = requested_sets(docs, requests, common, words).withColumn("name", F.col("b").cast("string"))
+    return sets.groupBy("slot").applyInPandas(match, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 6) -> DataFrame:
@@ -241,17 +255,18 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, roun
     common = common_grams(docs, words)
     drawn = written(sketches(docs, common, words, percent), "sketches")
     slim = drawn.select("doc_id", "n", "node")
-    classes = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = written(slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
 
     # documents that share an n-gram of their prefixes; equal sets are one node
     rows = drawn.select("node", "n", F.explode("prefix").alias("gram"))
     ends = rows.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("gram")
     members = written(rows.join(ends, "gram", "left_semi").dropDuplicates(["gram", "node"]), "members")
-    near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    del rows, ends
+    release(docs.sparkSession)
     links, labels = None, None
     for turn in range(rounds + 1):
-        at = members if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        at = at if labels is not None else at.withColumn("component", F.col("node"))
+        at = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        last = False
         if turn:  # n-grams whose documents are all of one component are done
             mixed = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
             at = written(at.join(mixed, "gram", "left_semi"), "mixed")
@@ -259,22 +274,24 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, roun
             rest = by.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             if not rest:
                 break
-            last = turn == rounds or rest <= 4 * at.count()
-        else:
-            last = False
+            last = turn == rounds or rest <= PAIRS_EACH * members.count()
         if last:
-            a, b = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "component"))) for s in "ab")
-            found = a.join(b, "gram").where((F.col("componenta") != F.col("componentb")) & (F.col("nodea") < F.col("nodeb")) & near(F.col("na"), F.col("nb")))
+            a, b = (at.select("gram", *(F.col(c).alias(c + t) for c in ("node", "n", "component"))) for t in "ab")
+            found = a.join(b, "gram").where((F.col("componenta") != F.col("componentb")) & (F.col("nodea") < F.col("nodeb")))
+            shared = found.groupBy("nodea", "nodeb", "na", "nb").agg(F.count("*").alias("shared"))
         else:
             hubs = at.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("nodea"), F.col("n").alias("na"), F.col("component").alias("componenta"))).alias("hub")).select("gram", "hub.*")
-            found = at.join(hubs, "gram").select("nodea", "na", "componenta", F.col("node").alias("nodeb"), F.col("n").alias("nb"), F.col("component").alias("componentb"))
-            found = found.where((F.col("componenta") != F.col("componentb")) & near(F.col("na"), F.col("nb")))
-        pairs = written(found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = written(wanted_sets(docs, classes.join(nodes, "node", "left_semi").where("doc_id is not null").select("doc_id", "node"), common, words), "sets")
-        new = written(linked(pairs, sets, percent), "links")
+            found = at.join(hubs, "gram").where(F.col("component") != F.col("componenta")).select("nodea", "na", F.col("node").alias("nodeb"), F.col("n").alias("nb")).distinct()
+            # a hub and a member can share n-grams that have another hub
+            theirs = found.join(members.select(F.col("node").alias("nodeb"), "gram"), "nodeb").join(members.select(F.col("node").alias("nodea"), "gram"), ["nodea", "gram"], "left_semi")
+            shared = theirs.groupBy("nodea", "nodeb", "na", "nb").agg(F.count("*").alias("shared"))
+        pairs = written(shared.where(could_link("na", "nb", "shared", percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), "pairs")
+        del found, shared, at
+        release(docs.sparkSession)
+        new = written(linked(docs, pairs, classes, common, words, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
+        release(docs.sparkSession)
         if last:
             break
     own = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
