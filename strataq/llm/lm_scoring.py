@@ -5,7 +5,7 @@ each chunk's distinct n-grams meet the count table as one row for each hash part
 of n-gram hashes with their counts in the chunk. A partition sums the blocks of all chunks (the count table)
 and answers each chunk with the corpus counts of its n-grams; the answers are joined with the chunk's
 documents and summed for each document. So an n-gram crosses the network once for each chunk it is in, in
-about three bytes, and a frequent one is no hot spot.
+about three bytes, and a frequent one is no hot spot. Texts travel to their chunks compressed, many in one row.
 
 The score of a word after its context is count(context, word) / count(context) for the longest context (up to
 ``order`` - 1 words of the same text) with which it was seen at least ``least`` times in the corpus, times 0.4 for
@@ -19,6 +19,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,28 @@ def decode(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
+def bundle(dealt: DataFrame) -> DataFrame:
+    """(chunk, texts): the rows of each chunk in a batch as one compressed Arrow stream."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            own, starts = np.unique(chunks[order], return_index=True)
+            rows = pa.Table.from_batches([batch.select(["doc_id", "text"])])
+            for chunk, at in zip(own, np.split(order, starts[1:]), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                    out.write_table(rows.take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+
+    return dealt.mapInArrow(pack, "chunk int, texts binary")
+
+
+def unbundle(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("texts")])
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of logarithms), n_backed_off and score_per_word of every document."""
     spark = docs.sparkSession
@@ -81,10 +104,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff:
     bounds = partition_bounds(partitions, bits)
     # repeated and null doc_ids spread by their texts' lengths
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")
-    dealt = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = bundle(docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def ask(rows: pa.Table) -> pa.Table:
-        _, levels = gram_levels(rows.column("text"), order, bits)
+        _, levels = gram_levels(unbundle(rows).column("text"), order, bits)
         out: list[tuple] = []
         for n, level in enumerate(levels, 1):
             found, counts = distinct(level)
@@ -103,6 +126,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff:
         return pa.table([rows.column("chunk"), rows.column("part"), pa.array(blocks, pa.binary())], ["chunk", "part", "counts"])
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = unbundle(rows)
         at, levels = gram_levels(rows.column("text"), order, bits)
         answers = answers.sort_by("part")
         known: list[np.ndarray] = []
