@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from strataq.tables import written
 
 
+def unsettled(edges: DataFrame) -> bool:
+    """Whether any node has two smaller ones, or one that itself has a smaller one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return bool(ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, component) for all nodes of ``links`` (a, b): the smallest node that can be reached.
 
@@ -15,8 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     every node hangs on its smallest one. Minima are combined before the shuffle, so a hub is no hot spot.
     """
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
+    while unsettled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -24,10 +29,4 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    hang = edges.groupBy("u").agg(F.min("v").alias("component"))
-    roots = edges.select(F.col("v").alias("node")).distinct().join(hang, F.col("node") == F.col("u"), "left_anti")
-    return hang.withColumnRenamed("u", "node").unionByName(roots.select("node", F.col("node").alias("component")))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

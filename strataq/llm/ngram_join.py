@@ -11,9 +11,9 @@ groups of one component are done. Only what differs after that is tried in pairs
 copies costs as many probes as it has members, and no link between different components is lost.
 
 Defined results: empty and null texts have no n-grams and link with nothing; texts of fewer words than n have one
-n-gram, all their words; equal texts link; rows that repeat a doc_id are one document in the links; null doc_ids
-count for links but never name a component (which is null if it has no other); columns besides
-doc_id and text are ignored; an empty table gives an empty result.
+n-gram, all their words; equal texts link; rows that repeat a doc_id are one document in the links; a null doc_id never
+names a component, and a text that only such rows have links with equal texts only (its component is null); columns
+besides doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ GROUP_ITEMS = 1_000_000
 #: Requests for sets that are broadcast to the scan; beyond that they are joined.
 MOST_REQUESTS = 100_000
 #: Pairs, for each member of a group, that are tried at once; groups are reduced by hubs until so few are left.
-PAIRS_EACH = 10
+PAIRS_EACH = 30
 _LAST = np.uint64(1 << 63)
 
 

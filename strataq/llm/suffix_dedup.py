@@ -39,7 +39,7 @@ from strataq.tables import release, written
 LENGTH = 100
 Q = 24
 STEP = 16
-_PART = 1 << 21
+_PART = 1 << 19
 _P = 0x9E3779B97F4A7C55
 _LOW = np.uint64((1 << 24) - 1)
 

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that one block holds; a longer text is a block of its own. Temporary arrays take some 50 times that.
+BLOCK_BYTES = 1 << 20
 #: ASCII white space: space and TAB, LF, VT, FF, CR.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
