@@ -20,11 +20,13 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from os.path import splitext
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,9 +48,24 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _patient(path: str) -> tokenizers.Tokenizer:
+    """The same vocabulary from the tokenizer's own file beside the ranks file: slower, without a limit on backtracking."""
+    whole = tokenizers.Tokenizer.from_file(splitext(path)[0] + ".json")
+    whole.encode_special_tokens = True
+    return whole
+
+
+def _ids(text: str, path: str) -> np.ndarray:
+    try:
+        return _encoder(path).encode_to_numpy(text)
+    except ValueError:  # the ranks file's pattern backtracks too far on a run of some million blanks
+        return np.array(_patient(path).encode(text, add_special_tokens=False).ids)
+
+
 def encode(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text and the end id, as little-endian unsigned 32-bit integers."""
-    ids = np.asarray(_encoder(path).encode_to_numpy(text), "<u4") if text else np.zeros(0, "<u4")
+    ids = np.asarray(_ids(text, path), "<u4") if text else np.zeros(0, "<u4")
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 

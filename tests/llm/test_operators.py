@@ -154,6 +154,17 @@ def test_control_strings_in_texts_are_ordinary_text():
         assert packing.encode(text, path).tolist()[:-1] == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_packing_takes_runs_of_a_million_blanks(blank):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    text = "before <|endoftext|>" + blank * 1_000_000 + "after"
+    assert packing.encode(text, public_tokenizers.path("byte_bpe_50k.tiktoken")).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_column_generation_beats_first_fit_on_a_known_case():
     runs = packing.plan({6: 20, 5: 20, 4: 20, 1: 20}, 16)
     assert sum(n for n, _, _ in runs) == 20  # 6 + 5 + 4 + 1 fill a sequence
