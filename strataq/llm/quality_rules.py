@@ -1,8 +1,9 @@
 """Quality rules with compression bands.
 
 Repetitive text compresses too well and noise too badly. A text's zstandard ratio (compressed bytes over
-bytes) is held against limits for its length, over the whole text and over fixed chunks of it, so a long
-text with one bad stretch is seen too. Word and line rules come before that.
+bytes) is held against limits for its length, over the whole text and over each chunk of it, so a long text
+with one bad stretch is seen too: one bad chunk is enough. What is left after the last full chunk is judged
+with the bytes before it, as the text's last chunk. Word and line rules come before that.
 
 Defined results: a null text has no words and fails the base rules; an empty table gives no rows; repeated
 rows are judged one by one; columns besides ``doc_id`` and ``text`` are ignored.
@@ -37,10 +38,8 @@ class Bands:
     """
 
     whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (256, 0.30, 0.90), (1024, 0.25, 0.80), (4096, 0.22, 0.70), (16384, 0.20, 0.65))
-    chunk: tuple[float, float] = (0.20, 0.80)
+    #: Texts of so many bytes or more are judged by chunks too, each within the limits for its length.
     chunk_bytes: int = 4096
-    #: A text goes when more than this share of its chunks is outside the chunk limits.
-    chunk_share: float = 0.34
     level: int = 3
 
     def limits(self, size: int) -> tuple[float, float]:
@@ -83,6 +82,15 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out | {"n_dup_lines": dup}
 
 
+def chunks(text: memoryview, size: int) -> Iterator[memoryview]:
+    """All full chunks of a text and, if bytes are left over, its last ``size`` bytes; none for a shorter text."""
+    if len(text) >= size:
+        for k in range(0, len(text) - size + 1, size):
+            yield text[k : k + size]
+        if len(text) % size:
+            yield text[-size:]
+
+
 def band_verdicts(texts: pa.Array, bands: Bands) -> dict[str, np.ndarray]:
     """Ratios of each text and of its chunks, and whether they lie within the bands."""
     buf, offsets = flat(texts)
@@ -97,11 +105,11 @@ def band_verdicts(texts: pa.Array, bands: Bands) -> dict[str, np.ndarray]:
         ratio[i] = len(squeeze.compress(text)) / len(text)
         least, most = bands.limits(len(text))
         fine = least <= ratio[i] <= most
-        each = [len(squeeze.compress(c)) / len(c) for c in (text[k : k + bands.chunk_bytes] for k in range(0, len(text), bands.chunk_bytes)) if len(c) == bands.chunk_bytes]
+        each = [len(squeeze.compress(c)) / len(c) for c in chunks(text, bands.chunk_bytes)]
         if each:
             low[i], high[i] = min(each), max(each)
-            bad = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in each)
-            fine &= bad <= bands.chunk_share * len(each)
+            least, most = bands.limits(bands.chunk_bytes)
+            fine &= least <= low[i] and high[i] <= most
         kept[i] = fine
     return {"ratio": ratio, "chunk_low": low, "chunk_high": high, "fine": kept.astype(bool)}
 

@@ -315,6 +315,30 @@ def test_compression_bands_reject_noise_and_repetition(spark):
     assert got == {1: False, 2: False, 3: True}
 
 
+def test_compression_bands_see_one_bad_stretch_anywhere():
+    import base64
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    words = [word() for _ in range(900)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))[:n]
+    noise = lambda n: base64.b64encode(r.randbytes(n)).decode()[:n]
+    loop = ("the very same words again and again " * 200)[:3800]
+    texts = {
+        "noise at the end": (prose(12288) + noise(4000), False),
+        "loop at the end": (prose(4096) + loop, False),
+        "one chunk of noise in sixteen": (prose(20480) + noise(4096) + prose(40960), False),
+        "prose with a rest": (prose(12288 + 1000), True),
+        "prose of whole chunks": (prose(12288), True),
+        "prose below one chunk": (prose(4095), True),
+    }
+    got = quality_rules.band_verdicts(pa.array([t for t, _ in texts.values()]), quality_rules.Bands())
+    assert dict(zip(texts, got["fine"].tolist(), strict=True)) == {k: fine for k, (_, fine) in texts.items()}
+    assert [bool(x == x) for x in got["chunk_low"]] == [True] * 5 + [False]
+
+
 OPERATORS = {
     "ngram_join": ngram_join.ngram_join, "suffix_dedup": suffix_dedup.suffix_dedup, "assignment": sharding.assignment, "pack": packing.pack, "identify": language_id.identify,
     "lm_scores": lm_scoring.lm_scores, "quality_rules": quality_rules.quality_rules,
