@@ -229,6 +229,13 @@ def expand_neighbours(found: DataFrame, chunks: DataFrame, window: int = DEFAULT
     return near.groupBy(*found.columns).agg(text.alias("expanded"))
 
 
+def expand_every(chunks: DataFrame, window: int = DEFAULTS.neighbour_window) -> DataFrame:
+    """Each chunk's (document_id, ordinal) with ``expanded`` as above; contents are shuffled once, however wide the window."""
+    near = W.partitionBy("document_id").orderBy("ordinal").rangeBetween(-window, window)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content")).over(near)), lambda x: x["content"]), "\n\n")
+    return chunks.select("document_id", "ordinal", text.alias("expanded"))
+
+
 def fit_budget(rows: DataFrame, text: str = "text", budget: int = DEFAULTS.budget_tokens) -> DataFrame:
     """The unbroken run of first passages whose tokens fit; the first one always stays."""
     upto = W.partitionBy("question_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0)

@@ -111,6 +111,19 @@ SELECT document_id, 1 AS ordinal, array_to_string(parts[1:3], chr(10) || chr(10)
 """
 
 
+def neighbour_expansion_whole(spark, sf_dir):
+    """Every line of every document, expanded by one line each way."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
+    return R.expand_every(lines)
+
+
+NEIGHBOUR_WHOLE_SQL = """
+WITH l AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS parts FROM documents),
+k AS (SELECT document_id, parts, unnest(range(0, len(parts)))::INT AS ordinal FROM l)
+SELECT document_id, ordinal, array_to_string(parts[greatest(ordinal, 1):ordinal + 2], chr(10) || chr(10)) AS expanded FROM k
+"""
+
+
 def _positions(spark, sf_dir):
     p = passages(spark, sf_dir)
     return R.hybrid(p, questions(spark, sf_dir)).select("question_id", "doc_id", "position", "rrf").join(p.select("doc_id", "text", "embedding"), "doc_id")
@@ -238,14 +251,14 @@ df AS (SELECT lexeme, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT question_id, doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS bm25 FROM tf JOIN df USING (lexeme) JOIN ql USING (lexeme), st GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 40"""
 
-QUERIES = {f.__name__: f for f in (hybrid_search, dense_arm, lexical_arm, identifier_arm, scoped_search, cross_query_rrf, neighbour_expansion, budget_fit, attention_order, mmr_diversify, rerank, rerank_listwise, rerank_text, bm25, cache_probe, scope_key, cache_store_gate, arm_contribution)}
+QUERIES = {f.__name__: f for f in (hybrid_search, dense_arm, lexical_arm, identifier_arm, scoped_search, cross_query_rrf, neighbour_expansion, neighbour_expansion_whole, budget_fit, attention_order, mmr_diversify, rerank, rerank_listwise, rerank_text, bm25, cache_probe, scope_key, cache_store_gate, arm_contribution)}
 ORACLES = {
     "hybrid_search": f"{ALL_SQL} SELECT f.question_id, f.doc_id, source, dense_rank, dense_score, sparse_rank, sparse_score, ident_rank, ident_score, rrf, position FROM fused f JOIN p USING (doc_id)",
     "dense_arm": f"WITH {P_SQL}, {DENSE_SQL} SELECT question_id, doc_id, dense_score, dense_rank FROM dense",
     "lexical_arm": f"WITH {P_SQL}, {LEX_SQL} SELECT question_id, doc_id, sparse_score, sparse_rank FROM sparse",
     "identifier_arm": f"WITH {P_SQL}, {ID_SQL} SELECT question_id, doc_id, ident_score, ident_rank FROM ident",
     "scoped_search": "SELECT 'all' AS scope, count(*) AS n FROM documents UNION ALL SELECT 'some', count(*) FROM documents WHERE doc_id IN (1, 2, 3) UNION ALL SELECT 'none', 0",
-    "cross_query_rrf": CROSS_SQL, "neighbour_expansion": NEIGHBOUR_SQL, "budget_fit": BUDGET_SQL, "attention_order": ATTENTION_SQL,
+    "cross_query_rrf": CROSS_SQL, "neighbour_expansion": NEIGHBOUR_SQL, "neighbour_expansion_whole": NEIGHBOUR_WHOLE_SQL, "budget_fit": BUDGET_SQL, "attention_order": ATTENTION_SQL,
     "rerank": RERANK_SQL, "rerank_listwise": LISTWISE_SQL, "rerank_text": RERANK_TEXT_SQL, "bm25": BM25_SQL, "cache_probe": CACHE_SQL,
     "scope_key": "SELECT source, substring(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)), 1, 32) AS scope_key FROM documents GROUP BY 1",
     "cache_store_gate": CACHE_GATE_SQL, "arm_contribution": ARM_SQL,
