@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -27,6 +28,8 @@ from strataq.functions.vector import cosine
 MOST_BROADCAST = 100_000
 #: Questions in one batch whose vectors or words go to every task.
 MOST_VECTORS = 10_000
+#: Cells of one batch's matrix of words by questions.
+MOST_CELLS = 50_000_000
 
 
 def sent(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -51,12 +54,26 @@ def ranked(rows: DataFrame, score: str, limit: int, rank: str = "rank", key: str
     return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
 
 
-def asked_rows(questions: DataFrame, most: int) -> list:
-    """The questions themselves: a stated set of at most ``most``, which goes to every task."""
-    rows = questions.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} questions at once: ask in blocks")
-    return rows
+def in_blocks(rows: list, most: int) -> list[list]:
+    """Questions are independent, so any number of them is asked in blocks of ``most``; each block goes to every task."""
+    return [rows[k : k + most] for k in range(0, len(rows), most)]
+
+
+def word_blocks(rows: list, most: int, cells: int) -> Iterator[list]:
+    """Blocks whose matrix of words by questions has at most ``cells`` cells (a single question may have more)."""
+    block, words = [], set()
+    for r in rows:
+        if block and (len(block) == most or (len(words) + sum(w not in words for w in r.words)) * (len(block) + 1) > cells):
+            yield block
+            block, words = [], set()
+        block.append(r)
+        words |= set(r.words)
+    if block:
+        yield block
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def best_of_batch(ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, candidates: int) -> pa.RecordBatch:
@@ -78,9 +95,14 @@ def dense_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAU
 
     Exact: each batch of passages is one matrix product with the questions, and only its best rows are shuffled.
     """
-    asked = asked_rows(questions.where("vector is not null").select("question_id", "vector"), MOST_VECTORS)
+    asked = questions.where("vector is not null").select("question_id", "vector").collect()
     if not asked:
         return passages.sparkSession.createDataFrame([], "question_id long, doc_id long, dense_score double, dense_rank int")
+    scored = united([_dense_scores(passages, block, candidates) for block in in_blocks(asked, MOST_VECTORS)])
+    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("dense_score")), "dense_score", candidates, "dense_rank")
+
+
+def _dense_scores(passages: DataFrame, asked: list, candidates: int) -> DataFrame:
     names = np.array([r.question_id for r in asked], np.int64)
     wanted = unit(np.array([r.vector for r in asked], np.float64))
     sent_vectors = passages.sparkSession.sparkContext.broadcast(wanted)
@@ -93,8 +115,7 @@ def dense_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAU
                 held = unit(flat.reshape(part.num_rows, -1))
                 yield best_of_batch(part.column("doc_id").to_numpy(), held @ sent_vectors.value.T, names, candidates)
 
-    scored = passages.where("embedding is not null").select("doc_id", "embedding").mapInArrow(score, "question_id long, doc_id long, score double")
-    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("dense_score")), "dense_score", candidates, "dense_rank")
+    return passages.where("embedding is not null").select("doc_id", "embedding").mapInArrow(score, "question_id long, doc_id long, score double")
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -109,14 +130,21 @@ def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEF
     That is cover density for a pure OR query. In each batch the counts of the questions' words, documents by
     words, are multiplied with the words that each question has, and only the batch's best rows are shuffled.
     """
-    asked = asked_rows(questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words")), MOST_VECTORS)
+    asked = questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words")).collect()
+    lexemes = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    blocks = list(word_blocks(asked, MOST_VECTORS, MOST_CELLS)) or [[]]
+    scored = united([_lexical_scores(lexemes, block, candidates) for block in blocks])
+    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("sparse_score")), "sparse_score", candidates, "sparse_rank")
+
+
+def _lexical_scores(lexemes: DataFrame, asked: list, candidates: int) -> DataFrame:
     vocabulary = sorted({w for r in asked for w in r.words})
     place = {w: i for i, w in enumerate(vocabulary)}
     names = np.array([r.question_id for r in asked], np.int64)
     has = np.zeros((len(vocabulary), len(asked)), np.float32)
     for j, r in enumerate(asked):
         has[[place[w] for w in r.words], j] = 1
-    sent_words = passages.sparkSession.sparkContext.broadcast((vocabulary, has))
+    sent_words = lexemes.sparkSession.sparkContext.broadcast((vocabulary, has))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, matrix = sent_words.value
@@ -133,9 +161,7 @@ def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEF
                 n = (counts.astype(np.float32) @ matrix).astype(np.float64)
                 yield best_of_batch(part.column("doc_id").to_numpy(), np.where(n > 0, n / (n + 10), -2.0), names, candidates)
 
-    lexemes = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
-    scored = lexemes.mapInArrow(score, "question_id long, doc_id long, score double")
-    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("sparse_score")), "sparse_score", candidates, "sparse_rank")
+    return lexemes.mapInArrow(score, "question_id long, doc_id long, score double")
 
 
 def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text") -> DataFrame:
@@ -175,10 +201,9 @@ def identifier_arm(passages: DataFrame, questions: DataFrame, candidates: int =
     """Passages that hold a question's identifiers (2 to 64 characters), by how many."""
     ids = F.filter(F.transform("identifiers", lambda i: F.trim(i)), lambda i: F.length(i).between(2, 64))
     q = questions.select("question_id", F.explode(F.array_distinct(ids)).alias("identifier"))
-    names = [r[0] for r in q.select("identifier").distinct().limit(MOST_BROADCAST + 1).collect()]
-    if len(names) > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} identifiers: ask in blocks of questions")
-    hits = identifier_hits(passages, names, text).join(sent(q), "identifier").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
+    names = [r[0] for r in q.select("identifier").distinct().collect()]
+    found = united([identifier_hits(passages, block, text) for block in in_blocks(names, MOST_BROADCAST) or [[]]])
+    hits = found.join(sent(q), "identifier").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
     return ranked(hits, "ident_score", candidates, "ident_rank")
 
 

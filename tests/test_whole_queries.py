@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
+from strataq.operators import retrieval
 from strataq.plans import catalog
+from strataq.plans.retrieval_queries import passages, questions
 
 MARKER = re.compile(r"[\[［【〔]\s*(\d{1,3})\s*(?:[†‡][^\]］】〕]{0,40})?[\]］】〕]", re.A)
 
@@ -65,3 +67,14 @@ def test_counts_of_whole_answers(spark, sf_dir, documents):
     assert {(r.doc_id, r.n_claims, r.n_cited) for r in got} == {(i, len(cs), sum(bool(m) for _, _, m in cs)) for i, cs in per.items()}
     texts = {r.doc_id: r.normalised for r in catalog.QUERIES["citation_markers_whole"](spark, sf_dir).collect()}
     assert all(texts[r.doc_id].endswith(r.text[-20:]) for r in documents if not MARKER.search(r.text))
+
+
+@pytest.mark.parametrize("arm", ["dense_arm", "lexical_arm", "identifier_arm"])
+def test_questions_beyond_one_block_are_asked_in_more(spark, sf_dir, monkeypatch, arm):
+    p, q = passages(spark, sf_dir), questions(spark, sf_dir)
+    ask = lambda: sorted(tuple(r) for r in getattr(retrieval, arm)(p, q).collect())
+    expected = ask()
+    monkeypatch.setattr(retrieval, "MOST_VECTORS", 7)
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 500, raising=False)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 3)
+    assert expected and ask() == expected
