@@ -1,4 +1,6 @@
-"""Suffix-array dedup by bucket-pointer refinement: removes bytes of strings that start earlier elsewhere.
+"""Dedup of repeated strings by minimizer buckets with hash refinement: removes bytes of strings that start earlier elsewhere.
+
+This stands in for bucket-pointer refinement: no bucket ids of later offsets are sorted on or reused.
 
 A suffix array would sort all positions; here only the order's question is asked, whether a position's first
 ``length`` bytes also start at an earlier one. Positions are put into buckets that are refined step by step,
