@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below ``sf_dir``; any path that Spark's readers open will do."""
@@ -15,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests, laptops) a new local one."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, one on this machine if Spark runs on it alone."""
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strataq-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,17 +32,24 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage like ``checkpoint()`` does, survives lost executors, and leaves a
-    compressed columnar table that later steps can prune.
+    compressed columnar table that later steps can prune. The shuffle files behind it are deleted at once.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written and whose frames are gone.
+def discard(*tables: DataFrame) -> None:
+    """Gives back the space of tables made by :func:`written` of which nothing will be read any more."""
+    for df in tables:
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            df.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
-    Spark removes them once the driver has collected the frames' garbage, which by itself may take very long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def release(spark: SparkSession) -> None:
+    """Nothing is left to do: :func:`written` deletes shuffle files itself."""
