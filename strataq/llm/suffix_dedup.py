@@ -1,27 +1,33 @@
-"""Dedup of repeated strings by minimizer buckets with hash refinement: removes bytes of strings that start earlier elsewhere.
-
-This stands in for bucket-pointer refinement: no bucket ids of later offsets are sorted on or reused.
+"""Dedup of repeated strings by bucket-pointer refinement: removes bytes of strings that start earlier elsewhere.
 
 A suffix array would sort all positions; here only the order's question is asked, whether a position's first
-``length`` bytes also start at an earlier one. Positions are put into buckets that are refined step by step,
-and each step only carries on with buckets that are still open:
-
-1. Each string of ``length`` bytes goes to the bucket of one q-gram in it, the one of the smallest hash (leftmost
-   of equals), so equal strings have it at the same offset. Strings with the same such place are
-   neighbours and one *unit*; a q-gram that occurs once closes all its strings at once.
-2. Buckets are refined by the whole unit (all bytes of its strings). A unit that occurred before is
-   removed whole; in it no single string is looked at again. A bucket whose units are all alike is closed.
-3. What is left are buckets with several different units, at the edges of repeats. The first place of each
-   different unit is refined by the bytes that ``STEP`` neighbouring strings have in common, counted from the q-gram.
-4. Only where those occur more than once are there single strings to be compared.
+``length`` bytes also start at an earlier one. Positions are in buckets whose strings have their first bytes in common.
+A bucket's identifier is a name that equal strings get in every task:
+
+* initial buckets are those of q-grams, named by a hash of their bytes;
+* a bucket of positions that agree in ``w`` bytes is refined by the identifiers of the positions ``w`` later: the pair
+  (identifier here, identifier there) names a bucket of ``2 w`` bytes, and the names made so are used again for the next
+  step (25, 50, 100 bytes). Each text's names are made where the text is; bytes are read for the q-grams only.
+
+Which positions have to be sorted by their buckets is narrowed down, and only buckets that are still open go on:
+
+1. Each string of ``length`` bytes is represented by one q-gram in it, the one of the smallest name (leftmost of
+   equals), so equal strings have it at the same offset. Strings with the same such place are neighbours and one
+   *unit*; a q-gram that occurs once closes the buckets of all its strings at once.
+2. A unit's bucket is named by the identifiers of its first string and of the one ``n - 1`` later, its last. A unit that
+   occurred before is removed whole; in it no single string is looked at again. A q-gram whose units are all alike is done.
+3. What is left are q-grams with several different units, at the edges of repeats. The first place of each
+   different unit is refined by the bucket of the bytes that ``STEP`` neighbouring strings have in common.
+4. Only where those occur more than once are there single strings to be compared, by their full buckets.
 
 First places are grouped minima, combined before the shuffle, and return by equi-joins that adaptive
 execution splits, so neither a passage in a third of all documents nor thousands of copies meet in one task.
-Buckets are told apart by two 64-bit hashes.
+Units are told apart by two 64-bit names, the q-gram's and their own.
 
-Defined results: null texts are empty; texts below ``length`` bytes lose nothing; rows that repeat a doc_id
-are the same place, so none of them is earlier than the other; a null doc_id is no place: such rows lose
-nothing to others and remove nothing; columns besides doc_id and text are ignored; an empty table gives none.
+Defined results: null texts are empty; texts below ``length`` bytes lose nothing; rows that repeat
+a doc_id and a text are the same place, so none of them is earlier than the other; different texts of one doc_id come one
+after the other, by Spark's ``hash`` of the text; a null doc_id is no place: such rows lose nothing to others and remove
+nothing; columns besides doc_id and text are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,17 +38,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strataq.llm.textblocks import blocks, flat, mix
-from strataq.tables import release, written
+from strataq.llm.textblocks import blocks, flat, mix, named
+from strataq.tables import discard, written
 
 LENGTH = 100
-Q = 24
+Q = 25
 STEP = 16
 _PART = 1 << 19
 _P = 0x9E3779B97F4A7C55
+_M = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -57,25 +65,36 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _prefix(part: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[part] * _powers(2 * _PART)[0][: len(part)])])
+def initial_buckets(part: np.ndarray, q: int) -> np.ndarray:
+    """The identifiers of all q-grams of at most two ``_PART`` bytes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[part] * _powers(2 * _PART)[0][: len(part)])])
+    n = len(part) - q + 1
+    return mix((sums[q:] - sums[:n]) * _powers(2 * _PART)[1][:n])
+
 
+def refine(ids: np.ndarray, have: int, width: int) -> np.ndarray:
+    """Identifiers of ``width`` bytes from those of ``have``: pairs with the identifiers of later offsets, again and again."""
+    while have < width:
+        step = min(have, width - have)
+        ids = mix(ids[:-step] * _M + ids[step:])
+        have += step
+    return ids
 
-def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for ascending starts; a range is short (below ``_PART`` bytes)."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = int(np.searchsorted(starts, base + _PART, "left"))
-        sums = _prefix(buf[base : int(ends[i:j].max())])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * _powers(2 * _PART)[1][s] + (e - s).astype(np.uint64))
+
+def bucket_ids(buf: np.ndarray, places: np.ndarray, width: int, q: int) -> np.ndarray:
+    """Identifiers of the ``width`` bytes at ascending places."""
+    out, i = np.empty(len(places), np.uint64), 0
+    while i < len(places):
+        base = int(places[i])
+        j = int(np.searchsorted(places, base + _PART, "left"))
+        part = buf[base : int(places[j - 1]) + width]
+        out[i:j] = refine(initial_buckets(part, q), q, width)[places[i:j] - base]
         i = j
     return out
 
 
-def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each unit: its q-gram's hash and place, the first of its strings and their number (flat places)."""
+def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """For each unit: its q-gram's identifier and place, the first of its strings and their number (flat places), its own identifier."""
     span = length - q + 1  # q-grams of a string
     room = np.zeros(len(buf) + 1, np.int64)  # starts of whole strings
     heads, tails = offsets[:-1], offsets[1:] - length + 1
@@ -88,12 +107,10 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
         last = min(at + _PART, len(buf) - length + 1)
         if last <= at or not valid[at:last].any():
             continue
-        sums = _prefix(buf[at : last + length - 1])
-        n = last - at + span - 1
-        grams = mix((sums[q : q + n] - sums[:n]) * _powers(2 * _PART)[1][:n])
-        key = (grams & ~_LOW) | np.arange(n, dtype=np.uint64)
+        grams = initial_buckets(buf[at : last + length - 1], q)
+        names = refine(grams, q, length)
+        least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         width = 1
-        least = key
         while 2 * width <= span:
             least = np.minimum(least[: len(least) - width], least[width:])
             width *= 2
@@ -107,40 +124,48 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
         first[inner] = ok[inner]
         s = np.flatnonzero(first)
         count = np.add.reduceat(ok.astype(np.int64), s)
-        found.append((grams[place[s]], place[s] + at, s + at, count))
+        found.append((grams[place[s]], place[s] + at, s + at, count, names[s], names[s + count - 1]))
     if not found:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
-    gram, place, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        return z.astype(np.uint64), z, z, z, z.astype(np.uint64)
+    gram, place, start, count, head, tail = (np.concatenate(x) for x in zip(*found, strict=True))
     same = np.zeros(len(place), bool)  # a unit that two parts share
     same[1:] = (place[1:] == place[:-1]) & (start[1:] == start[:-1] + count[:-1])
     keep = np.flatnonzero(~same)
-    return gram[keep], place[keep], start[keep], np.add.reduceat(count, keep) if len(keep) else count
+    n = np.add.reduceat(count, keep) if len(keep) else count
+    tail = tail[np.append(keep[1:], len(same)) - 1]
+    lead = place[keep] - start[keep]
+    own = mix(mix(head[keep] * _M + tail) + (lead * length + n).astype(np.uint64))
+    return gram[keep], place[keep], start[keep], n, own
+
+
+def tag_of(text: Column) -> Column:
+    """Tells the texts of rows that repeat a doc_id apart, and puts them in an order."""
+    return F.hash(text)
 
 
 def find_units(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """gram, unit (hash), doc_id, start (of the first string), n (strings), lead (from start to the q-gram) of every unit."""
+    """gram, unit (identifiers), doc_id, start (of the first string), tag, n (strings), lead (from start to the q-gram) of every unit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 buf, offsets = flat(part.column("text"))
-                gram, place, start, n = units(buf, offsets, length, q)
+                gram, place, start, n, own = units(buf, offsets, length, q)
                 owner = np.searchsorted(offsets, start, "right") - 1
-                whole = mix(range_hashes(buf, start, start + n + length - 1) + (place - start).astype(np.uint64))
-                ids = part.column("doc_id").cast(pa.int64()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), ids, pa.array(start - offsets[owner]), pa.array(n.astype(np.int32)), pa.array((place - start).astype(np.int32))], ["gram", "unit", "doc_id", "start", "n", "lead"])
+                ids, tags = (part.column(c).take(pa.array(owner)) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(own.view(np.int64)), ids, pa.array(start - offsets[owner]), tags, pa.array(n.astype(np.int32)), pa.array((place - start).astype(np.int32))], ["gram", "unit", "doc_id", "start", "tag", "n", "lead"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(scan, "gram long, unit long, doc_id long, start long, n int, lead int")
+    return docs.mapInArrow(scan, "gram long, unit long, doc_id long, start long, tag int, n int, lead int")
 
 
-def refined(docs: DataFrame, open_: DataFrame, length: int, step: int) -> DataFrame:
-    """gram, key (hash), doc_id, start, n, lead of the parts of units (gram, doc_id, start, n, lead).
+def refined(docs: DataFrame, open_: DataFrame, length: int, step: int, q: int) -> DataFrame:
+    """gram, key (identifier), doc_id, start, tag, n, lead of the parts of units (gram, doc_id, start, tag, n, lead).
 
-    A part holds the strings whose distance to the q-gram is in one block of ``step``, and its key is the hash of
+    A part holds the strings whose distance to the q-gram is in one block of ``step``, and its key is the bucket of
     the bytes that all strings of that block have in common. With a step of 1 parts are single strings.
     """
-    asks = open_.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "n", "lead")).alias("asks"))
+    asks = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "start", "n", "lead")).alias("asks"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +175,6 @@ def refined(docs: DataFrame, open_: DataFrame, length: int, step: int) -> DataFr
                 asked, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 gram, begin, n, lead = (asked.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "start", "n", "lead"))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                fits = begin + n + length - 1 <= np.diff(offsets)[owner]  # else it was another row's of this doc_id
-                gram, begin, n, lead, owner = gram[fits], begin[fits], n[fits], lead[fits], owner[fits]
                 low, high = (lead - n + 1) // step, lead // step  # blocks of distances
                 count = high - low + 1
                 each = np.repeat(np.arange(len(n)), count)
@@ -162,42 +185,45 @@ def refined(docs: DataFrame, open_: DataFrame, length: int, step: int) -> DataFr
                 at = place - block * step + offsets[owner[each]]
                 rise = np.argsort(at, kind="stable")
                 key = np.empty(len(at), np.uint64)
-                key[rise] = range_hashes(buf, at[rise], at[rise] + length - step + 1)
+                key[rise] = bucket_ids(buf, at[rise], length - step + 1, q)
                 key = mix(key + block.astype(np.uint64))
-                ids = part.column("doc_id").take(pa.array(owner[each]))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(key.view(np.int64)), ids, pa.array(first), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["gram", "key", "doc_id", "start", "n", "lead"])
+                ids, tags = (part.column(c).take(pa.array(owner[each])) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(key.view(np.int64)), ids, pa.array(first), tags, pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["gram", "key", "doc_id", "start", "tag", "n", "lead"])
 
-    asked = docs.select("doc_id", "text").join(asks, "doc_id")
-    return asked.mapInArrow(scan, "gram long, key long, doc_id long, start long, n int, lead int")
+    return docs.join(asks, ["doc_id", "tag"]).mapInArrow(scan, "gram long, key long, doc_id long, start long, tag int, n int, lead int")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """Rows (doc_id, start, end): byte ranges, perhaps overlapping, that together hold all repeated strings' bytes."""
-    spark = docs.sparkSession
-    place = F.struct("doc_id", "start")
+    """Rows (doc_id, tag, ranges): byte ranges (start, end), perhaps overlapping, that together hold all repeated strings' bytes."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"))
+    place = F.struct("doc_id", "tag", "start")
     # 1. units whose q-gram occurs more than once
     found = find_units(docs, length, q)
     shared = found.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     open_ = written(found.join(shared, "gram", "left_semi"), "units")
-    del found, shared
-    release(spark)
     # 2. the first place of each different unit; later ones are repeated whole
-    firsts = written(open_.groupBy("gram", "unit").agg(F.min(F.struct("doc_id", "start", "n", "lead")).alias("first"), F.count("*").alias("k")), "firsts")
-    later = open_.join(firsts.where("k > 1").select("gram", "unit", F.struct("first.doc_id", "first.start").alias("at")), ["gram", "unit"]).where(place > F.col("at"))
-    whole = written(later.select("doc_id", "start", (F.col("start") + F.col("n") + length - 1).alias("end")), "whole")
-    # 3. buckets with several different units, by what neighbouring strings have in common
+    firsts = written(open_.groupBy("gram", "unit").agg(F.min(F.struct("doc_id", "tag", "start", "n", "lead")).alias("first"), F.count("*").alias("k")), "firsts")
+    later = open_.join(firsts.where("k > 1").select("gram", "unit", F.struct("first.doc_id", "first.tag", "first.start").alias("at")), ["gram", "unit"]).where(place > F.col("at"))
+    whole = written(later.select("doc_id", "tag", "start", (F.col("start") + F.col("n") + length - 1).alias("end")), "whole")
+    discard(open_)
+    # 3. q-grams with several different units, by what neighbouring strings have in common
     mixed = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     edges = written(firsts.join(mixed, "gram", "left_semi").select("gram", "first.*"), "edges")
-    parts = written(refined(docs, edges, length, STEP), "parts")
-    del later, mixed
-    release(spark)
+    discard(firsts)
+    parts = written(refined(docs, edges, length, STEP, q), "parts")
+    discard(edges)
     common = parts.groupBy("gram", "key").agg(F.count("*").alias("k")).where("k > 1").select("gram", "key")
+    some = written(parts.join(common, ["gram", "key"], "left_semi").drop("key"), "some")
+    discard(parts)
     # 4. single strings
-    strings = written(refined(docs, parts.join(common, ["gram", "key"], "left_semi"), length, 1), "strings")
-    release(spark)
+    strings = written(refined(docs, some, length, 1, q), "strings")
+    discard(some)
     known = strings.groupBy("gram", "key").agg(F.min(place).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "key", "at")
-    single = strings.join(known, ["gram", "key"]).where(place > F.col("at")).select("doc_id", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(single)
+    single = strings.join(known, ["gram", "key"]).where(place > F.col("at")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+    ranges = whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = written(ranges, "ranges")
+    discard(whole, strings)
+    return ranges
 
 
 def runs_of(ranges: pa.StructArray) -> np.ndarray:
@@ -223,13 +249,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, text: bool =
 
     With ``text`` also ``kept``, the text left (without parts of characters that a cut fell within), and ``record``, a struct of the row's columns but its text.
     """
-    ranges = repeats(docs, length, q).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    ranges = written(ranges, "ranges")
-    release(docs.sparkSession)
-    others = F.struct(*(c for c in docs.columns if c != "text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    ranges = repeats(docs, length, q)
+    others = F.struct(*(named(docs, c) for c in docs.columns if c != "text"))
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if text:
-        schema += f", kept string, record {docs.select(others.alias('record')).schema[0].dataType.simpleString()}"
+        schema = schema.add("kept", "string").add("record", docs.select(others.alias("record")).schema[0].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +270,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, text: bool =
                     columns |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string()), "record": part.column("record")}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[others.alias("record")] * text)
-    joined = rows.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges", *["record"] * text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"), *[others.alias("record")] * text)
+    joined = rows.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges", *["record"] * text)
     return joined.mapInArrow(apply, schema)

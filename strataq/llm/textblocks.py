@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 
 #: Bytes of text that one block holds; a longer text is a block of its own. Temporary arrays take some 50 times that.
 BLOCK_BYTES = 1 << 20
@@ -23,6 +24,11 @@ _P = np.uint64(0x9E3779B97F4A7C55)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
+def named(df: DataFrame, column: str) -> Column:
+    """The column of just that name, dots and backticks included."""
+    return df["`" + column.replace("`", "``") + "`"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

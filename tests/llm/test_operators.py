@@ -83,21 +83,44 @@ def test_trie_prunes_but_finds_all():
         assert sorted(trie.probe(a, 80)) == [k for k, b in enumerate(sets) if 100 * len(A & set(b.tolist())) >= 80 * len(A | set(b.tolist()))]
 
 
-def test_suffix_dedup_removes_what_starts_earlier(docs, rows):
-    order, seen, expected = sorted({(i, t) for i, t in rows}), set(), set()
-    for i, t in order:
-        raw = (t or "").encode()
+def kept_by_brute_force(spark, rows, length=100):
+    """What suffix_dedup returns: a string goes if it also starts at a smaller (doc_id, tag of the text, start)."""
+    rows = [(i, g, (t or "").encode()) for i, t, g in spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.hash("text")).collect()]
+    first, expected = {}, []
+    for i, g, raw in rows:
+        for p in range(len(raw) - length + 1 if i is not None else 0):
+            s = raw[p : p + length]
+            first[s] = min(first.get(s, (i, g, p)), (i, g, p))
+    for i, g, raw in rows:
         gone = bytearray(len(raw))
-        for p in range(len(raw) - 99):
-            s = raw[p : p + 100]
-            if s in seen:
-                gone[p : p + 100] = b"\x01" * 100
-            seen.add(s)
-        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
-        expected.add((i, len(raw), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        for p in range(len(raw) - length + 1 if i is not None else 0):
+            if first[raw[p : p + length]] < (i, g, p):
+                gone[p : p + length] = b"\x01" * length
+        kept = bytes(c for c, gap in zip(raw, gone, strict=True) if not gap)
+        expected.append((i, len(raw), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(expected, key=str)
+
+
+def test_suffix_dedup_removes_what_starts_earlier(spark, docs, rows):
     got = suffix_dedup.suffix_dedup(docs).collect()
-    assert len(got) == len(rows)
-    assert {tuple(r) for r in got} == expected
+    assert sorted((tuple(r) for r in got), key=str) == kept_by_brute_force(spark, rows)
+
+
+def test_suffix_dedup_of_one_id_with_two_texts(spark, rows):
+    a, b, c = rows[3][1], rows[6][1], rows[9][1]
+    some = [(5, a + b), (5, "x" + b), (3, b[20:]), (7, c + a), (7, c), (None, a), (9, "yy" + a[5:]), (9, a)]
+    df = spark.createDataFrame([(*r, "z") for r in some], "doc_id long, text string, `a.b` string")
+    got = suffix_dedup.suffix_dedup(df, text=True).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == kept_by_brute_force(spark, some)
+    assert {r.record["a.b"] for r in got} == {"z"}
+
+
+def test_suffix_dedup_across_the_parts_of_a_very_long_text(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_400_000))
+    some = [(1, long), (2, long[524_200:524_500] + "#" + long[1_048_500:1_048_700]), (3, long + "!")]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (500, 2), 3: (1_400_000, 1)}
 
 
 def test_sharding_is_gapless_and_grows_into_the_new_shard_only(docs, rows):
