@@ -1,19 +1,24 @@
 """N-gram Jaccard join by prefix trees.
 
 A document's set of word n-grams is kept in one global order: n-grams that very many documents share come last,
-others by hash. Two sets that are similar enough share an n-gram within their first few (the prefix), so
-prefixes find candidates; a trie of the candidates' ordered sets is then traversed with a probe's set, sharing
-the overlap of common beginnings and pruning subtrees whose remaining lengths can't reach the overlap needed.
-
-Sets that are equal are one node from the start. Within the documents of one prefix n-gram not all pairs are tried:
-in rounds, each group's members are held against one hub; whoever is linked by then is one component, and
-groups of one component are done. Only what differs after that is tried in pairs, so a large group of near
-copies costs as many probes as it has members, and no link between different components is lost.
-
-Defined results: empty and null texts have no n-grams and link with nothing; texts of fewer words than n have one
-n-gram, all their words; equal texts link; rows that repeat a doc_id are one document in the links; a null doc_id never
-names a component, and a text that only such rows have links with equal texts only (its component is null); columns
-besides doc_id and text are ignored; an empty table gives an empty result.
+others by hash. Two sets that are similar enough share an n-gram within their first few (the prefix), so n-grams of
+prefixes say which sets have to meet. Where they meet, a trie of their ordered sets is traversed with each of them:
+overlaps of common beginnings are counted once, subtrees whose remaining lengths can't reach the overlap needed are
+pruned, and so are subtrees that hold only sets known to be linked with the probe already.
+
+1. Sets that are equal are one node. How many n-grams a node has in no other's prefix says which sizes a partner
+   can have at most whose prefix ends later.
+2. In two rounds each component (at first each node) goes to one group, that of one n-gram it shares, and one set of each
+   component is put into the group's trie. Near copies share nearly all n-grams, so they meet here; a group of any size
+   is cut into blocks of bounded size, whose components meet in the next round.
+3. N-grams whose nodes are all of one component by then are done. For the others, nodes are held against the other components
+   in the n-gram, not against their members: each pair of components that could still be linked is one trie and its probes,
+   given up at the first link. So every link between different components is found, without pairs of all members.
+
+Defined results: empty and null texts have no n-grams and link with nothing, also where another row of their doc_id does;
+texts of fewer words than n have one n-gram, all their words; equal texts link; rows that repeat a doc_id are one document,
+so what one of them links with the others do; rows with a null doc_id link like others but never name a component, which is null
+if all its rows are such; columns besides doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,24 +26,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.components import components
 from strataq.llm.textblocks import blocks, flat, mix, ngrams, short_hashes, word_hashes, word_spans
-from strataq.tables import release, written
+from strataq.tables import discard, written
 
 WORDS, PERCENT = 5, 80
 #: Common n-grams that go last in the global order: at most so many (8 bytes each when broadcast).
 MOST_COMMON = 1_000_000
-#: Set elements (8 bytes each) of the candidates that one task builds tries from at a time.
+#: Set elements (8 bytes each) that one task builds a trie from at a time.
 GROUP_ITEMS = 1_000_000
-#: Requests for sets that are broadcast to the scan; beyond that they are joined.
+#: Requests for sets (six numbers each) that are broadcast to the scan; beyond that they are joined.
 MOST_REQUESTS = 100_000
-#: Pairs, for each member of a group, that are tried at once; groups are reduced by hubs until so few are left.
-PAIRS_EACH = 30
+#: Rounds in which each component meets one group, before what is left is compared by pairs of components.
+ROUNDS = 2
 _LAST = np.uint64(1 << 63)
 
 
@@ -104,7 +108,7 @@ def common_grams(docs: DataFrame, words: int, most: int = MOST_COMMON) -> np.nda
 
 
 def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (fingerprint) and the prefix of each document's ordered set."""
+    """doc_id, key, n (set size), node (fingerprint) and the prefix of each document's ordered set."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,57 +121,38 @@ def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
                 place = np.arange(len(grams)) - np.repeat(at[:-1], n)
                 prefix = grams[place < np.repeat(keep, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(prefix))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node), lists], ["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(node), lists], ["doc_id", "key", "n", "node", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, node long, prefix array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, key long, n long, node long, prefix array<long>")
 
 
-def requested_sets(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: int) -> DataFrame:
-    """The ordered set of each requested document, once for each of its ``uses`` (slot, a, part, b).
-
-    Few requests are sent to where the texts are; more are joined with them.
-    """
+def sets_for(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: int) -> DataFrame:
+    """``requests`` (key, node, slot, one, other, side) with ``items``, the ordered set of the node, in place of the key."""
     if requests.count() <= MOST_REQUESTS:
         requests = F.broadcast(requests)
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    kept = ["slot", "one", "other", "side", "node"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 grams, at = sets_of(part.column("text"), words)
-                # rows that repeat a doc_id can have another set than the one that is meant
-                meant = fingerprints(grams, at) == part.column("node").to_numpy()
+                # another row with this key can have another set than the one that is meant
+                meant = pa.array(np.flatnonzero(fingerprints(grams, at) == part.column("node").to_numpy()))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ordered(grams, at, sent.value).view(np.int64)))
-                uses = part.column("uses")
-                owner = np.repeat(np.arange(len(uses)), np.diff(uses.offsets.to_numpy()))
-                each = uses.flatten()
-                for k in range(0, len(owner), 1000):
-                    rows = np.arange(k, min(k + 1000, len(owner)))
-                    rows = rows[meant[owner[rows]]]
-                    own = each.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("slot", "a", "part", "b")), lists.take(pa.array(owner[rows]))], ["slot", "a", "part", "b", "items"])
-
-    asked = docs.select("doc_id", "text").join(requests, "doc_id").select("text", "node", "uses")
-    return asked.mapInArrow(build, "slot int, a long, part int, b long, items array<long>")
-
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(meant) for c in kept), lists.take(meant)], [*kept, "items"])
 
-def could_link(na: str, nb: str, shared: str, percent: int) -> Column:
-    """Whether sets of these sizes can be similar if their prefixes share so many n-grams.
-
-    Of the set whose prefix ends first, what lies behind its prefix is all that can still be shared.
-    """
-    a, b = F.col(na), F.col(nb)
-    needed = F.ceil(percent * (a + b) / (100 + percent))
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.col(shared) + F.floor((percent * F.greatest(a, b) + 99) / 100) - 1 >= needed)
+    asked = docs.select("key", "text").join(requests, "key").select("text", *kept)
+    return asked.mapInArrow(build, "slot int, one long, other long, side int, node long, items array<long>")
 
 
 class Trie:
     """A radix tree of ordered sets: each branch holds a run of items that all sets below share at that place."""
 
-    __slots__ = ("below", "ends", "least", "most", "run")
+    __slots__ = ("below", "ends", "least", "most", "run", "whole")
 
     def __init__(self, run: np.ndarray, least: int, most: int):
-        self.run, self.below, self.ends, self.least, self.most = run, {}, [], least, most
+        self.run, self.below, self.ends, self.least, self.most, self.whole = run, {}, [], least, most, None
 
     @classmethod
     def of(cls, sets: list[np.ndarray]) -> Trie:
@@ -195,11 +180,28 @@ class Trie:
                 node, at = branch, at + m
         return root
 
-    def probe(self, items: np.ndarray, percent: int) -> list[int]:
-        """The sets whose intersection with ``items`` is at least ``percent`` of the union."""
-        found, stack = [], [(self, 0, 0, 0)]
+    def one_of(self, groups: Groups) -> int | None:
+        """The group of all sets below, if it is one; what was one group stays one."""
+        found, stack = None, [self]
+        while stack:
+            node = stack.pop()
+            if node.whole is None:
+                stack += node.below.values()
+            for k in node.ends if node.whole is None else (node.whole,):
+                own = groups.of(k)
+                if found is not None and found != own:
+                    return None
+                found = own
+        self.whole = found
+        return found
+
+    def probe(self, items: np.ndarray, percent: int, own: int = -1, groups: Groups | None = None) -> Iterator[int]:
+        """The sets whose intersection with ``items`` is at least ``percent`` of the union; with ``groups`` not those of ``own``'s group."""
+        stack = [(self, 0, 0, 0)]
         while stack:
             node, depth, overlap, used = stack.pop()
+            if groups and node.one_of(groups) == groups.of(own):
+                continue
             if len(node.run):
                 # items up to the run's last one; what of them isn't in the run can't come later
                 upto = int(np.searchsorted(items[used:], node.run[-1], "right")) + used
@@ -212,91 +214,189 @@ class Trie:
             reach = overlap + min(len(items) - used, node.most - depth)
             if (100 + percent) * reach < percent * (len(items) + max(node.least, reach)):
                 continue
-            for k in node.ends:
-                if (100 + percent) * overlap >= percent * (len(items) + depth):
-                    found.append(k)
+            if (100 + percent) * overlap >= percent * (len(items) + depth):
+                yield from node.ends
             stack += [(b, depth, overlap, used) for b in node.below.values()]
-        return found
 
 
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) of ``classes`` (node, doc_id, n) that are similar.
+class Groups:
+    """Which of k sets are linked, by the smallest place in each group."""
+
+    def __init__(self, k: int):
+        self.up = list(range(k))
 
-    b's sets are put into tries and probed with a's. Tries are built from blocks of bounded size: a probe with
-    very many candidates is dealt to several tasks.
+    def of(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        x, y = self.of(x), self.of(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def grouped(sets: list[np.ndarray], percent: int) -> Groups:
+    """The components of sets that are similar."""
+    trie, groups = Trie.of(sets), Groups(len(sets))
+    for k, items in enumerate(sets):
+        for other in trie.probe(items, percent, k, groups):
+            groups.link(k, other)
+    return groups
+
+
+def _by_group(rows: pa.Table) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """((one, other), node, side, sets) of each group of a slot; a set that came twice is there once."""
+    columns = [rows.column(c).to_numpy() for c in ("one", "other", "side", "node")]
+    lists = rows.column("items").combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    again = np.zeros(len(order), bool)
+    again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    order, (one, other, side, node) = order[~again], [c[~again] for c in columns]
+    edges = np.flatnonzero((one[1:] != one[:-1]) | (other[1:] != other[:-1])) + 1
+    for own in np.split(np.arange(len(order)), edges):
+        if len(own):
+            yield (int(one[own[0]]), int(other[own[0]])), node[own], side[own], [values[at[k] : at[k + 1]] for k in order[own]]
+
+
+def largest_partner(n: Column, lone: Column, percent: int) -> Column:
+    """The size up to which another set can be similar to one of ``n`` n-grams if it has ``lone`` of them not."""
+    return F.floor(((n - lone) * (100 + percent) - n * percent) / percent).cast("long")
+
+
+def least_shared(n: Column, m: Column, percent: int) -> Column:
+    """The n-grams that prefixes of similar sets of these sizes share at least.
+
+    Of the set whose prefix ends first, what lies behind its prefix is all that can still be shared.
     """
-    size = classes.select(F.col("node").alias("b"), "n")
-    loads = written(pairs.join(size, "b").groupBy("a").agg(F.sum("n").alias("load")), "loads")
-    groups = int((loads.agg(F.sum("load")).first()[0] or 0) // GROUP_ITEMS) + 1
-    # a probe's candidates are cut into parts; the parts of all probes are dealt to groups
-    parts = loads.select("a", (F.col("load") / GROUP_ITEMS).cast("int").alias("cuts"))
-    slot = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int")
-    held = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts") + 1).cast("int").alias("part"), F.col("b").alias("node"))
-    probes = parts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), "cuts")).alias("part"), F.col("a").alias("node"))
-    uses = held.unionByName(probes).groupBy("node").agg(F.collect_list(F.struct(slot.alias("slot"), "a", "part", "b")).alias("uses"))
-    requests = written(uses.join(classes.where("doc_id is not null").select("node", "doc_id"), "node"), "requests")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
+    return F.ceil(percent * (n + m) / (100 + percent)) - F.floor((percent * F.greatest(n, m) + 99) / 100) + 1
+
+
+def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with their component; n-grams whose nodes are all of one component are left out."""
+    if labels is None:
+        return members.withColumn("component", F.col("node"))
+    at = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
+    return at.join(mixed, "gram", "left_semi")
+
+
+def met_in_groups(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int, turn: int) -> DataFrame:
+    """(component, joined): the components that are linked with others of their group, and the smallest of them."""
+    # the n-gram by which most of what is alike meets: the same choice among the same n-grams
+    routes = written(at.groupBy("component").agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "gram"))["gram"].alias("one")), "routes")
+    rows = routes.join(nodes, routes["component"] == nodes["node"]).select("one", "node", "n", "key")
+    loads = rows.groupBy("one").agg(F.count("*").alias("k"), F.sum("n").alias("load")).where("k > 1").select("one", (F.col("load") / GROUP_ITEMS).cast("int").alias("cuts"), "load")
+    loads = written(loads, "loads")
+    slots = int((loads.agg(F.sum("load")).first()[0] or 0) // GROUP_ITEMS) + 1
+    other = F.pmod(F.xxhash64("node"), F.col("cuts") + 1)  # the block
+    rows = rows.join(loads.select("one", "cuts"), "one").withColumn("other", other)
+    requests = written(rows.select("key", "node", F.pmod(F.xxhash64("one", "other"), F.lit(slots)).cast("int").alias("slot"), "one", "other", F.lit(0).alias("side")), "requests")
+
+    def match(rows: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        for _, node, _, sets in _by_group(rows):
+            groups = grouped(sets, percent)
+            roots = [groups.of(k) for k in range(len(sets))]
+            out += [(int(node[k]), int(node[r])) for k, r in enumerate(roots) if k != r]
+            out += [(int(node[r]), int(node[r])) for r in {r for k, r in enumerate(roots) if k != r}]
+        return pa.table({"component": pa.array([a for a, _ in out], pa.int64()), "joined": pa.array([b for _, b in out], pa.int64())})
+
+    found = written(sets_for(docs, requests, common, words).groupBy("slot").applyInArrow(match, "component long, joined long"), "joined")
+    discard(routes, loads, requests)
+    return found
+
+
+def links_between(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of components that are linked and share an n-gram of ``at``."""
+    there = at.groupBy("gram", F.col("component").alias("partner")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("far"))
+    # of two sets, the one whose prefix ends first lacks all partners for what is in its prefix alone
+    sizes = ((F.col("least") <= F.col("reach")) | (F.col("far") >= F.col("n"))) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
+    near = at.join(there, "gram").where((F.col("component") != F.col("partner")) & sizes)
+    near = near.groupBy("node", "n", "component", "partner").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # prefixes share the fewest n-grams with the smallest or the largest partner there can be
+    low = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    high = F.least("most", F.floor(F.col("n") * 100 / percent))
+    near = near.where((low <= high) & (F.col("shared") >= F.least(least_shared(F.col("n"), low, percent), least_shared(F.col("n"), high, percent))))
+    near = near.select("node", "n", F.least("component", "partner").alias("one"), F.greatest("component", "partner").alias("other"), (F.col("component") > F.col("partner")).cast("int").alias("side"))
+    near = written(near, "near")
+    # a side of any size is cut; each part of one side meets each part of the other
+    loads = near.groupBy("one", "other").agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"load{s}") for s in (0, 1))).where("load0 > 0 and load1 > 0")
+    loads = written(loads.select("one", "other", "load0", "load1", *((F.col(f"load{s}") / GROUP_ITEMS).cast("int").alias(f"cuts{s}") for s in (0, 1))), "loads")
+    slots = int((loads.agg(F.sum(F.col("load0") * (F.col("cuts1") + 1) + F.col("load1") * (F.col("cuts0") + 1))).first()[0] or 0) // GROUP_ITEMS) + 1
+    own, across = (F.when(F.col("side") == s, F.col("cuts0")).otherwise(F.col("cuts1")) for s in (0, 1))
+    rows = near.join(loads, ["one", "other"]).withColumns({"own": F.pmod(F.xxhash64("node"), own + 1), "across": F.explode(F.sequence(F.lit(0), across))})
+    own, across = F.col("own").cast("long"), F.col("across").cast("long")
+    block = F.struct(F.when(F.col("side") == 0, own).otherwise(across).alias("i"), F.when(F.col("side") == 0, across).otherwise(own).alias("j"))
+    slot = F.pmod(F.xxhash64("one", "other", block), F.lit(slots)).cast("int")
+    rows = rows.join(nodes.select("node", "key"), "node").select("key", "node", slot.alias("slot"), "one", "other", "side")
+    requests = written(rows, "requests")
+
+    def match(rows: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        for (a, _), own in rows.groupby(["a", "part"], sort=False):
-            probe, others = own[own.b.isna()], own[own.b.notna()]
-            if len(probe) and len(others):
-                trie = Trie.of([np.asarray(x, np.int64).view(np.uint64) for x in others["items"]])
-                out += [(a, int(others.name.iloc[k])) for k in trie.probe(np.asarray(probe["items"].iloc[0], np.int64).view(np.uint64), percent)]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        for pair, _, side, sets in _by_group(rows):
+            probes, others = ([s for s, own in zip(sets, side, strict=True) if own == k] for k in (0, 1))
+            if probes and others:
+                trie = Trie.of(others)
+                if any(True for items in probes for _ in trie.probe(items, percent)):
+                    out.append(pair)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    # the id as text: pandas would make a nullable long a float
-    sets = requested_sets(docs, requests, common, words).withColumn("name", F.col("b").cast("string"))
-    return sets.groupBy("slot").applyInPandas(match, "a long, b long")
+    found = written(sets_for(docs, requests, common, words).groupBy("slot").applyInArrow(match, "a long, b long"), "links")
+    discard(near, loads, requests)
+    return found
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = 6) -> DataFrame:
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+    doc_id = F.col("doc_id").cast("long")
+    docs = docs.select(doc_id.alias("doc_id"), "text", F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc_id)).alias("key"))
     common = common_grams(docs, words)
     drawn = written(sketches(docs, common, words, percent), "sketches")
-    slim = drawn.select("doc_id", "n", "node")
-    classes = written(slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-
-    # documents that share an n-gram of their prefixes; equal sets are one node
-    rows = drawn.select("node", "n", F.explode("prefix").alias("gram"))
-    ends = rows.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("gram")
-    members = written(rows.join(ends, "gram", "left_semi").dropDuplicates(["gram", "node"]), "members")
-    del rows, ends
-    release(docs.sparkSession)
-    links, labels = None, None
-    for turn in range(rounds + 1):
-        at = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        last = False
-        if turn:  # n-grams whose documents are all of one component are done
-            mixed = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
-            at = written(at.join(mixed, "gram", "left_semi"), "mixed")
-            by = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            rest = by.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not rest:
-                break
-            last = turn == rounds or rest <= PAIRS_EACH * members.count()
-        if last:
-            a, b = (at.select("gram", *(F.col(c).alias(c + t) for c in ("node", "n", "component"))) for t in "ab")
-            found = a.join(b, "gram").where((F.col("componenta") != F.col("componentb")) & (F.col("nodea") < F.col("nodeb")))
-            shared = found.groupBy("nodea", "nodeb", "na", "nb").agg(F.count("*").alias("shared"))
+    slim = written(drawn.select("doc_id", "n", "node"), "sizes")
+    classes = written(drawn.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")), "classes")
+    discard(drawn)
+    nodes = written(classes.drop("prefix"), "nodes")
+
+    # n-grams that several prefixes hold, and how large a partner each node can have
+    rows = classes.select("node", "n", F.explode("prefix").alias("gram"))
+    several = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    held = written(rows.join(several, "gram", "left_semi"), "held")
+    discard(classes)
+    lone = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("shared")
+    reach = held.groupBy("node", "n").agg(F.count("*").alias("shared")).select("node", largest_partner(F.col("n"), lone, percent).alias("reach"))
+    members = written(held.join(reach, "node"), "members")
+    discard(held)
+
+    labels = None
+    for turn in range(ROUNDS):
+        # sets that look as if they had a partner of their own size; all others wait for the pairs of components
+        at = with_components(members.where("reach >= n"), labels)
+        found = met_in_groups(docs, at, nodes, common, words, percent, turn)
+        if labels is None:
+            labels = found.select(F.col("component").alias("node"), F.col("joined").alias("component"))
         else:
-            hubs = at.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("nodea"), F.col("n").alias("na"), F.col("component").alias("componenta"))).alias("hub")).select("gram", "hub.*")
-            found = at.join(hubs, "gram").where(F.col("component") != F.col("componenta")).select("nodea", "na", F.col("node").alias("nodeb"), F.col("n").alias("nb")).distinct()
-            # a hub and a member can share n-grams that have another hub
-            theirs = found.join(members.select(F.col("node").alias("nodeb"), "gram"), "nodeb").join(members.select(F.col("node").alias("nodea"), "gram"), ["nodea", "gram"], "left_semi")
-            shared = theirs.groupBy("nodea", "nodeb", "na", "nb").agg(F.count("*").alias("shared"))
-        pairs = written(shared.where(could_link("na", "nb", "shared", percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), "pairs")
-        del found, shared, at
-        release(docs.sparkSession)
-        new = written(linked(docs, pairs, classes, common, words, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = written(components(links), "labels")
-        release(docs.sparkSession)
-        if last:
-            break
-    own = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = own.join(names, "component").select("node", "component_id")
-    # empty sets have no class: they are their own component
+            moved = labels.join(found, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+            alone = found.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+            labels = written(moved.unionByName(alone), "labels")
+    at = written(with_components(members, labels), "mixed")
+    discard(members)
+    links = links_between(docs, at, nodes, common, words, percent)
+    discard(at)
+
+    # a doc_id with several sets links them
+    labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    shared = written(slim.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("doc_id", "low"), "shared_ids")
+    if shared.count():
+        same = slim.where("n > 0").join(shared, "doc_id").where("node != low").select("node", "low").distinct()
+        ends = labelled.select("node", "component")
+        same = same.join(ends, "node").select("low", F.col("component").alias("a")).join(ends.withColumnRenamed("node", "low"), "low").select("a", F.col("component").alias("b"))
+        links = links.unionByName(same)
+    roots = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    own = written(labelled.join(roots, "component", "left").select("node", "doc_id", F.coalesce("root", "component").alias("root")), "roots")
+    names = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = own.join(names, "root").select("node", "component_id")
+    # empty sets are no node: they are their own component
     out = slim.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
