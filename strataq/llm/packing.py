@@ -31,36 +31,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataq.llm.textblocks import blocks
 from strataq.tables import written
 
 SEQUENCE = 2048
 END_ID = 1
 WIDTH = 8
 #: Pieces for each salt of a length class.
-RANK_GROUP = 100_000
+RANK_GROUP = 10_000
+#: Column generation ends when at most this share of the sequences could still be saved.
+GAP = 1e-4
 
 
 @cache
 def _encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file; control strings in a text are ordinary text."""
-    with open(path, "rb") as lines:
+    """The byte-level BPE of the ranks file beside the tokenizer's own file."""
+    with open(splitext(path)[0] + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
-def _patient(path: str) -> tokenizers.Tokenizer:
-    """The same vocabulary from the tokenizer's own file beside the ranks file: slower, without a limit on backtracking."""
-    whole = tokenizers.Tokenizer.from_file(splitext(path)[0] + ".json")
-    whole.encode_special_tokens = True
-    return whole
+def _tokenizer(path: str) -> tuple[tokenizers.Tokenizer, tuple[str, ...]]:
+    """The tokenizer's own file at its defaults, and the texts of its added tokens."""
+    whole = tokenizers.Tokenizer.from_file(path)
+    return whole, tuple(token.content for token in whole.get_added_tokens_decoder().values())
 
 
 def _ids(text: str, path: str) -> np.ndarray:
-    try:
-        return _encoder(path).encode_to_numpy(text)
-    except ValueError:  # the ranks file's pattern backtracks too far on a run of some million blanks
-        return np.array(_patient(path).encode(text, add_special_tokens=False).ids)
+    """Ids by the tokenizer's own file. The ranks file gives the same ones faster where no added token is in the text."""
+    whole, added = _tokenizer(path)
+    if not any(token in text for token in added):
+        try:
+            return _encoder(path).encode_to_numpy(text)
+        except ValueError:  # its pattern backtracks too far on a run of some million blanks
+            pass
+    return np.array(whole.encode(text, add_special_tokens=False).ids)
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
@@ -70,20 +76,26 @@ def encode(text: str | None, path: str) -> np.ndarray:
 
 
 def cut(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for)."""
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, number (and ids, if asked for).
+
+    ``number`` counts the pieces of a task, so that pieces that are alike can be told apart.
+    """
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py(), tokenizer)
-                for start in range(0, len(ids), length):
-                    own = ids[start : start + length]
-                    rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), *([own.astype(np.int32)] if with_ids else [])))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names[: len(kinds)])
+            for part in blocks(batch):
+                rows: list[tuple] = []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                    ids = encode(text.as_py(), tokenizer)
+                    for start in range(0, len(ids), length):
+                        own = ids[start : start + length]
+                        rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), number, *([own.astype(np.int32)] if with_ids else [])))
+                        number += 1
+                kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names[: len(kinds)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, fields)
 
@@ -111,14 +123,15 @@ def best_pattern(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[f
 def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns of a basis) and how often each is used in the linear program's optimum.
 
-    Revised simplex: the basis starts with one pattern for each size, and pricing adds the best new one.
+    Revised simplex: the basis starts with one pattern for each size, and pricing adds the best new one. With the
+    best price v, no solution is below the present one divided by v, so it ends when v is close enough to 1.
     """
     basis = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1 / (capacity // sizes))
     used = inverse @ demand
     for _ in range(rounds):
         value, pattern = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-9:
+        if value <= 1 + 1e-9 or 1 - 1 / value < GAP:
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
@@ -165,8 +178,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, np.ndarray
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
     """All pieces with their sequence_id and their offset in it."""
     spark = docs.sparkSession
-    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     size = F.ceil(F.col("length") / width).cast("int")
+    # written: the pieces' numbers are those of one run of the tasks
     pieces = written(cut(docs, tokenizer, length, with_ids), "pieces")
     histogram = {r["size"]: r["n"] for r in pieces.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}  # length / width rows at most
     runs, first = [], 0
@@ -178,10 +192,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
         first += n
     places = spark.createDataFrame(runs, "size int, low long, high long, copies long, first long")
     salts = max(1, sum(histogram.values()) // RANK_GROUP)
-    salted = pieces.withColumns({"size": size, "salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))})
+    salted = pieces.withColumns({"size": size, "salt": F.pmod(F.xxhash64("doc_id", "start", "number"), F.lit(salts))})
     before = W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = salted.groupBy("size", "salt").agg(F.count("*").alias("n")).select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("size", "salt").orderBy(F.desc("length"), "doc_id", "start")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("size", "salt").orderBy(F.desc("length"), "doc_id", "start", "number")) - 1)
     ranked = ranked.join(F.broadcast(offsets) if salts * len(histogram) < 100_000 else offsets, ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.withColumnRenamed("size", "own")
     placed = ranked.join(F.broadcast(places), (F.col("own") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
