@@ -6,14 +6,17 @@ prefixes say which sets have to meet. Where they meet, a trie of their ordered s
 overlaps of common beginnings are counted once, subtrees whose remaining lengths can't reach the overlap needed are
 pruned, and so are subtrees that hold only sets known to be linked with the probe already.
 
-1. Sets that are equal are one node. How many n-grams a node has in no other's prefix says which sizes a partner
-   can have at most whose prefix ends later.
+1. Sets that are equal are one node. Of the n-grams with the smallest hashes, a share of all n-grams as large as prefixes
+   are, all occurrences are counted: how many a node has that are in no other set says how large a partner can be, and
+   most texts that only quote others can't have any.
 2. In two rounds each component (at first each node) goes to one group, that of one n-gram it shares, and one set of each
    component is put into the group's trie. Near copies share nearly all n-grams, so they meet here; a group of any size
    is cut into blocks of bounded size, whose components meet in the next round.
-3. N-grams whose nodes are all of one component by then are done. For the others, nodes are held against the other components
-   in the n-gram, not against their members: each pair of components that could still be linked is one trie and its probes,
-   given up at the first link. So every link between different components is found, without pairs of all members.
+3. N-grams whose nodes are all of one component by then are done. By three others of its n-grams each node meets all nodes
+   of other components that chose the same; groups of any size meet block by block.
+4. What shares an n-gram and hasn't met is held against the other components in the n-gram, not against their members: each
+   pair of components that could still be linked is one trie and its probes, given up at the first link. So every link
+   between different components is found, without pairs of all members.
 
 Defined results: empty and null texts have no n-grams and link with nothing, also where another row of their doc_id does;
 texts of fewer words than n have one n-gram, all their words; equal texts link; rows that repeat a doc_id are one document,
@@ -24,6 +27,7 @@ if all its rows are such; columns besides doc_id and text are ignored; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.components import components
-from strataq.llm.textblocks import blocks, flat, mix, ngrams, short_hashes, word_hashes, word_spans
+from strataq.llm.textblocks import blocks, flat, mix, ngrams, short_hashes, sums, word_hashes, word_spans
 from strataq.tables import discard, written
 
 WORDS, PERCENT = 5, 80
@@ -41,8 +45,8 @@ MOST_COMMON = 1_000_000
 GROUP_ITEMS = 1_000_000
 #: Requests for sets (six numbers each) that are broadcast to the scan; beyond that they are joined.
 MOST_REQUESTS = 100_000
-#: Rounds in which each component meets one group, before what is left is compared by pairs of components.
-ROUNDS = 2
+#: Rounds in which each component meets one group; groups in which each node then meets others.
+ROUNDS, MEETINGS = 2, 3
 _LAST = np.uint64(1 << 63)
 
 
@@ -107,8 +111,22 @@ def common_grams(docs: DataFrame, words: int, most: int = MOST_COMMON) -> np.nda
     return np.sort(sums.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def smallest(percent: int) -> int:
+    """The hash below which n-grams are counted in all sets: as many as prefixes have on average."""
+    return (1 << 63) // 100 * (100 - percent)
+
+
+def prefix_size(n: Column, percent: int) -> Column:
+    """The n-grams of which similar sets share one at least."""
+    return n - F.floor((percent * n + 99) / 100) + 1
+
+
 def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, key, n (set size), node (fingerprint) and the prefix of each document's ordered set."""
+    """doc_id, key, n (set size), node (fingerprint), and of each document's ordered set the first n-grams.
+
+    These are its prefix, and at least the ``small`` ones, those that have the smallest hashes and aren't common.
+    """
+    limit = np.uint64(smallest(percent))
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,20 +136,22 @@ def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
                 n, node = np.diff(at), fingerprints(grams, at)
                 grams = ordered(grams, at, sent.value)
                 keep = n - (percent * n + 99) // 100 + (n > 0)
+                small = sums(grams < limit, at)
+                keep = np.maximum(keep, small)
                 place = np.arange(len(grams)) - np.repeat(at[:-1], n)
-                prefix = grams[place < np.repeat(keep, n)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(prefix))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(node), lists], ["doc_id", "key", "n", "node", "prefix"])
+                first = grams[place < np.repeat(keep, n)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(first))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(node), pa.array(small, pa.int64()), lists], ["doc_id", "key", "n", "node", "small", "first"])
 
-    return docs.mapInArrow(sketch, "doc_id long, key long, n long, node long, prefix array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, key long, n long, node long, small long, first array<long>")
 
 
 def sets_for(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: int) -> DataFrame:
-    """``requests`` (key, node, slot, one, other, side) with ``items``, the ordered set of the node, in place of the key."""
+    """``requests`` (key, node, component, slot, one, other, side) with ``items``, the ordered set of the node, in place of the key."""
     if requests.count() <= MOST_REQUESTS:
         requests = F.broadcast(requests)
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    kept = ["slot", "one", "other", "side", "node"]
+    kept = ["slot", "one", "other", "side", "node", "component"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +163,7 @@ def sets_for(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: in
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(meant) for c in kept), lists.take(meant)], [*kept, "items"])
 
     asked = docs.select("key", "text").join(requests, "key").select("text", *kept)
-    return asked.mapInArrow(build, "slot int, one long, other long, side int, node long, items array<long>")
+    return asked.mapInArrow(build, "slot int, one long, other long, side int, node long, component long, items array<long>")
 
 
 class Trie:
@@ -235,33 +255,39 @@ class Groups:
         self.up[max(x, y)] = min(x, y)
 
 
-def grouped(sets: list[np.ndarray], percent: int) -> Groups:
-    """The components of sets that are similar."""
-    trie, groups = Trie.of(sets), Groups(len(sets))
-    for k, items in enumerate(sets):
-        for other in trie.probe(items, percent, k, groups):
+def grouped(sets: list[np.ndarray], percent: int, known: list[int] | None = None, held: int | None = None) -> Groups:
+    """The components of sets that are similar, or whose ``known`` component is the same.
+
+    With ``held`` only the sets behind the first ``held`` ones are compared, and only with these.
+    """
+    trie, groups, first = Trie.of(sets[:held]), Groups(len(sets)), {}
+    for k, own in enumerate(known or ()):
+        groups.link(first.setdefault(own, k), k)
+    for k in range(held or 0, len(sets)):
+        for other in trie.probe(sets[k], percent, k, groups):
             groups.link(k, other)
     return groups
 
 
 def _by_group(rows: pa.Table) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """((one, other), node, side, sets) of each group of a slot; a set that came twice is there once."""
+    """((one, other), component, side, sets) of each group of a slot; a set that came twice is there once."""
     columns = [rows.column(c).to_numpy() for c in ("one", "other", "side", "node")]
+    component = rows.column("component").to_numpy()
     lists = rows.column("items").combine_chunks()
     at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     again = np.zeros(len(order), bool)
     again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
-    order, (one, other, side, node) = order[~again], [c[~again] for c in columns]
+    order, (one, other, side, _) = order[~again], [c[~again] for c in columns]
     edges = np.flatnonzero((one[1:] != one[:-1]) | (other[1:] != other[:-1])) + 1
     for own in np.split(np.arange(len(order)), edges):
         if len(own):
-            yield (int(one[own[0]]), int(other[own[0]])), node[own], side[own], [values[at[k] : at[k + 1]] for k in order[own]]
+            yield (int(one[own[0]]), int(other[own[0]])), component[order[own]], side[own], [values[at[k] : at[k + 1]] for k in order[own]]
 
 
 def largest_partner(n: Column, lone: Column, percent: int) -> Column:
-    """The size up to which another set can be similar to one of ``n`` n-grams if it has ``lone`` of them not."""
+    """The size up to which another set can be similar to one of ``n`` n-grams of which it can't have ``lone``."""
     return F.floor(((n - lone) * (100 + percent) - n * percent) / percent).cast("long")
 
 
@@ -282,17 +308,21 @@ def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return at.join(mixed, "gram", "left_semi")
 
 
+def chosen(turn: int) -> Column:
+    """One of a group's n-grams: the same choice among the same n-grams."""
+    return F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "gram"))["gram"]
+
+
 def met_in_groups(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int, turn: int) -> DataFrame:
     """(component, joined): the components that are linked with others of their group, and the smallest of them."""
-    # the n-gram by which most of what is alike meets: the same choice among the same n-grams
-    routes = written(at.groupBy("component").agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "gram"))["gram"].alias("one")), "routes")
+    routes = written(at.groupBy("component").agg(chosen(turn).alias("one")), "routes")
     rows = routes.join(nodes, routes["component"] == nodes["node"]).select("one", "node", "n", "key")
     loads = rows.groupBy("one").agg(F.count("*").alias("k"), F.sum("n").alias("load")).where("k > 1").select("one", (F.col("load") / GROUP_ITEMS).cast("int").alias("cuts"), "load")
     loads = written(loads, "loads")
     slots = int((loads.agg(F.sum("load")).first()[0] or 0) // GROUP_ITEMS) + 1
     other = F.pmod(F.xxhash64("node"), F.col("cuts") + 1)  # the block
     rows = rows.join(loads.select("one", "cuts"), "one").withColumn("other", other)
-    requests = written(rows.select("key", "node", F.pmod(F.xxhash64("one", "other"), F.lit(slots)).cast("int").alias("slot"), "one", "other", F.lit(0).alias("side")), "requests")
+    requests = written(rows.select("key", "node", F.col("node").alias("component"), F.pmod(F.xxhash64("one", "other"), F.lit(slots)).cast("int").alias("slot"), "one", "other", F.lit(0).alias("side")), "requests")
 
     def match(rows: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
@@ -308,19 +338,64 @@ def met_in_groups(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.n
     return found
 
 
-def links_between(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of components that are linked and share an n-gram of ``at``."""
-    there = at.groupBy("gram", F.col("component").alias("partner")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("far"))
-    # of two sets, the one whose prefix ends first lacks all partners for what is in its prefix alone
-    sizes = ((F.col("least") <= F.col("reach")) | (F.col("far") >= F.col("n"))) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
-    near = at.join(there, "gram").where((F.col("component") != F.col("partner")) & sizes)
+def met_by_blocks(docs: DataFrame, routes: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(a, b): linked components of nodes that have one of ``routes`` (node, component, n, r0, r1, ...) in common.
+
+    Each group's nodes are in blocks, a component too large for one in blocks of its own; all pairs of blocks meet but those of
+    one component.
+    """
+    rows = routes.select("node", "component", "n", F.explode(F.array_distinct(F.array(*(f"r{t}" for t in range(MEETINGS))))).alias("one"))
+    several = rows.groupBy("one").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("one")
+    rows = written(rows.join(several, "one", "left_semi"), "meeting")
+    loads = rows.groupBy("one", "component").agg(F.sum("n").alias("load")).withColumn("cuts", (F.col("load") / GROUP_ITEMS).cast("int"))
+    pool = loads.where("cuts = 0").groupBy("one").agg((F.sum("load") / GROUP_ITEMS).cast("int").alias("pool"))
+    large = written(loads.where("cuts > 0").select("one", "component", "cuts"), "large")
+    at = rows.join(large, ["one", "component"], "left").join(pool, "one", "left")
+    # a block: of one component (owner), or of several small ones (no owner)
+    at = at.select("one", "node", "component", "n", F.when(F.col("cuts").isNotNull(), F.col("component")).alias("owner"), F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("cuts") + 1)).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("pool", F.lit(0)) + 1)).alias("sub"))
+    at = written(at.withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "sub")), "blocks")
+    held = at.groupBy("one", "block").agg(F.first("owner").alias("owner"), F.sum("n").alias("load"))
+    a, b = (held.select("one", *(F.col(c).alias(c + x) for c in ("block", "owner", "load"))) for x in "ab")
+    pairs = a.join(b, "one").where((F.col("blocka") <= F.col("blockb")) & ~F.coalesce(F.col("ownera") == F.col("ownerb"), F.lit(False)))
+    pairs = written(pairs.select("one", "blocka", "blockb", (F.col("loada") + F.col("loadb")).alias("load")), "block_pairs")
+    slots = int((pairs.agg(F.sum("load")).first()[0] or 0) // GROUP_ITEMS) + 1
+    pair = F.xxhash64("blocka", "blockb").alias("other")
+    sides = pairs.select("one", pair, F.col("blocka").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("blocka < blockb").select("one", pair, F.col("blockb").alias("block"), F.lit(1).alias("side")))
+    rows = at.join(sides, ["one", "block"]).join(nodes.select("node", "key"), "node")
+    requests = written(rows.select("key", "node", "component", F.pmod(F.xxhash64("one", "other"), F.lit(slots)).cast("int").alias("slot"), "one", "other", "side"), "requests")
+
+    def match(rows: pa.Table) -> pa.Table:
+        out: set[tuple[int, int]] = set()
+        for _, component, side, sets in _by_group(rows):
+            order = np.argsort(-side, kind="stable")  # the second side is held in the trie, if there is one
+            known = component[order].tolist()
+            groups = grouped([sets[k] for k in order], percent, known, int(side.sum()) or None)
+            found = ((own, known[groups.of(k)]) for k, own in enumerate(known))
+            out |= {(min(pair), max(pair)) for pair in found if pair[0] != pair[1]}
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    found = written(sets_for(docs, requests, common, words).groupBy("slot").applyInArrow(match, "a long, b long").distinct(), "meetings")
+    discard(large, at, pairs, requests)
+    return found
+
+
+def links_between(docs: DataFrame, at: DataFrame, routes: DataFrame, done: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of components that are linked, share an n-gram of ``at``, and neither met by ``routes`` nor are ``done``."""
+    turns = range(MEETINGS)
+    at = at.join(routes.drop("component", "n"), "node", "left")
+    # a partner all of whose nodes in the n-gram chose the same has met those that chose it too
+    same = (F.when((F.min(f"r{t}") == F.max(f"r{t}")) & (F.count(f"r{t}") == F.count("*")), F.min(f"r{t}")).alias(f"all{t}") for t in turns)
+    there = at.groupBy("gram", F.col("component").alias("partner")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("far"), *same)
+    sizes = (F.col("least") <= F.col("reach")) & (F.col("far") >= F.col("n")) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
+    met = reduce(Column.__or__, (F.coalesce(F.col(f"r{t}") == F.col(f"all{u}"), F.lit(False)) for t in turns for u in turns))
+    near = at.join(there, "gram").where((F.col("component") != F.col("partner")) & sizes & ~met)
     near = near.groupBy("node", "n", "component", "partner").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     # prefixes share the fewest n-grams with the smallest or the largest partner there can be
     low = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     high = F.least("most", F.floor(F.col("n") * 100 / percent))
     near = near.where((low <= high) & (F.col("shared") >= F.least(least_shared(F.col("n"), low, percent), least_shared(F.col("n"), high, percent))))
-    near = near.select("node", "n", F.least("component", "partner").alias("one"), F.greatest("component", "partner").alias("other"), (F.col("component") > F.col("partner")).cast("int").alias("side"))
-    near = written(near, "near")
+    near = near.select("node", "n", F.least("component", "partner").alias("one"), F.greatest("component", "partner").alias("other"), "component", (F.col("component") > F.col("partner")).cast("int").alias("side"))
+    near = written(near.join(done.select(F.col("a").alias("one"), F.col("b").alias("other")), ["one", "other"], "left_anti"), "near")
     # a side of any size is cut; each part of one side meets each part of the other
     loads = near.groupBy("one", "other").agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"load{s}") for s in (0, 1))).where("load0 > 0 and load1 > 0")
     loads = written(loads.select("one", "other", "load0", "load1", *((F.col(f"load{s}") / GROUP_ITEMS).cast("int").alias(f"cuts{s}") for s in (0, 1))), "loads")
@@ -330,7 +405,7 @@ def links_between(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.n
     own, across = F.col("own").cast("long"), F.col("across").cast("long")
     block = F.struct(F.when(F.col("side") == 0, own).otherwise(across).alias("i"), F.when(F.col("side") == 0, across).otherwise(own).alias("j"))
     slot = F.pmod(F.xxhash64("one", "other", block), F.lit(slots)).cast("int")
-    rows = rows.join(nodes.select("node", "key"), "node").select("key", "node", slot.alias("slot"), "one", "other", "side")
+    rows = rows.join(nodes.select("node", "key"), "node").select("key", "node", "component", slot.alias("slot"), "one", "other", "side")
     requests = written(rows, "requests")
 
     def match(rows: pa.Table) -> pa.Table:
@@ -355,18 +430,19 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     common = common_grams(docs, words)
     drawn = written(sketches(docs, common, words, percent), "sketches")
     slim = written(drawn.select("doc_id", "n", "node"), "sizes")
-    classes = written(drawn.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")), "classes")
+    classes = written(drawn.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.first("small").alias("small"), F.first("first").alias("first")), "classes")
     discard(drawn)
-    nodes = written(classes.drop("prefix"), "nodes")
+    nodes = written(classes.drop("first"), "nodes")
 
-    # n-grams that several prefixes hold, and how large a partner each node can have
-    rows = classes.select("node", "n", F.explode("prefix").alias("gram"))
+    # n-grams that several nodes hold, and how large a partner each node can have
+    rows = classes.select("node", "n", "small", F.posexplode("first").alias("place", "gram"))
     several = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     held = written(rows.join(several, "gram", "left_semi"), "held")
     discard(classes)
-    lone = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("shared")
-    reach = held.groupBy("node", "n").agg(F.count("*").alias("shared")).select("node", largest_partner(F.col("n"), lone, percent).alias("reach"))
-    members = written(held.join(reach, "node"), "members")
+    own = F.count_if((F.col("gram") >= 0) & (F.col("gram") < smallest(percent)))
+    reach = held.groupBy("node", "n", "small").agg(own.alias("shared")).select("node", "n", largest_partner(F.col("n"), F.col("small") - F.col("shared"), percent).alias("reach"))
+    reach = reach.where(F.col("reach") * 100 >= F.col("n") * percent).select("node", "reach")
+    members = written(held.where(F.col("place") < prefix_size(F.col("n"), percent)).select("node", "n", "gram").join(reach, "node"), "members")
     discard(held)
 
     labels = None
@@ -380,10 +456,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             moved = labels.join(found, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
             alone = found.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
             labels = written(moved.unionByName(alone), "labels")
+    at = with_components(members.where("reach >= n"), labels)
+    routes = written(at.groupBy("node", "component", "n").agg(*(chosen(ROUNDS + t).alias(f"r{t}") for t in range(MEETINGS))), "routes")
+    met = met_by_blocks(docs, routes, nodes, common, words, percent)
     at = written(with_components(members, labels), "mixed")
     discard(members)
-    links = links_between(docs, at, nodes, common, words, percent)
-    discard(at)
+    links = links_between(docs, at, routes, met, nodes, common, words, percent).unionByName(met)
+    discard(at, routes)
 
     # a doc_id with several sets links them
     labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
