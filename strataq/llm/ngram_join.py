@@ -12,8 +12,9 @@ pruned, and so are subtrees that hold only sets known to be linked with the prob
 2. In two rounds each component (at first each node) goes to one group, that of one n-gram it shares, and one set of each
    component is put into the group's trie. Near copies share nearly all n-grams, so they meet here; a group of any size
    is cut into blocks of bounded size, whose components meet in the next round.
-3. N-grams whose nodes are all of one component by then are done. By three others of its n-grams each node meets all nodes
-   of other components that chose the same; groups of any size meet block by block.
+3. N-grams whose nodes are all of one component by then are done. By some of its other n-grams, half of them among those that
+   most components share, each node meets all nodes of other components that chose the same; groups of any size meet
+   block by block.
 4. What shares an n-gram and hasn't met is held against the other components in the n-gram, not against their members: each
    pair of components that could still be linked is one trie and its probes, given up at the first link. So every link
    between different components is found, without pairs of all members.
@@ -46,7 +47,7 @@ GROUP_ITEMS = 1_000_000
 #: Requests for sets (six numbers each) that are broadcast to the scan; beyond that they are joined.
 MOST_REQUESTS = 100_000
 #: Rounds in which each component meets one group; groups in which each node then meets others.
-ROUNDS, MEETINGS = 2, 3
+ROUNDS, MEETINGS = 2, 6
 _LAST = np.uint64(1 << 63)
 
 
@@ -93,10 +94,12 @@ def common_grams(docs: DataFrame, words: int, most: int = MOST_COMMON) -> np.nda
         held: list[np.ndarray] = []
 
         def report() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 4
+            grams = np.concatenate(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["gram", "n"])
+            grams.sort()
+            found = np.unique(grams[3:][grams[3:] == grams[:-3]])  # four times at least
+            n = np.searchsorted(grams, found, "right") - np.searchsorted(grams, found, "left")
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["gram", "n"])
 
         for batch in batches:
             for part in blocks(batch):
@@ -299,18 +302,29 @@ def least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent)) - F.floor((percent * F.greatest(n, m) + 99) / 100) + 1
 
 
-def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``members`` with their component; n-grams whose nodes are all of one component are left out."""
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with their component, at first the node itself."""
     if labels is None:
         return members.withColumn("component", F.col("node"))
-    at = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
-    return at.join(mixed, "gram", "left_semi")
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def chosen(turn: int) -> Column:
-    """One of a group's n-grams: the same choice among the same n-grams."""
-    return F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "gram"))["gram"]
+def mixed(at: DataFrame) -> DataFrame:
+    """``at`` without n-grams whose nodes are all of one component."""
+    ends = at.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
+    return at.join(ends, "gram", "left_semi")
+
+
+def chosen(turn: int, *before: Column) -> Column:
+    """One of a group's n-grams: the same choice among the same n-grams, those that come first by ``before``."""
+    return F.min(F.struct(*before, F.xxhash64("gram", F.lit(turn)).alias("h"), "gram"))["gram"]
+
+
+def meeting_routes(at: DataFrame) -> DataFrame:
+    """(node, component, n, r0, r1, ...): the n-grams by which each node meets others."""
+    several = at.groupBy("gram", "component").agg(F.count("*")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    most = (-F.floor(F.log2("k"))).alias("most")
+    return at.join(several, "gram").groupBy("node", "component", "n").agg(*(chosen(ROUNDS + t, *[most] * (2 * t < MEETINGS)).alias(f"r{t}") for t in range(MEETINGS)))
 
 
 def met_in_groups(docs: DataFrame, at: DataFrame, nodes: DataFrame, common: np.ndarray, words: int, percent: int, turn: int) -> DataFrame:
@@ -448,34 +462,33 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     labels = None
     for turn in range(ROUNDS):
         # sets that look as if they had a partner of their own size; all others wait for the pairs of components
-        at = with_components(members.where("reach >= n"), labels)
-        found = met_in_groups(docs, at, nodes, common, words, percent, turn)
+        at = labelled(members.where("reach >= n"), labels)
+        found = met_in_groups(docs, mixed(at) if turn else at, nodes, common, words, percent, turn)
         if labels is None:
             labels = found.select(F.col("component").alias("node"), F.col("joined").alias("component"))
         else:
             moved = labels.join(found, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
             alone = found.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
             labels = written(moved.unionByName(alone), "labels")
-    at = with_components(members.where("reach >= n"), labels)
-    routes = written(at.groupBy("node", "component", "n").agg(*(chosen(ROUNDS + t).alias(f"r{t}") for t in range(MEETINGS))), "routes")
+    routes = written(meeting_routes(labelled(members.where("reach >= n"), labels)), "routes")
     met = met_by_blocks(docs, routes, nodes, common, words, percent)
-    at = written(with_components(members, labels), "mixed")
+    at = written(mixed(labelled(members, labels)), "mixed")
     discard(members)
     links = links_between(docs, at, routes, met, nodes, common, words, percent).unionByName(met)
     discard(at, routes)
 
     # a doc_id with several sets links them
-    labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     shared = written(slim.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("doc_id", "low"), "shared_ids")
     if shared.count():
         same = slim.where("n > 0").join(shared, "doc_id").where("node != low").select("node", "low").distinct()
-        ends = labelled.select("node", "component")
+        ends = named.select("node", "component")
         same = same.join(ends, "node").select("low", F.col("component").alias("a")).join(ends.withColumnRenamed("node", "low"), "low").select("a", F.col("component").alias("b"))
         links = links.unionByName(same)
     roots = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    own = written(labelled.join(roots, "component", "left").select("node", "doc_id", F.coalesce("root", "component").alias("root")), "roots")
+    own = written(named.join(roots, "component", "left").select("node", "doc_id", F.coalesce("root", "component").alias("root")), "roots")
     names = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = own.join(names, "root").select("node", "component_id")
+    known = own.join(names, "root").select("node", "component_id")
     # empty sets are no node: they are their own component
-    out = slim.join(named, "node", "left")
+    out = slim.join(known, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
