@@ -17,8 +17,9 @@ Which positions have to be sorted by their buckets is narrowed down, and only bu
 2. A unit's bucket is named by the identifiers of its first string and of the one ``n - 1`` later, its last. A unit that
    occurred before is removed whole; in it no single string is looked at again. A q-gram whose units are all alike is done.
 3. What is left are q-grams with several different units, at the edges of repeats. The first place of each
-   different unit is refined by the bucket of the bytes that ``STEP`` neighbouring strings have in common.
-4. Only where those occur more than once are there single strings to be compared, by their full buckets.
+   different unit is cut into parts of up to ``STEP`` neighbouring strings; a part that occurred before is removed whole.
+4. The first place of each different part is refined by the bucket of the bytes that its strings have in common. Only
+   where that occurs more than once are there single strings to be compared, by their full buckets.
 
 First places are grouped minima, combined before the shuffle, and return by equi-joins that adaptive
 execution splits, so neither a passage in a third of all documents nor thousands of copies meet in one task.
@@ -82,18 +83,25 @@ def refine(ids: np.ndarray, have: int, width: int) -> np.ndarray:
 
 
 def bucket_ids(buf: np.ndarray, places: np.ndarray, width: int, q: int) -> np.ndarray:
-    """Identifiers of the ``width`` bytes at ascending places."""
+    """Identifiers of the ``width`` bytes at all places."""
     out, i = np.empty(len(places), np.uint64), 0
+    rise = np.argsort(places, kind="stable")
+    places = places[rise]
     while i < len(places):
         base = int(places[i])
         j = int(np.searchsorted(places, base + _PART, "left"))
         part = buf[base : int(places[j - 1]) + width]
-        out[i:j] = refine(initial_buckets(part, q), q, width)[places[i:j] - base]
+        out[rise[i:j]] = refine(initial_buckets(part, q), q, width)[places[i:j] - base]
         i = j
     return out
 
 
-def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+def run_ids(head: np.ndarray, tail: np.ndarray, lead: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers of ``n`` neighbouring strings by those of the first and of the last one, and by the place of their q-gram."""
+    return mix(mix(head * _M + tail) + (lead * length + n).astype(np.uint64))
+
+
+def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int, named: bool = True) -> tuple[np.ndarray, ...]:
     """For each unit: its q-gram's identifier and place, the first of its strings and their number (flat places), its own identifier."""
     span = length - q + 1  # q-grams of a string
     room = np.zeros(len(buf) + 1, np.int64)  # starts of whole strings
@@ -108,7 +116,7 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
         if last <= at or not valid[at:last].any():
             continue
         grams = initial_buckets(buf[at : last + length - 1], q)
-        names = refine(grams, q, length)
+        names = refine(grams, q, length) if named else grams
         least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while 2 * width <= span:
@@ -134,9 +142,7 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np
     keep = np.flatnonzero(~same)
     n = np.add.reduceat(count, keep) if len(keep) else count
     tail = tail[np.append(keep[1:], len(same)) - 1]
-    lead = place[keep] - start[keep]
-    own = mix(mix(head[keep] * _M + tail) + (lead * length + n).astype(np.uint64))
-    return gram[keep], place[keep], start[keep], n, own
+    return gram[keep], place[keep], start[keep], n, run_ids(head[keep], tail, place[keep] - start[keep], n, length)
 
 
 def tag_of(text: Column) -> Column:
@@ -159,11 +165,23 @@ def find_units(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.mapInArrow(scan, "gram long, unit long, doc_id long, start long, tag int, n int, lead int")
 
 
+def find_grams(docs: DataFrame, length: int, q: int) -> DataFrame:
+    """The gram of every unit alone."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(units(*flat(part.column("text")), length, q, named=False)[0].view(np.int64))], ["gram"])
+
+    return docs.select("text").mapInArrow(scan, "gram long")
+
+
 def refined(docs: DataFrame, open_: DataFrame, length: int, step: int, q: int) -> DataFrame:
-    """gram, key (identifier), doc_id, start, tag, n, lead of the parts of units (gram, doc_id, start, tag, n, lead).
+    """gram, key, own (identifiers), doc_id, start, tag, n, lead of the parts of units (gram, doc_id, start, tag, n, lead).
 
-    A part holds the strings whose distance to the q-gram is in one block of ``step``, and its key is the bucket of
-    the bytes that all strings of that block have in common. With a step of 1 parts are single strings.
+    A part holds the strings whose distance to the q-gram is in one block of ``step``. Its key is the bucket of the
+    bytes that all strings of that block have in common, ``own`` that of its own strings. With a step of 1 parts are
+    single strings.
     """
     asks = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "start", "n", "lead")).alias("asks"))
 
@@ -182,47 +200,60 @@ def refined(docs: DataFrame, open_: DataFrame, length: int, step: int, q: int) -
                 place = (begin + lead)[each]
                 first = np.maximum(begin[each], place - block * step - step + 1)
                 last = np.minimum((begin + n - 1)[each], place - block * step)
-                at = place - block * step + offsets[owner[each]]
-                rise = np.argsort(at, kind="stable")
-                key = np.empty(len(at), np.uint64)
-                key[rise] = bucket_ids(buf, at[rise], length - step + 1, q)
-                key = mix(key + block.astype(np.uint64))
+                base = offsets[owner[each]]
+                key = own = mix(bucket_ids(buf, place - block * step + base, length - step + 1, q) + block.astype(np.uint64))
+                if step > 1:
+                    own = run_ids(*(bucket_ids(buf, x + base, length, q) for x in (first, last)), place - first, last - first + 1, length)
                 ids, tags = (part.column(c).take(pa.array(owner[each])) for c in ("doc_id", "tag"))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(key.view(np.int64)), ids, pa.array(first), tags, pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["gram", "key", "doc_id", "start", "tag", "n", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[each]), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), ids, pa.array(first), tags, pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["gram", "key", "own", "doc_id", "start", "tag", "n", "lead"])
+
+    return docs.join(asks, ["doc_id", "tag"]).mapInArrow(scan, "gram long, key long, own long, doc_id long, start long, tag int, n int, lead int")
+
+
+def _place() -> Column:
+    return F.struct("doc_id", "tag", "start")
 
-    return docs.join(asks, ["doc_id", "tag"]).mapInArrow(scan, "gram long, key long, doc_id long, start long, tag int, n int, lead int")
+
+def several(firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Those keys that more than one row has."""
+    return firsts.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").select(*keys)
+
+
+def first_places(runs: DataFrame, keys: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """The first of the runs that are alike by their keys, and the byte ranges of all others."""
+    firsts = written(runs.groupBy(*keys).agg(F.min(F.struct("doc_id", "tag", "start", "n", "lead")).alias("first"), F.count("*").alias("k")), "firsts")
+    at = firsts.where("k > 1").select(*keys, F.struct("first.doc_id", "first.tag", "first.start").alias("at"))
+    later = runs.join(at, keys).where(_place() > F.col("at"))
+    ranges = written(later.select("doc_id", "tag", "start", (F.col("start") + F.col("n") + length - 1).alias("end")), "whole")
+    return firsts.select(*keys, "first.*"), ranges
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """Rows (doc_id, tag, ranges): byte ranges (start, end), perhaps overlapping, that together hold all repeated strings' bytes."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"))
-    place = F.struct("doc_id", "tag", "start")
     # 1. units whose q-gram occurs more than once
-    found = find_units(docs, length, q)
-    shared = found.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    open_ = written(found.join(shared, "gram", "left_semi"), "units")
+    shared = find_grams(docs, length, q).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    open_ = written(find_units(docs, length, q).join(shared, "gram", "left_semi"), "units")
     # 2. the first place of each different unit; later ones are repeated whole
-    firsts = written(open_.groupBy("gram", "unit").agg(F.min(F.struct("doc_id", "tag", "start", "n", "lead")).alias("first"), F.count("*").alias("k")), "firsts")
-    later = open_.join(firsts.where("k > 1").select("gram", "unit", F.struct("first.doc_id", "first.tag", "first.start").alias("at")), ["gram", "unit"]).where(place > F.col("at"))
-    whole = written(later.select("doc_id", "tag", "start", (F.col("start") + F.col("n") + length - 1).alias("end")), "whole")
+    firsts, whole = first_places(open_, ["gram", "unit"], length)
     discard(open_)
-    # 3. q-grams with several different units, by what neighbouring strings have in common
-    mixed = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    edges = written(firsts.join(mixed, "gram", "left_semi").select("gram", "first.*"), "edges")
+    # 3. q-grams with several different units: the first place of each different part
+    edges = written(firsts.join(several(firsts, ["gram"]), "gram", "left_semi").drop("unit"), "edges")
     discard(firsts)
     parts = written(refined(docs, edges, length, STEP, q), "parts")
     discard(edges)
-    common = parts.groupBy("gram", "key").agg(F.count("*").alias("k")).where("k > 1").select("gram", "key")
-    some = written(parts.join(common, ["gram", "key"], "left_semi").drop("key"), "some")
+    firsts, again = first_places(parts, ["gram", "key", "own"], length)
     discard(parts)
     # 4. single strings
+    some = written(firsts.join(several(firsts, ["gram", "key"]), ["gram", "key"], "left_semi").drop("key", "own"), "some")
+    discard(firsts)
     strings = written(refined(docs, some, length, 1, q), "strings")
     discard(some)
-    known = strings.groupBy("gram", "key").agg(F.min(place).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "key", "at")
-    single = strings.join(known, ["gram", "key"]).where(place > F.col("at")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
-    ranges = whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    known = strings.groupBy("gram", "key").agg(F.min(_place()).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "key", "at")
+    single = strings.join(known, ["gram", "key"]).where(_place() > F.col("at")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+    ranges = whole.unionByName(again).unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     ranges = written(ranges, "ranges")
-    discard(whole, strings)
+    discard(whole, again, strings)
     return ranges
 
 
@@ -247,13 +278,14 @@ def cut_out(raw: bytes, runs: np.ndarray) -> bytes:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
-    With ``text`` also ``kept``, the text left (without parts of characters that a cut fell within), and ``record``, a struct of the row's columns but its text.
+    With ``text`` also ``kept``, the text left (without parts of characters that a cut fell within), ``whole``, the text as it was, and
+    ``record``, a struct of the row's other columns.
     """
     ranges = repeats(docs, length, q)
     others = F.struct(*(named(docs, c) for c in docs.columns if c != "text"))
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if text:
-        schema = schema.add("kept", "string").add("record", docs.select(others.alias("record")).schema[0].dataType)
+        schema = schema.add("kept", "string").add("whole", "string").add("record", docs.select(others.alias("record")).schema[0].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +299,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, text: bool =
                         out[name].append(x)
                 columns = {"doc_id": part.column("doc_id")} | {k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")} | {"kept_sha256": pa.array(out["kept_sha256"], pa.string())}
                 if text:
-                    columns |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string()), "record": part.column("record")}
+                    columns |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string()), "whole": part.column("text"), "record": part.column("record")}
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of(F.col("text")).alias("tag"), *[others.alias("record")] * text)
