@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,21 +28,32 @@ def decide_duplicates(arriving: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def chain_versions(docs: DataFrame) -> DataFrame:
-    """version, supersedes and superseded_by of documents (owner_id, source_uri, title, is_url, document_id).
+    """version, supersedes and superseded_by of documents (owner_id, source_uri, title, is_url, status, document_id).
 
-    One source of one owner; uploads also need the same title, a page may change it.
+    One source of one owner; uploads also need the same title, a page may change it. Only a document that is ready is a
+    version that others follow: one that failed or isn't indexed yet names its predecessor but retires nothing.
     """
     key = [F.coalesce("owner_id", F.lit("")), F.col("source_uri"), F.when(F.col("is_url"), F.lit("")).otherwise(F.col("title"))]
-    w = W.partitionBy(*key).orderBy("document_id")
-    return docs.withColumns({"version": F.row_number().over(w), "supersedes": F.lag("document_id").over(w), "superseded_by": F.lead("document_id").over(w)})
+    before = W.partitionBy(*key).orderBy("document_id").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*key).orderBy("document_id").rowsBetween(1, W.unboundedFollowing)
+    ready = F.when(F.col("status") == "ready", F.col("document_id"))
+    return docs.withColumns({
+        "version": (F.count(ready).over(before) + 1).cast("int"), "supersedes": F.max(ready).over(before),
+        "superseded_by": F.when(F.col("status") == "ready", F.min(ready).over(after)),
+    })
 
 
-def lineage(links: DataFrame, start: DataFrame) -> DataFrame:
+def lineage(links: DataFrame, start: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(root, document_id): all documents that a chain of links (document_id, supersedes) joins with each start.
 
-    Grows by one step either way each round until nothing new appears; each round's result is written.
+    Grows by one step either way each round until nothing new appears; each round's result is written. With ``owners``
+    (document_id, owner_id) a chain never leaves the owner's documents.
     """
-    both = written(links.where("supersedes is not null").select("document_id", F.col("supersedes").alias("other")).unionByName(links.where("supersedes is not null").select(F.col("supersedes").alias("document_id"), F.col("document_id").alias("other"))), "both")
+    links = links.where("supersedes is not null")
+    if owners is not None:
+        mine, theirs = (owners.select(F.col("document_id").alias(k), F.coalesce("owner_id", F.lit("")).alias(f"{k} owner")) for k in ("document_id", "supersedes"))
+        links = links.join(mine, "document_id").join(theirs, "supersedes").where(F.col("document_id owner") == F.col("supersedes owner"))
+    both = written(links.select("document_id", F.col("supersedes").alias("other")).unionByName(links.select(F.col("supersedes").alias("document_id"), F.col("document_id").alias("other"))), "both")
     found = written(start.select(F.col("document_id").alias("root"), "document_id").distinct(), "lineage")
     n = found.count()
     while True:
@@ -92,6 +106,73 @@ def reply_lines(reply: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(number(x), F.trim(F.regexp_extract(x, r"^\s*\d+\s*\|(.*)$", 1)))))
 
 
+def contexts_in_halves(excerpts: DataFrame, ask: Callable[[DataFrame], DataFrame], depth: int = 3) -> DataFrame:
+    """excerpts (group, position, fallback) with ``context``: a model's line for each, else the fallback.
+
+    ``ask(groups)`` gets (group, size) and returns (group, reply). A group whose reply has no usable line is asked again as
+    two halves, ``depth`` times at most; a line that is missing or blank is never another excerpt's.
+    """
+    order = W.partitionBy("group").orderBy("position")
+    open_, done = written(excerpts.withColumns({"n": F.row_number().over(order), "size": F.count("*").over(W.partitionBy("group"))}), "groups"), []
+    for turn in range(depth + 1):
+        replies = ask(open_.select("group", "size").distinct()).select("group", reply_lines(F.coalesce("reply", F.lit(""))).alias("lines"))
+        rows = written(open_.join(replies, "group", "left").withColumn("line", F.try_element_at("lines", "n")), "replies")
+        empty = (F.coalesce(F.size("lines"), F.lit(0)) <= 0) & (F.col("size") > 1) & F.lit(turn < depth)
+        done.append(rows.where(~empty).select(*excerpts.columns, F.coalesce(F.nullif("line", F.lit("")), "fallback").alias("context")))
+        half = F.ceil(F.col("size") / 2)
+        first = F.col("n") <= half
+        name = F.concat(F.col("group").cast("string"), F.when(first, "a").otherwise("b"))
+        rest = rows.where(empty).withColumns({"group": name, "n": F.when(first, F.col("n")).otherwise(F.col("n") - half).cast("int"), "size": F.when(first, half).otherwise(F.col("size") - half)})
+        open_ = written(rest.select(*open_.columns), "groups")
+        if turn < depth and open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def in_halves(items: list, call: Callable[[list], list]) -> list:
+    """``call(items)``; where it fails, both halves are tried by themselves, and an item that fails alone is None."""
+    try:
+        return list(call(items)) if items else []
+    except Exception:  # whatever a model raises
+        if len(items) == 1:
+            return [None]
+        return [*in_halves(items[: len(items) // 2], call), *in_halves(items[len(items) // 2 :], call)]
+
+
+def embed(rows: DataFrame, key: str, call: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """``key`` and its text's vector by a model's ``call``; texts that it always fails on have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [v for k in range(0, len(pdf), batch) for v in in_halves(pdf["text"].iloc[k : k + batch].to_list(), call)]
+            yield pd.DataFrame({key: pdf[key], "vector": pd.Series(found, index=pdf.index, dtype=object)})
+
+    return rows.select(key, "text").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
+
+
+def captured(rows: DataFrame, key: str, column: str, work: Callable[[object], object]) -> DataFrame:
+    """``key``, status and error of each row: an error of ``work`` fails its own row, not the job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, value in zip(pdf[key], pdf[column], strict=True):
+                try:
+                    work(value)
+                    out.append((name, "ready", None))
+                except Exception as e:  # whatever a parser raises
+                    out.append((name, "failed", str(e)[:500]))
+            yield pd.DataFrame(out, columns=[key, "status", "error"])
+
+    return rows.select(key, column).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, status string, error string")
+
+
+def append_chunks(chunks: DataFrame, path: str) -> None:
+    """Appends chunks (document_id, ordinal, content, context, indexed_text, ...) to the table at ``path``, each with its id."""
+    name = F.concat_ws(":", F.col("document_id").cast("string"), F.col("ordinal").cast("string"))
+    chunks.withColumns({"id": name, "context": F.nullif("context", F.lit(""))}).write.mode("append").parquet(path)
+
+
 def indexed_text(context: Column, title: Column, path: Column, content: Column) -> Column:
     """Context, breadcrumb and content by blank lines, empty ones dropped."""
     crumb = T.breadcrumb(T.plain_text(title), F.transform(path, T.plain_text))

@@ -9,6 +9,32 @@ from pyspark.sql import functions as F
 from strataq.config import DEFAULTS
 
 
+def newest(rows: DataFrame, limit: int, time: str = "created_at", key: str = "document_id") -> DataFrame:
+    """The last ``limit`` rows, newest first; equal times by the larger key."""
+    return rows.orderBy(F.desc(time), F.desc(key)).limit(limit)
+
+
+def largest_ready(docs: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` ready documents with the most chunks, and by title among equals."""
+    return docs.where("status = 'ready'").orderBy(F.desc("chunk_count"), "title", "document_id").limit(n)
+
+
+def pending(docs: DataFrame) -> DataFrame:
+    """How many current documents are neither ready nor failed."""
+    return docs.where("superseded_by is null").agg(F.count_if(~F.col("status").isin("ready", "failed")).alias("pending"))
+
+
+def text_chars(messages: Column) -> Column:
+    """The characters of all text parts of messages (parts (type, text))."""
+    return F.aggregate(F.flatten(F.transform(messages, lambda m: F.coalesce(m["parts"], F.array().cast("array<struct<type:string,text:string>>")))), F.lit(0).cast("long"), lambda n, p: n + F.when(p["type"] == "text", F.length(p["text"])).otherwise(0))
+
+
+def finite(value: Column) -> Column:
+    """A number as double; null for what isn't a finite one."""
+    x = value.try_cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
 def list_documents(docs: DataFrame) -> DataFrame:
     """Current documents with whether they are shared and how many versions of their source are older."""
     older = docs.where("superseded_by is not null").groupBy("source_uri", F.coalesce("owner_id", F.lit("")).alias("owner")).agg(F.count("*").alias("prior_versions"))
@@ -68,8 +94,8 @@ def relevant(title: Column, path: Column, labels: Column) -> Column:
     return F.exists(labels, lambda label: where.contains(F.lower(label)))
 
 
-def ir_metrics(ranked: DataFrame, k: int = 3) -> DataFrame:
-    """hit_at_1, hit_rate, mrr and ndcg of each variant from rows variant, question_id, position, is_relevant.
+def per_question(ranked: DataFrame, k: int = 3) -> DataFrame:
+    """hit1, hit, reciprocal rank and ndcg of each variant and question from rows variant, question_id, position, is_relevant.
 
     The ideal order of nDCG is the relevant passages found within k, moved to the top.
     """
@@ -81,8 +107,27 @@ def ir_metrics(ranked: DataFrame, k: int = 3) -> DataFrame:
         F.count_if(F.col("is_relevant") & top).alias("found"),
     )
     ideal = F.when(F.col("found") > 0, F.aggregate(F.sequence(F.lit(1), F.col("found").cast("int")), F.lit(0.0), lambda s, i: s + gain(i)))
-    per = per.withColumn("ndcg", F.when(F.col("found") > 0, F.least(F.lit(1.0), F.col("dcg") / ideal)).otherwise(0.0))
-    return per.groupBy("variant").agg(*(F.round(F.avg(c), 6).alias(n) for c, n in ((F.col("hit1"), "hit_at_1"), (F.col("hit"), "hit_rate"), (F.coalesce(1 / F.col("first"), F.lit(0.0)), "mrr"), (F.col("ndcg"), "ndcg"))), F.count("*").alias("n_questions"))
+    return per.withColumns({"ndcg": F.when(F.col("found") > 0, F.least(F.lit(1.0), F.col("dcg") / ideal)).otherwise(0.0), "reciprocal": F.coalesce(1 / F.col("first"), F.lit(0.0))})
+
+
+def ir_metrics(ranked: DataFrame, k: int = 3) -> DataFrame:
+    """hit_at_1, hit_rate, mrr and ndcg of each variant."""
+    named = {"hit1": "hit_at_1", "hit": "hit_rate", "reciprocal": "mrr", "ndcg": "ndcg"}
+    return per_question(ranked, k).groupBy("variant").agg(*(F.round(F.avg(c), 6).alias(n) for c, n in named.items()), F.count("*").alias("n_questions"))
+
+
+def regressions(ranked: DataFrame, baseline: str, k: int = 3, least: float = 0.01) -> DataFrame:
+    """The questions on which a variant's nDCG is below the baseline's by more than ``least``."""
+    per = per_question(ranked, k).select("variant", "question_id", "ndcg")
+    base = per.where(F.col("variant") == baseline).select("question_id", F.col("ndcg").alias("base"))
+    return per.join(base, "question_id").where(F.col("base") - F.col("ndcg") > least).select("variant", "question_id", F.round("ndcg", 6).alias("ndcg"), F.round("base", 6).alias("base"))
+
+
+def write_record(metrics: DataFrame, path: str, k: int, about: dict[str, str] | None = None) -> None:
+    """An evaluation's result as JSON lines: each variant's scores with k and what it was made with."""
+    made = F.create_map(*(F.lit(x) for pair in (about or {"": ""}).items() for x in pair))
+    scores = F.struct(*(F.col(c) for c in metrics.columns if c != "variant"))
+    metrics.select("variant", F.lit(k).alias("k"), made.alias("models"), scores.alias("scores")).write.mode("overwrite").json(path)
 
 
 def lift(metrics: DataFrame, baseline: str) -> DataFrame:
@@ -98,10 +143,12 @@ def relative_time(seconds: Column, at: Column) -> Column:
     return F.when(seconds < 90, "just now").when(seconds < 3600, unit(60, "m ago")).when(seconds < 86400, unit(3600, "h ago")).when(seconds < 604800, unit(86400, "d ago")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
-def required_keys(stages: DataFrame) -> DataFrame:
-    """Each key that a stage's backend needs, with the stages that need it; local backends need none."""
-    key = F.when(F.col("backend") == "ollama", "OLLAMA_API_KEY").when(F.col("backend") == "google", "GOOGLE_GENERATIVE_AI_API_KEY").when(F.col("backend") == "gateway", "AI_GATEWAY_API_KEY").when(F.col("backend") == "supabase", "SUPABASE_PUBLISHABLE_KEY")
-    return stages.withColumn("key", key).where("key is not null").groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("stage")), ", ").alias("stages"))
+def required_keys(stages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each key that a stage's backend needs, with the stages that need it.
+
+    ``keys`` (backend, key) says which backend needs which; one that isn't there, such as a local one, needs none.
+    """
+    return stages.join(keys, "backend").groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("stage")), ", ").alias("stages"))
 
 
 def trace_summary(spans: DataFrame, stages: list[str]) -> DataFrame:

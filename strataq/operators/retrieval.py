@@ -7,12 +7,12 @@ Spark limits before the shuffle, so what is shuffled is bounded by questions tim
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from strataq.config import DEFAULTS, Settings
 from strataq.functions import text as T
-from strataq.functions.vector import cosine
+from strataq.functions.english import content_words
 
 MOST_BROADCAST = 100_000
 #: Questions in one batch whose vectors or words go to every task.
 MOST_VECTORS = 10_000
-#: Cells of one batch's matrix of words by questions.
-MOST_CELLS = 50_000_000
+#: Cells (8 bytes each) of the matrix of words by questions that goes to every task, and of one batch's documents by words.
+MOST_CELLS, BATCH_CELLS = 5_000_000, 2_000_000
 
 
 def sent(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -124,44 +124,56 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
-def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates, text: str = "text") -> DataFrame:
+def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates, text: str = "text", words: Callable[[Column], Column] = content_words) -> DataFrame:
     """Passages with any of a question's words, by n / (n + 10) for n matching positions.
 
-    That is cover density for a pure OR query. In each batch the counts of the questions' words, documents by
-    words, are multiplied with the words that each question has, and only the batch's best rows are shuffled.
+    That is cover density for a pure OR query. ``words`` makes a text's words: without stop words, or their stems too
+    (:func:`strataq.functions.english.english`).
     """
-    asked = questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words")).collect()
-    lexemes = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
-    blocks = list(word_blocks(asked, MOST_VECTORS, MOST_CELLS)) or [[]]
-    scored = united([_lexical_scores(lexemes, block, candidates) for block in blocks])
+    asked = questions.select("question_id", F.array_distinct(words(F.col("question"))).alias("words"))
+    # which words of a passage are stop words doesn't matter: no question asks for one
+    own = T.lexemes if words is content_words else words
+    return best_lexical(passages.select("doc_id", F.coalesce(own(F.col(text)), F.array().cast("array<string>")).alias("words")), asked, candidates)
+
+
+def best_lexical(held: DataFrame, asked: DataFrame, candidates: int = DEFAULTS.candidates) -> DataFrame:
+    """The lexical arm on the words of passages (doc_id, words) and questions (question_id, words)."""
+    n = lambda counts, _: counts
+    scored = united([_word_scores(held, block, candidates, n, lambda n: n / (n + 10)) for block in word_blocks(asked.collect(), MOST_VECTORS, MOST_CELLS)] or [_word_scores(held, [], candidates, n, n)])
     return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("sparse_score")), "sparse_score", candidates, "sparse_rank")
 
 
-def _lexical_scores(lexemes: DataFrame, asked: list, candidates: int) -> DataFrame:
+def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable, score: Callable, worth: dict[str, float] | None = None) -> DataFrame:
+    """(question_id, doc_id, score): each batch's best for each question.
+
+    The counts of the questions' words, documents by words, are weighted (``weight`` of counts and lengths), multiplied with
+    the words that each question has, each as much as it is ``worth``, and scored; only the batch's best rows are shuffled.
+    """
     vocabulary = sorted({w for r in asked for w in r.words})
     place = {w: i for i, w in enumerate(vocabulary)}
     names = np.array([r.question_id for r in asked], np.int64)
-    has = np.zeros((len(vocabulary), len(asked)), np.float32)
+    has = np.zeros((len(vocabulary), len(asked)))
     for j, r in enumerate(asked):
-        has[[place[w] for w in r.words], j] = 1
-    sent_words = lexemes.sparkSession.sparkContext.broadcast((vocabulary, has))
+        has[[place[w] for w in r.words], j] = [worth.get(w, 0.0) for w in r.words] if worth else 1
+    sent_words = held.sparkSession.sparkContext.broadcast((vocabulary, has))
+    rows = max(1, BATCH_CELLS // max(1, len(vocabulary)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, matrix = sent_words.value
-        known = pa.array(words, pa.string())
+        known, any_of = pa.array(words, pa.string()), (matrix != 0).astype(np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 lists = part.column("words")
-                index = pc.index_in(lists.flatten(), value_set=known)
-                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                index, lengths = pc.index_in(lists.flatten(), value_set=known), np.diff(lists.offsets.to_numpy())
+                owner = np.repeat(np.arange(len(lists)), lengths)
                 hit = index.is_valid().to_numpy(zero_copy_only=False)
                 cells = owner[hit] * len(words) + index.drop_null().to_numpy()
-                counts = np.bincount(cells, minlength=len(lists) * len(words)).reshape(len(lists), len(words))
-                n = (counts.astype(np.float32) @ matrix).astype(np.float64)
-                yield best_of_batch(part.column("doc_id").to_numpy(), np.where(n > 0, n / (n + 10), -2.0), names, candidates)
+                counts = np.bincount(cells, minlength=len(lists) * len(words)).reshape(len(lists), len(words)).astype(np.float64)
+                found = (counts > 0).astype(np.float32) @ any_of > 0
+                yield best_of_batch(part.column("doc_id").to_numpy(), np.where(found, score(weight(counts, lengths[:, None]) @ matrix), -2.0), names, candidates)
 
-    return lexemes.mapInArrow(score, "question_id long, doc_id long, score double")
+    return held.mapInArrow(scan, "question_id long, doc_id long, score double")
 
 
 def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text") -> DataFrame:
@@ -173,6 +185,8 @@ def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "te
     parts = {i: [p for p in re.split("[_%]+", i.lower()) if p] for i in identifiers}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick  # needed by this arm alone
+
         automaton, owners = ahocorasick.Automaton(), defaultdict(set)
         for i, own in parts.items():
             for p in own:
@@ -234,14 +248,15 @@ def hybrid(passages: DataFrame, questions: DataFrame, settings: Settings = DEFAU
 def fuse_queries(rows: DataFrame, rrf_k: int = DEFAULTS.rrf_k) -> DataFrame:
     """Unweighted fusion over sub-queries: rows question_id, query, position, doc_id, rrf, scores.
 
-    A question with a single sub-query keeps its own rrf. ``via`` lists the sub-queries that found a passage.
+    A question with a single sub-query keeps its own rrf. ``via`` lists the sub-queries that found a passage, and ``first_rank`` is
+    the place it had in the first of them.
     """
     single = F.size(F.collect_set("query").over(W.partitionBy("question_id"))) == 1
     fused = rows.withColumn("single", single).groupBy("question_id", "doc_id").agg(
         F.round(F.when(F.first("single"), F.max("rrf")).otherwise(F.sum(1 / (rrf_k + F.col("position")))), 9).alias("rrf"),
         F.array_join(F.array_sort(F.collect_set("query")), "|").alias("via"),
         F.nullif(F.max(F.coalesce("dense_score", F.lit(0.0))), F.lit(0.0)).alias("dense_score"),
-        F.nullif(F.max(F.coalesce("sparse_score", F.lit(0.0))), F.lit(0.0)).alias("sparse_score"),
+        F.nullif(F.max(F.coalesce("sparse_score", F.lit(0.0))), F.lit(0.0)).alias("sparse_score"), F.min_by("position", "query").alias("first_rank"),
     )
     return fused.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("rrf"), "doc_id")))
 
@@ -333,25 +348,64 @@ def rerank_text(title: Column, path: Column, context: Column, content: Column, b
 
 
 def bm25(passages: DataFrame, questions: DataFrame, limit: int = DEFAULTS.candidates, k1: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
-    """BM25 of each question's words; corpus statistics are one row, and counts meet the questions per word."""
-    words = passages.select("doc_id", T.lexemes(F.col(text)).alias("words"))
-    stats = words.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean"))
-    q = questions.select("question_id", F.explode(F.array_distinct(T.lexemes(F.col("question")))).alias("lexeme"))
-    found = words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("lexeme")).join(sent(q.select("lexeme").distinct()), "lexeme", "left_semi")
-    tf = found.groupBy("doc_id", "lexeme").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("lexeme").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = tf.join(df, "lexeme").join(sent(q), "lexeme").crossJoin(F.broadcast(stats)).groupBy("question_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
-    return ranked(scored, "bm25", limit)
+    """BM25 of each question's words: how many passages have each of them is counted first, then batches are scored."""
+    held = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    docs, mean = held.agg(F.count("*"), F.avg(F.size("words"))).first()
+    q = questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words"))
+
+    def weight(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths / max(mean or 0, 1e-9)))
+
+    frames = []
+    for block in word_blocks(q.collect(), MOST_VECTORS, MOST_CELLS):
+        names = held.sparkSession.createDataFrame([(w,) for w in sorted({w for r in block for w in r.words})], "lexeme string")
+        df = held.select(F.explode(F.array_distinct("words")).alias("lexeme")).join(sent(names), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df")).collect()
+        idf = {r.lexeme: math.log(1 + (docs - r.df + 0.5) / (r.df + 0.5)) for r in df}
+        frames.append(_word_scores(held, block, limit, weight, lambda x: x, idf))
+    scored = united(frames or [_word_scores(held, [], limit, weight, lambda x: x)])
+    return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("bm25")), "bm25", limit)
 
 
 def probe_cache(questions: DataFrame, cached: DataFrame, floor: float = DEFAULTS.cache_floor) -> DataFrame:
-    """The nearest cached answer with the same owner, mode and scope, if it is near enough."""
-    same = questions.join(sent(cached), F.expr("owner_id <=> cached_owner") & (F.col("mode") == F.col("cached_mode")) & (F.col("scope_key") == F.col("cached_scope")))
-    scored = same.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("cached_vector")), 6))
+    """The nearest cached answer with the same owner, mode and scope, if it is near enough.
+
+    The questions go to every task in blocks; a batch of answers is one matrix product for each owner, mode and scope in it,
+    and only the batch's nearest answers of each question are shuffled.
+    """
+    group = lambda owner, mode, scope: F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("+"), owner), F.lit("-")), mode, scope)
+    asked = questions.where("vector is not null and mode is not null and scope_key is not null").select("question_id", "vector", group("owner_id", "mode", "scope_key").alias("group"))
+    held = cached.where("cached_vector is not null and cached_mode is not null and cached_scope is not null").select("cached_id", "cached_vector", group("cached_owner", "cached_mode", "cached_scope").alias("group"))
+    frames = [_nearest(held, block) for block in in_blocks(asked.collect(), MOST_VECTORS)]
+    kinds = [questions.schema["question_id"].dataType, cached.schema["cached_id"].dataType]
+    if not frames:
+        return cached.sparkSession.createDataFrame([], "question_id long, cached_id long, similarity double").select(F.col("question_id").cast(kinds[0]), F.col("cached_id").cast(kinds[1]), "similarity")
     best = W.partitionBy("question_id").orderBy(F.desc("similarity"), "cached_id")
-    return scored.withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("similarity") >= floor)).select("question_id", "cached_id", "similarity")
+    scored = united(frames).select(F.col("question_id").cast(kinds[0]), F.col("cached_id").cast(kinds[1]), F.round("similarity", 6).alias("similarity"))
+    return scored.withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("similarity") >= floor)).drop("rn")
+
+
+def _nearest(held: DataFrame, asked: list) -> DataFrame:
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, r in enumerate(asked):
+        places[r.group].append(k)
+    names, wanted = np.array([r.question_id for r in asked], np.int64), unit(np.array([r.vector for r in asked], np.float64))
+    sent_questions = held.sparkSession.sparkContext.broadcast((names, wanted, dict(places)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wanted, places = sent_questions.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                vectors = unit(part.column("cached_vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                ids, groups = part.column("cached_id").cast(pa.int64()).to_numpy(), part.column("group").dictionary_encode()
+                index = groups.indices.to_numpy()
+                for k, name in enumerate(groups.dictionary.to_pylist()):
+                    if own := places.get(name):
+                        rows = np.flatnonzero(index == k)
+                        found = best_of_batch(ids[rows], vectors[rows] @ wanted[own].T, names[own], 1)
+                        yield found.rename_columns(["question_id", "cached_id", "similarity"])
+
+    return held.mapInArrow(scan, "question_id long, cached_id long, similarity double")
 
 
 def scope_key(ids: Column) -> Column:

@@ -25,7 +25,10 @@ DOC = {
 D_SQL = "d AS (SELECT " + ", ".join(f"{e.replace('AS string', 'AS varchar')} AS {n}" for n, e in DOC.items()) + " FROM documents)"
 C_SQL = "c AS (SELECT document_id, (unnest(range(len(ls))))::INT AS ordinal, unnest(ls) AS content, lang FROM (SELECT document_id, lang, string_split(text, chr(10)) AS ls FROM d))"
 N_SQL = "n AS (SELECT document_id, count(*) AS lines FROM c GROUP BY 1)"
-V_SQL = "v AS (SELECT *, row_number() OVER w::INT AS version, lag(document_id) OVER w AS supersedes, lead(document_id) OVER w AS superseded_by FROM d WINDOW w AS (PARTITION BY coalesce(owner_id, ''), source_uri, CASE WHEN is_url THEN '' ELSE title END ORDER BY document_id))"
+_SOURCE = "PARTITION BY coalesce(owner_id, ''), source_uri, CASE WHEN is_url THEN '' ELSE title END ORDER BY document_id ROWS BETWEEN"
+_READY = "CASE WHEN status = 'ready' THEN document_id END"
+V_SQL = f"""v AS (SELECT *, (count({_READY}) OVER b + 1)::INT AS version, max({_READY}) OVER b AS supersedes, CASE WHEN status = 'ready' THEN min({_READY}) OVER a END AS superseded_by
+ FROM d WINDOW b AS ({_SOURCE} UNBOUNDED PRECEDING AND 1 PRECEDING), a AS ({_SOURCE} 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
 
 
 def docs(spark, sf_dir):
@@ -266,7 +269,8 @@ def relative_times(spark, sf_dir):
 
 def required_keys(spark, sf_dir):
     s = table(spark, sf_dir, "nation").select(F.col("n_name").alias("stage"), F.expr("CASE n_nationkey % 5 WHEN 0 THEN 'ollama' WHEN 1 THEN 'google' WHEN 2 THEN 'gateway' WHEN 3 THEN 'supabase' ELSE 'local' END").alias("backend"))
-    return reporting.required_keys(s)
+    keys = spark.createDataFrame([("ollama", "OLLAMA_API_KEY"), ("google", "GOOGLE_GENERATIVE_AI_API_KEY"), ("gateway", "AI_GATEWAY_API_KEY"), ("supabase", "SUPABASE_PUBLISHABLE_KEY")], "backend string, key string")
+    return reporting.required_keys(s, keys)
 
 
 def trace_spans(spark, sf_dir):
@@ -274,27 +278,41 @@ def trace_spans(spark, sf_dir):
     return reporting.trace_summary(e, ["view", "click", "signup", "purchase"])
 
 
-def _streamed(spark, sf_dir, make, name):
-    """A stream over the events table, run to its end into shared storage."""
+def _streamed(spark, sf_dir, make, name, mode="append"):
+    """A stream over the events table, run to its end into shared storage; in complete mode each batch replaces the one before."""
     like = table(spark, sf_dir, "events")
     run, out = uuid.uuid4().hex, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     stream = make(spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    streams.run_once(stream, lambda batch, _: batch.write.mode("append").parquet(out), f"{name}-{run}")
+    streams.run_once(stream, lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(out), f"{name}-{run}", mode)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _at(events):
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def stream_first_seen(spark, sf_dir):
     """The users of each kind of event, by their first one within the watermark."""
-    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(e.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen")
+    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(_at(e).select("ts", "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen")
     return found.groupBy("event_type").agg(F.count("*").alias("n_users"))
 
 
 def request_rates(spark, sf_dir):
-    return streams.request_rates(table(spark, sf_dir, "events"))
+    return _streamed(spark, sf_dir, lambda e: streams.request_rates(_at(e)), "rates", "complete")
 
 
 def event_sessions(spark, sf_dir):
-    return streams.sessions(table(spark, sf_dir, "events"), gap="6 hours")
+    return _streamed(spark, sf_dir, lambda e: streams.sessions(_at(e), gap="6 hours"), "sessions", "complete")
+
+
+def stream_ingest(spark, sf_dir):
+    """A stream of events as arriving documents: each batch is checked for what is stored already and appended."""
+    stored = f"{shared_folder(spark)}/ingested-{uuid.uuid4().hex}"
+    like = table(spark, sf_dir, "events")
+    arriving = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = arriving.select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("checksum"), F.col("event_id").alias("document_id"))
+    streams.ingest(rows, stored, f"ingest-{uuid.uuid4().hex}")
+    return spark.read.schema("checksum string, document_id long").parquet(stored)
 
 
 def _html_sql() -> str:
@@ -363,7 +381,8 @@ SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE 'Section outline:'
         "duplicate_decisions": f"""WITH {D_SQL}, k AS (SELECT sha256(text) AS checksum, coalesce(owner_id, '') AS owner, bool_or(status = 'ready' AND document_id % 3 > 0) AS usable, min(document_id) AS stored_id FROM d WHERE document_id % 2 = 0 GROUP BY ALL)
 SELECT document_id, CASE WHEN stored_id IS NULL THEN 'new' WHEN usable THEN 'duplicate' ELSE 'replace' END AS decision, stored_id FROM d LEFT JOIN k ON checksum = sha256(text) AND owner = coalesce(owner_id, '') WHERE document_id % 2 = 1""",
         "version_chains": f"WITH {D_SQL}, {V_SQL} SELECT document_id, version, supersedes, superseded_by FROM v",
-        "lineage_closure": f"""WITH RECURSIVE {D_SQL}, {V_SQL}, l AS (SELECT document_id AS root, document_id FROM v WHERE superseded_by IS NULL AND supersedes IS NOT NULL UNION SELECT l.root, v.supersedes FROM l JOIN v USING (document_id) WHERE v.supersedes IS NOT NULL) SELECT root, document_id FROM l""",
+        "lineage_closure": f"""WITH RECURSIVE {D_SQL}, {V_SQL}, e AS (SELECT document_id AS x, supersedes AS y FROM v WHERE supersedes IS NOT NULL UNION SELECT supersedes, document_id FROM v WHERE supersedes IS NOT NULL),
+l AS (SELECT document_id AS root, document_id FROM v WHERE superseded_by IS NULL AND supersedes IS NOT NULL UNION SELECT l.root, e.y FROM l JOIN e ON e.x = l.document_id) SELECT root, document_id FROM l""",
         "section_changes": f"""WITH {D_SQL}, {C_SQL},
 o AS (SELECT document_id, ordinal % 5 AS s, trim(regexp_replace(string_agg(content, '' ORDER BY ordinal), '\\s+', ' ', 'g')) AS t FROM c GROUP BY ALL),
 w AS (SELECT document_id, ordinal % 5 AS s, trim(regexp_replace(string_agg(content || CASE WHEN document_id % 3 = 0 AND ordinal % 5 = 1 THEN '!' ELSE '' END, '' ORDER BY ordinal), '\\s+', ' ', 'g')) AS t FROM c WHERE NOT (document_id % 2 = 0 AND ordinal % 5 = 4) GROUP BY ALL),
@@ -410,11 +429,12 @@ UNION ALL SELECT 'fail', 'null_vector', count(*) FROM k WHERE embedding IS NULL"
         "trace_spans": """WITH s AS (SELECT user_id AS trace_id, event_id % 6 AS span_id, arg_max(event_type, event_id) AS stage, round(arg_max(value, event_id), 2) AS ms, min(event_id) AS began FROM events GROUP BY ALL)
 SELECT trace_id, span_id, stage, ms, row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(list_position(['view', 'click', 'signup', 'purchase'], stage), 5), began)::INT AS place, round(ms / greatest(max(ms) OVER (PARTITION BY trace_id), 1e-9), 6) AS share FROM s""",
         "stream_first_seen": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+        "stream_ingest": "SELECT event_type || '/' || user_id AS checksum, min(event_id) AS document_id FROM events GROUP BY 1",
         "request_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
         "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + interval '6' hour THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + interval '6' hour AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     }
 
 
-QUERIES = {f.__name__: f for f in (html_load, markdown_load, pdf_load, pdf_text, titles, private_addresses, sentence_split, chunk_documents, breadcrumbs, boilerplate_sections, balanced_groups, document_briefs, context_replies, duplicate_decisions, version_chains, lineage_closure, section_changes, embed_batches, model_prefixes, ingest_budget, rate_limit, latest_status, upsert_rows, insert_or_ignore, copy_vectors, save_conversations, delete_owned, answer_hits, query_log, merge_metadata, supersede, keep_best, list_documents, searchable_documents, corpus_stats, conversation_list, integrity_report, read_sections, ir_metrics, metric_lift, relative_times, required_keys, trace_spans, stream_first_seen, request_rates, event_sessions)}
+QUERIES = {f.__name__: f for f in (html_load, markdown_load, pdf_load, pdf_text, titles, private_addresses, sentence_split, chunk_documents, breadcrumbs, boilerplate_sections, balanced_groups, document_briefs, context_replies, duplicate_decisions, version_chains, lineage_closure, section_changes, embed_batches, model_prefixes, ingest_budget, rate_limit, latest_status, upsert_rows, insert_or_ignore, copy_vectors, save_conversations, delete_owned, answer_hits, query_log, merge_metadata, supersede, keep_best, list_documents, searchable_documents, corpus_stats, conversation_list, integrity_report, read_sections, ir_metrics, metric_lift, relative_times, required_keys, trace_spans, stream_first_seen, stream_ingest, request_rates, event_sessions)}
 ORACLES = _oracles()

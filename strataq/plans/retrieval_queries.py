@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.functions.english import STOP_WORDS
 from strataq.operators import retrieval as R
+from strataq.operators import search
 from strataq.tables import table
 
 
@@ -34,9 +36,10 @@ DENSE_SQL = """
 ds AS (SELECT question_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector::DOUBLE[]), 6) AS dense_score FROM p, q WHERE embedding IS NOT NULL),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense_score DESC, doc_id)::INT AS dense_rank FROM ds) WHERE dense_rank <= 40)
 """
-LEX_SQL = r"""
-ql AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(question), '\p{L}+|\p{N}+')) AS lexeme FROM q),
-pl AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS lexeme FROM p),
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+LEX_SQL = rf"""
+ql AS (SELECT DISTINCT question_id, lexeme FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '\p{{L}}+|\p{{N}}+')) AS lexeme FROM q) WHERE lexeme NOT IN {STOP_SQL}),
+pl AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+|\p{{N}}+')) AS lexeme FROM p),
 pc AS (SELECT doc_id, lexeme, count(*) AS c FROM pl GROUP BY ALL),
 ls AS (SELECT question_id, doc_id, round(sum(c) / (sum(c) + 10), 6) AS sparse_score FROM ql JOIN pc USING (lexeme) GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sparse_score DESC, doc_id)::INT AS sparse_rank FROM ls) WHERE sparse_rank <= 40)
@@ -94,7 +97,7 @@ CROSS_SQL = f"""WITH {P_SQL}, {DENSE_SQL}, {LEX_SQL},
 u AS (SELECT question_id, 'dense' AS query, dense_rank AS position, doc_id, dense_score, NULL::DOUBLE AS sparse_score FROM dense
       UNION ALL SELECT question_id, 'lexical', sparse_rank, doc_id, NULL, sparse_score FROM sparse WHERE question_id % 5 <> 0),
 f AS (SELECT question_id, doc_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS rrf, string_agg(query, '|' ORDER BY query) AS via,
-        nullif(max(coalesce(dense_score, 0)), 0)::DOUBLE AS dense_score, nullif(max(coalesce(sparse_score, 0)), 0)::DOUBLE AS sparse_score FROM u GROUP BY ALL)
+        nullif(max(coalesce(dense_score, 0)), 0)::DOUBLE AS dense_score, nullif(max(coalesce(sparse_score, 0)), 0)::DOUBLE AS sparse_score, arg_min(position, query) AS first_rank FROM u GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, doc_id)::INT AS position FROM f"""
 
 
@@ -224,7 +227,8 @@ def cache_store_gate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     per = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.max_by("text", "turn").alias("answer"))
     cites = F.size(F.regexp_extract_all(F.col("answer"), F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
-    return per.where((F.col("asked") == 1) & (F.trim("answer") != "") & (cites >= 1)).select("conv_id", cites.alias("citations"))
+    answers = per.select("conv_id", "answer", cites.alias("citations"), F.col("asked").alias("turns"), F.array("conv_id").alias("scope_ids"))
+    return search.may_store(answers).select("conv_id", "citations")
 
 
 CACHE_GATE_SQL = r"""
@@ -235,8 +239,8 @@ SELECT conv_id, len(regexp_extract_all(answer, '\p{Lu}\p{L}+'))::INT AS citation
 
 def arm_contribution(spark, sf_dir):
     rows = R.hybrid(passages(spark, sf_dir), questions(spark, sf_dir))
-    d, s = (F.coalesce(1 / (60 + F.col(f"{a}_rank")), F.lit(0.0)) for a in ("dense", "sparse"))
-    return rows.where(d + s > 0).select("question_id", "doc_id", F.round(d / (d + s), 6).alias("dense_share"))
+    share = search.dense_share(F.col("dense_rank"), F.col("sparse_rank"))
+    return rows.select("question_id", "doc_id", share.alias("dense_share")).where("dense_share is not null")
 
 
 ARM_SQL = f"""{ALL_SQL}, c AS (SELECT question_id, doc_id, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS d, coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS s FROM fused)

@@ -92,11 +92,26 @@ def markdown(raw: Column, filename: Column) -> Column:
     return F.struct(F.coalesce(F.nullif(fields["title"], F.lit("")), T.title_of(filename, text)).alias("title"), text.alias("text"), fields.alias("metadata"))
 
 
+def by_content_type(fetched: DataFrame) -> DataFrame:
+    """url, format, title and text of fetched pages (url, content_type, content): the loader that the type, or else the name, asks for.
+
+    Formats that need an extractor (PDF, Word) have no text here; a page that wasn't fetched is no row.
+    """
+    name = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]*)$", 1)
+    rows = fetched.where("content is not null").withColumns({"name": name, "raw": F.decode("content", "utf-8")})
+    rows = rows.withColumn("format", format_of(F.when(F.trim(F.coalesce("content_type", F.lit(""))) == "", F.col("name")).otherwise(""), F.lower("content_type")))
+    page, md = html(F.col("raw")), markdown(F.col("raw"), F.col("name"))
+    pick = lambda field, plain: F.when(F.col("format") == "html", page[field]).when(F.col("format") == "markdown", md[field]).when(F.col("format") == "text", plain)
+    return rows.select("url", "format", F.coalesce(F.nullif(pick("title", T.title_of(F.col("name"), F.col("raw"))), F.lit("")), F.col("url")).alias("title"), pick("text", F.col("raw")).alias("text"))
+
+
 def pages(parts: Column) -> Column:
     """text and page_breaks of extracted pages: each is cleaned, and starts two characters after the one before."""
     clean = F.transform(parts, T.pdf_text)
-    starts = F.transform(F.sequence(F.lit(1), F.size(clean)), lambda i: F.aggregate(F.slice(clean, F.lit(1), i - 1), F.lit(0), lambda s, p: s + F.length(p) + 2))
-    return F.struct(F.array_join(clean, "\n\n").alias("text"), F.when(F.size(clean) > 0, starts).otherwise(F.array().cast("array<int>")).alias("page_breaks"))
+    # one pass: the place after the last page so far goes along
+    begun = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(clean, begun, lambda s, p: F.struct((s["upto"] + F.length(p) + 2).alias("upto"), F.concat(s["starts"], F.array(s["upto"])).alias("starts")), lambda s: s["starts"])
+    return F.struct(F.array_join(clean, "\n\n").alias("text"), starts.alias("page_breaks"))
 
 
 def page_of(breaks: Column, start: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.operators.dml import insert_ignore
 from strataq.tables import shared_folder
 
 
@@ -30,6 +31,22 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def ingest(arriving: DataFrame, path: str, name: str) -> None:
+    """Appends arriving documents (checksum, document_id, ...) whose checksum isn't stored at ``path`` yet, batch by batch.
+
+    Of equal ones in a batch the smallest document_id stays. A batch that is run again finds its own rows stored.
+    """
+
+    def store(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("checksum").agg(F.min_by(F.struct(*batch.columns), "document_id").alias("row")).select("row.*")
+        spark.createDataFrame([], batch.schema).write.mode("append").parquet(path)  # so that there is a table to look into
+        known = spark.read.schema(batch.schema).parquet(path)
+        insert_ignore(known, first, "checksum").write.mode("append").parquet(path)
+
+    run_once(arriving, store, name)
+
+
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
     """Processes what is there in micro-batches and stops; restarts go on from the checkpoint."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{name}").trigger(availableNow=True).foreachBatch(sink).start()
