@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all
-but the last return the columns of documents. :func:`run` writes each stage's result to shared storage, as the
+but the last return the columns of documents, whatever their names. A row with a null doc_id can't be named as a copy
+or as a leak and stays; a null text has no letter, so language ID drops it. :func:`run` writes each stage's result to shared storage, as the
 next one's input, so a lost executor costs at most part of one stage.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import decontamination, language_id, ngram_join, packing, suffix_dedup
-from strataq.tables import table, written
+from strataq.tables import discard, table, written
 
 #: Cosine with the best language below which a text counts as none of them.
 MIN_SCORE = 0.03
@@ -21,8 +22,8 @@ MOST_BROADCAST = 200_000
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` but those whose doc_id is in ``dropped``; a null doc_id stays."""
-    dropped = written(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = written(dropped.select(F.col("doc_id").alias("dropped doc_id")).distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, docs["doc_id"] == dropped["dropped doc_id"], "left_anti")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cuts out bytes that repeat earlier ones; a document of which nothing is left but white space goes."""
     done = suffix_dedup.suffix_dedup(docs, text=True)
     left = F.col("kept")
-    columns = [left.alias(c) if c == "text" else F.length(left).cast("long").alias(c) if c == "n_chars" else F.col(f"record.{c}").alias(c) for c in docs.columns]
-    return done.where((F.col("n_removed") == 0) | (F.regexp_replace(left, r"\s+", "") != "")).select(*columns)
+    cut = F.col("n_removed") > 0
+    columns = {c: F.col("record")[c] for c in docs.columns if c != "text"}
+    columns |= {"text": F.when(cut, left).otherwise(F.col("whole"))}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(cut, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return done.where(~cut | (F.regexp_replace(left, r"\s+", "") != "")).select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +64,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", languages), ("ngram_join", near_duplicates), ("suffix_dedup", repeated_passages), ("decontamination", benchmark_leaks), ("packing", packed)]
 
-#: SQL can express neither the language profiles nor the tokens; tests/llm holds each stage against brute force.
+#: SQL can express neither the language profiles nor the tokens; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
