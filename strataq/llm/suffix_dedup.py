@@ -49,6 +49,8 @@ from strataq.tables import discard, written
 LENGTH = 100
 Q = 25
 STEP = 16
+#: Bytes of text whose parts are made at a time; there can be one for each byte.
+ASKED_BYTES = 1 << 18
 _PART = 1 << 19
 _P = 0x9E3779B97F4A7C55
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -187,7 +189,7 @@ def refined(docs: DataFrame, open_: DataFrame, length: int, step: int, q: int) -
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=ASKED_BYTES):
                 buf, offsets = flat(part.column("text"))
                 lists = part.column("asks")
                 asked, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
