@@ -6,19 +6,25 @@ words are hash-joined with the benchmark's windows. For each document, item and
 in the slots are compared: the same value of the item must stand for one value of the document throughout.
 A pair is reported if enough of the item is covered by consistent windows.
 
-Windows of the benchmark that are nearly all placeholders are left out, since they say nothing. The benchmark is broadcast
-up to ``MOST_BROADCAST`` windows; a larger one is joined by a shuffle of each document's distinct windows.
+A template with fewer than ``LITERALS`` plain words says too little (nouns are capitalised in German, tables are all
+numbers): such windows are joined by their words as they stand. So are items of fewer words than a window, as a whole.
+The benchmark is broadcast in blocks of at most ``MOST_BROADCAST`` windows, each with a pass over the documents.
 
-Defined results: null and empty texts match nothing; items with fewer words than a window can't be found;
+Defined results: null and empty texts match nothing; items of fewer than ``shortest`` words say too little on their own
+and are not looked for; as capital letters make names, a text in capitals throughout meets items by what is plain in both;
 rows that repeat a doc_id or an item_id are taken together; null ids match nothing; columns besides the ids and
 texts are ignored; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.tables import written
+
 WINDOW = 8
 LITERALS = 4
 MOST_BROADCAST = 500_000
@@ -47,48 +53,63 @@ def canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(rows: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, at, h): a 64-bit hash of each whole window of ``canon``; ``at`` counts words from 0.
+def windows(rows: DataFrame, key: str, window: int, shorter: list[int]) -> DataFrame:
+    """(key, at, h): a 64-bit hash of each window of ``canon``, and of each of ``shorter`` words; ``at`` counts words from 0.
 
     Doubling: a window of 2k is one of k and the one k places later, so few steps make a long window. Each
     step is a column of its own, since an expression that is used twice would be computed twice.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    rows, k = rows.select(key, F.transform("canon", lambda w: F.xxhash64(w)).alias("h1")), 1
+    rows = rows.select(key, "words", F.transform("canon", lambda w: F.xxhash64(w)).alias("h"), F.transform("canon", lambda w: F.when(w.startswith("#"), 0).otherwise(1)).alias("plain"))
+    k = 1
     while k < window:
-        own = F.col(f"h{k}")
-        whole = F.greatest(F.size(own) - k, F.lit(0))
-        rows = rows.select(key, F.zip_with(F.slice(own, F.lit(1), whole), F.slice(own, F.lit(k + 1), whole), lambda a, b: F.xxhash64(a, b)).alias(f"h{2 * k}"))
+        whole = F.greatest(F.size("h") - k, F.lit(0))
+        here, later = (lambda c: F.slice(c, F.lit(1), whole)), (lambda c: F.slice(c, F.lit(k + 1), whole))
+        rows = rows.select(key, "words", F.zip_with(here("h"), later("h"), lambda a, b: F.xxhash64(a, b)).alias("h"), F.zip_with(here("plain"), later("plain"), lambda a, b: a + b).alias("plain"))
         k *= 2
+    as_they_stand = lambda i, n: F.xxhash64(F.lit(n), F.lower(F.array_join(F.slice("words", i + 1, n), " ")))
+    own = F.transform("h", lambda h, i: F.struct(i.alias("at"), F.when(F.get("plain", i) >= LITERALS, h).otherwise(as_they_stand(i, window)).alias("h")))
+
+    def whole(n: int) -> Column:
+        places = F.sequence(F.lit(0), F.size("words") - n)
+        return F.when(F.size("words") >= n, F.transform(places, lambda i: F.struct(i.alias("at"), as_they_stand(i, n).alias("h")))).otherwise(F.array())
+
+    short = [whole(n) for n in shorter]
+    rows = rows.select(key, (F.concat(own, *short) if short else own).alias("all"))
     # the outer form: for the other one a filter on the array's size would be computed apart, from the words on
-    return rows.select(key, F.posexplode_outer(f"h{k}").alias("at", "h")).where("h is not null")
+    return rows.select(key, F.explode_outer("all").alias("one")).where("one is not null").select(key, "one.at", "one.h")
 
 
 def _tokens(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(key, words_of(F.col("text")).alias("words")).select(key, "words", canonical(F.col("words")).alias("canon"))
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, enough: int = 30, consistency: float = 0.75) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, enough: int = 30, consistency: float = 0.75, shortest: int = 4) -> DataFrame:
     """doc_id, item_id, n_words (of the item, covered), coverage and consistency of each pair to be reported.
 
     A pair is reported if ``coverage`` of the item's words, or ``enough`` of them, are covered.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = _tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id")
-    plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, window), lambda w: ~w.startswith("#")))
-    known = windows(items, "item_id", window).withColumnRenamed("at", "item_at").join(items.select("item_id", "canon"), "item_id")
-    known = known.withColumnRenamed("item_at", "at").where(plain >= LITERALS).select("h", "item_id", F.col("at").alias("item_at")).distinct()
-    found = windows(_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "doc_id", window)
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    hits = found.join(known, "h").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
-    hits = hits.groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("places"))
+    length = F.size("words")
+    shorter = sorted(r[0] for r in items.where(length.between(shortest, window - 1)).select(length).distinct().collect())  # fewer than a window's words
+    # of an item that is shorter than a window only the whole is looked for
+    known = [windows(items, "item_id", window, []), *(windows(items.where(length == n), "item_id", window, [n]) for n in shorter)]
+    known = written(reduce(DataFrame.unionByName, known).select("h", "item_id", F.col("at").alias("item_at")).distinct(), "known")
+    parts = known.count() // MOST_BROADCAST + 1
+    hits = []
+    for k in range(parts):
+        some = F.broadcast(known.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k))
+        found = windows(_tokens(docs, "doc_id"), "doc_id", window, shorter).join(some, "h")
+        hits.append(written(found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places")), "hits"))
+    hits = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
     # slot values of the words under the windows that met
-    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    again = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     said = again.select("doc_id", words_of(F.col("text")).alias("doc_words"))
     lined = hits.join(said, "doc_id").join(items.select("item_id", F.col("words").alias("item_words"), "canon"), "item_id")
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + window - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + window, F.size("canon")) - 1))))
     lined = lined.withColumn("covered", covered)
     slots = F.filter("covered", lambda i: F.get("canon", i).startswith("#"))
     values = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_words", i).alias("item"), F.get("doc_words", (i + F.col("shift")).cast("int")).alias("doc"))))
