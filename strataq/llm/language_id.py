@@ -3,8 +3,8 @@
 Each letter has a random vector of +1 and -1, drawn from a seed and its code point. A trigram's vector binds
 its letters' vectors, each permuted (rolled) by its place; a text's vector bundles (adds) its trigrams'
 vectors; a language's prototype bundles its texts' vectors. A text gets the language whose prototype has
-the largest cosine with it. Prototypes need one row for each language and trigram from the corpus, summed
-before the shuffle, so what reaches the driver is bounded by languages times trigrams, not by texts.
+the largest cosine with it. Each task bundles its own texts into one vector for each language and only these are
+added up, as whole numbers, so ``DIMENSIONS`` numbers for each language reach the driver, whatever the corpus.
 
 Defined results: ``und`` with score 0 for texts that are null, empty or without a letter, and for all texts
 if nothing could be learned; ties go to the language that sorts first; rows with null text or null language teach
@@ -18,14 +18,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataq.llm.textblocks import blocks, flat
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
+#: Different trigrams of one language that a task counts before it adds their vectors up.
+MOST_TRIGRAMS = 500_000
 
 
 @cache
@@ -85,11 +87,24 @@ def vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return out
 
 
+def bundled(codes: np.ndarray, n: np.ndarray, dimensions: int) -> np.ndarray:
+    """The sum of the trigrams' vectors, each as often as it occurs: whole numbers."""
+    out = np.zeros(dimensions)
+    for i in range(0, len(codes), 2048):
+        out += n[i : i + 2048].astype(np.float64) @ vectors(codes[i : i + 2048], dimensions)
+    return np.rint(out).astype(np.int64)
+
+
 def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (unit length) from rows with ``text`` and ``lang``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
+
+        def vector(name: str) -> pa.RecordBatch:
+            found, n = sums.pop(name)
+            return pa.RecordBatch.from_pydict({"lang": pa.array([name] * dimensions, pa.string()), "place": pa.array(np.arange(dimensions), pa.int32()), "value": pa.array(bundled(found, n, dimensions))})
+
         for batch in batches:
             for part in blocks(batch):
                 codes, owner, _ = trigrams(part.column("text"))
@@ -102,20 +117,18 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str],
                         found, place = np.unique(both, return_inverse=True)
                         n = np.bincount(place, np.concatenate([sums[name][1], n]), len(found)).astype(np.int64)
                     sums[name] = [found, n]
-        for name, (found, n) in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "code": pa.array(found.astype(np.int64)), "n": pa.array(n, pa.int64())})
+                    if len(found) > MOST_TRIGRAMS:
+                        yield vector(name)
+        for name in list(sums):
+            yield vector(name)
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    table = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.mapInArrow(bundle, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value")).toArrow()
     names = sorted(set(table.column("lang").to_pylist()))
     if not names:
         return [], np.zeros((0, dimensions), np.float32)
     protos = np.zeros((len(names), dimensions))
-    for k, name in enumerate(names):
-        own = table.filter(pc.equal(table.column("lang"), name))
-        codes, n = own.column("code").to_numpy().astype(np.uint64), own.column("n").to_numpy()
-        for i in range(0, len(codes), 8192):
-            protos[k] += n[i : i + 8192] @ vectors(codes[i : i + 8192], dimensions)
+    protos[[names.index(x) for x in table.column("lang").to_pylist()], table.column("place").to_numpy()] = table.column("value").to_numpy()
     protos -= 0.5 * protos.mean(axis=0)  # half of what all languages share says nothing about one of them
     return names, (protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -141,7 +154,7 @@ def predict(docs: DataFrame, names: list[str], protos: np.ndarray, extra: list[s
     """``docs`` with lang_pred and score: the cosine, cut to 0..1. ``extra`` columns pass through."""
     sent, extra = docs.sparkSession.sparkContext.broadcast(protos), extra if extra is not None else ["doc_id"]
     keep = list(dict.fromkeys([*extra, "text"]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    fields = StructType([docs.schema[c] for c in extra]).add("lang_pred", "string").add("score", "double")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([*names, UNDETERMINED], object)
@@ -155,7 +168,7 @@ def predict(docs: DataFrame, names: list[str], protos: np.ndarray, extra: list[s
                     best, score = np.zeros(len(has), int), np.zeros(len(has))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array(known[best], pa.string()), pa.array(score, pa.float64())], [*extra, "lang_pred", "score"])
 
-    return docs.select(*keep).mapInArrow(label, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep).mapInArrow(label, fields)
 
 
 def fold_of(doc_id: Column) -> Column:
