@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.textblocks import flat, ngrams, word_hashes, word_spans
-from strataq.tables import release, written
+from strataq.tables import written
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
 CHUNK_BYTES = 12 << 20
@@ -95,15 +95,14 @@ def unbundle(rows: pa.Table) -> pa.Table:
 
 def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of logarithms), n_backed_off and score_per_word of every document."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, total // CHUNK_BYTES)
     grams = order * total // 6 + 1  # a guess that only sets sizes
     partitions = int(grams // PARTITION_GRAMS) + 1
     bits = min(62, math.ceil(math.log2(grams)) + 22)  # so that one n-gram in four million shares its hash
     bounds = partition_bounds(partitions, bits)
-    # repeated and null doc_ids spread by their texts' lengths
-    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")
+    # rows of one doc_id, and those without one, spread by their texts
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     dealt = bundle(docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def ask(rows: pa.Table) -> pa.Table:
@@ -164,8 +163,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff:
 
     asks = dealt.groupBy("chunk").applyInArrow(ask, "part int, chunk int, grams binary, counts binary")
     answers = written(asks.groupBy("part").applyInArrow(answer, "chunk int, part int, counts binary"), "answers")
-    del asks
-    release(spark)
     scores = written(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, logs double, alone long, n_backed_off long"), "scores")
     words = scores.agg(F.sum("n_words")).first()[0] or 1
     value = F.col("logs") - F.col("alone") * math.log(words)
