@@ -1,13 +1,14 @@
 """URL filters by a path-template tree.
 
 Each host has a tree of path segments. Variable segments (numbers, hex ids) become wildcards at once, and
-so do words too rare below their parent to be a branch. Branches whose children and labels look like those of all
-their siblings together are merged into one wildcard; a branch with too few labelled urls never is, as nothing
-then shows it to be similar. What is left are templates. A template is rejected if its smoothed share of
-blocked urls among labelled ones is high; labels come from the rules, whose own urls they decide.
+so do words too rare below their parent to be a branch. Then, from the deepest level up, branches whose children and labels
+look like those of all their siblings together are merged into one wildcard; a branch with too few labelled urls
+never is, as nothing then shows it to be similar. What is left are templates. A template is rejected if its smoothed
+share of blocked urls among labelled ones is high; labels come from the rules, whose own urls they decide.
 
 All counts are grouped sums with partial aggregation, so a host with a third of all pages is no hot spot; counts return
-to their urls through equi-joins that adaptive execution can split.
+to their urls through equi-joins that adaptive execution can split. Each level that the paths have, ``depth`` at most, is
+one step of the tree; segments below that are part of the template as they are, numbers and ids as wildcards.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; repeated rows
 count as often as they occur; an empty table gives an empty result; columns besides page_id and url are ignored.
@@ -49,7 +50,7 @@ class TreeLimits:
     max_z: float = 2.0  # between their blocked shares
     smoothing: float = 4.0  # labelled urls that the overall share counts for
     purity: float = 0.9  # blocked share from which a template is rejected
-    depth: int = 8  # deeper segments are one
+    depth: int = 16  # levels of the tree; deeper segments are neither compared nor merged
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -78,14 +79,39 @@ def shape(segment: Column) -> Column:
     )
 
 
+def merged_at(tree: DataFrame, level: int, limits: TreeLimits) -> DataFrame:
+    """``tree`` (host, parts, n, labelled, blocked, wild) with the similar branches of one level as ``{branch}``.
+
+    Compared are the branches of one parent, by what follows below them and by their share of blocked urls, with all
+    of the parent's branches together. A branch that ends there has nothing below and stays.
+    """
+    parent = F.array_join(F.slice("wild", 1, level - 1), "/")
+    segment = lambda k: F.coalesce(F.get("wild", F.lit(k)), F.lit(""))
+    rows = tree.withColumns({"parent": parent, "branch": segment(level - 1)})
+    counts = ("n", "labelled", "blocked")
+    by = rows.where(F.size("wild") > level).groupBy("host", "parent", "branch", segment(level).alias("child")).agg(*(F.sum(c).alias(c) for c in counts))
+    sums = lambda name, *keys: by.groupBy("host", "parent", *keys).agg(*(F.sum(c).alias(f"{name}_{c}") for c in counts))
+    several = by.groupBy("host", "parent").agg(F.min("branch").alias("low"), F.max("branch").alias("high")).where("low != high").select("host", "parent")
+    near = by.join(several, ["host", "parent"], "left_semi").join(sums("all", "child").select("host", "parent", "child", "all_n"), ["host", "parent", "child"])
+    near = near.join(sums("pool"), ["host", "parent"]).join(sums("own", "branch"), ["host", "parent", "branch"])
+    share = F.col("pool_blocked") / F.nullif("pool_labelled", F.lit(0))
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) / F.col("own_labelled"))
+    like = (F.col("own_labelled") >= limits.min_labels) & (F.abs(F.col("own_blocked") / F.nullif("own_labelled", F.lit(0)) - share) <= limits.max_z * error)
+    overlap = F.sum(F.least(F.col("n") / F.col("own_n"), F.col("all_n") / F.col("pool_n")))
+    merged = near.where(like).groupBy("host", "parent", "branch").agg(overlap.alias("overlap")).where(F.col("overlap") >= 1 - limits.max_distance)
+    rows = rows.join(merged.select("host", "parent", "branch", F.lit(True).alias("merge")), ["host", "parent", "branch"], "left")
+    wild = F.when(F.col("merge") & (F.size("wild") > level), F.transform("wild", lambda w, i: F.when(i == level - 1, "{branch}").otherwise(w))).otherwise(F.col("wild"))
+    return rows.select("host", "parts", *counts, wild.alias("wild"))
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, limits: TreeLimits = TreeLimits()) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page."""
     host, path = split_url(F.col("url"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    deep = F.when(F.size("parts") > limits.depth, F.concat(F.slice("parts", 1, limits.depth), F.array(F.lit("{deep}")))).otherwise(F.col("parts"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": ruled, "parts": F.transform(parts, shape)}).withColumn("parts", deep)
-    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.size(c)), lambda i: F.array_join(F.slice(c, F.lit(1), i), "/"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": ruled, "parts": F.transform(parts, shape)})
+    depth = F.lit(limits.depth)
+    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.least(F.size(c), depth)), lambda i: F.array_join(F.slice(c, F.lit(1), i), "/"))
 
     # one row for each host and distinct shaped path: pages beyond that only count
     blocked = F.count_if(F.col("ruled") == "block")
@@ -101,23 +127,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, limits: TreeLimi
     flags = at.join(rare.withColumn("rare", F.lit(True)), ["host", "d", "prefix"], "left").groupBy("host", "parts").agg(F.sort_array(F.collect_list(F.struct("d", F.coalesce("rare", F.lit(False)).alias("rare")))).alias("flags"))
     named = paths.join(flags, ["host", "parts"], "left")
     wild = F.zip_with("parts", F.coalesce("flags", F.array().cast("array<struct<d:int,rare:boolean>>")), lambda s, f: F.when(f["rare"], F.lit("{word}")).otherwise(s))
-    named = written(named.select("host", "parts", "n", "labelled", "blocked", wild.alias("wild")), "url-wild")
-
-    # 2. first-level branches that look like all their siblings together are merged
-    branch, child = F.coalesce(F.get("wild", F.lit(0)), F.lit("")), F.coalesce(F.get("wild", F.lit(1)), F.lit(""))
-    by = named.groupBy("host", branch.alias("branch"), child.alias("child")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pool = by.groupBy("host", "child").agg(F.sum("n").alias("pool_child"))
-    totals = by.groupBy("host").agg(F.sum("n").alias("pool_n"), F.sum("labelled").alias("pool_l"), F.sum("blocked").alias("pool_b"))
-    own = by.groupBy("host", "branch").agg(F.sum("n").alias("own_n"), F.sum("labelled").alias("own_l"), F.sum("blocked").alias("own_b"))
-    near = by.join(pool, ["host", "child"]).join(totals, "host").join(own, ["host", "branch"])
-    overlap = F.sum(F.least(F.col("n") / F.col("own_n"), F.col("pool_child") / F.col("pool_n")))
-    share, error = F.col("pool_b") / F.col("pool_l"), F.sqrt(F.greatest(F.col("pool_b") / F.col("pool_l") * (1 - F.col("pool_b") / F.col("pool_l")), F.lit(0.01)) / F.col("own_l"))
-    merged = near.where((F.col("own_l") >= limits.min_labels) & (F.abs(F.col("own_b") / F.col("own_l") - share) <= limits.max_z * error))
-    merged = merged.groupBy("host", "branch").agg(overlap.alias("overlap")).where(F.col("overlap") >= 1 - limits.max_distance).select("host", "branch", F.lit(True).alias("merged"))
-    tree = named.withColumn("branch", branch).join(merged, ["host", "branch"], "left")
-    merge = F.col("merged") & (F.size("wild") > 1)
-    template = F.when(merge, F.concat(F.array(F.lit("{branch}")), F.slice("wild", F.lit(2), F.size("wild")))).otherwise(F.col("wild"))
-    tree = tree.select("host", "parts", "labelled", "blocked", F.concat(F.lit("/"), F.array_join(template, "/")).alias("template"))
+    tree = written(named.select("host", "parts", "n", "labelled", "blocked", wild.alias("wild")), "url-wild")
+
+    # 2. branches that look like all their siblings together are merged, level by level from below
+    levels = tree.agg(F.max(F.least(F.size("wild"), depth))).first()[0] or 0
+    for level in range(levels, 0, -1):
+        tree = written(merged_at(tree, level, limits), "url-tree")
+    tree = tree.select("host", "parts", "labelled", "blocked", F.concat(F.lit("/"), F.array_join("wild", "/")).alias("template"))
 
     # 3. smoothed purity of each template; the overall share is one row
     overall = paths.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("prior"))
