@@ -322,6 +322,84 @@ def test_url_templates_reject_by_purity(spark):
     assert {(u.path.split("/")[1], u.verdict) for u in got} == {("spam", "block"), ("good", "allow")}
 
 
+def templates_by_brute_force(urls, rules, limits):
+    """page_id: (template, verdict), by the definitions in the operator's docstring."""
+    rows = []
+    for page_id, url in urls:
+        m = re.search(r"^.*?://(.*)$", url or "", re.S)
+        rest = m[1] if m else ""
+        host = re.match(r"[^/?#]*", rest)[0].translate(LOWER)
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        ruled = max(fits, key=lambda r: len(r.name)).verdict if fits else None
+
+        def shape(x):
+            if re.fullmatch("[0-9]+", x):
+                return "{num}"
+            if re.fullmatch(r"[0-9]+\.[A-Za-z0-9]+", x):
+                return "{num}." + x.split(".")[1]
+            return "{id}" if re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F-]{8,}", x) else x
+
+        rows.append([page_id, host, [shape(x) for x in path.split("/") if x], ruled])
+    below = Counter((h, tuple(p[:k])) for _, h, p, _ in rows for k in range(min(len(p), limits.depth) + 1))
+    for row in rows:
+        _, h, p, _ = row
+        rare = lambda k: not p[k].startswith("{") and (below[h, tuple(p[: k + 1])] < limits.min_support or below[h, tuple(p[: k + 1])] < limits.min_share * below[h, tuple(p[:k])])  # noqa: E731, B023
+        row[2] = ["{word}" if k < limits.depth and rare(k) else x for k, x in enumerate(p)]
+    for level in range(max((min(len(r[2]), limits.depth) for r in rows), default=0), 0, -1):
+        groups = defaultdict(lambda: defaultdict(list))
+        for r in rows:
+            if len(r[2]) > level:
+                groups[r[1], tuple(r[2][: level - 1])][r[2][level - 1]].append(r)
+        for branches in groups.values():
+            pool = [r for b in branches.values() for r in b]
+            n = lambda rs: (len(rs), sum(r[3] is not None for r in rs), sum(r[3] == "block" for r in rs))
+            all_n, all_l, all_b = n(pool)
+            children = Counter(r[2][level] for r in pool)
+            merge = []
+            for name, own in branches.items():
+                own_n, own_l, own_b = n(own)
+                if len(branches) < 2 or own_l < limits.min_labels:
+                    continue
+                share = all_b / all_l
+                near = abs(own_b / own_l - share) <= limits.max_z * math.sqrt(max(share * (1 - share), 0.01) / own_l)
+                if near and sum(min(c / own_n, children[k] / all_n) for k, c in Counter(r[2][level] for r in own).items()) >= 1 - limits.max_distance - 1e-12:
+                    merge.append(name)
+            for name in merge:
+                for r in branches[name]:
+                    r[2][level - 1] = "{branch}"
+    labelled = [r for r in rows if r[3]]
+    prior = sum(r[3] == "block" for r in labelled) / len(labelled) if labelled else 0.0
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1], tuple(r[2])].append(r[3])
+    purity = {k: (v.count("block") + limits.smoothing * prior) / (sum(x is not None for x in v) + limits.smoothing) for k, v in by.items()}
+    return {i: ("/" + "/".join(p), v or ("block" if purity[h, tuple(p)] >= limits.purity else "allow")) for i, h, p, v in rows}
+
+
+def test_url_tree_equals_brute_force(spark):
+    r = random.Random(6)
+    rules = [url_filters.Rule("block", "h.org", "/a/x/"), url_filters.Rule("block", "h.org", "/b/x/"), url_filters.Rule("block", "h.org", "/c/bad"), url_filters.Rule("allow", "h.org", "/a/good"), url_filters.Rule("allow", "i.net", "/d/"), url_filters.Rule("block", "h.org", "/d/e/f/"), url_filters.Rule("block", "h.org", "/d/g/f/")]
+    urls = []
+    for _ in range(2500):
+        top = r.choice("abcd")
+        path = [top]
+        if top in "ab":
+            path += [r.choice(["x", "x", "good", "other", "rare" + str(r.randrange(300))]), r.choice(["news", "12", "item"]), str(r.randrange(99))]
+        elif top == "c":
+            path += [r.choice(["bad", "bad1", "fine"]), f"{r.randrange(9)}.html"]
+        else:
+            path += [r.choice("egk"), "f", r.choice(["p", "q"]), "s", "t", "u", "v", "w", str(r.randrange(5))]
+        urls.append(f"https://{r.choice(['h.org', 'www.h.org', 'i.net', 'H.org'])}/{'/'.join(path[: r.randint(1, len(path))])}{r.choice(['', '?q=1', '#z', '/'])}")
+    urls += [None, "", "mailto:x", "http://h.org", "http://h.org/" + "very/" * 400 + "long", "x://" + "h" * 3000]
+    rows = list(enumerate(urls))
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    for limits in (url_filters.TreeLimits(), url_filters.TreeLimits(min_labels=4, max_distance=0.5, max_z=4.0, purity=0.6, smoothing=2.0), url_filters.TreeLimits(min_labels=4, max_distance=0.5, max_z=4.0, depth=3)):
+        got = {x.page_id: (x.template, x.verdict) for x in url_filters.judge_urls(pages, rules, limits).collect()}
+        assert got == templates_by_brute_force(rows, rules, limits)
+    assert any("{branch}" in t for t, _ in got.values()) and any(v == "block" for _, v in got.values())
+
+
 def test_language_id_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -371,6 +449,77 @@ def test_decontamination_finds_copies_and_templates(spark):
     assert got == {(1, 10), (2, 10), (7, 10)}
 
 
+def leaks_by_brute_force(docs, bench, window=8, literals=4, shortest=4):
+    """Pairs to be reported: coverage of an item by windows that meet it, alignment by alignment, with consistent slots."""
+    parts = re.compile(r"\d[\d.,]*|[^\W\d_]+")
+
+    def read(text):
+        words = parts.findall(text or "")
+        canon = []
+        for k, w in enumerate(words):
+            if w[0].isdigit():
+                canon.append("#n")
+            elif w[0] != w[0].lower():
+                canon.append("#a")
+            elif w in decontamination.UNITS and k and words[k - 1][0].isdigit():
+                canon.append("#u")
+            else:
+                canon.append(w.lower())
+        return words, canon
+
+    def marks(words, canon, size):
+        for k in range(len(words) - size + 1):
+            own = canon[k : k + size]
+            poor = size < window or sum(w[0] != "#" for w in own) < literals
+            yield k, (size, poor, tuple(w.lower() for w in words[k : k + size]) if poor else tuple(own))
+
+    found = set()
+    for item_id, item in bench:
+        words, canon = read(item)
+        if item_id is None or len(words) < shortest:
+            continue
+        size = min(window, len(words))
+        theirs = defaultdict(list)
+        for k, m in marks(words, canon, size):
+            theirs[m].append(k)
+        for doc_id, text in docs:
+            said, form = read(text)
+            shifts = defaultdict(set)
+            for k, m in marks(said, form, size) if doc_id is not None else ():
+                for at in theirs.get(m, ()):
+                    shifts[k - at].add(at)
+            covered = set()
+            for shift, places in shifts.items():
+                own = {i for p in places for i in range(p, p + size)}
+                values = {(words[i], said[i + shift]) for i in own if canon[i][0] == "#"}
+                if not values or len({a for a, _ in values}) / len(values) >= 0.75:
+                    covered |= own
+            if covered and (len(covered) >= 0.5 * len(words) or len(covered) >= 30):
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    word = lambda: r.choice([*plain, *plain, "12", "3,5", "Anna", "Ohm", "kg", "Berlin", "7"])
+    bench = [(k, " ".join(word() for _ in range(r.choice([2, 4, 5, 7, 8, 9, 14, 40])))) for k in range(40)]
+    bench += [(90, "Der Bauer Hans verkauft 12 Äpfel, 15 Birnen, 20 Pflaumen für 30 Euro an Frau Schmidt; die Nachbarin Anna kauft 5 Kilo Kartoffeln, 3 Bund Möhren und 2 Gläser Honig.")]
+    docs = []
+    for k in range(120):
+        words = [word() for _ in range(r.randint(0, 30))] + r.choice(bench)[1].split(" ") + [word() for _ in range(r.randint(0, 30))]
+        if k % 3:
+            words = [r.choice(["5", "Eva", w]) if w[0].isupper() or w[0].isdigit() else w for w in words]
+        docs.append((k, " ".join(words)))
+    docs += [(900, "Vorher. " + bench[-1][1] + " Nachher."), (901, bench[-1][1].replace("Hans", "Karl")), (None, bench[0][1]), (902, None), (903, "")]
+    expected = leaks_by_brute_force(docs, bench)
+    assert (900, 90) in expected and len(expected) > 60
+    for most in (500_000, 50):  # all windows at once, or block by block
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+        got = decontamination.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+        assert {(x.doc_id, x.item_id) for x in got.collect()} == expected
+
+
 def test_decontamination_wants_consistent_slots(spark):
     item = "give 5 red cups and 5 blue cups and 5 green cups and 5 small cups to the good old man"
     apart = item.replace("5", "7", 1).replace("5", "8", 1).replace("5", "9", 1)
@@ -431,6 +580,40 @@ def test_compression_bands_see_one_bad_stretch_anywhere():
     assert [bool(x == x) for x in got["chunk_low"]] == [True] * 5 + [False]
 
 
+def test_compression_bands_equal_brute_force(docs, rows):
+    import zstandard
+
+    bands = quality_rules.Bands()
+    squeeze = zstandard.ZstdCompressor(level=3, write_content_size=False)
+
+    def within(raw):
+        least, most = [(a, b) for n, a, b in bands.whole if len(raw) >= n][-1]
+        return least <= len(squeeze.compress(raw)) / len(raw) <= most
+
+    expected = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        pieces = [raw[k : k + 4096] for k in range(0, len(raw) - 4095, 4096)] + [raw[-4096:]] * (len(raw) > 4096 and len(raw) % 4096 > 0)
+        expected[i] = not raw or (within(raw) and all(map(within, pieces)))
+    for r in quality_rules.quality_rules(docs).collect():
+        assert r.kept == (expected[r.doc_id] and not r.base_failed)
+
+
+def test_chat_format_of_a_very_long_conversation(spark):
+    long = "<|turn|>&amp; x " * 60_000
+    rows = [(1, k, "assistant" if k % 2 else "user", long if k == 1 else f"t{k}") for k in range(40)]
+    got = chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    loss = "".join(t for _, k, role, t in rows if k % 2)
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(40, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
+def test_prototypes_do_not_depend_on_the_partitioning(spark, docs, monkeypatch):
+    names, protos = language_id.learn(docs)
+    monkeypatch.setattr(language_id, "MOST_TRIGRAMS", 50)
+    again, others = language_id.learn(docs.repartition(7))
+    assert names == again and (protos == others).all()
+
+
 OPERATORS = {
     "ngram_join": ngram_join.ngram_join, "suffix_dedup": suffix_dedup.suffix_dedup, "assignment": sharding.assignment, "pack": packing.pack, "identify": language_id.identify,
     "lm_scores": lm_scoring.lm_scores, "quality_rules": quality_rules.quality_rules,
