@@ -244,7 +244,7 @@ def integrity_report(spark, sf_dir):
 
 def read_sections(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("heading_path", F.array("lang", F.concat(F.lit("s"), (F.col("ordinal") % 2).cast("string"))))
-    return reporting.read_section(c, 500)
+    return reporting.read_section(c)
 
 
 def ir_metrics(spark, sf_dir):
@@ -421,7 +421,7 @@ UNION ALL SELECT 'fail', 'duplicate_current', count(*) FROM (SELECT 1 FROM v WHE
 UNION ALL SELECT 'fail', 'width_mismatch', count(*) FROM k WHERE len(embedding) <> 64
 UNION ALL SELECT 'fail', 'hollow_conversation', count(*) FROM (SELECT 1 FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'system') = 0)
 UNION ALL SELECT 'fail', 'null_vector', count(*) FROM k WHERE embedding IS NULL""",
-        "read_sections": f"WITH {D_SQL}, {C_SQL} SELECT document_id, lang || ' > s' || (ordinal % 2) AS section, substring(string_agg(content, chr(10) || chr(10) ORDER BY ordinal), 1, 500) AS text, count(*) AS n_chunks FROM c GROUP BY 1, 2",
+        "read_sections": f"WITH {D_SQL}, {C_SQL} SELECT document_id, lang || ' > s' || (ordinal % 2) AS section, substring(string_agg(content, chr(10) || chr(10) ORDER BY ordinal), 1, 8000) AS text, count(*) AS n_chunks FROM c GROUP BY 1, 2",
         "ir_metrics": f"{metrics} SELECT * FROM m",
         "metric_lift": f"{metrics} SELECT variant, ndcg, round((ndcg - (SELECT ndcg FROM m WHERE variant = 'vector')) / nullif((SELECT ndcg FROM m WHERE variant = 'vector'), 0), 6) AS lift, ndcg = (SELECT max(ndcg) FROM m) AS is_best FROM m",
         "relative_times": "WITH a AS (SELECT event_id, ts, 1706745600 - floor(epoch(ts))::BIGINT AS age FROM events) SELECT event_id, age, CASE WHEN age < 90 THEN 'just now' WHEN age < 3600 THEN floor(age / 60 + 0.5)::BIGINT || 'm ago' WHEN age < 86400 THEN floor(age / 3600 + 0.5)::BIGINT || 'h ago' WHEN age < 604800 THEN floor(age / 86400 + 0.5)::BIGINT || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS label FROM a",

@@ -102,16 +102,9 @@ SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, doc_id)
 
 
 def neighbour_expansion(spark, sf_dir):
-    """Lines of a document are its chunks; every seventh document's line 2 is expanded by one line each way."""
+    """Lines of a document are its chunks; every one is expanded by one line each way, as what a search has found is."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
-    found = lines.where("ordinal = 1 and document_id % 7 = 0").select("document_id", "ordinal")
-    return R.expand_neighbours(found, lines)
-
-
-NEIGHBOUR_SQL = """
-WITH l AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS parts FROM documents)
-SELECT document_id, 1 AS ordinal, array_to_string(parts[1:3], chr(10) || chr(10)) AS expanded FROM l WHERE document_id % 7 = 0 AND len(parts) > 1
-"""
+    return R.expand_neighbours(lines.select("document_id", "ordinal"), lines)
 
 
 def neighbour_expansion_whole(spark, sf_dir):
@@ -133,23 +126,23 @@ def _positions(spark, sf_dir):
 
 
 def budget_fit(spark, sf_dir):
-    return R.fit_budget(_positions(spark, sf_dir), budget=4000).select("question_id", "doc_id", "position", "tokens", "running")
+    return R.fit_budget(_positions(spark, sf_dir), budget=12_000).select("question_id", "doc_id", "position", "tokens", "running")
 
 
 BUDGET_SQL = f"""{ALL_SQL},
 t AS (SELECT f.question_id, f.doc_id, f.position, ceil(length(p.text) / 4.0)::INT AS tokens FROM fused f JOIN p USING (doc_id)),
 r AS (SELECT *, (sum(tokens) OVER w)::BIGINT AS running FROM t WINDOW w AS (PARTITION BY question_id ORDER BY position)),
-b AS (SELECT *, max(CASE WHEN running > 4000 AND position > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY position) AS broken FROM r)
+b AS (SELECT *, max(CASE WHEN running > 12000 AND position > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY position) AS broken FROM r)
 SELECT question_id, doc_id, position, tokens, running FROM b WHERE broken = 0"""
 
 
 def attention_order(spark, sf_dir):
-    rows = R.hybrid(passages(spark, sf_dir), questions(spark, sf_dir), limit=9)
+    rows = R.hybrid(passages(spark, sf_dir), questions(spark, sf_dir), limit=10)
     n = F.max("position").over(R.W.partitionBy("question_id"))
     return rows.select("question_id", "doc_id", "position", R.attention_order(F.col("position"), n).alias("place"))
 
 
-ATTENTION_SQL = f"""{ALL_SQL}, n AS (SELECT question_id, doc_id, position, max(position) OVER (PARTITION BY question_id) AS n FROM fused WHERE position <= 9)
+ATTENTION_SQL = f"""{ALL_SQL}, n AS (SELECT question_id, doc_id, position, max(position) OVER (PARTITION BY question_id) AS n FROM fused WHERE position <= 10)
 SELECT question_id, doc_id, position, (CASE WHEN n <= 2 THEN position WHEN position % 2 = 1 THEN (position + 1) // 2 ELSE n + 1 - position // 2 END)::INT AS place FROM n"""
 
 
@@ -262,7 +255,7 @@ ORACLES = {
     "lexical_arm": f"WITH {P_SQL}, {LEX_SQL} SELECT question_id, doc_id, sparse_score, sparse_rank FROM sparse",
     "identifier_arm": f"WITH {P_SQL}, {ID_SQL} SELECT question_id, doc_id, ident_score, ident_rank FROM ident",
     "scoped_search": "SELECT 'all' AS scope, count(*) AS n FROM documents UNION ALL SELECT 'some', count(*) FROM documents WHERE doc_id IN (1, 2, 3) UNION ALL SELECT 'none', 0",
-    "cross_query_rrf": CROSS_SQL, "neighbour_expansion": NEIGHBOUR_SQL, "neighbour_expansion_whole": NEIGHBOUR_WHOLE_SQL, "budget_fit": BUDGET_SQL, "attention_order": ATTENTION_SQL,
+    "cross_query_rrf": CROSS_SQL, "neighbour_expansion": NEIGHBOUR_WHOLE_SQL, "neighbour_expansion_whole": NEIGHBOUR_WHOLE_SQL, "budget_fit": BUDGET_SQL, "attention_order": ATTENTION_SQL,
     "rerank": RERANK_SQL, "rerank_listwise": LISTWISE_SQL, "rerank_text": RERANK_TEXT_SQL, "bm25": BM25_SQL, "cache_probe": CACHE_SQL,
     "scope_key": "SELECT source, substring(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)), 1, 32) AS scope_key FROM documents GROUP BY 1",
     "cache_store_gate": CACHE_GATE_SQL, "arm_contribution": ARM_SQL,

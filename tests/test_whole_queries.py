@@ -36,8 +36,9 @@ def test_every_line_is_expanded(spark, sf_dir, documents):
     for r in documents:
         lines = r.text.split("\n")
         expected += [(r.doc_id, k, "\n\n".join(lines[max(k - 1, 0) : k + 2])) for k in range(len(lines))]
-    got = catalog.QUERIES["neighbour_expansion_whole"](spark, sf_dir).collect()
-    assert sorted((r.document_id, r.ordinal, r.expanded) for r in got) == sorted(expected)
+    for name in ("neighbour_expansion", "neighbour_expansion_whole"):
+        got = catalog.QUERIES[name](spark, sf_dir).collect()
+        assert sorted((r.document_id, r.ordinal, r.expanded) for r in got) == sorted(expected)
 
 
 def test_blocks_hold_every_passage(spark, sf_dir, documents):
@@ -54,18 +55,17 @@ def test_blocks_hold_every_passage(spark, sf_dir, documents):
 
 def test_claims_come_from_the_whole_text(spark, sf_dir, documents):
     expected = sorted((r.doc_id, k, c, ",".join(map(str, m))) for r in documents for k, c, m in claimed(r))
-    got = sorted(tuple(r) for r in catalog.QUERIES["answer_claims_whole"](spark, sf_dir).collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["answer_claims"](spark, sf_dir).collect())
     assert got == expected
-    assert len(got) > catalog.QUERIES["answer_claims"](spark, sf_dir).count()
 
 
 def test_counts_of_whole_answers(spark, sf_dir, documents):
     per = {r.doc_id: claimed(r) for r in documents}
     load = {(i, m, n) for i, cs in per.items() for m, n in Counter(x for _, _, ms in cs for x in ms).items()}
-    assert {tuple(r) for r in catalog.QUERIES["citation_load_whole"](spark, sf_dir).collect()} == load
-    got = catalog.QUERIES["coverage_whole"](spark, sf_dir).collect()
+    assert {tuple(r) for r in catalog.QUERIES["citation_load"](spark, sf_dir).collect()} == load
+    got = catalog.QUERIES["coverage"](spark, sf_dir).collect()
     assert {(r.doc_id, r.n_claims, r.n_cited) for r in got} == {(i, len(cs), sum(bool(m) for _, _, m in cs)) for i, cs in per.items()}
-    texts = {r.doc_id: r.normalised for r in catalog.QUERIES["citation_markers_whole"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.normalised for r in catalog.QUERIES["citation_markers"](spark, sf_dir).collect()}
     assert all(texts[r.doc_id].endswith(r.text[-20:]) for r in documents if not MARKER.search(r.text))
 
 
