@@ -44,7 +44,7 @@ WORDS, PERCENT = 5, 80
 MOST_COMMON = 1_000_000
 #: Set elements (8 bytes each) that one task builds a trie from at a time.
 GROUP_ITEMS = 1_000_000
-#: Requests for sets (six numbers each) that are broadcast to the scan; beyond that they are joined.
+#: Requests for sets (six numbers each) that are broadcast; beyond that they are joined.
 MOST_REQUESTS = 100_000
 #: Rounds in which each component meets one group; groups in which each node then meets others.
 ROUNDS, MEETINGS = 2, 6
@@ -149,12 +149,17 @@ def sketches(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> D
     return docs.mapInArrow(sketch, "doc_id long, key long, n long, node long, small long, first array<long>")
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """Broadcast ``small`` if it has few rows, all of which are numbers; else leave the join to Spark."""
+    return F.broadcast(small) if small.limit(MOST_REQUESTS + 1).count() <= MOST_REQUESTS else small
+
+
 def sets_for(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: int) -> DataFrame:
-    """``requests`` (key, node, component, slot, one, other, side) with ``items``, the ordered set of the node, in place of the key."""
-    if requests.count() <= MOST_REQUESTS:
-        requests = F.broadcast(requests)
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-    kept = ["slot", "one", "other", "side", "node", "component"]
+    """``requests`` (key, node, component, slot, one, other, side) with ``items``, the ordered set of the node, in place of the key.
+
+    Each set is made once, where its text is, however many requests there are for it.
+    """
+    common_sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +167,11 @@ def sets_for(docs: DataFrame, requests: DataFrame, common: np.ndarray, words: in
                 grams, at = sets_of(part.column("text"), words)
                 # another row with this key can have another set than the one that is meant
                 meant = pa.array(np.flatnonzero(fingerprints(grams, at) == part.column("node").to_numpy()))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ordered(grams, at, sent.value).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(meant) for c in kept), lists.take(meant)], [*kept, "items"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ordered(grams, at, common_sent.value).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(meant), lists.take(meant)], ["node", "items"])
 
-    asked = docs.select("key", "text").join(requests, "key").select("text", *kept)
-    return asked.mapInArrow(build, "slot int, one long, other long, side int, node long, component long, items array<long>")
+    asked = docs.select("key", "text").join(sent(requests.select("key", "node").distinct()), "key").select("text", "node")
+    return asked.mapInArrow(build, "node long, items array<long>").join(sent(requests.drop("key")), "node")
 
 
 class Trie:
