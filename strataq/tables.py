@@ -49,7 +49,3 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
             df.sparkSession.range(0).write.mode("overwrite").parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing is left to do: :func:`written` deletes shuffle files itself."""
