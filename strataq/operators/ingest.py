@@ -43,6 +43,18 @@ def chain_versions(docs: DataFrame) -> DataFrame:
     })
 
 
+def new_rows(arriving: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows to append for arriving documents (document_id, owner_id, source_uri, title, is_url, ...): with status, version and supersedes.
+
+    The predecessor is the latest version of the same source among stored documents that are current and ready.
+    """
+    key = lambda: [F.coalesce("owner_id", F.lit("")).alias("owner key"), F.col("source_uri").alias("source key"), F.when(F.col("is_url"), F.lit("")).otherwise(F.col("title")).alias("title key"), F.col("is_url").alias("url key")]
+    current = stored.where("superseded_by is null and status = 'ready'").select(*key(), "document_id", "version")
+    last = current.groupBy("owner key", "source key", "title key", "url key").agg(F.max(F.struct("version", "document_id")).alias("last"))
+    rows = arriving.select("*", *key()).join(last, ["owner key", "source key", "title key", "url key"], "left")
+    return rows.select(*arriving.columns, F.lit("parsing").alias("status"), (F.coalesce("last.version", F.lit(0)) + 1).cast("int").alias("version"), F.col("last.document_id").alias("supersedes"))
+
+
 def lineage(links: DataFrame, start: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(root, document_id): all documents that a chain of links (document_id, supersedes) joins with each start.
 

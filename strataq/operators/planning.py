@@ -54,6 +54,12 @@ def finish_plan(question: Column, standalone: Column, queries: Column, hypotheti
     return F.struct(alone.alias("standalone"), own.alias("queries"), aligned.alias("hypotheticals"))
 
 
+def verbatim_plan(question: Column) -> Column:
+    """The plan where planning failed: the question as it is, without keywords or hypotheticals."""
+    none = F.array().cast("array<string>")
+    return F.struct(F.lit("factual").alias("intent"), question.alias("standalone"), F.array(question).alias("queries"), none.alias("keywords"), F.array(F.lit("")).alias("hypotheticals"))
+
+
 def vector_text(query: Column, hypothetical: Column, hyde: Column, hop: Column) -> Column:
     """What is embedded: the hypothetical answer on the first hop if the route wants it, else the query."""
     return F.when(hyde & (hop == 0) & (F.coalesce(hypothetical, F.lit("")) != ""), hypothetical).otherwise(query)

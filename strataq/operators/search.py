@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataq.config import DEFAULTS, Settings
 from strataq.functions import english
+from strataq.functions import text as T
 from strataq.operators import retrieval as R
 from strataq.operators.audit import ledger
 from strataq.operators.dml import keep_best
@@ -93,6 +94,16 @@ def search(passages: DataFrame, chunks: DataFrame, questions: DataFrame, top_k:
     return questions.select("question_id").join(rows.select("question_id", "found", "marker", "doc_id", F.round("score", 3).alias("relevance"), content.alias("content")), "question_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
 
 
+def citations(answers: DataFrame, passages: DataFrame) -> DataFrame:
+    """The passages (question_id, marker, ...) that an answer (question_id, answer) cites, in the order of their markers.
+
+    Markers beyond the passages that a question has are no citations.
+    """
+    most = passages.groupBy("question_id").agg(F.max("marker").alias("most"))
+    cited = answers.join(most, "question_id").select("question_id", F.explode(T.markers(F.col("answer"), F.col("most"))).alias("marker"))
+    return cited.join(passages, ["question_id", "marker"]).withColumn("place", F.row_number().over(W.partitionBy("question_id").orderBy("marker")))
+
+
 def in_hops(questions: DataFrame, find: Callable[[DataFrame, int], DataFrame], grade: Callable[[DataFrame], DataFrame], most: int = DEFAULTS.max_hops) -> DataFrame:
     """What all hops of each question found, the best score of each passage and the hop it came from first.
 

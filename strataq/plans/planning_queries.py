@@ -27,9 +27,15 @@ def question_signals(spark, sf_dir):
     return rows.select("doc_id", *(c.alias(n) for n, c in s.items()), F.array_join(T.identifiers(F.col("question")), "|").alias("identifiers"), F.array_join(T.quoted(F.col("question")), "|").alias("quoted"))
 
 
+def verbatim_plan(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "question", QUESTION).select("doc_id", P.verbatim_plan(F.col("question")).alias("p"))
+    return rows.select("doc_id", "p.intent", "p.standalone", F.array_join("p.queries", "|").alias("queries"), F.size("p.keywords").alias("n_keywords"), F.size("p.hypotheticals").alias("n_hypotheticals"))
+
+
 def route_questions(spark, sf_dir):
+    """Every ninth question has two queries, every fifth a keyword."""
     rows = _docs(spark, sf_dir, "question", QUESTION)
-    routed = rows.select("doc_id", P.route(F.col("question"), F.lit(1), F.lit(0)).alias("route"))
+    routed = rows.select("doc_id", P.route(F.col("question"), F.when(F.col("doc_id") % 9 == 0, 2).otherwise(1), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("route"))
     return routed.join(F.broadcast(P.strategies(spark)), "route")
 
 
@@ -154,7 +160,7 @@ _SIG = (
     "regexp_matches(question, '" + T.COMPARISON + "') AS is_comparison, regexp_matches(question, '" + T.SUMMARY + "') AS is_summary, len(regexp_split_to_array(trim(question), '\\s+'))::INT AS n_words, "
     "regexp_extract_all(question, '" + T.IDENTIFIER + "') AS ids, regexp_extract_all(question, '" + T.QUOTED.replace("'", "''") + "', 1) AS quotes FROM q)"
 )
-_ROUTE = "CASE WHEN is_comparison THEN 'compare' WHEN is_summary THEN 'summarize' WHEN (has_identifier OR has_quoted) AND n_words <= 8 THEN 'lookup' ELSE 'explore' END"
+_ROUTE = "CASE WHEN is_comparison OR doc_id % 9 = 0 THEN 'compare' WHEN is_summary THEN 'summarize' WHEN (has_identifier OR has_quoted OR doc_id % 5 = 0) AND n_words <= 8 THEN 'lookup' ELSE 'explore' END"
 _M = T.MARKER
 _ANS = f"a AS (SELECT doc_id, {ANSWER} AS answer FROM documents)"
 _MARKS = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({0}, '" + _M + "', 1), lambda n: n::INT), lambda n: n BETWEEN 1 AND 5)))"
@@ -168,8 +174,9 @@ _INV = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x
 _ISO = "regexp_replace(regexp_replace({0}, '" + _INV + "', '', 'g'), '" + T.STRUCTURAL + r"', '‹\1\2', 'g')"
 _ATTR = "translate(regexp_replace({0}, '" + _INV + "', '', 'g'), '\"<>', '''‹›')"
 
-QUERIES = {f.__name__: f for f in (question_signals, route_questions, fast_plan, finish_plan, search_texts, normalise_intent, transcripts, model_specs, citation_markers, answer_claims, coverage, citation_load, merge_contradictions, grade_outcomes, evidence_ledger, injection_signals, suspicious_count, sources_block, sources_block_whole, first_json, math_rewrite, citation_links)}
+QUERIES = {f.__name__: f for f in (question_signals, verbatim_plan, route_questions, fast_plan, finish_plan, search_texts, normalise_intent, transcripts, model_specs, citation_markers, answer_claims, coverage, citation_load, merge_contradictions, grade_outcomes, evidence_ledger, injection_signals, suspicious_count, sources_block, sources_block_whole, first_json, math_rewrite, citation_links)}
 ORACLES = {
+    "verbatim_plan": f"WITH {_Q} SELECT doc_id, 'factual' AS intent, question AS standalone, question AS queries, 0 AS n_keywords, 1 AS n_hypotheticals FROM q",
     "question_signals": f"WITH {_Q}, {_SIG} SELECT doc_id, has_identifier, has_quoted, is_comparison, is_summary, n_words, array_to_string(ids, '|') AS identifiers, array_to_string(quotes, '|') AS quoted FROM s",
     "route_questions": f"""WITH {_Q}, {_SIG}, r AS (SELECT doc_id, {_ROUTE} AS route FROM s),
 t(route, candidates, dense_weight, sparse_weight, rerank, hyde, neighbour_window) AS (VALUES ('compare', 50, 0.5::DOUBLE, 0.5::DOUBLE, true, true, 1), ('summarize', 40, 0.7, 0.3, true, true, 2), ('lookup', 24, 0.3, 0.7, false, false, 1), ('explore', 40, 0.5, 0.5, true, true, 1))

@@ -91,6 +91,28 @@ SELECT q.question_id, count(b.doc_id) OVER (PARTITION BY q.question_id) AS found
 FROM q LEFT JOIN b USING (question_id) LEFT JOIN e ON e.question_id = q.question_id AND e.doc_id = b.doc_id"""
 
 
+def citations(spark, sf_dir):
+    """Each question's fused passages and an answer that cites the first, a middle one and one that isn't there."""
+    found = R.hybrid(Q.passages(spark, sf_dir), Q.questions(spark, sf_dir), limit=12).select("question_id", F.col("position").alias("marker"), "doc_id", F.col("rrf").alias("score"))
+    answers = Q.questions(spark, sf_dir).select("question_id", F.concat(F.lit("So [1] and 【"), (F.col("question_id") % 15 + 1).cast("string"), F.lit("†L1】, but not [77].")).alias("answer"))
+    return search.citations(answers, found)
+
+
+def insert_documents(spark, sf_dir):
+    """Odd documents are stored, even ones arrive."""
+    docs = I.docs(spark, sf_dir)
+    stored = ingest.chain_versions(docs.where("document_id % 2 = 1"))
+    arriving = docs.where("document_id % 2 = 0").select("document_id", "owner_id", "source_uri", "title", "is_url")
+    return ingest.new_rows(arriving, stored).select("document_id", "status", "version", "supersedes")
+
+
+INSERT_SQL = f"""WITH {I.D_SQL.replace('FROM documents)', 'FROM documents WHERE doc_id % 2 = 1)')}, {I.V_SQL},
+n AS (SELECT * FROM ({I.D_SQL[len('d AS ('):-1]}) WHERE document_id % 2 = 0),
+p AS (SELECT n.document_id, v.version, v.document_id AS previous, row_number() OVER (PARTITION BY n.document_id ORDER BY v.version DESC NULLS LAST, v.document_id DESC) AS k
+      FROM n LEFT JOIN v ON v.superseded_by IS NULL AND v.status = 'ready' AND v.source_uri = n.source_uri AND coalesce(v.owner_id, '') = coalesce(n.owner_id, '') AND v.is_url = n.is_url AND (n.is_url OR v.title = n.title))
+SELECT document_id, 'parsing' AS status, coalesce(version, 0) + 1 AS version, previous AS supersedes FROM p WHERE k = 1"""
+
+
 def hop_pool(spark, sf_dir):
     """Two hops: where the best passage scores below 0.6, the question's last 40 characters are searched for as well."""
     p, q = Q.passages(spark, sf_dir), Q.questions(spark, sf_dir).select("question_id", "question")
@@ -260,9 +282,13 @@ o AS (SELECT k.* FROM k JOIN d a ON a.document_id = k.document_id JOIN d b ON b.
 e AS (SELECT document_id AS x, supersedes AS y FROM o UNION SELECT supersedes, document_id FROM o),
 l AS (SELECT document_id AS root, document_id FROM v WHERE superseded_by IS NULL AND supersedes IS NOT NULL UNION SELECT l.root, e.y FROM l JOIN e ON e.x = l.document_id) SELECT root, document_id FROM l"""
 
-QUERIES = {f.__name__: f for f in (inverted_index, indexed_arm, stemmed_arm, permitted_scope, search_corpus, hop_pool, rerank_fallback, rerank_scorer, answer_checks, metric_regressions, eval_record, failed_documents, halved_contexts, embed_with_retries, chunk_sink, url_load, newest_documents, largest_documents, pending_documents, conversation_chars, finite_scores, sql_functions, lineage_of_owner)}
+QUERIES = {f.__name__: f for f in (inverted_index, indexed_arm, stemmed_arm, permitted_scope, search_corpus, citations, insert_documents, hop_pool, rerank_fallback, rerank_scorer, answer_checks, metric_regressions, eval_record, failed_documents, halved_contexts, embed_with_retries, chunk_sink, url_load, newest_documents, largest_documents, pending_documents, conversation_chars, finite_scores, sql_functions, lineage_of_owner)}
 ORACLES = {
-    "inverted_index": INDEX_SQL, "indexed_arm": Q.ORACLES["lexical_arm"], "permitted_scope": PERMITTED_SQL, "search_corpus": SEARCH_SQL, "hop_pool": HOP_SQL,
+    "inverted_index": INDEX_SQL, "indexed_arm": Q.ORACLES["lexical_arm"], "permitted_scope": PERMITTED_SQL, "search_corpus": SEARCH_SQL, "insert_documents": INSERT_SQL,
+    "citations": f"""{Q.ALL_SQL}, c AS (SELECT DISTINCT question_id, unnest([1, question_id % 15 + 1]) AS marker FROM q),
+      r AS (SELECT c.question_id, c.marker::INT AS marker, doc_id, rrf AS score FROM c JOIN fused f ON f.question_id = c.question_id AND f.position = c.marker WHERE position <= 12)
+      SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY marker)::INT AS place FROM r""",
+    "hop_pool": HOP_SQL,
     "rerank_fallback": f"{Q.ALL_SQL} SELECT question_id, doc_id, rrf AS rerank_score, position AS rerank_rank FROM fused WHERE position <= 10",
     "rerank_scorer": SCORER_SQL, "answer_checks": CHECKS_SQL,
     "failed_documents": "SELECT doc_id AS document_id, CASE WHEN length(text) > 3000 OR NOT contains(text, 'b') THEN 'failed' ELSE 'ready' END AS status, CASE WHEN length(text) > 3000 THEN length(text) || ' characters are too many' WHEN NOT contains(text, 'b') THEN 'nothing to read' END AS error FROM documents",
