@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 #: Bytes of text that one block holds; a longer text is a block of its own. Temporary arrays take some 50 times that.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: ASCII white space: space and TAB, LF, VT, FF, CR.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,7 +83,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets, "left")
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, step: int = 400_000) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, step: int = 100_000) -> np.ndarray:
     """A 64-bit hash of each word's bytes, with A-Z lower-cased if asked for."""
     out = np.empty(len(starts), np.uint64)
     for i in range(0, len(starts), step):
