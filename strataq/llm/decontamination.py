@@ -69,7 +69,8 @@ def windows(rows: DataFrame, key: str, window: int, shorter: list[int]) -> DataF
         rows = rows.select(key, "words", F.zip_with(here("h"), later("h"), lambda a, b: F.xxhash64(a, b)).alias("h"), F.zip_with(here("plain"), later("plain"), lambda a, b: a + b).alias("plain"))
         k *= 2
     as_they_stand = lambda i, n: F.xxhash64(F.lit(n), F.lower(F.array_join(F.slice("words", i + 1, n), " ")))
-    own = F.transform("h", lambda h, i: F.struct(i.alias("at"), F.when(F.get("plain", i) >= LITERALS, h).otherwise(as_they_stand(i, window)).alias("h")))
+    # zipped: what a function looks up for each element would be computed for each, if it is an expression of this query
+    own = F.transform(F.arrays_zip("h", "plain"), lambda x, i: F.struct(i.alias("at"), F.when(x["plain"] >= LITERALS, x["h"]).otherwise(as_they_stand(i, window)).alias("h")))
 
     def whole(n: int) -> Column:
         places = F.sequence(F.lit(0), F.size("words") - n)
