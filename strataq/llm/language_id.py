@@ -82,8 +82,8 @@ def vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
     base = np.stack([_letter(int(p), dimensions) for p in known]) if len(known) else np.zeros((0, dimensions), np.int8)
     rolled = [np.roll(base, k, axis=1) for k in range(3)]
     a, b, c = np.split(place, 3)
-    for i in range(0, len(codes), 4096):
-        out[i : i + 4096] = rolled[0][a[i : i + 4096]] * rolled[1][b[i : i + 4096]] * rolled[2][c[i : i + 4096]]
+    for i in range(0, len(codes), 1024):
+        out[i : i + 1024] = rolled[0][a[i : i + 1024]] * rolled[1][b[i : i + 1024]] * rolled[2][c[i : i + 1024]]
     return out
 
 
@@ -143,8 +143,8 @@ def cosines(texts: pa.Array, protos: np.ndarray, rows: int = 64) -> tuple[np.nda
         found, place = np.unique(codes[at[i] : at[j]], return_inverse=True)
         counts = np.bincount((owner[at[i] : at[j]] - i) * len(found) + place, minlength=(j - i) * len(found)).reshape(j - i, len(found)).astype(np.float32)
         docs = np.zeros((j - i, protos.shape[1]), np.float32)
-        for k in range(0, len(found), 8192):
-            docs += counts[:, k : k + 8192] @ vectors(found[k : k + 8192], protos.shape[1])
+        for k in range(0, len(found), 2048):
+            docs += counts[:, k : k + 2048] @ vectors(found[k : k + 2048], protos.shape[1])
         docs /= np.maximum(np.linalg.norm(docs, axis=1, keepdims=True), 1e-12)
         out[i:j] = docs @ protos.T
     return out, has

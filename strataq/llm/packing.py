@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from os.path import splitext
 
@@ -43,36 +43,42 @@ RANK_GROUP = 10_000
 GAP = 1e-4
 
 
-@cache
-def _encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of the ranks file beside the tokenizer's own file."""
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The texts of the tokenizer's added tokens."""
+    return tuple(token.content for token in tokenizers.Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+def encoder(path: str, added: tuple[str, ...]) -> Callable[[str | None], np.ndarray]:
+    """A function that gives a text's ids by the tokenizer's own file, and the end id, as little-endian unsigned 32-bit integers.
+
+    The ranks file beside it gives the same ids faster where no added token is in the text; the tokenizer itself is
+    read when a text needs it. A worker lives longer than a task, so neither is kept beyond the function.
+    """
     with open(splitext(path)[0] + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast, own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), []
 
+    def ids(text: str) -> np.ndarray:
+        if not any(token in text for token in added):
+            try:
+                return fast.encode_to_numpy(text)
+            except ValueError:  # its pattern backtracks too far on a run of some million blanks
+                pass
+        if not own:
+            own.append(tokenizers.Tokenizer.from_file(path))
+        return np.array(own[0].encode(text, add_special_tokens=False).ids)
 
-@cache
-def _tokenizer(path: str) -> tuple[tokenizers.Tokenizer, tuple[str, ...]]:
-    """The tokenizer's own file at its defaults, and the texts of its added tokens."""
-    whole = tokenizers.Tokenizer.from_file(path)
-    return whole, tuple(token.content for token in whole.get_added_tokens_decoder().values())
+    return lambda text: np.append(np.asarray(ids(text), "<u4") if text else np.zeros(0, "<u4"), np.uint32(END_ID)).astype("<u4")
 
 
-def _ids(text: str, path: str) -> np.ndarray:
-    """Ids by the tokenizer's own file. The ranks file gives the same ones faster where no added token is in the text."""
-    whole, added = _tokenizer(path)
-    if not any(token in text for token in added):
-        try:
-            return _encoder(path).encode_to_numpy(text)
-        except ValueError:  # its pattern backtracks too far on a run of some million blanks
-            pass
-    return np.array(whole.encode(text, add_special_tokens=False).ids)
+@cache
+def _kept_encoder(path: str) -> Callable[[str | None], np.ndarray]:
+    return encoder(path, added_tokens(path))
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
-    """Ids of a whole text and the end id, as little-endian unsigned 32-bit integers."""
-    ids = np.asarray(_ids(text, path), "<u4") if text else np.zeros(0, "<u4")
-    return np.append(ids, np.uint32(END_ID)).astype("<u4")
+    """Ids of one whole text and the end id."""
+    return _kept_encoder(path)(text)
 
 
 def cut(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -82,13 +88,15 @@ def cut(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long" + ", ids array<int>" * with_ids
 
+    added = added_tokens(tokenizer)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        encode, number = encoder(tokenizer, added), 0
         for batch in batches:
             for part in blocks(batch):
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    ids = encode(text.as_py(), tokenizer)
+                    ids = encode(text.as_py())
                     for start in range(0, len(ids), length):
                         own = ids[start : start + length]
                         rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), number, *([own.astype(np.int32)] if with_ids else [])))
