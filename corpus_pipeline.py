@@ -8,16 +8,33 @@ next one's input, so a lost executor costs at most part of one stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import decontamination, language_id, ngram_join, packing, suffix_dedup
+from strataq.llm.textblocks import named
 from strataq.tables import discard, table, written
 
 #: Cosine with the best language below which a text counts as none of them.
 MIN_SCORE = 0.03
 #: Ids that are broadcast to be left out; more of them are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Texts in one batch that an executor hands to a Python worker: both hold it in memory beside Spark's own heap.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, with the session set to hand over small batches while its result is computed."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -26,20 +43,25 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, docs["doc_id"] == dropped["dropped doc_id"], "left_anti")
 
 
+@in_small_batches
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that are like none of the languages learned."""
     names, protos = language_id.learn(docs.where(language_id.fold_of(F.col("doc_id")) != 1))
-    rows = docs.select(F.struct("*").alias("record"), "text")
-    told = language_id.predict(rows, names, protos, ["record"])
-    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("record.*")
+    # a struct, so that no name clashes; the text goes beside it, once
+    record = F.struct(*(named(docs, c) for c in docs.columns if c != "text")).alias("record")
+    told = language_id.predict(docs.select(record, "text"), names, protos, ["record", "text"])
+    kept = told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return kept.select(*(F.col("text") if c == "text" else F.col("record")[c].alias(c) for c in docs.columns))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of linked ones."""
     found = ngram_join.ngram_join(docs)
     return without(docs, found.where("doc_id != component_id"))
 
 
+@in_small_batches
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out bytes that repeat earlier ones; a document of which nothing is left but white space goes."""
     done = suffix_dedup.suffix_dedup(docs, text=True)
@@ -52,11 +74,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return done.where(~cut | (F.regexp_replace(left, r"\s+", "") != "")).select(*(columns[c].alias(c) for c in docs.columns))
 
 
+@in_small_batches
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item or enough of it."""
     return without(docs, decontamination.contaminated_pairs(docs, table(spark, sf_dir, "benchmark")))
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
     return packing.pack(docs)
