@@ -1,8 +1,11 @@
 """Ranking arms, their fusion, and what follows it, for batches of questions.
 
-Questions are a stated set: (question_id, and text, vector or identifiers). They are broadcast to the passages up to
-``MOST_BROADCAST`` of them; each arm keeps its best ``candidates`` per question by a ranking window that
+Questions are a stated set: (question_id, and text, vector or identifiers). They go to every task in blocks, one of which is on
+the driver at a time; each arm keeps its best ``candidates`` per question by a ranking window that
 Spark limits before the shuffle, so what is shuffled is bounded by questions times candidates per task.
+
+Questions with an owner_id (and requested documents) are scoped: every arm leaves out what they may not see while it scans, and
+asks passages for document_id and holder. See :mod:`strataq.operators.scope`.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from strataq.config import DEFAULTS, Settings
 from strataq.functions import text as T
 from strataq.functions.english import content_words
+from strataq.operators import scope
+from strataq.tables import written
 
 MOST_BROADCAST = 100_000
 #: Questions in one batch whose vectors or words go to every task.
@@ -76,6 +82,30 @@ def united(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def question_blocks(asked: DataFrame, most: int) -> Iterator[list]:
+    """The questions in blocks of ``most``; where there are more, they are dealt by a hash and one block is read at a time."""
+    few = asked.limit(most + 1).collect()
+    if len(few) <= most:
+        yield from in_blocks(few, most)
+        return
+    n = -(-2 * asked.count() // most)  # twice the blocks that would do, as hashing fills them unevenly
+    dealt = written(asked.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(n))), "questions")
+    for k in range(n):
+        yield from in_blocks(dealt.where(F.col("block") == k).drop("block").collect(), most)
+
+
+def by_blocks(blocks: Iterator[list], score: Callable[[list], tuple[DataFrame, Broadcast]]) -> list[DataFrame]:
+    """What ``score`` finds for each block. With several of them, each result is written and what was sent for it is given back."""
+    done: list[DataFrame] = []
+    frame, sent = None, None
+    for block in blocks:
+        if frame is not None:
+            done.append(written(frame, "scored"))
+            sent.destroy()
+        frame, sent = score(block)
+    return done if frame is None else [*done, written(frame, "scored") if done else frame]
+
+
 def best_of_batch(ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, candidates: int) -> pa.RecordBatch:
     """(question_id, doc_id, score) of each question's best in a batch (scores: documents by questions; below 0: no hit).
 
@@ -95,27 +125,39 @@ def dense_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAU
 
     Exact: each batch of passages is one matrix product with the questions, and only its best rows are shuffled.
     """
-    asked = questions.where("vector is not null").select("question_id", "vector").collect()
-    if not asked:
+    asked = questions.where("vector is not null").select("question_id", "vector", *scope.asked_columns(questions))
+    frames = by_blocks(question_blocks(asked, MOST_VECTORS), lambda block: _dense_scores(passages, block, candidates))
+    if not frames:
         return passages.sparkSession.createDataFrame([], "question_id long, doc_id long, dense_score double, dense_rank int")
-    scored = united([_dense_scores(passages, block, candidates) for block in in_blocks(asked, MOST_VECTORS)])
+    scored = united(frames)
     return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("dense_score")), "dense_score", candidates, "dense_rank")
 
 
-def _dense_scores(passages: DataFrame, asked: list, candidates: int) -> DataFrame:
-    names = np.array([r.question_id for r in asked], np.int64)
-    wanted = unit(np.array([r.vector for r in asked], np.float64))
-    sent_vectors = passages.sparkSession.sparkContext.broadcast(wanted)
+def scope_of(asked: list) -> scope.Scope | None:
+    return scope.Scope(asked) if asked and "owner_id" in asked[0] else None
+
+
+def within(scores: np.ndarray, part: pa.RecordBatch, seen: scope.Scope | None) -> np.ndarray:
+    """``scores`` of a batch, below any score where a question may not see the row."""
+    return scores if seen is None else np.where(seen.allowed(part.column("document_id"), part.column("holder")), scores, -2.0)
+
+
+def _dense_scores(passages: DataFrame, asked: list, candidates: int) -> tuple[DataFrame, Broadcast]:
+    seen = scope_of(asked)
+    sent = passages.sparkSession.sparkContext.broadcast((np.array([r.question_id for r in asked], np.int64), unit(np.array([r.vector for r in asked], np.float64)), seen))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wanted, seen = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                held = unit(flat.reshape(part.num_rows, -1))
-                yield best_of_batch(part.column("doc_id").to_numpy(), held @ sent_vectors.value.T, names, candidates)
+                yield best_of_batch(part.column("doc_id").to_numpy(), within(unit(vectors(part.column("embedding"))) @ wanted.T, part, seen), names, candidates)
 
-    return passages.where("embedding is not null").select("doc_id", "embedding").mapInArrow(score, "question_id long, doc_id long, score double")
+    return passages.where("embedding is not null").select("doc_id", "embedding", *(scope.HELD if seen else ())).mapInArrow(score, "question_id long, doc_id long, score double"), sent
+
+
+def vectors(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -130,20 +172,23 @@ def lexical_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEF
     That is cover density for a pure OR query. ``words`` makes a text's words: without stop words, or their stems too
     (:func:`strataq.functions.english.english`).
     """
-    asked = questions.select("question_id", F.array_distinct(words(F.col("question"))).alias("words"))
+    asked = questions.select("question_id", F.array_distinct(words(F.col("question"))).alias("words"), *scope.asked_columns(questions))
     # which words of a passage are stop words doesn't matter: no question asks for one
     own = T.lexemes if words is content_words else words
-    return best_lexical(passages.select("doc_id", F.coalesce(own(F.col(text)), F.array().cast("array<string>")).alias("words")), asked, candidates)
+    held = passages.select("doc_id", F.coalesce(own(F.col(text)), F.array().cast("array<string>")).alias("words"), *(scope.HELD if scope.is_scoped(questions) else ()))
+    return best_lexical(held, asked, candidates)
 
 
 def best_lexical(held: DataFrame, asked: DataFrame, candidates: int = DEFAULTS.candidates) -> DataFrame:
     """The lexical arm on the words of passages (doc_id, words) and questions (question_id, words)."""
     n = lambda counts, _: counts
-    scored = united([_word_scores(held, block, candidates, n, lambda n: n / (n + 10)) for block in word_blocks(asked.collect(), MOST_VECTORS, MOST_CELLS)] or [_word_scores(held, [], candidates, n, n)])
+    blocks = (part for block in question_blocks(asked, MOST_VECTORS) for part in word_blocks(block, MOST_VECTORS, MOST_CELLS))
+    frames = by_blocks(blocks, lambda block: _word_scores(held, block, candidates, n, lambda n: n / (n + 10)))
+    scored = united(frames or [_word_scores(held, [], candidates, n, n)[0]])
     return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("sparse_score")), "sparse_score", candidates, "sparse_rank")
 
 
-def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable, score: Callable, worth: dict[str, float] | None = None) -> DataFrame:
+def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable, score: Callable, worth: dict[str, float] | None = None) -> tuple[DataFrame, Broadcast]:
     """(question_id, doc_id, score): each batch's best for each question.
 
     The counts of the questions' words, documents by words, are weighted (``weight`` of counts and lengths), multiplied with
@@ -155,11 +200,11 @@ def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable
     has = np.zeros((len(vocabulary), len(asked)))
     for j, r in enumerate(asked):
         has[[place[w] for w in r.words], j] = [worth.get(w, 0.0) for w in r.words] if worth else 1
-    sent_words = held.sparkSession.sparkContext.broadcast((vocabulary, has))
+    sent_words = held.sparkSession.sparkContext.broadcast((vocabulary, has, scope_of(asked)))
     rows = max(1, BATCH_CELLS // max(1, len(vocabulary)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, matrix = sent_words.value
+        words, matrix, seen = sent_words.value
         known, any_of = pa.array(words, pa.string()), (matrix != 0).astype(np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -171,20 +216,20 @@ def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable
                 cells = owner[hit] * len(words) + index.drop_null().to_numpy()
                 counts = np.bincount(cells, minlength=len(lists) * len(words)).reshape(len(lists), len(words)).astype(np.float64)
                 found = (counts > 0).astype(np.float32) @ any_of > 0
-                yield best_of_batch(part.column("doc_id").to_numpy(), np.where(found, score(weight(counts, lengths[:, None]) @ matrix), -2.0), names, candidates)
+                yield best_of_batch(part.column("doc_id").to_numpy(), within(np.where(found, score(weight(counts, lengths[:, None]) @ matrix), -2.0), part, seen), names, candidates)
 
-    return held.mapInArrow(scan, "question_id long, doc_id long, score double")
+    return held.mapInArrow(scan, "question_id long, doc_id long, score double"), sent_words
 
 
-def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text") -> DataFrame:
-    """(doc_id, identifier) for each identifier that a text holds (case ignored; ``_`` and ``%`` are wildcards).
+def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ``carried``, identifier) for each identifier that a text holds (case ignored; ``_`` and ``%`` are wildcards).
 
     Each text is read once, whatever the number of identifiers: an Aho-Corasick automaton finds the parts between
     wildcards, and only where all parts of an identifier occur is its pattern tried.
     """
-    parts = {i: [p for p in re.split("[_%]+", i.lower()) if p] for i in identifiers}
+    parts, names = {i: [p for p in re.split("[_%]+", i.lower()) if p] for i in identifiers}, ["doc_id", *carried]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick  # needed by this arm alone
 
         automaton, owners = ahocorasick.Automaton(), defaultdict(set)
@@ -199,25 +244,39 @@ def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "te
         pattern = {i: re.compile("".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in i.lower()), re.S) for i in parts}
         for batch in batches:
             out = []
-            for doc_id, held in zip(batch["doc_id"], batch["held"], strict=True):
+            for k, held in enumerate(batch.column("held").to_pylist()):
                 if held is None:
                     continue
                 low = held.lower()
                 there = {p for _, p in automaton.iter(low)} if owners else set()
                 near = {i for p in there for i in owners[p] if all(x in there for x in parts[i])}
-                out += [(doc_id, i) for i in sorted([*near, *any_of]) if ("_" not in i and "%" not in i) or pattern[i].search(low)]
-            yield pd.DataFrame(out, columns=["doc_id", "identifier"])
+                out += [(k, i) for i in sorted([*near, *any_of]) if ("_" not in i and "%" not in i) or pattern[i].search(low)]
+            columns = [batch.column(c).take(pa.array([k for k, _ in out], pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([i for _, i in out], pa.string())], [*names, "identifier"])
 
-    return passages.select("doc_id", F.col(text).alias("held")).mapInPandas(scan, "doc_id long, identifier string")
+    schema = passages.select(*names).withColumn("identifier", F.lit("")).schema
+    return passages.select(*names, F.col(text).alias("held")).mapInArrow(scan, schema)
+
+
+def asked_identifiers(questions: DataFrame) -> DataFrame:
+    """(question_id, identifier, ...) for each different identifier of 2 to 64 characters."""
+    ids = F.filter(F.transform("identifiers", lambda i: F.trim(i)), lambda i: F.length(i).between(2, 64))
+    return questions.select("question_id", F.explode(F.array_distinct(ids)).alias("identifier"), *scope.asked_columns(questions))
 
 
 def identifier_arm(passages: DataFrame, questions: DataFrame, candidates: int = DEFAULTS.candidates, text: str = "text") -> DataFrame:
     """Passages that hold a question's identifiers (2 to 64 characters), by how many."""
-    ids = F.filter(F.transform("identifiers", lambda i: F.trim(i)), lambda i: F.length(i).between(2, 64))
-    q = questions.select("question_id", F.explode(F.array_distinct(ids)).alias("identifier"))
-    names = [r[0] for r in q.select("identifier").distinct().collect()]
-    found = united([identifier_hits(passages, block, text) for block in in_blocks(names, MOST_BROADCAST) or [[]]])
-    hits = found.join(sent(q), "identifier").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
+    q = asked_identifiers(questions)
+    carried = scope.HELD if scope.is_scoped(questions) else ()
+    names = q.select("identifier").distinct().withColumnRenamed("identifier", "question_id")
+    found = united([identifier_hits(passages, [r[0] for r in block], text, carried) for block in question_blocks(names, MOST_BROADCAST)] or [identifier_hits(passages, [], text, carried)])
+    return by_hits(found, q, candidates)
+
+
+def by_hits(found: DataFrame, asked: DataFrame, candidates: int) -> DataFrame:
+    """The identifier arm's ranks from (doc_id, identifier) and what was asked, within each question's scope."""
+    pairs = found.join(sent(asked), "identifier")
+    hits = (pairs.where(scope.may_see()) if scope.is_scoped(asked) else pairs).groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("ident_score"))
     return ranked(hits, "ident_score", candidates, "ident_rank")
 
 
@@ -246,17 +305,17 @@ def hybrid(passages: DataFrame, questions: DataFrame, settings: Settings = DEFAU
 
 
 def fuse_queries(rows: DataFrame, rrf_k: int = DEFAULTS.rrf_k) -> DataFrame:
-    """Unweighted fusion over sub-queries: rows question_id, query, position, doc_id, rrf, scores.
+    """Unweighted fusion over sub-queries: rows question_id, query, arrival, position, doc_id, rrf, scores.
 
     A question with a single sub-query keeps its own rrf. ``via`` lists the sub-queries that found a passage, and ``first_rank`` is
-    the place it had in the first of them.
+    the place it had in the first of them to arrive.
     """
     single = F.size(F.collect_set("query").over(W.partitionBy("question_id"))) == 1
     fused = rows.withColumn("single", single).groupBy("question_id", "doc_id").agg(
         F.round(F.when(F.first("single"), F.max("rrf")).otherwise(F.sum(1 / (rrf_k + F.col("position")))), 9).alias("rrf"),
         F.array_join(F.array_sort(F.collect_set("query")), "|").alias("via"),
         F.nullif(F.max(F.coalesce("dense_score", F.lit(0.0))), F.lit(0.0)).alias("dense_score"),
-        F.nullif(F.max(F.coalesce("sparse_score", F.lit(0.0))), F.lit(0.0)).alias("sparse_score"), F.min_by("position", "query").alias("first_rank"),
+        F.nullif(F.max(F.coalesce("sparse_score", F.lit(0.0))), F.lit(0.0)).alias("sparse_score"), F.min_by("position", "arrival").alias("first_rank"),
     )
     return fused.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("rrf"), "doc_id")))
 
@@ -348,24 +407,47 @@ def rerank_text(title: Column, path: Column, context: Column, content: Column, b
 
 
 def bm25(passages: DataFrame, questions: DataFrame, limit: int = DEFAULTS.candidates, k1: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
-    """BM25 of each question's words: how many passages have each of them is counted first, then batches are scored."""
-    held = passages.select("doc_id", F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    """BM25 of each question's words: the passages' words are stored once, counted for each block of questions, then batches are scored.
+
+    Passages that come with stored ``words`` aren't read as text at all.
+    """
+    carried = scope.HELD if scope.is_scoped(questions) else ()
+    own = "words" if "words" in passages.columns else F.coalesce(T.lexemes(F.col(text)), F.array().cast("array<string>")).alias("words")
+    held = written(passages.select("doc_id", own, *carried), "words")
     docs, mean = held.agg(F.count("*"), F.avg(F.size("words"))).first()
-    q = questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words"))
+    q = questions.select("question_id", F.array_distinct(T.lexemes(F.col("question"))).alias("words"), *scope.asked_columns(questions))
 
     def weight(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths / max(mean or 0, 1e-9)))
 
-    frames = []
-    for block in word_blocks(q.collect(), MOST_VECTORS, MOST_CELLS):
-        names = held.sparkSession.createDataFrame([(w,) for w in sorted({w for r in block for w in r.words})], "lexeme string")
-        df = held.select(F.explode(F.array_distinct("words")).alias("lexeme")).join(sent(names), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df")).collect()
-        idf = {r.lexeme: math.log(1 + (docs - r.df + 0.5) / (r.df + 0.5)) for r in df}
-        frames.append(_word_scores(held, block, limit, weight, lambda x: x, idf))
-    scored = united(frames or [_word_scores(held, [], limit, weight, lambda x: x)])
+    def score(block: list) -> tuple[DataFrame, Broadcast]:
+        df = document_counts(held, sorted({w for r in block for w in r.words}))
+        return _word_scores(held, block, limit, weight, lambda x: x, {w: math.log(1 + (docs - n + 0.5) / (n + 0.5)) for w, n in df.items()})
+
+    frames = by_blocks((part for block in question_blocks(q, MOST_VECTORS) for part in word_blocks(block, MOST_VECTORS, MOST_CELLS)), score)
+    scored = united(frames or [_word_scores(held, [], limit, weight, lambda x: x)[0]])
     return ranked(scored.select("question_id", "doc_id", F.round("score", 6).alias("bm25")), "bm25", limit)
 
 
+def document_counts(held: DataFrame, words: list[str]) -> dict[str, int]:
+    """How many rows have each of some ``words``, counted by task."""
+    sent_words = held.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent_words.value, pa.string())
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                lists = batch.column("words").slice(at, 500)
+                index = pc.index_in(lists.flatten(), value_set=known)
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[index.is_valid().to_numpy(zero_copy_only=False)]
+                total += np.bincount(np.unique(owner * len(known) + index.drop_null().to_numpy()) % max(len(known), 1), minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["word", "n"])
+
+    rows = held.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {words[r.word]: r.n for r in rows}
+
+
 def probe_cache(questions: DataFrame, cached: DataFrame, floor: float = DEFAULTS.cache_floor) -> DataFrame:
     """The nearest cached answer with the same owner, mode and scope, if it is near enough.
 
@@ -375,7 +457,7 @@ def probe_cache(questions: DataFrame, cached: DataFrame, floor: float = DEFAULTS
     group = lambda owner, mode, scope: F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("+"), owner), F.lit("-")), mode, scope)
     asked = questions.where("vector is not null and mode is not null and scope_key is not null").select("question_id", "vector", group("owner_id", "mode", "scope_key").alias("group"))
     held = cached.where("cached_vector is not null and cached_mode is not null and cached_scope is not null").select("cached_id", "cached_vector", group("cached_owner", "cached_mode", "cached_scope").alias("group"))
-    frames = [_nearest(held, block) for block in in_blocks(asked.collect(), MOST_VECTORS)]
+    frames = by_blocks(question_blocks(asked, MOST_VECTORS), lambda block: _nearest(held, block))
     kinds = [questions.schema["question_id"].dataType, cached.schema["cached_id"].dataType]
     if not frames:
         return cached.sparkSession.createDataFrame([], "question_id long, cached_id long, similarity double").select(F.col("question_id").cast(kinds[0]), F.col("cached_id").cast(kinds[1]), "similarity")
@@ -384,7 +466,7 @@ def probe_cache(questions: DataFrame, cached: DataFrame, floor: float = DEFAULTS
     return scored.withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("similarity") >= floor)).drop("rn")
 
 
-def _nearest(held: DataFrame, asked: list) -> DataFrame:
+def _nearest(held: DataFrame, asked: list) -> tuple[DataFrame, Broadcast]:
     places: dict[str, list[int]] = defaultdict(list)
     for k, r in enumerate(asked):
         places[r.group].append(k)
@@ -396,16 +478,16 @@ def _nearest(held: DataFrame, asked: list) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                vectors = unit(part.column("cached_vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                own_vectors = unit(vectors(part.column("cached_vector")))
                 ids, groups = part.column("cached_id").cast(pa.int64()).to_numpy(), part.column("group").dictionary_encode()
                 index = groups.indices.to_numpy()
                 for k, name in enumerate(groups.dictionary.to_pylist()):
                     if own := places.get(name):
                         rows = np.flatnonzero(index == k)
-                        found = best_of_batch(ids[rows], vectors[rows] @ wanted[own].T, names[own], 1)
+                        found = best_of_batch(ids[rows], own_vectors[rows] @ wanted[own].T, names[own], 1)
                         yield found.rename_columns(["question_id", "cached_id", "similarity"])
 
-    return held.mapInArrow(scan, "question_id long, cached_id long, similarity double")
+    return held.mapInArrow(scan, "question_id long, cached_id long, similarity double"), sent_questions
 
 
 def scope_key(ids: Column) -> Column:

@@ -18,6 +18,7 @@ from strataq.config import DEFAULTS, Settings
 from strataq.functions import english
 from strataq.functions import text as T
 from strataq.operators import retrieval as R
+from strataq.operators import scope
 from strataq.operators.audit import ledger
 from strataq.operators.dml import keep_best
 from strataq.tables import written
@@ -27,59 +28,24 @@ MOST_PASSAGES, PASSAGE_CHARS = 15, 4_000
 
 
 def permitted(asked: DataFrame, documents: DataFrame) -> DataFrame:
-    """What each request (request_id, owner_id, requested) may search: request_id, document_ids, n_documents.
+    """What each request (request_id, owner_id, requested) may search, as a relation: (request_id, document_id).
 
-    The requested ids as far as the owner may see them: ids of others' documents are dropped, and a request of nothing but
-    such has an empty list, which is nothing and not everything. Null where no ids were requested: all that the owner sees,
-    which is counted but not listed.
+    Ready documents that nothing supersedes, public ones and the owner's own, narrowed to the requested ids where there are some. A
+    request that may see nothing has no row: a missing list is never everything. This is the rule that the arms apply to scoped questions.
     """
-    seen = documents.where("superseded_by is null and status = 'ready'").select("document_id", F.col("owner_id").alias("holder"))
-    wanted = asked.select("request_id", "owner_id", F.explode(F.array_distinct("requested")).alias("document_id")).join(seen, "document_id")
-    wanted = wanted.where(F.col("holder").isNull() | (F.col("holder") == F.col("owner_id"))).groupBy("request_id").agg(F.array_sort(F.collect_list("document_id")).alias("ids"))
-    public = seen.agg(F.count_if(F.col("holder").isNull()).alias("public"))
-    own = seen.where("holder is not null").groupBy("holder").agg(F.count("*").alias("own"))
-    rows = asked.join(wanted, "request_id", "left").join(own, F.col("owner_id") == F.col("holder"), "left").crossJoin(F.broadcast(public))
-    named = F.coalesce(F.size("requested"), F.lit(0)) > 0
-    ids = F.when(named, F.coalesce("ids", F.array().cast(wanted.schema["ids"].dataType)))
-    return rows.select("request_id", ids.alias("document_ids"), F.when(named, F.size(ids)).otherwise(F.col("public") + F.coalesce("own", F.lit(0))).cast("long").alias("n_documents"))
-
-
-def with_lexemes(passages: DataFrame, words: Callable[[Column], Column] = english.english, text: str = "text") -> DataFrame:
-    """``passages`` with their indexed words as a stored column, made once when they are written."""
-    return passages.withColumn("lexemes", F.coalesce(words(F.col(text)), F.array().cast("array<string>")))
-
-
-def inverted_index(passages: DataFrame) -> DataFrame:
-    """(lexeme, doc_id, n): how often each passage has each word; counted within the passage, so without a shuffle."""
-    counts = F.aggregate(F.array_sort("lexemes"), F.array().cast("array<struct<lexeme:string,n:int>>"), _count_in_order)
-    return passages.select("doc_id", F.explode(counts).alias("one")).select("one.lexeme", "doc_id", "one.n")
-
-
-def _count_in_order(made: Column, word: Column) -> Column:
-    last = F.try_element_at(made, F.lit(-1))
-    more = F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.struct(word.alias("lexeme"), (last["n"] + 1).alias("n"))))
-    return F.when(last["lexeme"] == word, more).otherwise(F.concat(made, F.array(F.struct(word.alias("lexeme"), F.lit(1).alias("n")))))
-
-
-def write_index(index: DataFrame, path: str, files: int = 64) -> None:
-    """Stores an index in ranges of words, sorted, so that a reader skips all row groups without the words it asks for."""
-    index.repartitionByRange(files, "lexeme", "doc_id").sortWithinPartitions("lexeme", "doc_id").write.mode("overwrite").parquet(path)
-
-
-def indexed_arm(index: DataFrame, questions: DataFrame, words: Callable[[Column], Column] = english.english, candidates: int = DEFAULTS.candidates) -> DataFrame:
-    """The lexical arm on a stored index: only the rows of the questions' words are read, the texts not at all."""
-    asked = questions.select("question_id", F.array_distinct(words(F.col("question"))).alias("words"))
-    wanted = asked.select(F.explode("words").alias("lexeme")).distinct()
-    held = index.join(R.sent(wanted), "lexeme", "left_semi").groupBy("doc_id").agg(F.flatten(F.collect_list(F.expr("array_repeat(lexeme, n)"))).alias("words"))
-    return R.best_lexical(held, asked, candidates)
+    held = documents.where("superseded_by is null and status = 'ready'").select("document_id", F.col("owner_id").alias("holder"))
+    q = asked.select(F.col("request_id").alias("question_id"), *scope.asked_columns(asked))
+    frames = [scope.permissions(held, block) for block in R.question_blocks(q, R.MOST_VECTORS)] or [scope.permissions(held, [])]
+    return R.united(frames).withColumnRenamed("question_id", "request_id")
 
 
 def search(passages: DataFrame, chunks: DataFrame, questions: DataFrame, top_k: int = 6, settings: Settings = DEFAULTS) -> DataFrame:
     """One search for each question: the arms, reranking, neighbours, and numbers to cite.
 
     ``passages`` (doc_id, document_id, ordinal, text, embedding), ``chunks`` (document_id, ordinal, content) and ``questions``
-    (question_id, question, vector, identifiers). Rows question_id, found, marker, doc_id, relevance, content; a question
-    without any passage has one row with found 0.
+    (question_id, question, vector, identifiers). Questions with owner_id and requested find only what they may see: ``passages`` are then
+    those of :func:`strataq.operators.scope.searchable`, and neighbours are lines of documents that were found, so of no others. Rows
+    question_id, found, marker, doc_id, relevance, content; a question without any passage has one row with found 0.
     """
     weighted = F.concat_ws(" ", "question", *[F.array_join("identifiers", " ")] * 2)
     found = R.hybrid(passages, questions.withColumn("question", weighted), settings)

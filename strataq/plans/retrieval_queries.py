@@ -85,19 +85,19 @@ def scoped_search(spark, sf_dir):
 
 
 def cross_query_rrf(spark, sf_dir):
-    """The dense and the lexical list of each question as two sub-queries; questions divisible by 5 have one."""
+    """The lexical and then the dense list of each question as two sub-queries; questions divisible by 5 have one."""
     p, q = passages(spark, sf_dir), questions(spark, sf_dir)
     none = F.lit(None).cast("double")
-    a = R.dense_arm(p, q).select("question_id", F.lit("dense").alias("query"), F.col("dense_rank").alias("position"), "doc_id", (1 / (60 + F.col("dense_rank"))).alias("rrf"), "dense_score", none.alias("sparse_score"))
-    b = R.lexical_arm(p, q).where("question_id % 5 <> 0").select("question_id", F.lit("lexical").alias("query"), F.col("sparse_rank").alias("position"), "doc_id", (1 / (60 + F.col("sparse_rank"))).alias("rrf"), none.alias("dense_score"), "sparse_score")
+    a = R.dense_arm(p, q).select("question_id", F.lit("dense").alias("query"), F.lit(1).alias("arrival"), F.col("dense_rank").alias("position"), "doc_id", (1 / (60 + F.col("dense_rank"))).alias("rrf"), "dense_score", none.alias("sparse_score"))
+    b = R.lexical_arm(p, q).where("question_id % 5 <> 0").select("question_id", F.lit("lexical").alias("query"), F.lit(0).alias("arrival"), F.col("sparse_rank").alias("position"), "doc_id", (1 / (60 + F.col("sparse_rank"))).alias("rrf"), none.alias("dense_score"), "sparse_score")
     return R.fuse_queries(a.unionByName(b))
 
 
 CROSS_SQL = f"""WITH {P_SQL}, {DENSE_SQL}, {LEX_SQL},
-u AS (SELECT question_id, 'dense' AS query, dense_rank AS position, doc_id, dense_score, NULL::DOUBLE AS sparse_score FROM dense
-      UNION ALL SELECT question_id, 'lexical', sparse_rank, doc_id, NULL, sparse_score FROM sparse WHERE question_id % 5 <> 0),
+u AS (SELECT question_id, 'dense' AS query, 1 AS arrival, dense_rank AS position, doc_id, dense_score, NULL::DOUBLE AS sparse_score FROM dense
+      UNION ALL SELECT question_id, 'lexical', 0, sparse_rank, doc_id, NULL, sparse_score FROM sparse WHERE question_id % 5 <> 0),
 f AS (SELECT question_id, doc_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS rrf, string_agg(query, '|' ORDER BY query) AS via,
-        nullif(max(coalesce(dense_score, 0)), 0)::DOUBLE AS dense_score, nullif(max(coalesce(sparse_score, 0)), 0)::DOUBLE AS sparse_score, arg_min(position, query) AS first_rank FROM u GROUP BY ALL)
+        nullif(max(coalesce(dense_score, 0)), 0)::DOUBLE AS dense_score, nullif(max(coalesce(sparse_score, 0)), 0)::DOUBLE AS sparse_score, arg_min(position, arrival) AS first_rank FROM u GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, doc_id)::INT AS position FROM f"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import english, registry
 from strataq.functions import text as T
-from strataq.operators import ingest, reporting, search
+from strataq.operators import indexes, ingest, reporting, scope, search
 from strataq.operators import planning as P
 from strataq.operators import retrieval as R
 from strataq.plans import ingest_queries as I
@@ -25,11 +25,8 @@ def _fresh(spark, name):
 
 
 def inverted_index(spark, sf_dir):
-    """The index of all documents' content words, unstemmed, read back from storage."""
-    path = _fresh(spark, "index")
-    docs = search.with_lexemes(table(spark, sf_dir, "documents"), english.content_words)
-    search.write_index(search.inverted_index(docs), path, 8)
-    return spark.read.parquet(path)
+    """The index of all documents' content words, unstemmed."""
+    return indexes.inverted_index(indexes.with_lexemes(table(spark, sf_dir, "documents"), english.content_words))
 
 
 INDEX_SQL = rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+|\p{{N}}+')) AS lexeme FROM documents)
@@ -37,10 +34,47 @@ SELECT lexeme, doc_id, count(*)::INT AS n FROM w WHERE lexeme NOT IN {Q.STOP_SQL
 
 
 def indexed_arm(spark, sf_dir):
-    """The lexical arm's rows without reading a text: from the index alone."""
-    path = _fresh(spark, "index")
-    search.write_index(search.inverted_index(search.with_lexemes(Q.passages(spark, sf_dir), english.content_words)), path, 8)
-    return search.indexed_arm(spark.read.parquet(path), Q.questions(spark, sf_dir), english.content_words)
+    """The lexical arm's rows without reading a text: from stored postings, those of blocks that matter."""
+    path = _fresh(spark, "postings")
+    indexes.write_postings(indexes.postings(indexes.with_lexemes(Q.passages(spark, sf_dir), english.content_words)), path)
+    return indexes.indexed_arm(spark.read.parquet(path), Q.questions(spark, sf_dir), english.content_words)
+
+
+def _vectors(spark, sf_dir):
+    path, p = _fresh(spark, "vectors"), Q.passages(spark, sf_dir).select("doc_id", "embedding")
+    indexes.write_vectors(p, path)
+    return p, path
+
+
+def vector_index_arm(spark, sf_dir):
+    """The dense arm's rows from the vector index, all cells of which are looked into."""
+    return indexes.near_arm(spark, _vectors(spark, sf_dir)[1], Q.questions(spark, sf_dir), probes=indexes.MOST_CELLS)
+
+
+def vector_index_recall(spark, sf_dir):
+    """How many of the exact arm's rows all questions find by as many probes as some of them need for 95 %."""
+    (p, path), q = _vectors(spark, sf_dir), Q.questions(spark, sf_dir)
+    probes = indexes.enough_probes(p, path, q)
+    return indexes.recall(indexes.near_arm(spark, path, q, probes=probes), R.dense_arm(p, q)).withColumn("probes", F.lit(probes)).withColumn("cells", F.lit(len(indexes._centroids(spark, path))))
+
+
+def _named(spark, sf_dir):
+    """Questions whose identifiers are three strings of their texts and one of two characters."""
+    ids = [F.regexp_replace(F.substring("question", at, n), "[_%\\\\]", "") for at, n in ((1, 14), (30, 9), (60, 22))]
+    return Q.questions(spark, sf_dir).withColumn("identifiers", F.array(*ids, F.concat(F.lit("q"), (F.col("question_id") % 10).cast("string"))))
+
+
+def indexed_identifiers(spark, sf_dir):
+    """The identifier arm from stored trigrams."""
+    path, p = _fresh(spark, "trigrams"), Q.passages(spark, sf_dir)
+    indexes.write_trigrams(indexes.trigram_postings(p), path)
+    return indexes.indexed_identifiers(spark.read.parquet(path), p, _named(spark, sf_dir))
+
+
+NAMED_SQL = rf"""WITH {Q.P_SQL},
+i AS (SELECT DISTINCT question_id, identifier FROM (SELECT question_id, trim(unnest([regexp_replace(substring(question, 1, 14), '[_%\\]', '', 'g'), regexp_replace(substring(question, 30, 9), '[_%\\]', '', 'g'), regexp_replace(substring(question, 60, 22), '[_%\\]', '', 'g'), 'q' || (question_id % 10)])) AS identifier FROM q) WHERE length(identifier) BETWEEN 2 AND 64),
+h AS (SELECT question_id, doc_id, count(*)::INT AS ident_score FROM i JOIN p ON contains(lower(p.text), lower(identifier)) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ident_score DESC, doc_id)::INT AS ident_rank FROM h) WHERE ident_rank <= 40"""
 
 
 def stemmed_arm(spark, sf_dir):
@@ -48,20 +82,22 @@ def stemmed_arm(spark, sf_dir):
     return R.lexical_arm(Q.passages(spark, sf_dir), Q.questions(spark, sf_dir), words=english.english)
 
 
+def _requests(items):
+    """Owners of benchmark items and what they ask for: nothing named, an empty list, or ids of which some are others' or not there."""
+    some = F.array(F.col("item_id"), F.col("item_id") * 2, F.col("item_id") + 7, F.lit(-1).cast("long"))
+    return items.select("item_id", F.when(F.col("item_id") % 11 != 0, F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string"))).alias("owner_id"), F.when(F.col("item_id") % 3 == 1, some).when(F.col("item_id") % 3 == 2, F.array().cast("array<bigint>")).alias("requested"))
+
+
 def permitted_scope(spark, sf_dir):
-    """Requests of three owners: two ids each, one of them beyond the table, or none at all."""
+    """What each request may search: all that its owner sees where none are requested, be it by null or an empty list."""
     docs = I.ingest.chain_versions(I.docs(spark, sf_dir))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("owner_id"), F.when(F.col("item_id") % 3 != 0, F.array(F.col("item_id"), F.col("item_id") * 2, F.lit(-1).cast("long"))).alias("requested"))
-    rows = search.permitted(asked, docs)
-    return rows.select("request_id", F.array_join("document_ids", ",").alias("document_ids"), "n_documents")
+    return search.permitted(_requests(table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "request_id"), docs)
 
 
-PERMITTED_SQL = f"""WITH {I.D_SQL}, {I.V_SQL}, s AS (SELECT document_id, owner_id FROM v WHERE superseded_by IS NULL AND status = 'ready'),
-a AS (SELECT item_id AS request_id, 'src' || (item_id % 7) AS owner_id FROM benchmark),
-w AS (SELECT request_id, a.owner_id, unnest([request_id, request_id * 2]) AS document_id FROM a WHERE request_id % 3 <> 0),
-f AS (SELECT request_id, string_agg(document_id::VARCHAR, ',' ORDER BY document_id) AS ids, count(*) AS n FROM (SELECT DISTINCT w.request_id, document_id FROM w JOIN s USING (document_id) WHERE s.owner_id IS NULL OR s.owner_id = w.owner_id) GROUP BY 1),
-o AS (SELECT a.request_id, count(*) FILTER (WHERE s.owner_id IS NULL OR s.owner_id = a.owner_id) AS n FROM a, s GROUP BY 1)
-SELECT request_id, CASE WHEN request_id % 3 <> 0 THEN coalesce(f.ids, '') END AS document_ids, (CASE WHEN request_id % 3 <> 0 THEN coalesce(f.n, 0) ELSE o.n END)::BIGINT AS n_documents FROM a LEFT JOIN f USING (request_id) JOIN o USING (request_id)"""
+MAY_SQL = f"""{I.D_SQL}, {I.V_SQL}, s AS (SELECT document_id, owner_id FROM v WHERE superseded_by IS NULL AND status = 'ready'),
+a AS (SELECT item_id, CASE WHEN item_id % 11 <> 0 THEN 'src' || (item_id % 7) END AS owner, CASE WHEN item_id % 3 = 1 THEN [item_id, item_id * 2, item_id + 7, -1] WHEN item_id % 3 = 2 THEN []::BIGINT[] END AS requested FROM benchmark),
+may AS (SELECT item_id AS request_id, document_id FROM a JOIN s ON (s.owner_id IS NULL OR coalesce(s.owner_id = a.owner, false)) AND (coalesce(len(requested), 0) = 0 OR list_contains(requested, document_id)))"""
+PERMITTED_SQL = f"WITH {MAY_SQL} SELECT request_id, document_id FROM may"
 
 
 def _parents(p):
@@ -69,24 +105,35 @@ def _parents(p):
 
 
 def search_corpus(spark, sf_dir):
-    """Whole searches: six passages for each question, with their neighbours and numbers."""
+    """Whole searches by owners: six passages for each question of those that it may see, with their neighbours and numbers."""
     p = _parents(Q.passages(spark, sf_dir))
-    found = search.search(p, p.select("document_id", "ordinal", F.col("text").alias("content")), Q.questions(spark, sf_dir).withColumn("identifiers", F.array().cast("array<string>")))
+    docs = I.ingest.chain_versions(I.docs(spark, sf_dir))
+    q = Q.questions(spark, sf_dir).withColumn("identifiers", F.array().cast("array<string>")).join(_requests(table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "question_id"), "question_id")
+    found = search.search(scope.searchable(p, docs), scope.searchable(p, docs).select("document_id", "ordinal", F.col("text").alias("content")), q)
     return found.select("question_id", "found", "marker", "doc_id", "relevance", F.length("content").alias("n_content"))
 
 
-SEARCH_SQL = rf"""WITH {Q.P_SQL}, {Q.DENSE_SQL}, {Q.LEX_SQL},
+# ten passages of a document that may be seen or not as one; so the arms rank within (question, document) pairs that are permitted
+SCOPED_SQL = f"""{MAY_SQL},
+pp AS (SELECT p.*, doc_id // 10 AS document_id FROM p WHERE doc_id // 10 IN (SELECT document_id FROM s)),
+ds AS (SELECT question_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector::DOUBLE[]), 6) AS dense_score FROM q JOIN may ON request_id = question_id JOIN pp USING (document_id) WHERE embedding IS NOT NULL),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense_score DESC, doc_id)::INT AS dense_rank FROM ds) WHERE dense_rank <= 40),
+ql AS (SELECT DISTINCT question_id, lexeme FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '\\p{{L}}+|\\p{{N}}+')) AS lexeme FROM q) WHERE lexeme NOT IN {Q.STOP_SQL}),
+pc AS (SELECT doc_id, document_id, lexeme, count(*) AS c FROM (SELECT doc_id, document_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+|\\p{{N}}+')) AS lexeme FROM pp) GROUP BY ALL),
+ls AS (SELECT question_id, doc_id, round(sum(c) / (sum(c) + 10), 6) AS sparse_score FROM ql JOIN pc USING (lexeme) JOIN may ON request_id = question_id AND may.document_id = pc.document_id GROUP BY question_id, doc_id),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sparse_score DESC, doc_id)::INT AS sparse_rank FROM ls) WHERE sparse_rank <= 40)"""
+SEARCH_SQL = rf"""WITH {Q.P_SQL}, {SCOPED_SQL},
 j AS (SELECT coalesce(d.question_id, s.question_id) AS question_id, coalesce(d.doc_id, s.doc_id) AS doc_id,
         round(coalesce(0.5 / (60 + dense_rank), 0) + coalesce(0.5 / (60 + sparse_rank), 0), 9)::DOUBLE AS rrf
       FROM dense d FULL JOIN sparse s ON s.question_id = d.question_id AND s.doc_id = d.doc_id),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, doc_id)::INT AS position FROM j) WHERE position <= 40),
 w AS (SELECT f.question_id, f.doc_id, f.position, list_distinct(regexp_extract_all(lower(question), '\p{{L}}+|\p{{N}}+')) AS ql, regexp_extract_all(lower(p.text), '\p{{L}}+|\p{{N}}+') AS tl
-      FROM fused f JOIN p USING (doc_id) JOIN q USING (question_id)),
-s AS (SELECT question_id, doc_id, position, round(len(list_intersect(ql, tl)) / greatest(len(ql), 1), 6) AS score FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position)::INT AS marker FROM s),
+      FROM fused f JOIN pp p USING (doc_id) JOIN q USING (question_id)),
+sc AS (SELECT question_id, doc_id, position, round(len(list_intersect(ql, tl)) / greatest(len(ql), 1), 6) AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position)::INT AS marker FROM sc),
 b AS (SELECT * FROM r WHERE marker <= 6 AND (score >= 0.015 OR marker = 1)),
 e AS (SELECT b.question_id, b.doc_id, least(4000, length(string_agg(p.text, chr(10) || chr(10) ORDER BY p.doc_id))) AS n_content
-      FROM b JOIN p ON p.doc_id // 10 = b.doc_id // 10 AND p.doc_id BETWEEN b.doc_id - 1 AND b.doc_id + 1 GROUP BY ALL)
+      FROM b JOIN pp p ON p.doc_id // 10 = b.doc_id // 10 AND p.doc_id BETWEEN b.doc_id - 1 AND b.doc_id + 1 GROUP BY ALL)
 SELECT q.question_id, count(b.doc_id) OVER (PARTITION BY q.question_id) AS found, marker, b.doc_id, round(score, 3) AS relevance, n_content::INT AS n_content
 FROM q LEFT JOIN b USING (question_id) LEFT JOIN e ON e.question_id = q.question_id AND e.doc_id = b.doc_id"""
 
@@ -282,9 +329,9 @@ o AS (SELECT k.* FROM k JOIN d a ON a.document_id = k.document_id JOIN d b ON b.
 e AS (SELECT document_id AS x, supersedes AS y FROM o UNION SELECT supersedes, document_id FROM o),
 l AS (SELECT document_id AS root, document_id FROM v WHERE superseded_by IS NULL AND supersedes IS NOT NULL UNION SELECT l.root, e.y FROM l JOIN e ON e.x = l.document_id) SELECT root, document_id FROM l"""
 
-QUERIES = {f.__name__: f for f in (inverted_index, indexed_arm, stemmed_arm, permitted_scope, search_corpus, citations, insert_documents, hop_pool, rerank_fallback, rerank_scorer, answer_checks, metric_regressions, eval_record, failed_documents, halved_contexts, embed_with_retries, chunk_sink, url_load, newest_documents, largest_documents, pending_documents, conversation_chars, finite_scores, sql_functions, lineage_of_owner)}
+QUERIES = {f.__name__: f for f in (inverted_index, indexed_arm, vector_index_arm, vector_index_recall, indexed_identifiers, stemmed_arm, permitted_scope, search_corpus, citations, insert_documents, hop_pool, rerank_fallback, rerank_scorer, answer_checks, metric_regressions, eval_record, failed_documents, halved_contexts, embed_with_retries, chunk_sink, url_load, newest_documents, largest_documents, pending_documents, conversation_chars, finite_scores, sql_functions, lineage_of_owner)}
 ORACLES = {
-    "inverted_index": INDEX_SQL, "indexed_arm": Q.ORACLES["lexical_arm"], "permitted_scope": PERMITTED_SQL, "search_corpus": SEARCH_SQL, "insert_documents": INSERT_SQL,
+    "inverted_index": INDEX_SQL, "indexed_arm": Q.ORACLES["lexical_arm"], "vector_index_arm": Q.ORACLES["dense_arm"], "indexed_identifiers": NAMED_SQL, "permitted_scope": PERMITTED_SQL, "search_corpus": SEARCH_SQL, "insert_documents": INSERT_SQL,
     "citations": f"""{Q.ALL_SQL}, c AS (SELECT DISTINCT question_id, unnest([1, question_id % 15 + 1]) AS marker FROM q),
       r AS (SELECT c.question_id, c.marker::INT AS marker, doc_id, rrf AS score FROM c JOIN fused f ON f.question_id = c.question_id AND f.position = c.marker WHERE position <= 12)
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY marker)::INT AS place FROM r""",

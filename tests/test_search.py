@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataq.config import Settings
 from strataq.functions.english import STOP_WORDS, content_words, english, stem
-from strataq.operators import chunking, ingest, reporting, search
+from strataq.operators import chunking, indexes, ingest, reporting, search
 from strataq.plans import catalog
 from strataq.plans import retrieval_queries as Q
 from strataq.tables import shared_folder
@@ -44,8 +44,8 @@ def test_stemmed_arm_finds_other_forms(spark, sf_dir):
 
 
 def test_index_is_read_by_word(spark, sf_dir):
-    docs = search.with_lexemes(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None)], "doc_id long, text string"), lambda t: F.split(t, " "))
-    assert sorted(tuple(r) for r in search.inverted_index(docs).collect()) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 2)]
+    docs = indexes.with_lexemes(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None)], "doc_id long, text string"), lambda t: F.split(t, " "))
+    assert sorted(tuple(r) for r in indexes.inverted_index(docs).collect()) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 2)]
 
 
 def test_hops_go_on_only_where_they_must(spark):
