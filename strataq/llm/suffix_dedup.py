@@ -253,7 +253,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     discard(some)
     known = strings.groupBy("gram", "key").agg(F.min(_place()).alias("at"), F.count("*").alias("k")).where("k > 1").select("gram", "key", "at")
     single = strings.join(known, ["gram", "key"]).where(_place() > F.col("at")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
-    ranges = whole.unionByName(again).unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    # rows that are the same text of the same doc_id name the same ranges: a set, so that many such rows don't make a long list
+    ranges = whole.unionByName(again).unionByName(single).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     ranges = written(ranges, "ranges")
     discard(whole, again, strings)
     return ranges
