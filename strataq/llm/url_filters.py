@@ -4,7 +4,8 @@ Each host has a tree of path segments. Variable segments (numbers, hex ids) beco
 so do words too rare below their parent to be a branch. Then, from the deepest level up, branches whose children and labels
 look like those of all their siblings together are merged into one wildcard; a branch with too few labelled urls
 never is, as nothing then shows it to be similar. What is left are templates. A template is rejected if its smoothed
-share of blocked urls among labelled ones is high; labels come from the rules, whose own urls they decide.
+share of blocked urls among labelled ones is high and it has enough of those itself: smoothing alone, towards the share of the
+whole table, rejects nothing. Labels come from the rules, whose own urls they decide.
 
 All counts are grouped sums with partial aggregation, so a host with a third of all pages is no hot spot; counts return
 to their urls through equi-joins that adaptive execution can split. Each level that the paths have, ``depth`` at most, is
@@ -45,7 +46,7 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 class TreeLimits:
     min_support: int = 8  # urls that make a word a branch
     min_share: float = 0.01  # of its parent's urls
-    min_labels: int = 8  # labelled urls that a branch needs to be compared
+    min_labels: int = 8  # labelled urls that a branch needs to be compared, and a template to be rejected
     max_distance: float = 0.25  # between child distributions of a branch and of all siblings
     max_z: float = 2.0  # between their blocked shares
     smoothing: float = 4.0  # labelled urls that the overall share counts for
@@ -138,7 +139,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, limits: TreeLimi
     # 3. smoothed purity of each template; the overall share is one row
     overall = paths.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("prior"))
     purity = (F.sum("blocked") + limits.smoothing * F.first("prior")) / (F.sum("labelled") + limits.smoothing)
-    pure = tree.crossJoin(F.broadcast(overall)).groupBy("host", "template").agg(purity.alias("purity"))
+    pure = tree.crossJoin(F.broadcast(overall)).groupBy("host", "template").agg(purity.alias("purity"), F.sum("labelled").alias("labels"))
     verdicts = tree.select("host", "parts", "template").join(pure, ["host", "template"])
-    verdict = F.coalesce("ruled", F.when(F.col("purity") >= limits.purity, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("ruled", F.when((F.col("purity") >= limits.purity) & (F.col("labels") >= limits.min_labels), F.lit("block")).otherwise(F.lit("allow")))
     return urls.join(verdicts, ["host", "parts"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
