@@ -7,12 +7,12 @@ in the slots are compared: the same value of the item must stand for one value o
 A pair is reported if enough of the item is covered by consistent windows.
 
 A template with fewer than ``LITERALS`` plain words says too little (nouns are capitalised in German, tables are all
-numbers): such windows are joined by their words as they stand. So are items of fewer words than a window, as a whole.
+numbers, a passage in capitals all names): such windows are joined by their words as they stand, case ignored, with which all
+windows of items are known too. So are items of fewer words than a window, as a whole. In scripts without blanks each character is a word.
 The benchmark is broadcast in blocks of at most ``MOST_BROADCAST`` windows, each with a pass over the documents.
 
-Defined results: null and empty texts match nothing; items of fewer than ``shortest`` words say too little on their own
-and are not looked for; as capital letters make names, a text in capitals throughout meets items by what is plain in both;
-rows that repeat a doc_id or an item_id are taken together; null ids match nothing; columns besides the ids and
+Defined results: null and empty texts match nothing; an item of a single word is found wherever the word is, unless ``shortest``
+says that items need more words to be looked for; rows that repeat a doc_id or an item_id are taken together; null ids match nothing; columns besides the ids and
 texts are ignored; an empty table on either side gives an empty result.
 """
 
@@ -30,11 +30,13 @@ LITERALS = 4
 MOST_BROADCAST = 500_000
 #: Fixed list of unit words; only after a number are they units.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent", "degrees", "liters", "meters", "kilometers", "grams", "kilograms")
-_WORD = r"\p{N}[\p{N}.,]*|[\p{L}\p{M}]+"
+#: Scripts that are written without blanks.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"\p{{N}}[\p{{N}}.,]*|[{_UNSPACED}&&\p{{L}}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"
 
 
 def words_of(text: Column) -> Column:
-    """Numbers and letter runs of a text."""
+    """Numbers and letter runs of a text, and each letter of a script without blanks."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
 
 
@@ -53,9 +55,11 @@ def canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(rows: DataFrame, key: str, window: int, shorter: list[int]) -> DataFrame:
+def windows(rows: DataFrame, key: str, window: int, shorter: list[int], both: bool = False) -> DataFrame:
     """(key, at, h): a 64-bit hash of each window of ``canon``, and of each of ``shorter`` words; ``at`` counts words from 0.
 
+    With ``both`` a window that is rich in plain words has one more of its words as they stand.
+
     Doubling: a window of 2k is one of k and the one k places later, so few steps make a long window. Each
     step is a column of its own, since an expression that is used twice would be computed twice.
     """
@@ -77,6 +81,8 @@ def windows(rows: DataFrame, key: str, window: int, shorter: list[int]) -> DataF
         return F.when(F.size("words") >= n, F.transform(places, lambda i: F.struct(i.alias("at"), as_they_stand(i, n).alias("h")))).otherwise(F.array())
 
     short = [whole(n) for n in shorter]
+    if both:
+        short.append(F.filter(F.transform("plain", lambda p, i: F.when(p >= LITERALS, F.struct(i.alias("at"), as_they_stand(i, window).alias("h")))), lambda x: x.isNotNull()))
     rows = rows.select(key, (F.concat(own, *short) if short else own).alias("all"))
     # the outer form: for the other one a filter on the array's size would be computed apart, from the words on
     return rows.select(key, F.explode_outer("all").alias("one")).where("one is not null").select(key, "one.at", "one.h")
@@ -86,7 +92,7 @@ def _tokens(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(key, words_of(F.col("text")).alias("words")).select(key, "words", canonical(F.col("words")).alias("canon"))
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, enough: int = 30, consistency: float = 0.75, shortest: int = 4) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, enough: int = 30, consistency: float = 0.75, shortest: int = 1) -> DataFrame:
     """doc_id, item_id, n_words (of the item, covered), coverage and consistency of each pair to be reported.
 
     A pair is reported if ``coverage`` of the item's words, or ``enough`` of them, are covered.
@@ -96,7 +102,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     length = F.size("words")
     shorter = sorted(r[0] for r in items.where(length.between(shortest, window - 1)).select(length).distinct().collect())  # fewer than a window's words
     # of an item that is shorter than a window only the whole is looked for
-    known = [windows(items, "item_id", window, []), *(windows(items.where(length == n), "item_id", window, [n]) for n in shorter)]
+    known = [windows(items, "item_id", window, [], both=True), *(windows(items.where(length == n), "item_id", window, [n]) for n in shorter)]
     known = written(reduce(DataFrame.unionByName, known).select("h", "item_id", F.col("at").alias("item_at")).distinct(), "known")
     parts = known.count() // MOST_BROADCAST + 1
     hits = []

@@ -322,6 +322,17 @@ def test_url_templates_reject_by_purity(spark):
     assert {(u.path.split("/")[1], u.verdict) for u in got} == {("spam", "block"), ("good", "allow")}
 
 
+def test_templates_without_labels_are_not_rejected(spark):
+    rules = [url_filters.Rule("block", "a.org", "/es/")]
+    urls = [f"http://a.org/es/{k}" for k in range(20)] + ["http://shop.example.info/about/us", "https://wiki.test/page", "http://a.org/fr/3"]
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == dict.fromkeys(range(20), "block") | {20: "allow", 21: "allow", 22: "allow"}
+    spam = url_filters.Rule("block", "b.org", "/x/spam1")  # urls beside it, of the same template, are rejected with it
+    many = [f"http://b.org/x/spam{k}" for k in range(100, 200)] * 2 + ["http://b.org/x/other"]
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(spark.createDataFrame(list(enumerate(many)), "page_id long, url string"), [spam, *rules], url_filters.TreeLimits()).collect()}
+    assert got[200] == "block" and set(got.values()) == {"block"}
+
+
 def templates_by_brute_force(urls, rules, limits):
     """page_id: (template, verdict), by the definitions in the operator's docstring."""
     rows = []
@@ -373,7 +384,7 @@ def templates_by_brute_force(urls, rules, limits):
     by = defaultdict(list)
     for r in rows:
         by[r[1], tuple(r[2])].append(r[3])
-    purity = {k: (v.count("block") + limits.smoothing * prior) / (sum(x is not None for x in v) + limits.smoothing) for k, v in by.items()}
+    purity = {k: (v.count("block") + limits.smoothing * prior) / (sum(x is not None for x in v) + limits.smoothing) if sum(x is not None for x in v) >= limits.min_labels else 0 for k, v in by.items()}
     return {i: ("/" + "/".join(p), v or ("block" if purity[h, tuple(p)] >= limits.purity else "allow")) for i, h, p, v in rows}
 
 
@@ -400,6 +411,17 @@ def test_url_tree_equals_brute_force(spark):
     assert any("{branch}" in t for t, _ in got.values()) and any(v == "block" for _, v in got.values())
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    text = " ".join(f"word{k} some{k % 7}" for k in range(100))
+    rows = [(1, text)] * 400 + [(2, text + " end")] + [(3, "alone " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ranges = suffix_dedup.repeats(docs).collect()
+    assert max(len(r.ranges) for r in ranges) <= 3 * len(text) // 25  # not once more for each row
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    size = len(text.encode())
+    assert len(got) == 402 and {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (2, size), (3, 0)}  # rows of one doc_id and text are one document
+
+
 def test_language_id_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -449,9 +471,9 @@ def test_decontamination_finds_copies_and_templates(spark):
     assert got == {(1, 10), (2, 10), (7, 10)}
 
 
-def leaks_by_brute_force(docs, bench, window=8, literals=4, shortest=4):
+def leaks_by_brute_force(docs, bench, window=8, literals=4, shortest=1):
     """Pairs to be reported: coverage of an item by windows that meet it, alignment by alignment, with consistent slots."""
-    parts = re.compile(r"\d[\d.,]*|[^\W\d_]+")
+    parts = re.compile(r"\d[\d.,]*|[\u4e00-\u9fff\u3040-\u30ff]|[^\W\d_\u4e00-\u9fff\u3040-\u30ff]+")
 
     def read(text):
         words = parts.findall(text or "")
@@ -467,11 +489,14 @@ def leaks_by_brute_force(docs, bench, window=8, literals=4, shortest=4):
                 canon.append(w.lower())
         return words, canon
 
-    def marks(words, canon, size):
+    def marks(words, canon, size, both=False):
         for k in range(len(words) - size + 1):
             own = canon[k : k + size]
             poor = size < window or sum(w[0] != "#" for w in own) < literals
-            yield k, (size, poor, tuple(w.lower() for w in words[k : k + size]) if poor else tuple(own))
+            if not poor:
+                yield k, (size, False, tuple(own))
+            if poor or both:
+                yield k, (size, True, tuple(w.lower() for w in words[k : k + size]))
 
     found = set()
     for item_id, item in bench:
@@ -480,7 +505,7 @@ def leaks_by_brute_force(docs, bench, window=8, literals=4, shortest=4):
             continue
         size = min(window, len(words))
         theirs = defaultdict(list)
-        for k, m in marks(words, canon, size):
+        for k, m in marks(words, canon, size, True):
             theirs[m].append(k)
         for doc_id, text in docs:
             said, form = read(text)
@@ -511,9 +536,13 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         if k % 3:
             words = [r.choice(["5", "Eva", w]) if w[0].isupper() or w[0].isdigit() else w for w in words]
         docs.append((k, " ".join(words)))
+    chinese = "如果小明有十二个苹果他给了小红五个那么他现在还剩下多少个苹果请写出计算过程并回答"
+    bench += [(91, chinese), (92, "lone"), (93, "what now"), (94, "If Anna buys 12 apples at the old market near the river how much does each of them cost in the end")]
+    docs += [(910, "前面的文字" + chinese + "后面的文字还有一些"), (911, chinese[:15]), (912, "a Lone word"), (913, "so what now then"), (914, bench[-1][1].upper()), (915, "plain words before " + bench[-1][1].upper() + " and after it"), (916, bench[-1][1].title())]
+    bench.append(bench.pop(40))
     docs += [(900, "Vorher. " + bench[-1][1] + " Nachher."), (901, bench[-1][1].replace("Hans", "Karl")), (None, bench[0][1]), (902, None), (903, "")]
     expected = leaks_by_brute_force(docs, bench)
-    assert (900, 90) in expected and len(expected) > 60
+    assert {(900, 90), (910, 91), (912, 92), (913, 93), (914, 94), (915, 94), (916, 94)} <= expected and (911, 91) not in expected and len(expected) > 60
     for most in (500_000, 50):  # all windows at once, or block by block
         monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
         got = decontamination.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
