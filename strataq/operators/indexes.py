@@ -259,8 +259,11 @@ def _pruned(blocks: DataFrame, asked: list, candidates: int, first: int) -> tupl
             _, one = np.unique(at, return_index=True)
             documents, holders = (left.column(c).combine_chunks().flatten().take(pa.array(one)) for c in ("document_ids", "holders"))
             scores = np.where(seen.allowed(documents, holders)[:, own], scores, 0)
-        found = R.best_of_batch(docs, np.where(scores > 0, scores, -2.0), names[own], candidates)
-        return pa.Table.from_batches([found]).cast(out)
+        # equal scores by doc_id, of which ``docs`` has them in order: no more than the candidates leave a block, however many are alike
+        keys = scores.astype(np.int64) * len(docs) + np.arange(len(docs) - 1, -1, -1)[:, None]
+        least = np.partition(keys, len(docs) - candidates, axis=0)[len(docs) - candidates] if len(docs) > candidates else 0
+        row, column = np.nonzero((keys >= least) & (scores > 0))
+        return pa.table([pa.array(names[own][column]), pa.array(docs[row]), pa.array(scores[row, column].astype(np.int64))], schema=out)
 
     def scored(wanted: DataFrame, name: str) -> DataFrame:
         columns = ["lexeme", "block", "ids", "ns", *(f"{c}s" for c in scope.HELD if seen)]
