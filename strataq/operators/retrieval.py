@@ -117,6 +117,13 @@ def best_of_batch(ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, candid
     else:
         keep = scores > -1.5
     rows, columns = np.nonzero(keep)
+    if len(rows) > 2 * candidates * len(asked):  # of many copies, which score alike, the first ones by id
+        order = np.lexsort((ids[rows], scores[rows, columns], columns))
+        rows, columns = rows[order], columns[order]
+        value = scores[rows, columns]
+        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (columns[1:] != columns[:-1])]))
+        among = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < candidates
+        rows, columns = rows[among], columns[among]
     return pa.RecordBatch.from_arrays([pa.array(asked[columns], pa.int64()), pa.array(ids[rows], pa.int64()), pa.array(scores[rows, columns], pa.float64())], ["question_id", "doc_id", "score"])
 
 

@@ -216,3 +216,11 @@ def test_questions_come_in_blocks(spark, worded):
         blocks = list(R.question_blocks(q, most))
         assert max(map(len, blocks)) <= most and sorted(r.question_id for b in blocks for r in b) == sorted(r[0] for r in q.collect())
     assert list(R.question_blocks(q.where("false"), 4)) == []
+
+
+def test_many_copies_leave_a_batch_few_rows():
+    scores = np.repeat(np.array([[0.5, 0.1], [0.7, 0.1], [-2.0, 0.1]]), 400, axis=0)
+    ids = np.arange(1200)[::-1].copy()
+    found = R.best_of_batch(ids, scores, np.array([10, 20]), 5).to_pylist()
+    by = {q: sorted(r["doc_id"] for r in found if r["question_id"] == q and r["score"] == s) for q, s in ((10, 0.7), (20, 0.1))}
+    assert by == {10: [400, 401, 402, 403, 404], 20: [0, 1, 2, 3, 4]}
