@@ -280,8 +280,8 @@ def _pruned(blocks: DataFrame, asked: list, candidates: int, first: int) -> tupl
 
 #: Trigrams of an identifier that are looked up, the rarest first.
 RAREST = 3
-#: Passages in one list of a trigram's postings.
-LIST_ROWS = 4_096
+#: Bytes of text that share a trigram's list of postings, and that are cut into trigrams at a time.
+LIST_BYTES, CUT_BYTES = 4 << 20, 1 << 18
 #: Identifiers in one block.
 MOST_IDENTIFIERS = 500
 #: Candidates up to which their ids go into the scan of the passages; more of them are joined.
@@ -290,7 +290,7 @@ MOST_LISTED = 10_000
 _TO_ASCII = (("K", "k"), ("İ", "i"))
 
 
-def trigrams(texts: pa.Array, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The different trigrams of ASCII characters, lower-cased, of each text: their codes and the texts' places."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     for letter, ascii_letter in _TO_ASCII:
@@ -299,24 +299,25 @@ def trigrams(texts: pa.Array, rows: np.ndarray | None = None) -> tuple[np.ndarra
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
     if offsets[-1] - offsets[0] < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    whole = (owner[2:] == owner[:-2]) & (data[2:] < 128) & (data[1:-1] < 128) & (data[:-2] < 128)
-    code = (data[:-2] << 14 | data[1:-1] << 7 | data[2:])[whole]
-    pairs = np.unique(owner[:-2][whole] << 21 | code)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
+    whole = np.flatnonzero((owner[2:] == owner[:-2]) & ((data[2:] | data[1:-1] | data[:-2]) < 128))
+    code = data[whole] << 14 | data[whole + 1] << 7 | data[whole + 2]
+    pairs = np.unique(owner[whole].astype(np.int64) << 21 | code)
     return pairs & (1 << 21) - 1, pairs >> 21
 
 
 def trigram_postings(passages: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, n, ids): the passages of each trigram, in lists of up to ``LIST_ROWS`` of them; a passage's text is read once."""
+    """(gram, n, ids): the passages of each trigram, in lists of those of ``LIST_BYTES`` of text; a passage's text is read once."""
     kind = passages.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(at, LIST_ROWS) for b in batches for at in range(0, b.num_rows, LIST_ROWS)):
-            texts, found = part.column("held"), []
-            for at in range(0, part.num_rows, 64):
-                code, owner = trigrams(texts.slice(at, 64))
+        for part in R.by_bytes(batches, "held", LIST_BYTES):
+            found, at = [], 0
+            for cut in R.by_bytes(iter([part]), "held", CUT_BYTES):
+                code, owner = trigrams(cut.column("held"))
                 found.append(code << 32 | owner + at)
+                at += cut.num_rows
             pairs = np.sort(np.concatenate(found))
             code, owner = pairs >> 32, pairs & 0xFFFFFFFF
             first = np.flatnonzero(np.diff(code, prepend=-1))
@@ -328,9 +329,8 @@ def trigram_postings(passages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def write_trigrams(lists: DataFrame, path: str) -> None:
-    """Stores trigram postings in ranges of trigrams; the lists of a very common one are split among files."""
-    made = written(lists, "trigrams")
-    made.repartitionByRange("gram", F.col("ids")[0]).sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
+    """Stores trigram postings, each file in order of its trigrams, so that a reader skips all row groups without those it asks for."""
+    lists.sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
 
 
 def grams_of(identifier: str) -> set[int]:

@@ -78,6 +78,17 @@ def word_blocks(rows: list, most: int, cells: int) -> Iterator[list]:
         yield block
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches that hold about ``limit`` bytes of text each (a longer text alone), so that what is made of them stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def united(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -249,7 +260,7 @@ def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "te
             automaton.make_automaton()
         any_of = [i for i, own in parts.items() if not own]  # nothing but wildcards
         pattern = {i: re.compile("".join({"_": ".", "%": ".*"}.get(c, re.escape(c)) for c in i.lower()), re.S) for i in parts}
-        for batch in batches:
+        for batch in by_bytes(batches, "held"):
             out = []
             for k, held in enumerate(batch.column("held").to_pylist()):
                 if held is None:
