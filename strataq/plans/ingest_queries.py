@@ -278,13 +278,15 @@ def trace_spans(spark, sf_dir):
     return reporting.trace_summary(e, ["view", "click", "signup", "purchase"])
 
 
-def _streamed(spark, sf_dir, make, name, mode="append"):
-    """A stream over the events table, run to its end into shared storage; in complete mode each batch replaces the one before."""
-    like = table(spark, sf_dir, "events")
-    run, out = uuid.uuid4().hex, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    stream = make(spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    streams.run_once(stream, lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(out), f"{name}-{run}", mode)
-    return spark.read.schema(stream.schema).parquet(out)
+def _streamed(spark, sf_dir, make, name):
+    """A stream over the events, which arrive in six files, one for each five days, run to its end into shared storage."""
+    folder, run = shared_folder(spark), uuid.uuid4().hex
+    events = _at(table(spark, sf_dir, "events"))
+    for k in range(6):  # one after the other, as files are taken in the order of their making
+        events.where(F.least(F.floor(F.dayofmonth("ts") / 6), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/arriving-{run}")
+    stream = make(streams.events_stream(spark, f"{folder}/arriving-{run}", events, 1))
+    streams.run_once(stream, streams.by_batch(f"{folder}/{name}-{run}"), f"{name}-{run}")
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/{name}-{run}").parquet(f"{folder}/{name}-{run}/batch=*").drop("batch")
 
 
 def _at(events):
@@ -293,16 +295,23 @@ def _at(events):
 
 def stream_first_seen(spark, sf_dir):
     """The users of each kind of event, by their first one within the watermark."""
-    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(_at(e).select("ts", "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen")
+    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(e.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen")
     return found.groupBy("event_type").agg(F.count("*").alias("n_users"))
 
 
 def request_rates(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: streams.request_rates(_at(e)), "rates", "complete")
+    """Rates of the hours that the watermark has closed."""
+    return _streamed(spark, sf_dir, streams.request_rates, "rates")
 
 
 def event_sessions(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: streams.sessions(_at(e), gap="6 hours"), "sessions", "complete")
+    """Sessions that the watermark has closed; the others are still open."""
+    return _streamed(spark, sf_dir, lambda e: streams.sessions(e, gap="6 hours"), "sessions")
+
+
+def stream_rate_limit(spark, sf_dir):
+    """The rate limit's rows from state that is kept from micro-batch to micro-batch."""
+    return _streamed(spark, sf_dir, lambda e: streams.limited(e.select("user_id", F.col("event_id").alias("request_id"), "ts"), "user_id", 2, 86400), "limits")
 
 
 def stream_ingest(spark, sf_dir):
@@ -430,11 +439,12 @@ UNION ALL SELECT 'fail', 'null_vector', count(*) FROM k WHERE embedding IS NULL"
 SELECT trace_id, span_id, stage, ms, row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(list_position(['view', 'click', 'signup', 'purchase'], stage), 5), began)::INT AS place, round(ms / greatest(max(ms) OVER (PARTITION BY trace_id), 1e-9), 6) AS share FROM s""",
         "stream_first_seen": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
         "stream_ingest": "SELECT event_type || '/' || user_id AS checksum, min(event_id) AS document_id FROM events GROUP BY 1",
-        "request_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
+        "request_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE date_trunc('hour', ts) + interval '1' hour <= (SELECT max(ts) - interval '10' minute FROM events) GROUP BY ALL",
         "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + interval '6' hour THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + interval '6' hour AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
+SELECT user_id, min(ts) AS start, max(ts) + interval '6' hour AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + interval '6' hour <= (SELECT max(ts) - interval '10' minute FROM events)""",
     }
 
 
-QUERIES = {f.__name__: f for f in (html_load, markdown_load, pdf_load, pdf_text, titles, private_addresses, sentence_split, chunk_documents, breadcrumbs, boilerplate_sections, balanced_groups, document_briefs, context_replies, duplicate_decisions, version_chains, lineage_closure, section_changes, embed_batches, model_prefixes, ingest_budget, rate_limit, latest_status, upsert_rows, insert_or_ignore, copy_vectors, save_conversations, delete_owned, answer_hits, query_log, merge_metadata, supersede, keep_best, list_documents, searchable_documents, corpus_stats, conversation_list, integrity_report, read_sections, ir_metrics, metric_lift, relative_times, required_keys, trace_spans, stream_first_seen, stream_ingest, request_rates, event_sessions)}
+QUERIES = {f.__name__: f for f in (html_load, markdown_load, pdf_load, pdf_text, titles, private_addresses, sentence_split, chunk_documents, breadcrumbs, boilerplate_sections, balanced_groups, document_briefs, context_replies, duplicate_decisions, version_chains, lineage_closure, section_changes, embed_batches, model_prefixes, ingest_budget, rate_limit, latest_status, upsert_rows, insert_or_ignore, copy_vectors, save_conversations, delete_owned, answer_hits, query_log, merge_metadata, supersede, keep_best, list_documents, searchable_documents, corpus_stats, conversation_list, integrity_report, read_sections, ir_metrics, metric_lift, relative_times, required_keys, trace_spans, stream_first_seen, stream_ingest, request_rates, event_sessions, stream_rate_limit)}
 ORACLES = _oracles()
+ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]

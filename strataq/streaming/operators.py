@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from strataq.config import DEFAULTS
 
 from strataq.operators.dml import insert_ignore
 from strataq.tables import shared_folder
 
+#: The state store that stateful processors need: on local disk, with its changes in the checkpoint.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
-def events_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A stream of the Parquet files below ``path``."""
-    return spark.readStream.schema(like.schema).parquet(path)
+def events_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files below ``path``, in the order in which they were written; ``files`` of them in a micro-batch."""
+    reader = spark.readStream.schema(like.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def request_rates(events: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
@@ -31,6 +38,60 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+class RateWindow(StatefulProcessor):
+    """Numbers the requests of a key within its window, which begins with the first request after the last one ended.
+
+    The state of a key is its window's start and count, and a timer at the window's end takes it away; a key that asks no more
+    leaves nothing behind. Rows of a micro-batch are taken in order of their time; one that comes in a later micro-batch than younger
+    ones counts in the window that is open by then, as it does for whoever keeps the door.
+    """
+
+    def __init__(self, limit: int, seconds: int) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.window.get() if self.window.exists() else None
+        before, n = held if held else (None, 0)
+        start = before
+        for row in sorted(rows, key=lambda r: (r.at, r.request_id)):
+            if start is None or row.at >= start + self.seconds:
+                start, n = row.at, 0
+            n += 1
+            yield Row(key=key[0], request_id=row.request_id, window_start=start, n_in_window=n, allowed=n <= self.limit)
+        self.window.update((start, n))
+        if before != start:
+            if before is not None:
+                self.handle.deleteTimer((before + self.seconds) * 1000)
+            self.handle.registerTimer((start + self.seconds) * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limited(requests: DataFrame, key: str, limit: int, seconds: int = DEFAULTS.rate_seconds, late: str = "0 seconds") -> DataFrame:
+    """The rate limit of :func:`strataq.operators.ingest.rate_windows` as a stream: requests (key, request_id, ts), append mode.
+
+    The state is gone when the watermark has passed a window's end. The session has to have :data:`STATE_STORE`, see :func:`run_once`.
+    """
+    kinds = {c: requests.schema[c].dataType.simpleString() for c in (key, "request_id")}
+    rows = requests.withWatermark("ts", late).select(F.col(key).alias("key"), "request_id", "ts", F.unix_timestamp("ts").alias("at"))
+    out = f"key {kinds[key]}, request_id {kinds['request_id']}, window_start long, n_in_window int, allowed boolean"
+    return rows.groupBy("key").transformWithState(RateWindow(limit, seconds), out, "Append", "EventTime").withColumnRenamed("key", key)
+
+
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each micro-batch into a folder of its own, so that one that is run again replaces what it wrote."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 def ingest(arriving: DataFrame, path: str, name: str) -> None:
     """Appends arriving documents (checksum, document_id, ...) whose checksum isn't stored at ``path`` yet, batch by batch.
 
@@ -47,7 +108,14 @@ def ingest(arriving: DataFrame, path: str, name: str) -> None:
     run_once(arriving, store, name)
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    """Processes what is there in micro-batches and stops; restarts go on from the checkpoint."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{name}").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
+def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> list[dict]:
+    """Processes what is there in micro-batches and stops; restarts go on from the checkpoint. Returns each micro-batch's progress."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    return [dict(p) for p in query.recentProgress]

@@ -1,19 +1,88 @@
-"""Streams over the events table give what the same grouping gives in batch."""
+"""Streams over events in many files give what the same work gives in batch, keep no state for ever, and go on after a restart."""
+
+import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from strataq.operators import ingest
 from strataq.streaming import operators as streams
 from strataq.tables import table
 
+START = dt.datetime(2024, 1, 1)
+
 
 def test_windowed_rates_stream_like_batch(spark, sf_dir, tmp_path):
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     stream = streams.request_rates(streams.events_stream(spark, str(tmp_path / "in"), events))
-    streams.run_once(stream, lambda batch, _: batch.write.mode("append").parquet(out), "rates")
+    streams.run_once(stream, lambda batch, _: batch.write.mode("append").parquet(out), f"rates-{uuid.uuid4().hex}")
     end = events.agg(F.max("ts") - F.expr("interval 10 minutes")).first()[0]
     closed = streams.request_rates(events).where(F.col("start") + F.expr("interval 1 hour") <= F.lit(end))
     got = spark.read.parquet(out)
     assert got.count() > 0 and got.exceptAll(streams.request_rates(events)).count() == 0
     assert closed.exceptAll(got).count() == 0
+
+
+def arrive(spark, path, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def run(spark, path, schema, make, name, out):
+    """One micro-batch for each file; the rows that came out so far, and the progress."""
+    stream = make(streams.events_stream(spark, path, spark.createDataFrame([], schema), 1))
+    progress = streams.run_once(stream, streams.by_batch(out), name)
+    return sorted(tuple(r) for r in spark.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/batch=*").drop("batch").collect()), progress
+
+
+def test_late_rows_and_closed_windows(spark, tmp_path):
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    schema = "ts timestamp, event_type string, value double, user_id long"
+    batches = [
+        [(at(0), "a", 1.0, 1), (at(50), "a", 3.0, 1), (at(55), "b", 5.0, 2)],
+        [(at(130), "a", 7.0, 1)],  # the watermark goes to 120 minutes, which closes the first hours
+        [(at(130), "z", 0.0, 9)],  # by the next micro-batch rows of theirs are late
+        [(at(58), "a", 100.0, 1), (at(119), "a", 100.0, 1), (at(125), "a", 9.0, 2)],  # hours that are closed; one that isn't
+        [(at(400), "b", 2.0, 3)],
+    ]
+    arrive(spark, str(tmp_path / "in"), batches, schema)
+    got, progress = run(spark, str(tmp_path / "in"), schema, streams.request_rates, f"late-{uuid.uuid4().hex}", str(tmp_path / "rates"))
+    assert got == [(at(0), "a", 2, 2.0), (at(0), "b", 1, 5.0), (at(120), "a", 2, 8.0), (at(120), "z", 1, 0.0)]
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 2
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # the hour that is open yet
+    got, progress = run(spark, str(tmp_path / "in"), schema, streams.sessions, f"gaps-{uuid.uuid4().hex}", str(tmp_path / "sessions"))
+    # late rows whose session would have ended before the watermark are left out: that of 58 minutes
+    assert got == [(1, at(0), at(30), 1), (1, at(50), at(80), 1), (1, at(119), at(160), 2), (2, at(55), at(85), 1), (2, at(125), at(155), 1), (9, at(130), at(160), 1)]
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def limited(requests):
+    return streams.limited(requests, "ip", 3, 60)
+
+
+def test_rate_limit_keeps_its_state_between_batches(spark, tmp_path):
+    second = lambda s: START + dt.timedelta(seconds=s)
+    schema = "ip string, request_id long, ts timestamp"
+    times = {"x": [0, 10, 20, 30, 59, 60, 61, 200, 201, 202, 203, 204], "y": [5, 64, 65, 66, 67, 68, 69, 130], "z": [205]}
+    rows = sorted((second(s), ip, k) for ip, own in times.items() for k, s in enumerate(own))
+    cut = [rows[k : k + 4] for k in range(0, len(rows), 4)]
+    arrive(spark, str(tmp_path / "in"), [[(ip, k, ts) for ts, ip, k in part] for part in cut[:3]], schema)
+    name = f"limit-{uuid.uuid4().hex}"
+    some, _ = run(spark, str(tmp_path / "in"), schema, limited, name, str(tmp_path / "out"))
+    assert len(some) == 12
+    arrive(spark, str(tmp_path / "in"), [[(ip, k, ts) for ts, ip, k in part] for part in cut[3:]], schema)  # a restart goes on
+    got, progress = run(spark, str(tmp_path / "in"), schema, limited, name, str(tmp_path / "out"))
+    requests = spark.createDataFrame([(ip, k, int(ts.timestamp())) for ts, ip, k in rows], "ip string, request_id long, at long")
+    want = ingest.rate_windows(requests, "ip", 3, 60).select("ip", "request_id", "window_start", "n_in_window", "allowed")
+    assert got == sorted(tuple(r) for r in want.collect())
+    assert sum(not r[-1] for r in got) == 6
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 10
+    # a minute after the last request of the others only the newest key has state
+    arrive(spark, str(tmp_path / "in"), [[("new", 0, second(1000))], [("new", 1, second(1001))]], schema)
+    run(spark, str(tmp_path / "in"), schema, limited, name, str(tmp_path / "out"))
+    from strataq.tables import shared_folder
+
+    state = spark.read.format("statestore").option("path", f"{shared_folder(spark)}/stream-{name}").option("stateVarName", "window").load()
+    assert [r.key[0] for r in state.select("key").collect()] == ["new"]
