@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strataq.config import DEFAULTS
 from strataq.functions import text as T
+from strataq.operators.graph import connected
 from strataq.tables import written
 
 
@@ -58,22 +59,18 @@ def new_rows(arriving: DataFrame, stored: DataFrame) -> DataFrame:
 def lineage(links: DataFrame, start: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(root, document_id): all documents that a chain of links (document_id, supersedes) joins with each start.
 
-    Grows by one step either way each round until nothing new appears; each round's result is written. With ``owners``
-    (document_id, owner_id) a chain never leaves the owner's documents.
+    The links' components are found by doubling, so long chains take few rounds; each start then has its component's documents. With
+    ``owners`` (document_id, owner_id) a chain never leaves the owner's documents.
     """
     links = links.where("supersedes is not null")
     if owners is not None:
         mine, theirs = (owners.select(F.col("document_id").alias(k), F.coalesce("owner_id", F.lit("")).alias(f"{k} owner")) for k in ("document_id", "supersedes"))
         links = links.join(mine, "document_id").join(theirs, "supersedes").where(F.col("document_id owner") == F.col("supersedes owner"))
-    both = written(links.select("document_id", F.col("supersedes").alias("other")).unionByName(links.select(F.col("supersedes").alias("document_id"), F.col("document_id").alias("other"))), "both")
-    found = written(start.select(F.col("document_id").alias("root"), "document_id").distinct(), "lineage")
-    n = found.count()
-    while True:
-        step = found.join(both, "document_id").select("root", F.col("other").alias("document_id"))
-        found = written(found.unionByName(step).distinct(), "lineage")
-        if (now := found.count()) == n:
-            return found
-        n = now
+    members = connected(links.select(F.col("document_id").alias("a"), F.col("supersedes").alias("b")))
+    roots = start.select(F.col("document_id").alias("root")).distinct()
+    told = roots.join(members, F.col("root") == F.col("node"), "left").select("root", "component")
+    joined = told.where("component is not null").join(members.withColumnRenamed("node", "document_id"), "component").select("root", "document_id")
+    return joined.unionByName(told.where("component is null").select("root", F.col("root").alias("document_id")))
 
 
 def section_diff(before: DataFrame, after: DataFrame, key: str = "document_id") -> DataFrame:
