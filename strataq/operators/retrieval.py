@@ -287,8 +287,10 @@ def identifier_arm(passages: DataFrame, questions: DataFrame, candidates: int =
     q = asked_identifiers(questions)
     carried = scope.HELD if scope.is_scoped(questions) else ()
     names = q.select("identifier").distinct().withColumnRenamed("identifier", "question_id")
-    found = united([identifier_hits(passages, [r[0] for r in block], text, carried) for block in question_blocks(names, MOST_BROADCAST)] or [identifier_hits(passages, [], text, carried)])
-    return by_hits(found, q, candidates)
+    frames = [identifier_hits(passages, [r[0] for r in block], text, carried) for block in question_blocks(names, MOST_BROADCAST)]
+    if not frames:  # no text has to be read
+        return passages.sparkSession.createDataFrame([], "question_id long, doc_id long, ident_score int, ident_rank int")
+    return by_hits(united(frames), q, candidates)
 
 
 def by_hits(found: DataFrame, asked: DataFrame, candidates: int) -> DataFrame:

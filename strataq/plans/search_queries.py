@@ -14,7 +14,7 @@ from strataq.operators import retrieval as R
 from strataq.plans import ingest_queries as I
 from strataq.plans import retrieval_queries as Q
 from strataq.sources import loaders
-from strataq.tables import shared_folder, table
+from strataq.tables import shared_folder, table, written
 
 #: Ten documents in a row are passages of one; one line each is what neighbours add.
 PARENT = {"document_id": "doc_id DIV 10", "ordinal": "CAST(doc_id % 10 AS INT)"}
@@ -109,7 +109,8 @@ def search_corpus(spark, sf_dir):
     p = _parents(Q.passages(spark, sf_dir))
     docs = I.ingest.chain_versions(I.docs(spark, sf_dir))
     q = Q.questions(spark, sf_dir).withColumn("identifiers", F.array().cast("array<string>")).join(_requests(table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "question_id"), "question_id")
-    found = search.search(scope.searchable(p, docs), scope.searchable(p, docs).select("document_id", "ordinal", F.col("text").alias("content")), q)
+    seen = written(scope.searchable(p, docs), "searchable")  # once, for all arms and what follows
+    found = search.search(seen, seen.select("document_id", "ordinal", F.col("text").alias("content")), q)
     return found.select("question_id", "found", "marker", "doc_id", "relevance", F.length("content").alias("n_content"))
 
 
