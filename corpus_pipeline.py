@@ -18,8 +18,9 @@ from strataq.llm import decontamination, language_id, ngram_join, packing, suffi
 from strataq.llm.textblocks import named
 from strataq.tables import discard, table, written
 
-#: Cosine with the best language below which a text counts as none of them.
-MIN_SCORE = 0.03
+#: Cosine with the best language below which a text counts as none of them. Measured on 3,358 held-out documents of sf0.1 and on
+#: their shapes filled with random letters: the lowest cosine of a document is 0.090 (four letters), the median of random letters 0.06.
+MIN_SCORE = 0.08
 #: Ids that are broadcast to be left out; more of them are joined by a shuffle.
 MOST_BROADCAST = 200_000
 #: Texts in one batch that an executor hands to a Python worker: both hold it in memory beside Spark's own heap.
