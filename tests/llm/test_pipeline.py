@@ -118,3 +118,15 @@ def test_run_over_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_language_stage_drops_random_letters(spark, sf_dir):
+    """The measured cut: no document falls below it, but most texts of random letters do."""
+    r = random.Random(4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    noise = [(10**6 + k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), "xx", "noise", 400) for k in range(40)]
+    # the noise has no label, so that its language isn't learned
+    both = docs.unionByName(spark.createDataFrame(noise, docs.schema).withColumn("lang", F.lit(None).cast("string")))
+    kept = [x.doc_id for x in pipeline.STAGES[0][1](spark, both, sf_dir).select("doc_id").collect()]
+    assert sum(i >= 10**6 for i in kept) <= 10
+    assert sorted(i for i in kept if i < 10**6) == sorted(x.doc_id for x in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect())
