@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions import text as T
+from strataq.sources.fetch import FetchLimits, fetch_all
+from strataq.tables import written
 
 # Elements that never hold content.
 DROPPED = ("script", "style", "nav", "footer", "header", "noscript", "iframe", "svg", "form")
@@ -95,9 +97,11 @@ def markdown(raw: Column, filename: Column) -> Column:
 def by_content_type(fetched: DataFrame) -> DataFrame:
     """url, format, title and text of fetched pages (url, content_type, content): the loader that the type, or else the name, asks for.
 
-    Formats that need an extractor (PDF, Word) have no text here; a page that wasn't fetched is no row.
+    The name is that of ``final_url``, if there is one, where redirects ended. Formats that need an extractor (PDF, Word) have no text
+    here; a page that wasn't fetched is no row.
     """
-    name = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]*)$", 1)
+    address = F.coalesce("final_url", "url") if "final_url" in fetched.columns else F.col("url")
+    name = F.regexp_extract(F.regexp_replace(address, r"[?#].*$", ""), r"([^/]*)$", 1)
     rows = fetched.where("content is not null").withColumns({"name": name, "raw": F.decode("content", "utf-8")})
     rows = rows.withColumn("format", format_of(F.when(F.trim(F.coalesce("content_type", F.lit(""))) == "", F.col("name")).otherwise(""), F.lower("content_type")))
     page, md = html(F.col("raw")), markdown(F.col("raw"), F.col("name"))
@@ -105,6 +109,13 @@ def by_content_type(fetched: DataFrame) -> DataFrame:
     return rows.select("url", "format", F.coalesce(F.nullif(pick("title", T.title_of(F.col("name"), F.col("raw"))), F.lit("")), F.col("url")).alias("title"), pick("text", F.col("raw")).alias("text"))
 
 
+def from_web(urls: DataFrame, limits: FetchLimits = FetchLimits(), network: str | None = None) -> DataFrame:
+    """url, format, title, text and error of each row of ``url``: fetched, and loaded by what came back."""
+    got = written(fetch_all(urls, limits, network), "pages")  # once: what is asked for twice is asked for twice
+    loaded = by_content_type(got).withColumn("error", F.lit(None).cast("string"))
+    return loaded.unionByName(got.where("content is null").select("url", "error"), allowMissingColumns=True)
+
+
 def pages(parts: Column) -> Column:
     """text and page_breaks of extracted pages: each is cleaned, and starts two characters after the one before."""
     clean = F.transform(parts, T.pdf_text)
