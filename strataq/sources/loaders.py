@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import text as T
 from strataq.sources.fetch import FetchLimits, fetch_all
+from strataq.sources.word import word
 from strataq.tables import written
 
 # Elements that never hold content.
@@ -33,9 +34,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("filename"), format_of(name, F.lit(None).cast("string")).alias("format"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("checksum"), "content")
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as UTF-8; what isn't becomes replacement characters, where decoding would end the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown and text files as documents; other formats need an extractor first."""
-    rows = read_files(spark, path).where(F.col("format").isin("markdown", "text", "html")).withColumn("raw", F.decode("content", "utf-8"))
+    """Markdown, text, HTML and Word files as documents; PDF needs an extractor first. A Word file that can't be read has no text."""
+    rows = read_files(spark, path).where(F.col("format").isin("markdown", "text", "html", "docx"))
+    rows = rows.withColumn("raw", F.when(F.col("format") == "docx", word(F.when(F.col("format") == "docx", F.col("content")))["text"]).otherwise(as_text(F.col("content"))))
     md = markdown(F.col("raw"), F.col("filename"))
     page = html(F.col("raw"))
     title = F.when(F.col("format") == "html", page["title"]).when(F.col("format") == "markdown", md["title"]).otherwise(T.title_of(F.col("filename"), F.col("raw")))
@@ -97,15 +104,17 @@ def markdown(raw: Column, filename: Column) -> Column:
 def by_content_type(fetched: DataFrame) -> DataFrame:
     """url, format, title and text of fetched pages (url, content_type, content): the loader that the type, or else the name, asks for.
 
-    The name is that of ``final_url``, if there is one, where redirects ended. Formats that need an extractor (PDF, Word) have no text
-    here; a page that wasn't fetched is no row.
+    The name is that of ``final_url``, if there is one, where redirects ended. PDF needs an extractor and has no text here, nor has a
+    Word file that can't be read; a page that wasn't fetched is no row.
     """
     address = F.coalesce("final_url", "url") if "final_url" in fetched.columns else F.col("url")
     name = F.regexp_extract(F.regexp_replace(address, r"[?#].*$", ""), r"([^/]*)$", 1)
-    rows = fetched.where("content is not null").withColumns({"name": name, "raw": F.decode("content", "utf-8")})
+    rows = fetched.where("content is not null").withColumns({"name": name, "raw": as_text(F.col("content"))})
     rows = rows.withColumn("format", format_of(F.when(F.trim(F.coalesce("content_type", F.lit(""))) == "", F.col("name")).otherwise(""), F.lower("content_type")))
+    docx = F.col("format") == "docx"
+    rows = rows.withColumn("raw", F.when(docx, word(F.when(docx, F.col("content")))["text"]).otherwise(F.col("raw")))
     page, md = html(F.col("raw")), markdown(F.col("raw"), F.col("name"))
-    pick = lambda field, plain: F.when(F.col("format") == "html", page[field]).when(F.col("format") == "markdown", md[field]).when(F.col("format") == "text", plain)
+    pick = lambda field, plain: F.when(F.col("format") == "html", page[field]).when(F.col("format") == "markdown", md[field]).when(F.col("format").isin("text", "docx"), plain)
     return rows.select("url", "format", F.coalesce(F.nullif(pick("title", T.title_of(F.col("name"), F.col("raw"))), F.lit("")), F.col("url")).alias("title"), pick("text", F.col("raw")).alias("text"))
 
 
