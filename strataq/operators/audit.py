@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.functions import text as T
+from strataq.tables import written
 
 
 def claims(answers: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
@@ -34,7 +35,7 @@ def coverage(claimed: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def merge_contradictions(found: DataFrame, n_sources: int, key: str = "doc_id") -> DataFrame:
+def merge_contradictions(found: DataFrame, n_sources: int | Column, key: str = "doc_id") -> DataFrame:
     """Conflicts between two sources at least, one for each claim (letters and digits compared), markers united."""
     valid = F.filter("markers", lambda m: m.between(1, n_sources))
     normal = F.trim(F.regexp_replace(F.lower("claim"), "[^a-z0-9]+", " "))
@@ -70,22 +71,81 @@ def sources_block(rows: DataFrame) -> DataFrame:
 
 
 def first_json(text: Column) -> Column:
-    """The first balanced JSON object in a text that parses, else null."""
+    """The object that the first brace of a text opens, if it is closed again and parses, else null.
 
-    @F.pandas_udf("string")
-    def find(texts: pd.Series) -> pd.Series:
-        decoder = json.JSONDecoder()
+    One scan from brace to brace that knows strings and escapes, in the JVM; a text without a brace isn't scanned.
+    """
+    start = F.instr(text, "{")
+    tokens = F.regexp_extract_all(F.when(start > 0, F.substr(text, start)), F.lit(r'(?s)\\.|["{}]|[^\\"{}]+|\\$'), F.lit(0))
+    none = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("size"), F.lit(False).alias("done"))
 
-        def one(value: str | None) -> str | None:
-            at = -1
-            while value and (at := value.find("{", at + 1)) >= 0:
-                try:
-                    _, end = decoder.raw_decode(value, at)
-                except ValueError:
-                    continue
-                return value[at:end]
-            return None
+    def read(s: Column, token: Column) -> Column:
+        brace = F.when(s["quoted"], 0).when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        depth, last = s["depth"] + brace, (brace == -1) & (s["depth"] == 1)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["quoted"] != (token == '"')).alias("quoted"), (s["size"] + F.length(token)).alias("size"), last.alias("done")))
 
-        return texts.map(one)
+    found = F.substr(text, start, F.aggregate(tokens, none, read, lambda s: F.when(s["done"], s["size"])))
+    return F.transform(F.array(found), lambda x: F.when(F.try_parse_json(x).isNotNull(), x))[0]
 
-    return find(text)
+
+#: Characters of a passage that a grader reads, and of a source that an auditor reads.
+GRADED_CHARS, AUDITED_CHARS = 2_000, 2_500
+NOTHING_FOUND = "No passages retrieved: the corpus is empty or retrieval failed."
+Model = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+
+
+def replies(prompt: Column, model: Model) -> Column:
+    """A model's replies to prompts: an iterator over batches, so that it is loaded once for each task. A null reply is a failure."""
+
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from model(batches)
+
+    ask.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(ask, "string")(prompt)
+
+
+def _numbered(rows: DataFrame, tag: str, text: Column, place: str) -> DataFrame:
+    """(question_id, block, n): each question's texts in tags that count from 1, in order of ``place``."""
+    listed = F.array_sort(F.collect_list(F.struct(place, text.alias("text"))))
+    one = F.transform(listed, lambda x, i: F.concat(F.lit(f'<{tag} id="'), (i + 1).cast("string"), F.lit('">\n'), x["text"], F.lit(f"\n</{tag}>")))
+    return rows.groupBy("question_id").agg(F.array_join(one, "\n\n").alias("block"), F.count("*").cast("int").alias("n"))
+
+
+def graded(questions: DataFrame, passages: DataFrame, model: Model) -> DataFrame:
+    """(question_id, sufficient, confidence, missing, refined): whether a question's passages suffice, as a grader sees it.
+
+    ``questions`` (question_id, question), ``passages`` (question_id, position, content). Without passages they don't, for sure, and no
+    model is asked; a grader that fails, or replies without the object that is asked for, lets the answer go ahead with no confidence.
+    """
+    held = questions.join(_numbered(passages, "passage", F.substring("content", 1, GRADED_CHARS), "position"), "question_id", "left")
+    prompt = F.concat(F.lit("<question>"), "question", F.lit("</question>\n\n<passages>\n"), "block", F.lit("\n</passages>"))
+    told = written(held.select("question_id", "n", replies(prompt, model).alias("reply")), "grades")
+    said = told.select("question_id", "n", F.from_json(first_json(F.col("reply")), "sufficient boolean, confidence double, missing string, refinedQuery string").alias("o"))
+    whole = F.coalesce(F.col("o.sufficient").isNotNull() & F.col("o.confidence").isNotNull() & F.col("o.missing").isNotNull() & F.col("o.refinedQuery").isNotNull(), F.lit(False))
+    verdict = sufficiency(F.when(whole, F.col("o.sufficient")), F.when(whole, F.col("o.confidence")))
+    lacking = lambda field: F.when(whole & ~F.col("o.sufficient"), F.nullif(F.trim(f"o.{field}"), F.lit("")))
+    empty = F.col("n").isNull()
+    return said.select(
+        "question_id", F.when(empty, False).otherwise(verdict["sufficient"]).alias("sufficient"), F.when(empty, 1.0).otherwise(verdict["confidence"]).alias("confidence"),
+        F.when(empty, NOTHING_FOUND).otherwise(lacking("missing")).alias("missing"), F.when(~empty, lacking("refinedQuery")).alias("refined"),
+    )
+
+
+def audited(answers: DataFrame, sources: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """An auditor's verdicts, (question_id, supported, issues), and its contradictions, (question_id, claim, detail, markers).
+
+    ``answers`` (question_id, question, answer), ``sources`` (question_id, marker, content), which are isolated before the model reads them. Short answers, and those
+    without sources, aren't audited; an audit that fails counts as supported. Each disagreement is reported once, with all valid markers.
+    """
+    held = answers.join(_numbered(sources, "source", T.isolated(F.substring("content", 1, AUDITED_CHARS)), "marker"), "question_id", "left")
+    length = F.length(F.trim("answer"))
+    prompt = F.concat(F.lit("<question>"), "question", F.lit("</question>\n\n<sources>\n"), "block", F.lit("\n</sources>\n\n<answer>\n"), "answer", F.lit("\n</answer>"))
+    told = written(held.select("question_id", "n", length.alias("n_chars"), replies(F.when(length >= 40, prompt), model).alias("reply")), "audits")
+    shape = "supported boolean, issues array<string>, contradictions array<struct<claim:string,detail:string,sources:array<int>>>"
+    asked = F.col("n").isNotNull() & (F.col("n_chars") >= 40)
+    said = told.select("question_id", "n", "n_chars", F.when(asked, F.from_json(first_json(F.col("reply")), shape)).alias("o"))
+    issues = F.coalesce("o.issues", F.array().cast("array<string>"))
+    verdicts = said.select("question_id", F.coalesce(supported(F.col("o.supported"), F.size(issues), F.col("n_chars")), F.lit(True)).alias("supported"), issues.alias("issues"))
+    rows = said.select("question_id", F.col("n").alias("n_sources"), F.posexplode("o.contradictions").alias("reported", "c"))
+    rows = rows.select("question_id", "n_sources", "reported", "c.claim", "c.detail", F.coalesce("c.sources", F.array().cast("array<int>")).alias("markers"))
+    return verdicts, merge_contradictions(rows, F.col("n_sources"), "question_id").select("question_id", "claim", "detail", "markers")
