@@ -49,7 +49,8 @@ def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences in each group, and how many of its documents hold the term."""
     own = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     # what lies between the matches of BETWEEN are the terms; sorted, so that a document's first one of each kind is known
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    text = F.coalesce("text", F.lit(""))
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # in ASCII only A-Z are changed
     rows = documents.select(*own, F.sort_array(F.split(low, BETWEEN)).alias("all"))
     pairs = F.arrays_zip(F.col("all").alias("term"), F.concat(F.array(F.lit("")), "all").alias("before"))
     terms = rows.select("lang", "source", F.explode(pairs).alias("pair")).where("pair.term <> ''")
@@ -91,15 +92,11 @@ def divergences(documents: DataFrame, min_docs: int = 3, most_terms: int = 200)
     sums = dense.select("term_id", "group", "p").join(other, "term_id").where("group <> other").groupBy("group", "other").agg(F.sum(divergence(F.col("p"), F.col("other_p"))).alias("value"))
     names = stats.select("group", "lang", "source")
     others = names.select(F.col("group").alias("other"), "lang", F.col("source").alias("item"))
-    pairs = small_join(names, others, few).where("group <> other").join(sums, ["group", "other"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    # pairs of groups of a language are the result's own rows
+    pairs = names.join(small(others), "lang").where("group <> other").join(sums, ["group", "other"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
 
     above = dense.where("n > 0 and p > q").select("group", "term_id", divergence(F.col("p"), F.col("q")).alias("value"))
     above = above.join(kept.select("term_id", F.col("term").alias("item")), "term_id").join(small(names), "group").select("lang", "source", F.lit("term").alias("part"), "item", "value")
     best = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = above.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most_terms)
     return pairs.withColumn("rank", F.row_number().over(best)).unionByName(ranked)
-
-
-def small_join(names: DataFrame, others: DataFrame, few: bool) -> DataFrame:
-    """Pairs of groups of a language, which are the result's own rows."""
-    return names.join(F.broadcast(others) if few else others, "lang")
