@@ -29,6 +29,8 @@ from strataq.tables import written
 SHARDS = 24
 BUCKET_BYTES = 4 << 20
 SEED = 20240229
+#: Marks of rows that are alike that are broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def shard_of(doc_id: Column, shards: int, seed: int = SEED) -> Column:
@@ -47,8 +49,9 @@ def scatter(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BY
     # rows that are alike and don't fit into one bucket: fewer of them than there are buckets in all
     heavy = written(rows.groupBy("mark").agg(F.sum("size").alias("all"), F.count("*").alias("k")).where((F.col("all") > bucket_bytes) & (F.col("k") > 1)).select("mark"), "heavy")
     number = F.lit(0).cast("long")
-    if heavy.count():
-        rows = rows.join(F.broadcast(heavy.withColumn("alike", F.lit(True))), "mark", "left")
+    if n_heavy := heavy.count():
+        alike = heavy.withColumn("alike", F.lit(True))
+        rows = rows.join(F.broadcast(alike) if n_heavy <= MOST_BROADCAST else alike, "mark", "left")
         number = F.when(F.col("alike"), F.monotonically_increasing_id()).otherwise(0)
     spread = rows.withColumn("spread", F.xxhash64("mark", number))
     out = spread.select("record", "shard", F.pmod("spread", F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64("spread", F.lit("order")).alias("random"), "size")
