@@ -268,8 +268,8 @@ def relative_times(spark, sf_dir):
 
 
 def required_keys(spark, sf_dir):
-    s = table(spark, sf_dir, "nation").select(F.col("n_name").alias("stage"), F.expr("CASE n_nationkey % 5 WHEN 0 THEN 'ollama' WHEN 1 THEN 'google' WHEN 2 THEN 'gateway' WHEN 3 THEN 'supabase' ELSE 'local' END").alias("backend"))
-    keys = spark.createDataFrame([("ollama", "OLLAMA_API_KEY"), ("google", "GOOGLE_GENERATIVE_AI_API_KEY"), ("gateway", "AI_GATEWAY_API_KEY"), ("supabase", "SUPABASE_PUBLISHABLE_KEY")], "backend string, key string")
+    s = table(spark, sf_dir, "nation").select(F.col("n_name").alias("stage"), F.expr("CASE n_nationkey % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'delta' ELSE 'local' END").alias("backend"))
+    keys = spark.createDataFrame([("alpha", "ALPHA_API_KEY"), ("beta", "BETA_API_KEY"), ("gamma", "GAMMA_API_KEY"), ("delta", "DELTA_API_KEY")], "backend string, key string")
     return reporting.required_keys(s, keys)
 
 
@@ -434,7 +434,7 @@ UNION ALL SELECT 'fail', 'null_vector', count(*) FROM k WHERE embedding IS NULL"
         "ir_metrics": f"{metrics} SELECT * FROM m",
         "metric_lift": f"{metrics} SELECT variant, ndcg, round((ndcg - (SELECT ndcg FROM m WHERE variant = 'vector')) / nullif((SELECT ndcg FROM m WHERE variant = 'vector'), 0), 6) AS lift, ndcg = (SELECT max(ndcg) FROM m) AS is_best FROM m",
         "relative_times": "WITH a AS (SELECT event_id, ts, 1706745600 - floor(epoch(ts))::BIGINT AS age FROM events) SELECT event_id, age, CASE WHEN age < 90 THEN 'just now' WHEN age < 3600 THEN floor(age / 60 + 0.5)::BIGINT || 'm ago' WHEN age < 86400 THEN floor(age / 3600 + 0.5)::BIGINT || 'h ago' WHEN age < 604800 THEN floor(age / 86400 + 0.5)::BIGINT || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS label FROM a",
-        "required_keys": "SELECT CASE n_nationkey % 5 WHEN 0 THEN 'OLLAMA_API_KEY' WHEN 1 THEN 'GOOGLE_GENERATIVE_AI_API_KEY' WHEN 2 THEN 'AI_GATEWAY_API_KEY' ELSE 'SUPABASE_PUBLISHABLE_KEY' END AS key, string_agg(n_name, ', ' ORDER BY n_name) AS stages FROM nation WHERE n_nationkey % 5 < 4 GROUP BY 1",
+        "required_keys": "SELECT CASE n_nationkey % 5 WHEN 0 THEN 'ALPHA_API_KEY' WHEN 1 THEN 'BETA_API_KEY' WHEN 2 THEN 'GAMMA_API_KEY' ELSE 'DELTA_API_KEY' END AS key, string_agg(n_name, ', ' ORDER BY n_name) AS stages FROM nation WHERE n_nationkey % 5 < 4 GROUP BY 1",
         "trace_spans": """WITH s AS (SELECT user_id AS trace_id, event_id % 6 AS span_id, arg_max(event_type, event_id) AS stage, round(arg_max(value, event_id), 2) AS ms, min(event_id) AS began FROM events GROUP BY ALL)
 SELECT trace_id, span_id, stage, ms, row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(list_position(['view', 'click', 'signup', 'purchase'], stage), 5), began)::INT AS place, round(ms / greatest(max(ms) OVER (PARTITION BY trace_id), 1e-9), 6) AS share FROM s""",
         "stream_first_seen": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
