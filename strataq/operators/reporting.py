@@ -88,8 +88,14 @@ def read_section(chunks: DataFrame, cap: int = 8000) -> DataFrame:
     return chunks.groupBy("document_id", F.array_join("heading_path", " > ").alias("section")).agg(F.substring(text, 1, cap).alias("text"), F.count("*").alias("n_chunks"))
 
 
-def relevant(title: Column, path: Column, labels: Column) -> Column:
-    """Whether any label is part of the title and headings, case ignored."""
+def relevant(title: Column, path: Column, labels: Column, exact: bool = False) -> Column:
+    """Whether any label is part of the title and headings, case ignored; or, ``exact``, the whole of one of them.
+
+    As parts, labels also match longer headings that have them in it, such as those of distractors.
+    """
+    if exact:
+        names = F.transform(F.concat(F.array(title), F.coalesce(path, F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x)))
+        return F.exists(labels, lambda label: F.coalesce(F.array_contains(names, F.lower(F.trim(label))), F.lit(False)))
     where = F.lower(F.concat_ws(" ", title, path))
     return F.exists(labels, lambda label: where.contains(F.lower(label)))
 

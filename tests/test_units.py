@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.config import Settings
 from strataq.functions import text as T
-from strataq.operators import chunking, dml, ingest
+from strataq.operators import chunking, dml, ingest, reporting
 from strataq.operators import retrieval as R
 from strataq.sources import fetch, loaders
 
@@ -125,3 +125,9 @@ def test_chunking_loses_no_word(parts):
     words = lambda x: [w for w in x.replace("#", " ").split() if w]
     body = [w for b in chunking.blocks_of(text) for w in words(b.text)]
     assert [w for c in chunking.chunks_of(text, s) for w in words(c.text)] == body
+
+
+def test_labels_as_parts_and_as_whole_headings(spark):
+    rows = spark.createDataFrame([("Guide", ["Retry Policy", "Limits"], ["retry policy"]), ("Guide", ["Retry Policy of others"], ["Retry Policy"]), ("Limits", None, ["limits"]), (None, ["x"], ["y"]), ("a", ["b"], [])], "title string, path array<string>, labels array<string>")
+    got = rows.select(reporting.relevant(F.col("title"), F.col("path"), F.col("labels")), reporting.relevant(F.col("title"), F.col("path"), F.col("labels"), exact=True)).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, False), (True, True), (False, False), (False, False)]
