@@ -262,7 +262,8 @@ def _pruned(blocks: DataFrame, asked: list, candidates: int, first: int) -> tupl
         # equal scores by doc_id, of which ``docs`` has them in order: no more than the candidates leave a block, however many are alike
         keys = scores.astype(np.int64) * len(docs) + np.arange(len(docs) - 1, -1, -1)[:, None]
         least = np.partition(keys, len(docs) - candidates, axis=0)[len(docs) - candidates] if len(docs) > candidates else 0
-        row, column = np.nonzero((keys >= least) & (scores > 0))
+        asks = dict(zip(right.column("question_id").to_pylist(), right.column("least").to_pylist(), strict=True))
+        row, column = np.nonzero((keys >= least) & (scores > 0) & (scores >= np.array([asks[int(q)] for q in names[own]])))
         return pa.table([pa.array(names[own][column]), pa.array(docs[row]), pa.array(scores[row, column].astype(np.int64))], schema=out)
 
     def scored(wanted: DataFrame, name: str) -> DataFrame:
@@ -270,9 +271,9 @@ def _pruned(blocks: DataFrame, asked: list, candidates: int, first: int) -> tupl
         lists = held.select(*columns).join(wanted.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(wanted.groupBy("block"))
         return written(lists.applyInArrow(score, "question_id long, doc_id long, score long"), name)
 
-    top = scored(bound.where(F.col("place") <= first).select("block", "question_id"), "first")
+    top = scored(bound.where(F.col("place") <= first).select("block", "question_id", F.lit(0).cast("long").alias("least")), "first")
     worst = R.ranked(top, "score", candidates).where(F.col("rank") == candidates).select("question_id", F.col("score").alias("least"))
-    rest = bound.where(F.col("place") > first).join(worst, "question_id", "left").where("bound >= coalesce(least, 0)").select("block", "question_id")
+    rest = bound.where(F.col("place") > first).join(worst, "question_id", "left").withColumn("least", F.coalesce("least", F.lit(0).cast("long"))).where("bound >= least").select("block", "question_id", "least")
     return top.unionByName(scored(rest, "others")), sent
 
 
