@@ -11,12 +11,16 @@ import numpy as np
 
 #: Rounding of distances that come from cosines: bounds are not trusted closer than this.
 SLACK = 1e-6
+#: Pairs of a product in single precision are settled one by one in double if fewer than one in so many can count.
+RARE = 64
 #: Rows of centres that are compared at a time, and rows that look for leaders at a time.
 STEP, LEADERS = 512, 256
 #: Pairs of nodes with fewer pairs of points than this are compared point by point, many at once.
 SMALL, PAIRS = 4_096, 1 << 15
 #: Such pairs of nodes, and links, that are held at a time.
 MOST_SMALL, MOST_EDGES = 500_000, 500_000
+#: A ball of so few points that is wider than this tells too little to be a node: its points are children themselves.
+FEW, LOOSE = 32, 0.3
 #: Radius below which a node's points are its children.
 FINEST = 2.0**-6
 
@@ -65,6 +69,7 @@ class Tree:
                 own = leaders(part, radius)
             if own is None or radius <= FINEST:
                 own = np.arange(high - low)
+            own = _tight(part, own)
             # the points of a child stand together, its leader first
             move = np.lexsort((np.arange(len(own)) != own, own))
             units[low:high], self.order[low:high] = part[move], self.order[low:high][move]
@@ -77,6 +82,7 @@ class Tree:
                 if size > 1:
                     open_nodes.append((len(nodes) - 1, radius))
         table = np.array(nodes)
+        self.single = units.astype(np.float32)
         self.units, self.radius, self.children = units, table[:, 2], np.array(children, np.int64)
         self.low, self.high, self.first, self.last = (table[:, k].astype(np.int64) for k in (0, 1, 3, 4))
 
@@ -84,7 +90,7 @@ class Tree:
     def of(cls, units: np.ndarray, **nodes: np.ndarray) -> Tree:
         """A tree made before, from its points in its order and its nodes."""
         tree = cls.__new__(cls)
-        tree.units, tree.order = units, np.arange(len(units))
+        tree.units, tree.single, tree.order = units, units.astype(np.float32), np.arange(len(units))
         vars(tree).update(nodes)
         return tree
 
@@ -96,6 +102,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _tight(units: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Leaders of rows, where those of loose groups of few rows lead themselves."""
+    wide = np.zeros(len(own))
+    np.maximum.at(wide, own, np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", units, units[own]))))
+    loose = (wide > LOOSE) & (np.bincount(own, minlength=len(own)) <= FEW)
+    return np.where(loose[own], np.arange(len(own)), own)
+
+
 def _radius(units: np.ndarray) -> float:
     return float(distances(units[:1], units).max())
 
@@ -188,19 +202,31 @@ def traverse(a: Tree, b: Tree, most: float, weight_a: np.ndarray, weight_b: np.n
         na, nb = todo.pop()
         of_a, of_b = (t.children[t.first[k] : t.last[k]] if t.last[k] > t.first[k] else np.array([k]) for t, k in ((a, na), (b, nb)))
         for ka, kb in ((x, y) for whole in _parts(a, of_a) for x in np.split(whole, range(STEP, len(whole), STEP)) for y in _parts(b, of_b)):
-            cosines = a.units[a.low[ka]] @ b.units[b.low[kb]].T
             reach_a, reach_b = a.radius[ka], b.radius[kb]
             far = most + SLACK + reach_a.max() + reach_b.max()
-            if far == most + SLACK:  # points
-                _take(links, cosines >= least, ka, kb)
-                continue
+            points = far == most + SLACK
             # no pair below this cosine can be near enough
-            i, j = np.nonzero(cosines >= 1 - far * far / 2)
-            reach, apart = reach_a[i] + reach_b[j], np.sqrt(np.maximum(0, 2 - 2 * cosines[i, j]))
+            floor = least if points else 1 - far * far / 2
+            likely = _likely(a, ka, b, kb, floor)
+            if points and likely is not None:
+                pa, pb = a.low[ka[likely[0]]], b.low[kb[likely[1]]]
+                links.ranges(pa, pa + 1, pb, pb + 1)
+                links.connect(pa, pb + len(a.order))
+                continue
+            if likely is None:
+                cosines = a.units[a.low[ka]] @ b.units[b.low[kb]].T
+                if points:
+                    _take(links, cosines >= least, ka, kb)
+                    continue
+                i, j = np.nonzero(cosines >= floor)
+                likely = i, j, cosines[i, j]
+            i, j, cosines = likely
+            reach, apart = reach_a[i] + reach_b[j], np.sqrt(np.maximum(0, 2 - 2 * cosines))
             whole, split = apart + reach < most - SLACK, apart - reach <= most + SLACK
-            linked = np.zeros(cosines.shape, bool)
-            linked[i[whole], j[whole]] = True
-            _take(links, linked, ka, kb)
+            if whole.any():
+                linked = np.zeros((len(ka), len(kb)), bool)
+                linked[i[whole], j[whole]] = True
+                _take(links, linked, ka, kb)
             i, j = ka[i[split & ~whole]], kb[j[split & ~whole]]
             pair_points = (a.high[i] - a.low[i]) * (b.high[j] - b.low[j])
             few = pair_points <= SMALL
@@ -214,6 +240,24 @@ def traverse(a: Tree, b: Tree, most: float, weight_a: np.ndarray, weight_b: np.n
     return links
 
 
+def _likely(a: Tree, ka: np.ndarray, b: Tree, kb: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pairs of centres with a cosine of ``floor`` or more, and their cosines; None if there may be many.
+
+    The product is made in single precision, whose error on unit vectors is bounded by their width; what it can't rule out is
+    settled in double precision.
+    """
+    if floor <= 0:
+        return None
+    rough = a.single[a.low[ka]] @ b.single[b.low[kb]].T
+    at = np.flatnonzero(rough >= np.float32(floor - (a.units.shape[1] + 8) * 2.0**-23))
+    if len(at) * RARE > rough.size:
+        return None
+    i, j = at // rough.shape[1], at % rough.shape[1]
+    cosines = np.einsum("ij,ij->i", a.units[a.low[ka[i]]], b.units[b.low[kb[j]]])
+    near = cosines >= floor
+    return i[near], j[near], cosines[near]
+
+
 def _parts(tree: Tree, nodes: np.ndarray) -> list[np.ndarray]:
     """The points and the balls among some nodes."""
     balls = tree.high[nodes] - tree.low[nodes] > 1

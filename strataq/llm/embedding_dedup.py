@@ -2,13 +2,14 @@
 
 Equal vectors are one node with a weight. The others are dealt into cells around pivots, which are a bounded sample; a cell is cut by a
 hash into chunks of ``CHUNK_BYTES``, and a task makes each chunk a cover tree (:mod:`strataq.llm.cover_tree`). Pairs of cells
-whose covering radii keep them further apart than the threshold are never met; of the others each pair of
-chunks meets in a group of its own, where the trees are traversed together. What a meeting gives is bounded by its points, however many
+whose covering radii keep them further apart than the threshold are never met; the chunks of the others are dealt into blocks, and
+each pair of blocks is a group, where each pair of its chunks meets: their trees are traversed together. What a meeting gives is bounded by its points, however many
 links they have: the weight that each point links with, and links enough to connect what is connected.
 
 Every pair is found, and none by a bound alone that is below the threshold: bounds only leave out pairs that are further
 apart, or take whole balls that are nearer. Where the vectors have no structure (as random ones have none), no cell is far from
-another and the work grows with the square of the distinct vectors; what is shuffled then is each chunk once for each other one.
+another and the work grows with the square of the distinct vectors; what is shuffled then is each chunk once for each block, and a block
+is ``BLOCK_BYTES`` of them.
 
 Defined results: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing, and vectors
 of different lengths don't link. Each row is a vector: rows that repeat a vec_id or a vector count for each other's links.
@@ -31,6 +32,10 @@ from strataq.tables import written
 
 #: Bytes of a chunk's vectors in double precision, and the rows it has at the most.
 CHUNK_BYTES, MOST_ROWS = 8 << 20, 4_096
+#: Bytes of a block of chunks (in double precision too), two of which a group holds, and blocks that fewer chunks make, so that all cores have groups.
+BLOCK_BYTES, BLOCKS = 32 << 20, 16
+#: Groups of blocks that are tasks of their own.
+MOST_TASKS = 2_000
 #: Pivots, all of which go to every task.
 MOST_PIVOTS = 4_096
 _NODES = ("low", "high", "first", "last", "radius", "children")
@@ -75,23 +80,57 @@ def build(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(columns)
 
 
-def meet(table: pa.Table, width: int, dtype: str, most: float) -> pa.Table:
-    """(rep, linked, root) of the points of two chunks, or of one with itself."""
-    trees, reps, copies = [], [], []
-    for row in table.select(["rep", "copies", "vectors", *_NODES]).to_pylist():
-        trees.append(Tree.of(unit(np.frombuffer(row["vectors"], dtype).reshape(-1, width)), **{n: np.array(row[n]) for n in _NODES}))
-        reps.append(np.array(row["rep"]))
-        copies.append(np.array(row["copies"]))
-    alone = len(trees) == 1
-    found = traverse(trees[0], trees[-1], most, copies[0], copies[-1])
+def meetings(block: int, per: int, owner: np.ndarray, centres: np.ndarray, radius: np.ndarray, most: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The blocks from ``block`` on that it meets, each with the numbers of the chunks of both that have one to meet in the other.
+
+    ``owner`` has the cell of each chunk, ``per`` chunks are a block.
+    """
+    own = np.arange(block * per, min(len(owner), (block + 1) * per))
+    cells, at = np.unique(owner[own], return_inverse=True)
+    met = _near(cells, np.arange(len(centres)), centres, radius, most)
+    for other in range(block, -(-len(owner) // per)):
+        theirs = np.arange(other * per, min(len(owner), (other + 1) * per))
+        pairs = met[np.ix_(at, owner[theirs])]
+        if pairs.any():
+            yield other, np.unique(np.concatenate([own[pairs.any(axis=1)], theirs[pairs.any(axis=0)]]))
+
+
+def _near(cells: np.ndarray, others: np.ndarray, centres: np.ndarray, radius: np.ndarray, most: float) -> np.ndarray:
+    """Whether points of two cells can be as near as ``most``."""
+    return distances(centres[cells], centres[others]) <= radius[cells][:, None] + radius[others] + most + 1e-6
+
+
+def _opened(row: dict, width: int, dtype: str) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """A chunk's tree, reps and copies."""
+    tree = Tree.of(unit(np.frombuffer(row["vectors"], dtype).reshape(-1, width)), **{n: np.array(row[n]) for n in _NODES})
+    return tree, np.array(row["rep"]), np.array(row["copies"])
+
+
+def _met(a: tuple[Tree, np.ndarray, np.ndarray], b: tuple[Tree, np.ndarray, np.ndarray] | None = None, most: float = 0.0) -> pa.Table:
+    tree, reps, copies = b or a
+    found = traverse(a[0], tree, most, a[2], copies)
     here, there, roots = found.settle()
-    names = np.concatenate([reps[0], reps[-1]])
-    linked, n = (here, len(here)) if alone else (np.concatenate([here, there]), len(names))
+    names = np.concatenate([a[1], reps])
+    linked, n = (np.concatenate([here, there]), len(names)) if b else (here, len(here))
     root = names[roots][:n]
     keep = (linked > 0) | (root != names[:n])
     return pa.table({"rep": names[:n][keep], "linked": linked[keep], "root": root[keep]})
 
 
+def meet_blocks(key: tuple, table: pa.Table, per: int, width: int, dtype: str, most: float, centres: np.ndarray, radius: np.ndarray) -> pa.Table:
+    """All meetings of the chunks of two blocks, or of those of one with each other."""
+    block, other = (k.as_py() for k in key)
+    table = table.sort_by("chunk")
+    numbers, cells = table.column("chunk").to_numpy(), table.column("cell").to_numpy()
+    near = _near(cells, cells, centres, radius, most)
+    opened = [_opened(table.slice(k, 1).to_pylist()[0], width, dtype) for k in range(table.num_rows)]
+    met = []
+    for i in np.flatnonzero(numbers // per == block):
+        for j in np.flatnonzero((numbers // per == other) & (numbers >= numbers[i]) & near[i]):
+            met.append(_met(opened[i], opened[j] if i != j else None, most))
+    return pa.concat_tables(met)
+
+
 def _links(reps: DataFrame, width: int, most: float) -> DataFrame:
     """(rep, linked, root) of all meetings of vectors of one length."""
     spark, n = reps.sparkSession, reps.count()
@@ -108,27 +147,26 @@ def _links(reps: DataFrame, width: int, most: float) -> DataFrame:
     dealt = spark.createDataFrame([(k, int(c)) for k, c in enumerate(chunks) if c], "cell int, chunks int")
     dealt = cells.join(F.broadcast(dealt), "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     trees = written(dealt.select("cell", "salt", "rep", "copies", "embedding").groupBy("cell", "salt").applyInArrow(build, _TREE), "trees")
-    sent = spark.sparkContext.broadcast((centres, radius, chunks))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Meetings of the chunks of a cell with its own and those of later cells, one row for each side."""
-        centres, radius, chunks = sent.value
+    owner = np.repeat(np.arange(len(chunks)), chunks)
+    per = max(1, min(BLOCK_BYTES // (8 * width * rows), -(-len(owner) // BLOCKS)))
+    blocks = -(-len(owner) // per)
+    sent = spark.sparkContext.broadcast((owner, np.arange(len(owner)) - (np.cumsum(chunks) - chunks)[owner], centres, radius))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of each pair of blocks."""
+        owner, salt, centres, radius = sent.value
         for batch in batches:
-            for a in batch.column("id").to_pylist():
-                far = distances(centres[a : a + 1], centres[a:])[0]
-                for b in a + np.flatnonzero((far <= radius[a] + radius[a:] + most + 1e-6) & (chunks[a:] > 0)):
-                    sa, sb = (x.ravel() for x in np.meshgrid(np.arange(chunks[a]), np.arange(chunks[b]), indexing="ij"))
-                    if a == b:
-                        sa, sb = sa[sa <= sb], sb[sa <= sb]
-                    other = (a != b) | (sa != sb)
-                    sides = np.concatenate([np.zeros(len(sa), int), np.ones(int(other.sum()), int)])
-                    sa, sb = np.concatenate([sa, sa[other]]), np.concatenate([sb, sb[other]])
-                    ids = [np.full(len(sa), a), sa, np.full(len(sa), b), sb, np.where(sides == 0, a, b), np.where(sides == 0, sa, sb)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in ids], ["cell_a", "salt_a", "cell_b", "salt_b", "cell", "salt"])
-
-    meetings = spark.range(len(centres)).repartition("id").mapInArrow(near, "cell_a int, salt_a int, cell_b int, salt_b int, cell int, salt int")
-    sides = meetings.join(trees, ["cell", "salt"]).groupBy("cell_a", "salt_a", "cell_b", "salt_b")
-    return written(sides.applyInArrow(lambda table: meet(table, width, dtype, most), "rep long, linked long, root long"), "met")
+            for block in batch.column("id").to_pylist():
+                for other, held in meetings(block, per, owner, centres, radius, most):
+                    columns = [np.full(len(held), block), np.full(len(held), other), held, owner[held], salt[held]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], ["block", "other", "chunk", "cell", "salt"])
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        return meet_blocks(key, table, per, width, dtype, most, *sent.value[2:])
+
+    wanted = spark.range(blocks).repartition("id").mapInArrow(deal, "block int, other int, chunk int, cell int, salt int")
+    sides = wanted.join(trees, ["cell", "salt"]).repartition(min(MOST_TASKS, blocks * (blocks + 1) // 2), "block", "other").groupBy("block", "other")
+    return written(sides.applyInArrow(settle, "rep long, linked long, root long"), "met")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:

@@ -219,6 +219,31 @@ def test_traversals_leave_far_balls_alone(monkeypatch):
     assert (counts == 100).all() and sum(compared) < 2000 * 2000 / 10
 
 
+def test_blocks_of_chunks_meet_once_and_are_few():
+    """All pairs of chunks that may be near meet in one pair of blocks; a chunk is sent to each block once, not to each other chunk."""
+    r = np.random.default_rng(4)
+    centres, radius, most = cover_tree.unit(r.normal(size=(60, 3))), r.uniform(0, 0.4, 60), math.sqrt(0.1)
+    for per, reach in ((8, radius), (1, radius), (8, np.full(60, 2.0))):
+        owner = np.repeat(np.arange(60), r.integers(0, 4, 60))
+        blocks, met, n_sent = -(-len(owner) // per), [], 0
+        for block in range(blocks):
+            for other, held in embedding_dedup.meetings(block, per, owner, centres, reach, most):
+                n_sent += len(held)
+                met += [(i, j) for i in held[held // per == block] for j in held[(held // per == other)] if i <= j]
+        near = {(i, j) for i in range(len(owner)) for j in range(i, len(owner)) if cover_tree.distances(centres[owner[i]][None], centres[owner[j]][None])[0, 0] <= reach[owner[i]] + reach[owner[j]] + most}
+        assert near <= set(met) and len(met) == len(set(met)) and n_sent <= len(owner) * blocks
+
+
+def test_loose_balls_of_few_points_are_no_nodes():
+    """On vectors without structure points are compared as one product and not pair by pair of small balls."""
+    points = cover_tree.unit(np.random.default_rng(6).normal(size=(1500, 16)))
+    tree = cover_tree.Tree(points)
+    size = tree.high - tree.low
+    assert not ((size > 1) & (size <= 32) & (tree.radius > 0.3 + 1e-6)).any()
+    counts, _, _ = cover_tree.traverse(tree, tree, math.sqrt(0.1), np.ones(1500, np.int64), np.ones(1500, np.int64)).settle()
+    assert (counts == (points[tree.order] @ points[tree.order].T >= 0.95).sum(axis=1)[np.argsort(tree.order)]).all()
+
+
 @pytest.mark.parametrize("name", ["op11_lexical_search", "op12_source_divergence", "op13_embedding_dedup"])
 def test_queries_have_the_rows_of_their_sql(spark, sf_dir, name):
     import duckdb
