@@ -6,8 +6,10 @@ Document rows are made from ``documents`` by expressions that both Spark and the
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataq.functions import text as T
 from strataq.operators import chunking, dml, ingest, reporting
@@ -278,15 +280,26 @@ def trace_spans(spark, sf_dir):
     return reporting.trace_summary(e, ["view", "click", "signup", "purchase"])
 
 
-def _streamed(spark, sf_dir, make, name):
-    """A stream over the events, which arrive in six files, one for each five days, run to its end into shared storage."""
+#: Parts in which events arrive, one after the other.
+PARTS = 6
+
+
+def _streamed(spark, sf_dir, make, name, mode="append"):
+    """A stream over the events, run to its end into shared storage; its rows with the micro-batch that gave them.
+
+    The events arrive in parts by their time. Each part's files are written side by side, and the stream goes on from its checkpoint with all
+    of them as one micro-batch.
+    """
     folder, run = shared_folder(spark), uuid.uuid4().hex
-    events = _at(table(spark, sf_dir, "events"))
-    for k in range(6):  # one after the other, as files are taken in the order of their making
-        events.where(F.least(F.floor(F.dayofmonth("ts") / 6), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/arriving-{run}")
-    stream = make(streams.events_stream(spark, f"{folder}/arriving-{run}", events, 1))
-    streams.run_once(stream, streams.by_batch(f"{folder}/{name}-{run}"), f"{name}-{run}")
-    return spark.read.schema(stream.schema).option("basePath", f"{folder}/{name}-{run}").parquet(f"{folder}/{name}-{run}/batch=*").drop("batch")
+    events, at = _at(table(spark, sf_dir, "events")), F.col("ts")
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    cuts = [F.timestamp_micros(F.lit(first + (last - first) * k // PARTS)) for k in range(1, PARTS)] if first is not None else []
+    for k in range(len(cuts) + 1):
+        part = reduce(lambda x, y: x & y, [*([at >= cuts[k - 1]] if k else []), *([at < cuts[k]] if k < len(cuts) else [])], F.lit(True))
+        events.where(part).write.mode("append").parquet(f"{folder}/arriving-{run}")
+        stream = make(streams.events_stream(spark, f"{folder}/arriving-{run}", events))
+        streams.run_once(stream, streams.by_batch(f"{folder}/{name}-{run}"), f"{name}-{run}", mode)
+    return spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).option("basePath", f"{folder}/{name}-{run}").parquet(f"{folder}/{name}-{run}/batch=*")
 
 
 def _at(events):
@@ -295,23 +308,24 @@ def _at(events):
 
 def stream_first_seen(spark, sf_dir):
     """The users of each kind of event, by their first one within the watermark."""
-    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(e.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen")
+    found = _streamed(spark, sf_dir, lambda e: streams.first_seen(e.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "90 days"), "first-seen").drop("batch")
     return found.groupBy("event_type").agg(F.count("*").alias("n_users"))
 
 
 def request_rates(spark, sf_dir):
-    """Rates of the hours that the watermark has closed."""
-    return _streamed(spark, sf_dir, streams.request_rates, "rates")
+    """Rates of all hours: the last that the stream told of each, those that are still open among them."""
+    told = _streamed(spark, sf_dir, streams.request_rates, "rates", "update")
+    return told.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "mean_value"), "batch").alias("last")).select("start", "event_type", "last.*")
 
 
 def event_sessions(spark, sf_dir):
     """Sessions that the watermark has closed; the others are still open."""
-    return _streamed(spark, sf_dir, lambda e: streams.sessions(e, gap="6 hours"), "sessions")
+    return _streamed(spark, sf_dir, lambda e: streams.sessions(e, gap="6 hours"), "sessions").drop("batch")
 
 
 def stream_rate_limit(spark, sf_dir):
     """The rate limit's rows from state that is kept from micro-batch to micro-batch."""
-    return _streamed(spark, sf_dir, lambda e: streams.limited(e.select("user_id", F.col("event_id").alias("request_id"), "ts"), "user_id", 2, 86400), "limits")
+    return _streamed(spark, sf_dir, lambda e: streams.limited(e.select("user_id", F.col("event_id").alias("request_id"), "ts"), "user_id", 2, 86400), "limits").drop("batch")
 
 
 def stream_ingest(spark, sf_dir):
@@ -439,7 +453,7 @@ UNION ALL SELECT 'fail', 'null_vector', count(*) FROM k WHERE embedding IS NULL"
 SELECT trace_id, span_id, stage, ms, row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(list_position(['view', 'click', 'signup', 'purchase'], stage), 5), began)::INT AS place, round(ms / greatest(max(ms) OVER (PARTITION BY trace_id), 1e-9), 6) AS share FROM s""",
         "stream_first_seen": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
         "stream_ingest": "SELECT event_type || '/' || user_id AS checksum, min(event_id) AS document_id FROM events GROUP BY 1",
-        "request_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE date_trunc('hour', ts) + interval '1' hour <= (SELECT max(ts) - interval '10' minute FROM events) GROUP BY ALL",
+        "request_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
         "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + interval '6' hour THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + interval '6' hour AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + interval '6' hour <= (SELECT max(ts) - interval '10' minute FROM events)""",
     }

@@ -54,7 +54,7 @@ class RateWindow(StatefulProcessor):
         self.window = handle.getValueState("window", "start long, n int")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        held = self.window.get() if self.window.exists() else None
+        held = self.window.get()  # each call is a round trip to the JVM
         before, n = held if held else (None, 0)
         start = before
         for row in sorted(rows, key=lambda r: (r.at, r.request_id)):

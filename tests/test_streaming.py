@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataq.operators import ingest
+from strataq.plans import catalog
 from strataq.streaming import operators as streams
 from strataq.tables import table
 
@@ -86,3 +87,14 @@ def test_rate_limit_keeps_its_state_between_batches(spark, tmp_path):
 
     state = spark.read.format("statestore").option("path", f"{shared_folder(spark)}/stream-{name}").option("stateVarName", "window").load()
     assert [r.key[0] for r in state.select("key").collect()] == ["new"]
+
+
+def test_rates_and_limits_of_events_of_several_months(spark, tmp_path):
+    """Every hour is told, the last ones too; events that arrive by their time are never late, whatever their day of the month."""
+    rows = [(k, dt.datetime(2024, 1 + k % 3, 1 + k % 28, k % 24, k % 60), k % 5, "view", float(k), "{}") for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    events = spark.read.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["request_rates"](spark, str(tmp_path))
+    want = events.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    assert catalog.QUERIES["stream_rate_limit"](spark, str(tmp_path)).count() == 300
