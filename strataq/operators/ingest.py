@@ -36,7 +36,8 @@ def chain_versions(docs: DataFrame) -> DataFrame:
     """
     key = [F.coalesce("owner_id", F.lit("")), F.col("source_uri"), F.when(F.col("is_url"), F.lit("")).otherwise(F.col("title"))]
     before = W.partitionBy(*key).orderBy("document_id").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*key).orderBy("document_id").rowsBetween(1, W.unboundedFollowing)
+    # what follows, by going backwards: a frame that ends with the group would be read anew for each row
+    after = W.partitionBy(*key).orderBy(F.desc("document_id")).rowsBetween(W.unboundedPreceding, -1)
     ready = F.when(F.col("status") == "ready", F.col("document_id"))
     return docs.withColumns({
         "version": (F.count(ready).over(before) + 1).cast("int"), "supersedes": F.max(ready).over(before),

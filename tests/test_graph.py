@@ -52,3 +52,21 @@ def test_a_shuffled_chain_takes_few_rounds(spark, monkeypatch):
     got = graph.connected(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long"))
     assert {r.component for r in got.collect()} == {0} and got.count() == 2_000
     assert made.count("labels") - 1 <= 15
+
+
+def test_versions_of_one_source_are_chained_in_one_run_over_them(spark):
+    """The next version is found by a running minimum: no frame reaches to the end of the group, which would be quadratic in it."""
+    docs = spark.range(3_000).selectExpr("id AS document_id", "'o' AS owner_id", "'u' AS source_uri", "'t' AS title", "id % 2 = 0 AS is_url", "if(id % 5 = 0, 'failed', 'ready') AS status")
+    chained = ingest.chain_versions(docs).select("document_id", "version", "supersedes", "superseded_by")
+    want = []
+    for parity in (0, 1):
+        own = [k for k in range(3_000) if k % 2 == 1 - parity]
+        ready = [k for k in own if k % 5]
+        place = {k: i for i, k in enumerate(ready)}
+        n = 0
+        for k in own:
+            last, following = (ready[n - 1] if n else None), (ready[place[k] + 1] if k in place and place[k] + 1 < len(ready) else None)
+            want.append((k, n + 1, last, following))
+            n += k in place
+    assert sorted(tuple(r) for r in chained.collect()) == sorted(want)
+    assert "unboundedfollowing" not in chained._jdf.queryExecution().executedPlan().toString().lower()
