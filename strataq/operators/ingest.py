@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,22 +193,27 @@ def indexed_text(context: Column, title: Column, path: Column, content: Column)
 def embed_batches(rows: DataFrame, key: str, base: int = 110, each: int = 110, per_char: float = 0.33, most: int = 1500) -> DataFrame:
     """rows (key, position, text) with ``batch`` (from 0): filled in order while the estimated cost fits.
 
-    Greedy within a key, so each key is one group; an item that alone costs more has a batch of its own.
+    Greedy within a key: a key's rows are sorted in one partition and taken as they come, any number of keys in a run and no key held whole.
+    An item that alone costs more has a batch of its own.
     """
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        batch, cost, out = 0, float(base), []
-        for n in pdf["chars"]:
-            own = each + per_char * n
-            if cost > base and cost + own > most:
-                batch, cost = batch + 1, float(base)
-            cost += own
-            out.append(batch)
-        return pdf[[key, "position"]].assign(batch=pd.Series(out, index=pdf.index, dtype="int32"))
+    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, started, batch, cost = None, False, 0, float(base)
+        for part in parts:
+            out = []
+            for name, n in zip(part.column(key).to_pylist(), part.column("chars").to_pylist(), strict=True):
+                if not started or name != last:
+                    last, started, batch, cost = name, True, 0, float(base)
+                own = each + per_char * (float("nan") if n is None else n)
+                if cost > base and cost + own > most:
+                    batch, cost = batch + 1, float(base)
+                cost += own
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(key), part.column("position"), pa.array(out, pa.int32())], [key, "position", "batch"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "position", F.length("text").alias("chars")).groupBy(key).applyInPandas(fill, f"{key} {kind}, position int, batch int")
+    sized = rows.select(key, F.col("position").cast("int").alias("position"), F.length("text").alias("chars"))
+    return sized.repartition(key).sortWithinPartitions(key, "position").mapInArrow(fill, f"{key} {kind}, position int, batch int")
 
 
 def embed_prefix(model: Column, query: bool) -> Column:

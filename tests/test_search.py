@@ -167,3 +167,22 @@ def test_record_and_counts(spark):
     df = spark.createDataFrame([([([("text", "abc"), ("file", "xx")],), (None,)],), ([],)], f"m {messages}")
     assert [r[0] for r in df.select(reporting.text_chars(F.col("m"))).collect()] == [3, 0]
     assert shared_folder(spark).startswith("file:")
+
+
+def test_embed_batches_carry_on_from_one_arrow_batch_to_the_next(spark):
+    """A key of more rows than one Arrow batch is filled as one; many keys are no groups of their own."""
+    from strataq.operators import ingest
+
+    rows = spark.range(25_000).selectExpr("if(id < 12000, 7, id) AS doc", "cast(id AS int) AS position", "repeat('x', cast(id % 400 AS int)) AS text")
+    found = ingest.embed_batches(rows, "doc")
+    want, batch, cost = {}, 0, 110.0
+    for k in range(12_000):
+        own = 110 + 0.33 * (k % 400)
+        if cost > 110 and cost + own > 1500:
+            batch, cost = batch + 1, 110.0
+        cost += own
+        want[k] = batch
+    got = found.collect()
+    assert {r.position: r.batch for r in got if r.doc == 7} == want and len(got) == 25_000
+    assert all(r.batch == 0 for r in got if r.doc != 7)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
