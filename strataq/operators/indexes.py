@@ -7,6 +7,7 @@ passages, the texts that have all of an identifier's rarest trigrams.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -25,7 +26,7 @@ from strataq.config import DEFAULTS
 from strataq.functions import english
 from strataq.operators import retrieval as R
 from strataq.operators import scope
-from strataq.tables import written
+from strataq.tables import small_batches, written
 
 # ---- vectors
 
@@ -150,8 +151,8 @@ def enough_probes(passages: DataFrame, path: str, questions: DataFrame, target:
 
 # ---- words
 
-#: Passages in one block of postings.
-BLOCK_ROWS = 1_024
+#: Passages in one block of postings, and their words with repeats (a longer passage is a block alone).
+BLOCK_ROWS, BLOCK_WORDS = 1_024, 1 << 20
 #: Blocks of the highest bounds that each question reads first, for a score that the others have to reach.
 FIRST_BLOCKS = 4
 #: Words up to which they go into the scan's filter.
@@ -163,17 +164,47 @@ def with_lexemes(passages: DataFrame, words: Callable[[Column], Column] = englis
     return passages.withColumn("lexemes", F.coalesce(words(F.col(text)), F.array().cast("array<string>")))
 
 
-def postings(passages: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def by_length(batches: Iterator[pa.RecordBatch], rows: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``rows`` passages and ``words`` words whose lengths lie between the same powers of two; what is left goes together, longest first."""
+    waiting: dict[int, list[pa.RecordBatch]] = defaultdict(list)
+    for batch in batches:
+        power = np.frexp(pc.list_value_length(batch.column("lexemes")).to_numpy(zero_copy_only=False).astype(np.float64))[1]
+        for k in np.unique(power).tolist():
+            part, most = batch.take(pa.array(np.flatnonzero(power == k))), max(1, min(rows, words >> k))
+            while part.num_rows:
+                room = most - sum(p.num_rows for p in waiting[k])
+                waiting[k].append(part.slice(0, room))
+                part = part.slice(room)
+                if sum(p.num_rows for p in waiting[k]) == most:
+                    yield pa.concat_batches(waiting.pop(k))
+    block: list[pa.RecordBatch] = []
+    held = 0
+    for k in sorted(waiting, reverse=True):
+        for part in waiting.pop(k):
+            while part.num_rows:
+                room = min(rows - sum(p.num_rows for p in block), (words - held) >> k)
+                if room < 1 and block:
+                    yield pa.concat_batches(block)
+                    block, held = [], 0
+                    continue
+                block.append(part.slice(0, max(1, room)))
+                held += int(pc.sum(pc.list_value_length(block[-1].column("lexemes"))).as_py())
+                part = part.slice(max(1, room))
+    if block:
+        yield pa.concat_batches(block)
+
+
+def postings(passages: DataFrame, rows: int = BLOCK_ROWS, words: int = BLOCK_WORDS) -> DataFrame:
     """(lexeme, block, most, ids, ns): for each word and block of passages those that have it, how often, and how often at the most.
 
-    A task puts its passages (doc_id, lexemes) in order of their length first, so that blocks differ in what they can give; nothing is
-    shuffled. Scoped ones carry document_id and holder along, as lists beside ``ids``. A doc_id is one passage.
+    A task's passages (doc_id, lexemes) are put together by their length, so that blocks differ in what they can give; nothing is
+    shuffled or sorted. Scoped ones carry document_id and holder along, as lists beside ``ids``. A doc_id is one passage.
     """
     carried = [c for c in scope.HELD if c in passages.columns]
     kinds = {c: passages.schema[c].dataType.simpleString() for c in ("doc_id", *carried)}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, part in enumerate(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+        for n, part in enumerate(by_length(batches, rows, words)):
             lists = part.column("lexemes")
             coded = lists.flatten().dictionary_encode()
             doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -187,9 +218,8 @@ def postings(passages: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
             columns.append(pa.ListArray.from_arrays(offsets, pa.array(ns.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, ["lexeme", "block", "most", "ids", *(f"{c}s" for c in carried), "ns"])
 
-    sized = passages.select("doc_id", "lexemes", *carried, F.size("lexemes").alias("words"))
-    dealt = sized.sortWithinPartitions(F.desc("words"), "doc_id").withColumn("slice", F.spark_partition_id())
-    return dealt.select("doc_id", "lexemes", *carried, "slice").mapInArrow(pack, f"lexeme string, block long, most int, ids array<{kinds['doc_id']}>, " + "".join(f"{c}s array<{kinds[c]}>, " for c in carried) + "ns array<int>")
+    dealt = small_batches(passages).select("doc_id", "lexemes", *carried, F.spark_partition_id().alias("slice"))
+    return dealt.mapInArrow(pack, f"lexeme string, block long, most int, ids array<{kinds['doc_id']}>, " + "".join(f"{c}s array<{kinds[c]}>, " for c in carried) + "ns array<int>")
 
 
 def inverted_index(passages: DataFrame) -> DataFrame:
@@ -326,7 +356,7 @@ def trigram_postings(passages: DataFrame, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), part.column("doc_id").take(pa.array(owner)))
             yield pa.RecordBatch.from_arrays([pa.array(code[first].astype(np.int32)), pa.array(np.diff(offsets).astype(np.int32)), lists], ["gram", "n", "ids"])
 
-    return passages.select("doc_id", F.col(text).alias("held")).mapInArrow(pack, f"gram int, n int, ids array<{kind}>")
+    return small_batches(passages).select("doc_id", F.col(text).alias("held")).mapInArrow(pack, f"gram int, n int, ids array<{kind}>")
 
 
 def write_trigrams(lists: DataFrame, path: str) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that deletes a query's shuffle files when the query has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes in an Arrow batch, which has 10,000 rows however long they are by default, and what is set for texts.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on gives Python at most about ``BATCH_BYTES`` at once, if it names no number of its own."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where it is unset, one on this machine if Spark runs on it alone."""
     conf = spark.sparkContext.getConf()

@@ -224,3 +224,20 @@ def test_many_copies_leave_a_batch_few_rows():
     found = R.best_of_batch(ids, scores, np.array([10, 20]), 5).to_pylist()
     by = {q: sorted(r["doc_id"] for r in found if r["question_id"] == q and r["score"] == s) for q, s in ((10, 0.7), (20, 0.1))}
     assert by == {10: [400, 401, 402, 403, 404], 20: [0, 1, 2, 3, 4]}
+
+
+def test_blocks_of_postings_hold_few_words_of_passages_of_like_length():
+    r = random.Random(3)
+    lengths = [r.choice([0, 1, 3, 40, 900, 5000]) for _ in range(700)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array([["w"] * n for n in lengths])], ["doc_id", "lexemes"])
+    blocks = list(indexes.by_length(iter([whole.slice(at, 90) for at in range(0, 700, 90)]), 64, 4096))
+    assert sorted(i for b in blocks for i in b.column("doc_id").to_pylist()) == list(range(700))
+    held = [[lengths[i] for i in b.column("doc_id").to_pylist()] for b in blocks]
+    assert all(len(own) <= 64 and (sum(own) <= 4096 or len(own) == 1) for own in held)
+    assert sum(max(own) >= 2 * max(1, min(own)) for own in held) < 10  # what was left at the end
+
+
+def test_postings_are_packed_without_a_sort(spark, worded):
+    plan = indexes.postings(indexes.with_lexemes(worded[0], content_words))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Sort" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 16 << 20
