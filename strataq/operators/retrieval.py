@@ -29,7 +29,7 @@ from strataq.config import DEFAULTS, Settings
 from strataq.functions import text as T
 from strataq.functions.english import content_words
 from strataq.operators import scope
-from strataq.tables import written
+from strataq.tables import small_batches, written
 
 MOST_BROADCAST = 100_000
 #: Questions in one batch whose vectors or words go to every task.
@@ -236,7 +236,7 @@ def _word_scores(held: DataFrame, asked: list, candidates: int, weight: Callable
                 found = (counts > 0).astype(np.float32) @ any_of > 0
                 yield best_of_batch(part.column("doc_id").to_numpy(), within(np.where(found, score(weight(counts, lengths[:, None]) @ matrix), -2.0), part, seen), names, candidates)
 
-    return held.mapInArrow(scan, "question_id long, doc_id long, score double"), sent_words
+    return small_batches(held).mapInArrow(scan, "question_id long, doc_id long, score double"), sent_words
 
 
 def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
@@ -273,7 +273,7 @@ def identifier_hits(passages: DataFrame, identifiers: list[str], text: str = "te
             yield pa.RecordBatch.from_arrays([*columns, pa.array([i for _, i in out], pa.string())], [*names, "identifier"])
 
     schema = passages.select(*names).withColumn("identifier", F.lit("")).schema
-    return passages.select(*names, F.col(text).alias("held")).mapInArrow(scan, schema)
+    return small_batches(passages).select(*names, F.col(text).alias("held")).mapInArrow(scan, schema)
 
 
 def asked_identifiers(questions: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strataq.config import Settings
 from strataq.functions.english import STOP_WORDS, content_words, english, stem
 from strataq.operators import chunking, indexes, ingest, reporting, search
+from strataq.operators import retrieval as R
 from strataq.plans import catalog
 from strataq.plans import retrieval_queries as Q
 from strataq.tables import shared_folder
@@ -186,3 +188,17 @@ def test_embed_batches_carry_on_from_one_arrow_batch_to_the_next(spark):
     assert {r.position: r.batch for r in got if r.doc == 7} == want and len(got) == 25_000
     assert all(r.batch == 0 for r in got if r.doc != 7)
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_go_to_python_by_their_bytes(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own, other = spark.newSession(), spark.newSession()
+    own.conf.set(setting, "1048576")
+    texts = lambda session: session.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('some word ', 600) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    for session in (own, other):
+        questions = session.createDataFrame([(1, "word")], "question_id long, question string")
+        assert R.lexical_arm(texts(session), questions, 3).count() == 3
+    assert own.conf.get(setting) == "1048576" and int(other.conf.get(setting)) == 16 << 20
+    largest = lambda session: max(r.n for r in texts(session).mapInArrow(sizes, "n long").collect())
+    assert largest(own) < 300 and largest(other) < 4000
