@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.config import Settings
-from strataq.functions.english import STOP_WORDS, content_words, english, stem
+from strataq.functions.english import MOST_KEPT, STOP_WORDS, content_words, english, stem, stems
 from strataq.operators import chunking, indexes, ingest, reporting, search
 from strataq.operators import retrieval as R
 from strataq.plans import catalog
@@ -190,6 +190,13 @@ def test_embed_batches_carry_on_from_one_arrow_batch_to_the_next(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stems_of_arrays_are_kept_within_bounds(spark):
+    rows = [(0, ["running", "cats", None, "cats"]), (1, None), (2, []), (3, ["", "ponies"])]
+    got = spark.createDataFrame(rows, "k int, words array<string>").select("k", stems("words").alias("stems")).collect()
+    assert {r.k: r.stems for r in got} == {0: ["run", "cat", None, "cat"], 1: None, 2: [], 3: ["", "poni"]}
+    assert stem.cache_info().maxsize == MOST_KEPT
+
+
 def test_texts_go_to_python_by_their_bytes(spark):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     own, other = spark.newSession(), spark.newSession()
