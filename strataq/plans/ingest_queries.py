@@ -288,7 +288,7 @@ def _streamed(spark, sf_dir, make, name, mode="append"):
     """A stream over the events, run to its end into shared storage; its rows with the micro-batch that gave them.
 
     The events arrive in parts by their time. Each part's files are written side by side, and the stream goes on from its checkpoint with all
-    of them as one micro-batch.
+    of them as one micro-batch; what a part's watermark closes comes with the next part, and after the last one by itself.
     """
     folder, run = shared_folder(spark), uuid.uuid4().hex
     events, at = _at(table(spark, sf_dir, "events")), F.col("ts")
@@ -298,7 +298,7 @@ def _streamed(spark, sf_dir, make, name, mode="append"):
         part = reduce(lambda x, y: x & y, [*([at >= cuts[k - 1]] if k else []), *([at < cuts[k]] if k < len(cuts) else [])], F.lit(True))
         events.where(part).write.mode("append").parquet(f"{folder}/arriving-{run}")
         stream = make(streams.events_stream(spark, f"{folder}/arriving-{run}", events))
-        streams.run_once(stream, streams.by_batch(f"{folder}/{name}-{run}"), f"{name}-{run}", mode)
+        streams.run_once(stream, streams.by_batch(f"{folder}/{name}-{run}"), f"{name}-{run}", mode, close=k == len(cuts))
     return spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).option("basePath", f"{folder}/{name}-{run}").parquet(f"{folder}/{name}-{run}/batch=*")
 
 

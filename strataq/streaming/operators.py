@@ -15,6 +15,8 @@ from strataq.tables import shared_folder
 
 #: The state store that stateful processors need: on local disk, with its changes in the checkpoint.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Parts of a stream's state for each core: each micro-batch opens and commits them all, however few rows came.
+PARTS_A_CORE = 2
 
 
 def events_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
@@ -108,14 +110,21 @@ def ingest(arriving: DataFrame, path: str, name: str) -> None:
     run_once(arriving, store, name)
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> list[dict]:
-    """Processes what is there in micro-batches and stops; restarts go on from the checkpoint. Returns each micro-batch's progress."""
+def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, mode: str = "append", close: bool = True) -> list[dict]:
+    """Processes what is there in micro-batches and stops; restarts go on from the checkpoint. Returns each micro-batch's progress.
+
+    With ``close`` a last micro-batch without rows gives what the last rows' watermark closes; else the next run's first one gives it.
+    """
     spark = stream.sparkSession
-    before = spark.conf.get(STATE_STORE[0])
-    spark.conf.set(*STATE_STORE)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_A_CORE * spark.sparkContext.defaultParallelism)
+    own = dict((STATE_STORE, ("spark.sql.shuffle.partitions", str(parts)), ("spark.sql.streaming.noDataMicroBatches.enabled", str(close).lower())))
+    before = {key: spark.conf.get(key, None) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).foreachBatch(sink).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(STATE_STORE[0], before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return [dict(p) for p in query.recentProgress]

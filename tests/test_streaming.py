@@ -98,3 +98,21 @@ def test_rates_and_limits_of_events_of_several_months(spark, tmp_path):
     want = events.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
     assert catalog.QUERIES["stream_rate_limit"](spark, str(tmp_path)).count() == 300
+
+
+def test_state_parts_follow_the_cores_and_only_the_last_part_is_closed_by_itself(spark, tmp_path, monkeypatch):
+    rows = [(k, START + dt.timedelta(hours=k), k % 5, "view", 1.0, "{}") for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    runs, run_once, key = [], streams.run_once, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(streams, "run_once", lambda *a, **k: runs.append(run_once(*a, **k)) or runs[-1])
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        got = catalog.QUERIES["event_sessions"](spark, str(tmp_path))
+        assert spark.conf.get(key) == "40"
+    finally:
+        spark.conf.set(key, before)
+    # 5 users, each with one event every 5 hours: one session each, which the watermark doesn't close but for gaps of 6 hours
+    assert got.count() == 0 and [len(r) for r in runs] == [1] * 5 + [2]
+    parts = {s["numShufflePartitions"] for r in runs for p in r for s in p["stateOperators"]}
+    assert parts == {streams.PARTS_A_CORE * spark.sparkContext.defaultParallelism}
