@@ -17,6 +17,8 @@ from strataq.tables import shared_folder
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Parts of a stream's state for each core: each micro-batch opens and commits them all, however few rows came.
 PARTS_A_CORE = 2
+#: Requests of a key that come back from Python as one row.
+MOST_TOLD = 10_000
 
 
 def events_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
@@ -48,8 +50,8 @@ class RateWindow(StatefulProcessor):
     ones counts in the window that is open by then, as it does for whoever keeps the door.
     """
 
-    def __init__(self, limit: int, seconds: int) -> None:
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,18 +60,28 @@ class RateWindow(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         held = self.window.get()  # each call is a round trip to the JVM
         before, n = held if held else (None, 0)
-        start = before
-        for row in sorted(rows, key=lambda r: (r.at, r.request_id)):
-            if start is None or row.at >= start + self.seconds:
-                start, n = row.at, 0
+        start, told = before, []
+        for at, request_id in sorted((r.at, r.request_id) for r in rows):
+            if start is None or at >= start + self.seconds:
+                start, n = at, 0
             n += 1
-            yield Row(key=key[0], request_id=row.request_id, window_start=start, n_in_window=n, allowed=n <= self.limit)
+            told.append((request_id, start, n))
+            if len(told) == MOST_TOLD:
+                yield self.row(key, told)
+                told = []
+        if told:
+            yield self.row(key, told)
         self.window.update((start, n))
         if before != start:
             if before is not None:
                 self.handle.deleteTimer((before + self.seconds) * 1000)
             self.handle.registerTimer((start + self.seconds) * 1000)
 
+    def row(self, key: tuple, told: list[tuple]) -> Row:
+        """Requests of a key as one row of lists, as each row that Python makes costs more than what it holds."""
+        request_ids, starts, ns = zip(*told, strict=True)
+        return Row(key=key[0], request_id=list(request_ids), window_start=list(starts), n_in_window=list(ns))
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.window.clear()
         return iter(())
@@ -85,8 +97,10 @@ def limited(requests: DataFrame, key: str, limit: int, seconds: int = DEFAULTS.r
     """
     kinds = {c: requests.schema[c].dataType.simpleString() for c in (key, "request_id")}
     rows = requests.withWatermark("ts", late).select(F.col(key).alias("key"), "request_id", "ts", F.unix_timestamp("ts").alias("at"))
-    out = f"key {kinds[key]}, request_id {kinds['request_id']}, window_start long, n_in_window int, allowed boolean"
-    return rows.groupBy("key").transformWithState(RateWindow(limit, seconds), out, "Append", "EventTime").withColumnRenamed("key", key)
+    out = f"key {kinds[key]}, request_id array<{kinds['request_id']}>, window_start array<long>, n_in_window array<int>"
+    told = rows.groupBy("key").transformWithState(RateWindow(seconds), out, "Append", "EventTime")
+    each = told.select(F.col("key").alias(key), F.inline(F.arrays_zip("request_id", "window_start", "n_in_window")))
+    return each.withColumn("allowed", F.col("n_in_window") <= limit)
 
 
 def by_batch(path: str) -> Callable[[DataFrame, int], None]:

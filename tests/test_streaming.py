@@ -3,6 +3,7 @@
 import datetime as dt
 import uuid
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strataq.operators import ingest
@@ -116,3 +117,33 @@ def test_state_parts_follow_the_cores_and_only_the_last_part_is_closed_by_itself
     assert got.count() == 0 and [len(r) for r in runs] == [1] * 5 + [2]
     parts = {s["numShufflePartitions"] for r in runs for p in r for s in p["stateOperators"]}
     assert parts == {streams.PARTS_A_CORE * spark.sparkContext.defaultParallelism}
+
+
+def test_requests_of_a_key_leave_python_in_lists(monkeypatch):
+    class Held:
+        def get(self):
+            return (100, 1)
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        def getValueState(self, *_):
+            return self.held
+
+        def deleteTimer(self, at):
+            self.timers.append(("gone", at))
+
+        def registerTimer(self, at):
+            self.timers.append(("set", at))
+
+    monkeypatch.setattr(streams, "MOST_TOLD", 4)
+    window, handle = streams.RateWindow(60), Handle()
+    window.init(handle)
+    rows = [Row(key="x", request_id=k, at=at) for k, at in enumerate([160, 110, 159, 161, 219, 220])]
+    got = list(window.handleInputRows(("x",), iter(rows), None))
+    assert [(r.key, r.request_id, r.window_start, r.n_in_window) for r in got] == [("x", [1, 2, 0, 3], [100, 100, 160, 160], [2, 3, 1, 2]), ("x", [4, 5], [160, 220], [3, 1])]
+    assert handle.held.value == (220, 1) and handle.timers == [("gone", 160_000), ("set", 280_000)]
