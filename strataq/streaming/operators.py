@@ -15,8 +15,8 @@ from strataq.tables import shared_folder
 
 #: The state store that stateful processors need: on local disk, with its changes in the checkpoint.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Parts of a stream's state for each core: each micro-batch opens and commits them all, however few rows came.
-PARTS_A_CORE = 2
+#: Parts of a stream's state for each core: each micro-batch opens and commits them all, however few rows came, and each takes some MB of disk.
+PARTS_A_CORE = 1
 #: Requests of a key that come back from Python as one row.
 MOST_TOLD = 10_000
 
