@@ -16,6 +16,9 @@ from strataq.functions import text as T
 from strataq.operators.graph import connected
 from strataq.tables import written
 
+#: A tile of a lineage: about so many starts at most with so many documents, both of one component, before they become rows.
+TILE_ROOTS, TILE_DOCUMENTS = 256, 1024
+
 
 def decide_duplicates(arriving: DataFrame, stored: DataFrame) -> DataFrame:
     """arriving (checksum, owner_id, …) with ``decision``: duplicate, replace or new, and the stored document's id.
@@ -63,6 +66,9 @@ def lineage(links: DataFrame, start: DataFrame, owners: DataFrame | None = None)
 
     The links' components are found by doubling, so long chains take few rounds; each start then has its component's documents. With
     ``owners`` (document_id, owner_id) a chain never leaves the owner's documents.
+
+    The rows are starts times documents of a component. They are dealt out as tiles and told document by document with the same few
+    starts again and again, which a file's encoding keeps in a small part of the bytes that all documents in turn would take.
     """
     links = links.where("supersedes is not null")
     if owners is not None:
@@ -71,7 +77,19 @@ def lineage(links: DataFrame, start: DataFrame, owners: DataFrame | None = None)
     members = connected(links.select(F.col("document_id").alias("a"), F.col("supersedes").alias("b")))
     roots = start.select(F.col("document_id").alias("root")).distinct()
     told = roots.join(members, F.col("root") == F.col("node"), "left").select("root", "component")
-    joined = told.where("component is not null").join(members.withColumnRenamed("node", "document_id"), "component").select("root", "document_id")
+
+    def blocks(rows: DataFrame, column: str, most: int) -> DataFrame:
+        # dealt by hash into as many as their number asks for, so that no component is sorted as one group
+        number = rows.groupBy("component").agg(F.ceil(F.count("*") / most).alias("blocks"))
+        block = F.pmod(F.xxhash64(column), "blocks").alias(f"{column} block")
+        return rows.join(number, "component").groupBy("component", block).agg(F.sort_array(F.collect_list(column)).alias(f"{column}s"))
+
+    documents = blocks(members.withColumnRenamed("node", "document_id"), "document_id", TILE_DOCUMENTS)
+    tiles = documents.join(blocks(told.where("component is not null"), "root", TILE_ROOTS), "component")
+    # By number, as partitions that are put together by their bytes would be one task's: a tile is small, and its rows are not. By a
+    # hash of the block, as a repartition by the columns that it was grouped by is left out.
+    dealt = tiles.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("component", "document_id block"))
+    joined = dealt.select("roots", F.explode("document_ids").alias("document_id")).select(F.explode("roots").alias("root"), "document_id")
     return joined.unionByName(told.where("component is null").select("root", F.col("root").alias("document_id")))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from strataq.operators import graph, ingest
 
 
@@ -70,3 +72,27 @@ def test_versions_of_one_source_are_chained_in_one_run_over_them(spark):
             n += k in place
     assert sorted(tuple(r) for r in chained.collect()) == sorted(want)
     assert "unboundedfollowing" not in chained._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_many_starts_of_one_component_are_told_whole_in_few_bytes_and_tasks_side_by_side(spark, tmp_path):
+    """Starts times documents come as tiles; all documents told in turn for each start took more than a byte a row, all in one task."""
+    n = 8_001
+    links = spark.range(1, n).selectExpr("id AS document_id", "0L AS supersedes")
+    start = spark.range(n).where("id % 16 = 0").selectExpr("id AS document_id").union(spark.createDataFrame([(77_777,)], "document_id long"))
+    ingest.lineage(links, start).write.parquet(str(tmp_path / "told"))
+    told = spark.read.parquet(str(tmp_path / "told"))
+    by_root = {r.root: (r.n, r.different, r.low, r.high) for r in told.groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("different"), F.min("document_id").alias("low"), F.max("document_id").alias("high")).collect()}
+    assert by_root == {k: (n, n, 0, n - 1) for k in range(0, n, 16)} | {77_777: (1, 1, 77_777, 77_777)}
+    files = [f.stat().st_size for f in (tmp_path / "told").glob("*.parquet")]
+    assert sum(files) < 0.5 * told.count()
+    assert len([size for size in files if size > 10_000]) > 1
+
+
+def test_tiles_end_where_their_component_does(spark):
+    """Components of any size around those of a tile, by names."""
+    sizes = [2, 255, 256, 257, 1_023, 1_024, 1_025, 1_500]
+    ids = {s: [f"{s}-{k:04}" for k in range(s)] for s in sizes}
+    links = spark.createDataFrame([(a, of[0]) for of in ids.values() for a in of[1:]], "document_id string, supersedes string")
+    start = spark.createDataFrame([(name,) for of in ids.values() for name in of[:300] + of[:1]], "document_id string")
+    got = ingest.lineage(links, start).groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("different"), F.count_distinct(F.substring_index("document_id", "-", 1)).alias("components"))
+    assert {tuple(r) for r in got.collect()} == {(name, s, s, 1) for s, of in ids.items() for name in of[:300]}
