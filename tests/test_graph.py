@@ -96,3 +96,15 @@ def test_tiles_end_where_their_component_does(spark):
     start = spark.createDataFrame([(name,) for of in ids.values() for name in of[:300] + of[:1]], "document_id string")
     got = ingest.lineage(links, start).groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("different"), F.count_distinct(F.substring_index("document_id", "-", 1)).alias("components"))
     assert {tuple(r) for r in got.collect()} == {(name, s, s, 1) for s, of in ids.items() for name in of[:300]}
+
+
+def test_many_starts_of_one_owner_are_told_whole_in_few_bytes(spark, tmp_path):
+    """Tiles hold one owner's documents: of two owners whose links run across, each start has its own owner's alone."""
+    n = 8_001
+    links = spark.range(2, n).selectExpr("id AS document_id", "id % 2 AS supersedes").union(spark.range(7, n, 50).selectExpr("id AS document_id", "id + 1 AS supersedes"))
+    owners = spark.range(n + 50).selectExpr("id AS document_id", "if(id % 2 = 0, NULL, 'o') AS owner_id")
+    ingest.lineage(links, spark.range(n).where("id % 16 < 2").selectExpr("id AS document_id"), owners).write.parquet(str(tmp_path / "told"))
+    told = spark.read.parquet(str(tmp_path / "told"))
+    by_root = {r.root: (r.n, r.different, r.strange) for r in told.groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("different"), F.count_if(F.expr("(document_id - root) % 2 <> 0")).alias("strange")).collect()}
+    assert by_root == {k: (n // 2 + 1 - k % 2, n // 2 + 1 - k % 2, 0) for k in range(n) if k % 16 < 2}
+    assert sum(f.stat().st_size for f in (tmp_path / "told").glob("*.parquet")) < 0.5 * told.count()
